@@ -152,6 +152,7 @@ def with_lags(df: DataFrame, layout: CaseLayout, order: list[str], lags: dict[st
     before = Window.partitionBy(*(layout.keys or [F.lit(0)])).orderBy(SEGMENT).rowsBetween(-reach, -1)
     halo = (
         tails.select(*layout.group, F.flatten(F.collect_list("_tail").over(before)).alias("_prev"))
+        .where(F.size("_prev") > 0)
         .select(*layout.group, F.explode(F.slice("_prev", -F.least(F.size("_prev"), F.lit(reach)), reach)).alias("_row"))
         .select(*layout.group, *[F.col(f"_row.{c}").alias(c) for c in cells], F.lit(True).alias(HALO))
     )
@@ -162,14 +163,16 @@ def with_lags(df: DataFrame, layout: CaseLayout, order: list[str], lags: dict[st
 
 
 def with_running(df: DataFrame, layout: CaseLayout, order: list[str], *, last: dict[str, Column] | None = None,
-                 total: dict[str, Column] | None = None, peers: bool = False) -> DataFrame:
+                 total: dict[str, Column] | None = None, peers: bool = False, reverse: bool = False) -> DataFrame:
     """Add running last-non-null values and running totals in case order, the current row included.
 
-    ``peers`` makes rows that share the whole order see each other (RANGE instead of ROWS).
+    ``peers`` makes rows that share the whole order see each other (RANGE instead of ROWS);
+    ``reverse`` runs from the end of each case to its start.
     """
     last, total = last or {}, total or {}
     tagged = layout.assign(df)
-    w = layout.window(order)
+    turn = (lambda c: F.col(c).desc()) if reverse else F.col
+    w = layout.window([turn(c) for c in order])
     w = w.rangeBetween(Window.unboundedPreceding, 0) if peers else w.rowsBetween(Window.unboundedPreceding, 0)
     sources = {f"_v{i}": c for i, c in enumerate([*last.values(), *total.values()])}
     tagged = tagged.withColumns(sources)
@@ -178,11 +181,13 @@ def with_running(df: DataFrame, layout: CaseLayout, order: list[str], *, last: d
         n: (F.last(s, ignorenulls=True) if n in last else F.sum(s)).over(w) for n, s in zip(names, sources)})
     if not layout.split:
         return running.drop(*sources)
+    latest = F.min_by if reverse else F.max_by
     rank = F.struct(*order)
     per_segment = layout.hot_rows(tagged).groupBy(*layout.group).agg(*[
-        (F.max_by(F.col(s), F.when(F.col(s).isNotNull(), rank)) if n in last else F.sum(s)).alias(s)
+        (latest(F.col(s), F.when(F.col(s).isNotNull(), rank)) if n in last else F.sum(s)).alias(s)
         for n, s in zip(names, sources)])
-    before = Window.partitionBy(*(layout.keys or [F.lit(0)])).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(layout.keys or [F.lit(0)])).orderBy(turn(SEGMENT)).rowsBetween(
+        Window.unboundedPreceding, -1)
     carry = per_segment.select(*layout.group, *[
         (F.last(s, ignorenulls=True) if n in last else F.sum(s)).over(before).alias(f"_c{s}")
         for n, s in zip(names, sources)])
