@@ -91,24 +91,33 @@ def _scan(matrices: np.ndarray, forcing: np.ndarray, first: np.ndarray) -> np.nd
     return x
 
 
-def _segment_starts(ordered: DataFrame, layout: CaseLayout, keys: list[str], summarise, schema: str, n: int) -> DataFrame | None:
+def _blocks(sizes: list[int]) -> list[slice]:
+    edges = np.cumsum([0, *sizes])
+    return [slice(int(lo), int(hi)) for lo, hi in zip(edges, edges[1:])]
+
+
+def _segment_starts(ordered: DataFrame, layout: CaseLayout, keys: list[str], summarise, schema: str,
+                    sizes: list[int]) -> DataFrame | None:
     """State carried into each later segment of a hot case, by composing segment summaries.
 
-    A summary is ``(_phi, _c)`` with ``x_end = phi x_start + c`` (row-major). At most 8,192 summaries
-    exist; those of one case meet in one small task.
+    A summary is ``(_phi, _c)`` with ``x_end = phi x_start + c`` per block (row-major). At most 8,192
+    summaries exist; those of one case meet in one small task.
     """
     if not layout.split:
         return None
-    case_keys = layout.keys
+    case_keys, cuts = layout.keys, _blocks(sizes)
+    flat = _blocks([n * n for n in sizes])
     summaries = layout.hot_rows(ordered).mapInPandas(summarise, schema)
 
     def compose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(SEGMENT).reset_index(drop=True)
         state, out = None, []
-        for row in frame[["_phi", "_c"]].rename(columns={"_phi": "phi", "_c": "c"}).itertuples(index=False):
+        for phi, c in zip(frame["_phi"], frame["_c"]):
             out.append(None if state is None else state.tolist())
-            start = np.zeros(n) if state is None else state
-            state = np.asarray(row.phi, float).reshape(n, n) @ start + np.asarray(row.c, float)
+            start = np.zeros(sum(sizes)) if state is None else state
+            phi, state = np.asarray(phi, float), np.array(c, float)
+            for n, at, where in zip(sizes, flat, cuts):
+                state[where] += phi[at].reshape(n, n) @ start[where]
         return frame[[*case_keys, SEGMENT]].assign(_start=out)
 
     kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
@@ -116,24 +125,35 @@ def _segment_starts(ordered: DataFrame, layout: CaseLayout, keys: list[str], sum
     return summaries.groupBy(*(case_keys or [F.lit(0)])).applyInPandas(compose, out_schema)
 
 
-def _recursion(df: DataFrame, spec: TrajectorySpec, layout: CaseLayout | None, n: int, keep: list[str], prepare,
-               outputs: list[str], emit=None) -> DataFrame:
-    """Run an affine recursion over every case.
+def _recursion(df: DataFrame, spec: TrajectorySpec, layout: CaseLayout | None, sizes: list[int], keep: list[str],
+               prepare, outputs: list[str], emit) -> DataFrame:
+    """Run one or several independent affine recursions over every case in one pass.
 
-    ``prepare(frame, opening)`` gives ``(matrices, forcing)`` for the rows of one batch, where
-    ``opening`` marks the first row of a case (its forcing is the initial state itself). ``emit``
-    turns the states of a batch (and the states one row before) into output columns.
+    ``prepare(frame, opening)`` gives the matrices of each block (one constant matrix, or one per
+    row) and the forcing of all blocks side by side; ``opening`` marks the first row of a case,
+    whose forcing is the initial state itself. ``emit`` turns the states of a batch, and the states
+    one row before, into output columns.
     """
     layout = layout or plan_layout(df, spec.keys, spec.time)
     marked = with_lags(df, layout, spec.sort, {"_opening": (F.lit(True), 1)}).withColumn(
         "_opening", F.col("_opening").isNull())
     ordered = ordered_partitions(marked, layout, spec.sort)
-    runs = [*layout.keys, SEGMENT]
+    runs, cuts, total = [*layout.keys, SEGMENT], _blocks(sizes), sum(sizes)
     kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
 
+    def scan(matrices, forcing, first):
+        return np.column_stack([_scan(m, forcing[:, w], first) for m, w in zip(matrices, cuts)])
+
+    def apply(matrices, row, state):
+        return np.concatenate([(m if m.ndim == 2 else m[row]) @ state[w] for m, w in zip(matrices, cuts)])
+
     def summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, phi, c = None, None, None
-        record = lambda: pd.DataFrame([[*key, phi.ravel().tolist(), c.tolist()]], columns=[*runs, "_phi", "_c"])
+        key, phis, c = None, None, None
+
+        def record():
+            flat = np.concatenate([phi.ravel() for phi in phis]).tolist()
+            return pd.DataFrame([[*key, flat, c.tolist()]], columns=[*runs, "_phi", "_c"])
+
         for frame in frames:
             if not len(frame):
                 continue
@@ -145,26 +165,25 @@ def _recursion(df: DataFrame, spec: TrajectorySpec, layout: CaseLayout | None, n
                 if here != key:
                     if key is not None:
                         yield record()
-                    key, phi, c = here, np.eye(n), np.zeros(n)
-                part = forcing[lo:hi].copy()
-                m = matrices if matrices.ndim == 2 else matrices[lo:hi]
-                fresh = np.zeros(hi - lo, bool)
+                    key, phis, c = here, [np.eye(n) for n in sizes], np.zeros(total)
+                part, fresh = np.array(forcing[lo:hi], float), np.zeros(hi - lo, bool)
+                fresh[0] = True
                 if opening[lo]:
-                    fresh[0], phi = True, np.zeros((n, n))
-                else:
-                    part[0] += (m if m.ndim == 2 else m[0]) @ c
-                    fresh[0] = True
-                c = _scan(m, part, fresh)[-1]
-                if matrices.ndim == 2:
-                    phi = np.linalg.matrix_power(matrices, hi - lo) @ phi
+                    phis = [np.zeros((n, n)) for n in sizes]
                 else:
-                    for one in m[1 if opening[lo] else 0:]:
-                        phi = one @ phi
+                    part[0] += apply(matrices, lo, c)
+                c = scan([m if m.ndim == 2 else m[lo:hi] for m in matrices], part, fresh)[-1]
+                for i, m in enumerate(matrices):
+                    if m.ndim == 2:
+                        phis[i] = np.linalg.matrix_power(m, hi - lo) @ phis[i]
+                    else:
+                        for one in m[lo + int(opening[lo]):hi]:
+                            phis[i] = one @ phis[i]
         if key is not None:
             yield record()
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in runs) + ", _phi array<double>, _c array<double>"
-    starts = _segment_starts(ordered, layout, runs, summarise, schema, n)
+    starts = _segment_starts(ordered, layout, runs, summarise, schema, sizes)
     if starts is not None:
         ordered = ordered_partitions(layout.join_carry(layout.assign(marked), starts).drop(SEGMENT), layout, spec.sort)
 
@@ -176,23 +195,17 @@ def _recursion(df: DataFrame, spec: TrajectorySpec, layout: CaseLayout | None, n
             opening = frame["_opening"].to_numpy(bool)
             matrices, forcing = prepare(frame, opening)
             first = _runs(frame, runs)
-            begin = np.flatnonzero(first & ~opening)
-            forcing, previous = np.array(forcing, float), np.full((len(frame), n), np.nan)
-            for row in begin:
-                if row == 0 and _key(frame, runs, 0) == key:
-                    before = state  # the run goes on from the last batch
-                else:
-                    before = np.asarray(frame["_start"].iat[row], float)
-                forcing[row] += (matrices if matrices.ndim == 2 else matrices[row]) @ before
+            forcing, previous = np.array(forcing, float), np.full((len(frame), total), np.nan)
+            for row in np.flatnonzero(first & ~opening):
+                goes_on = row == 0 and _key(frame, runs, 0) == key  # from the last batch
+                before = state if goes_on else np.asarray(frame["_start"].iat[row], float)
+                forcing[row] += apply(matrices, row, before)
                 previous[row] = before
-            x = _scan(matrices, forcing, first)
+            x = scan(matrices, forcing, first)
             previous[1:] = np.where(first[1:, None], previous[1:], x[:-1])
             key, state = _key(frame, runs, len(frame) - 1), x[-1].copy()
-            columns = emit(frame, x, previous) if emit else x
-            result = frame[keep].copy()
-            for i, name in enumerate(outputs):
-                result[name] = columns[:, i]
-            yield result
+            values = emit(frame, x, previous)
+            yield pd.concat([frame[keep].reset_index(drop=True), pd.DataFrame(values, columns=outputs)], axis=1)
 
     out_schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + "".join(f", `{c}` double" for c in outputs)
     return ordered.mapInPandas(expand, out_schema)
@@ -204,45 +217,62 @@ def rollout(df: DataFrame, spec: TrajectorySpec, model: LinearModel, *, keep: li
 
     Row 0 of a case is its measured state. Continuous models hold the input over each actual step.
     """
-    full_states = model.pod.states if model.pod is not None else model.states
-    missing = [c for c in [*full_states, *model.inputs] if c not in df.columns]
+    return rollout_many(df, spec, {"": model}, keep=keep, layout=layout, prefix=prefix)
+
+
+def rollout_many(df: DataFrame, spec: TrajectorySpec, models: dict[str, LinearModel], *, keep: list[str] | None = None,
+                 layout: CaseLayout | None = None, prefix: str = "pred_") -> DataFrame:
+    """Free runs of several models side by side in one pass: ``pred_<model>_<state>``."""
+    parts = list(models.values())
+    full = [m.pod.states if m.pod is not None else m.states for m in parts]
+    inputs = sorted({c for m in parts for c in m.inputs})
+    missing = sorted(({c for s in full for c in s} | set(inputs)) - set(df.columns))
     if missing:
         raise ValueError(f"the model needs columns the table lacks: {missing}")
-    n = len(model.states)
     keep = list(dict.fromkeys(keep or [*spec.keys, spec.time, *spec.order, *spec.states]))
     layout = layout or plan_layout(df, spec.keys, spec.time)
-    shifted = with_lags(df, layout, spec.sort, {**{f"_u_{c}": (c, 1) for c in model.inputs}, "_t_before": (spec.time, 1)})
-    a, b, offset, pod = model.a, model.b, model.offset, model.pod
-    inputs, states, continuous = list(model.inputs), list(full_states), model.continuous
-    cache: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+    shifted = with_lags(df, layout, spec.sort, {**{f"_u_{c}": (c, 1) for c in inputs}, "_t_before": (spec.time, 1)})
+    time, sizes = spec.time, [len(m.states) for m in parts]
+    cache: dict[tuple[int, float], tuple[np.ndarray, np.ndarray]] = {}
+
+    def held(i, dt):
+        if (i, dt) not in cache:
+            if not dt > 0:
+                raise ValueError("time must strictly increase inside a case")
+            if len(cache) > 4096:
+                cache.clear()
+            cache[i, dt] = L.hold_step(parts[i].a, parts[i].b, dt)
+        return cache[i, dt]
 
     def prepare(frame, opening):
-        u = frame[[f"_u_{c}" for c in inputs]].to_numpy(float) if inputs else np.zeros((len(frame), 0))
-        x0 = frame[states].to_numpy(float)[opening]
-        x0 = (x0 - pod.mean) / pod.spread @ pod.modes if pod is not None else x0
-        if continuous:
-            dts = (frame[spec.time] - frame["_t_before"]).to_numpy(float)
-            matrices, forcing = np.zeros((len(frame), n, n)), np.zeros((len(frame), n))
-            for k in np.flatnonzero(~opening):
-                dt = float(dts[k])
-                if dt not in cache:
-                    if not dt > 0:
-                        raise ValueError("time must strictly increase inside a case")
-                    if len(cache) > 4096:
-                        cache.clear()
-                    cache[dt] = L.hold_step(a, b, dt)
-                matrices[k] = cache[dt][0]
-                forcing[k] = cache[dt][1] @ u[k]
-        else:
-            matrices, forcing = a, np.where(opening[:, None], 0.0, u) @ b.T + offset
-        forcing = np.array(forcing, float)
-        forcing[opening] = x0
-        return matrices, forcing
+        matrices, forcing = [], []
+        for i, m in enumerate(parts):
+            u = np.zeros((len(frame), 0))
+            if m.inputs:
+                u = np.where(opening[:, None], 0.0, frame[[f"_u_{c}" for c in m.inputs]].to_numpy(float))
+            if m.continuous:
+                dts = (frame[time] - frame["_t_before"]).to_numpy(float)
+                rows, push = np.zeros((len(frame), sizes[i], sizes[i])), np.zeros((len(frame), sizes[i]))
+                for k in np.flatnonzero(~opening):
+                    a, b = held(i, float(dts[k]))
+                    rows[k], push[k] = a, b @ u[k]
+            else:
+                rows, push = m.a, u @ m.b.T + m.offset
+            x0 = frame[full[i]].to_numpy(float)[opening]
+            push[opening] = (x0 - m.pod.mean) / m.pod.spread @ m.pod.modes if m.pod is not None else x0
+            matrices.append(rows)
+            forcing.append(push)
+        return matrices, np.column_stack(forcing)
+
+    cuts = _blocks(sizes)
 
     def emit(frame, x, previous):
-        return x @ pod.modes.T * pod.spread + pod.mean if pod is not None else x
+        return np.column_stack([
+            x[:, w] @ m.pod.modes.T * m.pod.spread + m.pod.mean if m.pod is not None else x[:, w]
+            for m, w in zip(parts, cuts)])
 
-    return _recursion(shifted, spec, layout, n, keep, prepare, [f"{prefix}{c}" for c in full_states], emit)
+    names = [f"{prefix}{name}_{c}" if name else f"{prefix}{c}" for name, states in zip(models, full) for c in states]
+    return _recursion(shifted, spec, layout, sizes, keep, prepare, names, emit)
 
 
 def rollout_persistence(df: DataFrame, spec: TrajectorySpec, prefix: str = "pred_", mean: dict[str, float] | None = None,
@@ -438,8 +468,8 @@ def kalman_filter(df: DataFrame, spec: TrajectorySpec, model: LinearModel, measu
             forcing[k] = x + gains[k] @ (y[k] - h @ x - d @ u[k])
         settled = schedule.settled and len(frame) and frame["_k"].min() >= len(schedule.gains)
         if settled and not opening.any():
-            return matrices[0], forcing  # constant from here on: the doubling scan applies
-        return matrices, forcing
+            return [matrices[0]], forcing  # constant from here on: the doubling scan applies
+        return [matrices], forcing
 
     spread = decode
     states = list(decode.states) if decode is not None else list(model.states)
@@ -459,7 +489,7 @@ def kalman_filter(df: DataFrame, spec: TrajectorySpec, model: LinearModel, measu
     outputs = [*[f"est_{c}" for c in states], *modal, "covariance_trace", "innovation_norm",
                *[f"innovation_{c}" for c in measurements]]
     keep_columns = list(dict.fromkeys([*spec.keys, spec.time, *spec.order, *measurements, *model.inputs]))
-    return _recursion(driven, spec, layout, n, keep_columns, prepare, outputs, emit)
+    return _recursion(driven, spec, layout, [n], keep_columns, prepare, outputs, emit)
 
 
 def kalman_pod(df: DataFrame, spec: TrajectorySpec, model: LinearModel, measurements: list[str], *,
