@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -45,6 +46,5 @@ def melt(df: DataFrame, ids: list[str], values: list[str], name: str = "state",
 
 
 def slug(text: str) -> str:
-    """A name fit for a key: lower case, other characters than letters, digits, dot and dash become _."""
-    cleaned = "".join(ch if ch.isalnum() or ch in "._-" else "_" for ch in text.strip().lower())
-    return cleaned.strip("_")
+    """A name fit for a key: other characters than letters, digits, dot, dash and underscore become _."""
+    return re.sub(r"[^\w.-]", "_", str(text).strip()).strip("._") or "model"

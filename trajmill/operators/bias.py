@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trajmill.operators import monitoring as mon
 from trajmill.operators.shaping import asof_backward, flags_at_time
-from trajmill.plans.segments import SEGMENT, ordered_partitions, plan_layout
+from trajmill.plans.segments import SEGMENT, SMALL_PLAN_BYTES, ordered_partitions, plan_layout
+from trajmill.plans.sizing import planned_bytes
+from trajmill.session import settle
 
 EVENT_COLUMNS = [
     "time", "origin_time", "origin_row_index", "target_time", "matched_time", "forecast_horizon_s", "state",
@@ -93,6 +95,8 @@ def bias_events(residuals: DataFrame, alerts: DataFrame, trust: DataFrame, keys:
     used = F.col("residual") if rules.clip_residual is None else F.greatest(
         F.lit(-abs(rules.clip_residual)), F.least(F.lit(abs(rules.clip_residual)), F.col("residual")))
     rows = judged.withColumns({"_used": used, "_ok": F.col("rejection_reason").isNull()})
+    if target_rows is not None or planned_bytes(rows) > SMALL_PLAN_BYTES:
+        rows = settle(rows)  # the joins above are not repeated by the passes below
     layout = plan_layout(rows, key, "matched_time", target_rows)
     runs = [*key, SEGMENT]
     ordered = ordered_partitions(rows, layout, ORDER)
