@@ -15,7 +15,7 @@ def number(c) -> Column:
 
 def seconds(c) -> Column:
     """Seconds since the epoch of a date or timestamp column."""
-    return F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
+    return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp")) / F.lit(1e6)
 
 
 def is_missing(c: str, floating: bool) -> Column:
