@@ -18,7 +18,7 @@ from trajmill.functions.columns import seconds
 from trajmill.operators import bias as B, fitting as fit, metrics as M, models as MT, monitoring as mon
 from trajmill.operators import prediction as pred, quality as Q, selection as sel, shaping as S, status as ST
 from trajmill.operators import summaries as SU
-from trajmill.session import shared_folder
+from trajmill.session import settle, shared_folder
 from trajmill.sources import archive as AR, tables as TB
 from trajmill.spec import TrajectorySpec
 from trajmill.streaming import buffer as BUF, inputs as IN, live as LIVE
@@ -709,7 +709,7 @@ _corr = f"""{_bias}, ac AS (SELECT user_id, forecast_horizon_s, matched_time AS
 
 
 def bias_chain(spark, d):
-    found = residuals(spark, d)
+    found = settle(residuals(spark, d))  # used three times below
     raised = alerts(spark, d, found)
     return B.bias_events(found, raised, trust(spark, d, raised), ["user_id"], RULES)
 
@@ -853,7 +853,7 @@ def archive_partitions(spark, d):
 def _archived(spark, d):
     """Archive the residuals and alerts with time in units of 24 s, so that an archive hour is a day."""
     root = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
-    found = residuals(spark, d)
+    found = settle(residuals(spark, d))
     raised = alerts(spark, d, found)
     AR.archive_run({"residuals": found.withColumn("matched_time", (F.col("matched_time") - 1704067200.0) / 24.0),
                     "alerts": raised.withColumn("time", (F.col("time") - 1704067200.0) / 24.0)}, root, "run-1")

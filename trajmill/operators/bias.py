@@ -308,10 +308,11 @@ def run_adaptation(clean: DataFrame, forecasts: DataFrame, ticks: DataFrame, key
                    measurements: list[str], *, rules: BiasRules = BiasRules(), tolerance: float | None = None,
                    alert_options: dict | None = None, tick_time: str = "origin_time") -> dict[str, DataFrame]:
     """Residuals -> alerts -> trust -> bias events -> corrected forecasts -> comparison, as one chain of tables."""
-    residuals = mon.forecast_residuals(clean, forecasts, keys, time, measurements, tolerance=tolerance)
+    # Matching is used by every later table: written once to the shared folder, not repeated.
+    residuals = settle(mon.forecast_residuals(clean, forecasts, keys, time, measurements, tolerance=tolerance))
     alerts = mon.build_alerts(keys=keys, residuals=residuals, clean=clean, time=time, **(alert_options or {}))
     trust = mon.trust_timeline(alerts, ticks, keys, tick_time)
-    events = bias_events(residuals, alerts, trust, keys, rules)
+    events = settle(bias_events(residuals, alerts, trust, keys, rules))
     corrected = apply_bias(forecasts, events, keys, rules.method)
     again = corrected_residuals(clean, corrected, keys, time, measurements, tolerance)
     return {"residuals": residuals, "alerts": alerts, "trust": trust, "events": events,

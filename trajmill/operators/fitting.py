@@ -21,7 +21,6 @@ from trajmill.operators.quality import percentiles
 from trajmill.operators.shaping import slopes, transitions
 from trajmill.plans.segments import SMALL_PLAN_BYTES, CaseLayout
 from trajmill.plans.sizing import planned_bytes
-from trajmill.session import settle
 from trajmill.spec import TrajectorySpec
 
 FAN_IN = 64
@@ -29,56 +28,61 @@ FAN_IN = 64
 
 # -- distributed factors --------------------------------------------------------------------------
 
-def _batch_factors(keys: list[str], columns: list[str], schema_columns: list[str]):
-    """Fold Arrow batches into one factor per run of equal keys; memory is one factor per task."""
-    p = len(columns) + 1
+FLUSH = 256  # factors per frame handed back to Spark
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, factor, rows = None, None, 0
 
-        def flush():
-            return pd.DataFrame([[*current, rows, factor.ravel().tolist()]], columns=schema_columns)
+def _batch_factors(keys: list[str], columns: list[str], names: list[str]):
+    """Fold Arrow batches into one factor per run of equal keys; memory is a few hundred factors per task."""
 
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, factor, rows, done = None, None, 0, []
         for frame in batches:
             if not len(frame):
                 continue
             block = np.column_stack([np.ones(len(frame)), frame[columns].to_numpy(float)])
-            if keys:
-                ids = frame[keys[0]] if len(keys) == 1 else pd.MultiIndex.from_frame(frame[keys]).to_flat_index().to_series()
-                codes, _ = pd.factorize(ids.to_numpy(), use_na_sentinel=False)
-                cuts = np.flatnonzero(np.diff(codes)) + 1
-                starts = [0, *cuts.tolist(), len(frame)]
-            else:
-                starts = [0, len(frame)]
+            change = np.zeros(len(frame), bool)
+            for k in keys:
+                codes, _ = pd.factorize(frame[k].to_numpy(), use_na_sentinel=False)
+                change[1:] |= codes[1:] != codes[:-1]
+            starts = [0, *np.flatnonzero(change).tolist(), len(frame)]
             for lo, hi in zip(starts, starts[1:]):
                 key = tuple(frame[k].iat[lo] for k in keys)
                 if current is not None and key != current:
-                    yield flush()
+                    done.append((*current, rows, factor.ravel().tolist()))
                     factor, rows = None, 0
                 current = key
                 factor = L.stack_factor(factor, block[lo:hi])
                 rows += hi - lo
+            if len(done) >= FLUSH:
+                yield pd.DataFrame(done, columns=names)
+                done = []
         if current is not None:
-            yield flush()
+            done.append((*current, rows, factor.ravel().tolist()))
+        if done:
+            yield pd.DataFrame(done, columns=names)
 
-    return fold, p
+    return fold, len(columns) + 1
 
 
-def _merge(frames: Iterator[pd.DataFrame], keys: list[str], names: list[str]) -> Iterator[pd.DataFrame]:
+def _merge(frames: Iterator[pd.DataFrame], p: int, keys: list[str], names: list[str]) -> Iterator[pd.DataFrame]:
     """Stack factors of one task into one factor per run of keys (rows arrive sorted by key)."""
-    current, factor, rows = None, None, 0
+    current, factor, rows, done = None, None, 0, []
     for frame in frames:
-        for record in frame.itertuples(index=False):
-            key = tuple(getattr(record, k) for k in keys)
+        for *key, n, flat in frame[[*keys, "n_rows", "r"]].itertuples(index=False, name=None):
+            key = tuple(key)
             if current is not None and key != current:
-                yield pd.DataFrame([[*current, rows, factor.ravel().tolist()]], columns=names)
+                done.append((*current, rows, factor.ravel().tolist()))
                 factor, rows = None, 0
             current = key
-            flat = np.asarray(record.r, float)
-            factor = L.stack_factor(factor, flat.reshape(-1, record.p))
-            rows += record.n_rows
+            factor = L.stack_factor(factor, np.asarray(flat, float).reshape(-1, p))
+            rows += n
+        if len(done) >= FLUSH:
+            yield pd.DataFrame(done, columns=names)
+            done = []
     if current is not None:
-        yield pd.DataFrame([[*current, rows, factor.ravel().tolist()]], columns=names)
+        done.append((*current, rows, factor.ravel().tolist()))
+    if done:
+        yield pd.DataFrame(done, columns=names)
 
 
 def factors(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -89,7 +93,6 @@ def factors(df: DataFrame, columns: list[str], by: list[str] | None = None) -> D
     than about FAN_IN of them.
     """
     by = list(by or [])
-    names = [*by, "n_rows", "r"]
     source = {f.name: f for f in df.schema.fields}
     key_fields = [T.StructField(f"k{i}", source[k].dataType) for i, k in enumerate(by)]
     fields = T.StructType([*key_fields, T.StructField("n_rows", T.LongType()), T.StructField("r", T.ArrayType(T.DoubleType()))])
@@ -100,7 +103,7 @@ def factors(df: DataFrame, columns: list[str], by: list[str] | None = None) -> D
     partial = slim.mapInPandas(fold, fields)
 
     def merge(frames):
-        return _merge((f.assign(p=p) for f in frames), keys, [f.name for f in fields])
+        return _merge(frames, p, keys, [f.name for f in fields])
 
     small = planned_bytes(df) <= SMALL_PLAN_BYTES  # then also the partial factors are few
     if by and small:
@@ -459,20 +462,20 @@ def models_per_case(case_factor_table: DataFrame, spec: TrajectorySpec, *, rank=
 def leave_one_out_factors(case_factor_table: DataFrame, case: str, buckets: int | None = None) -> DataFrame:
     """For every case the merged factor of all *other* cases, without subtracting anything.
 
+    The table is read three times, so pass a settled one (``session.settle``).
+
     Cases fall into about sqrt(N) buckets. Bucket factors (a few hundred rows) give "all other
     buckets" by prefix and suffix merges on the driver; inside a bucket the same trick runs over
     its own cases. Work is linear in the number of cases and no task sees more than one bucket.
     """
-    case_factor_table = settle(case_factor_table)  # one row per case; read three times below
-    n = case_factor_table.count()
+    n, p = case_factor_table.agg(F.count(F.lit(1)), F.max("p")).first()
     buckets = buckets or int(min(1024, max(1, round(np.sqrt(n)))))
-    p = case_factor_table.first()["p"]
     tagged = case_factor_table.withColumn("_bucket", F.pmod(F.xxhash64(case), F.lit(buckets)).cast("int"))
     fields = T.StructType([T.StructField("k0", T.IntegerType()), T.StructField("n_rows", T.LongType()),
                            T.StructField("r", T.ArrayType(T.DoubleType()))])
 
     def merge(frames):
-        return _merge((f.assign(p=p) for f in frames), ["k0"], ["k0", "n_rows", "r"])
+        return _merge(frames, p, ["k0"], ["k0", "n_rows", "r"])
 
     per_bucket = tagged.select(F.col("_bucket").alias("k0"), "n_rows", "r").repartition(
         "k0").sortWithinPartitions("k0").mapInPandas(merge, fields)

@@ -19,7 +19,7 @@ from trajmill.functions import linalg as L
 from trajmill.functions.columns import dot
 from trajmill.operators.fitting import LinearModel, PODBasis, measurement_matrix
 from trajmill.operators.shaping import transitions
-from trajmill.plans.segments import SEGMENT, CaseLayout, ordered_partitions, plan_layout, with_lags
+from trajmill.plans.segments import SEGMENT, CaseLayout, cluster, ordered_partitions, plan_layout, with_lags
 from trajmill.spec import TrajectorySpec
 
 
@@ -125,19 +125,18 @@ def _segment_starts(ordered: DataFrame, layout: CaseLayout, keys: list[str], sum
     return summaries.groupBy(*(case_keys or [F.lit(0)])).applyInPandas(compose, out_schema)
 
 
-def _recursion(df: DataFrame, spec: TrajectorySpec, layout: CaseLayout | None, sizes: list[int], keep: list[str],
+def _recursion(df: DataFrame, spec: TrajectorySpec, layout: CaseLayout, sizes: list[int], keep: list[str],
                prepare, outputs: list[str], emit) -> DataFrame:
-    """Run one or several independent affine recursions over every case in one pass.
+    """Run one or several independent affine recursions over every case of a clustered table in one pass.
 
     ``prepare(frame, opening)`` gives the matrices of each block (one constant matrix, or one per
     row) and the forcing of all blocks side by side; ``opening`` marks the first row of a case,
     whose forcing is the initial state itself. ``emit`` turns the states of a batch, and the states
     one row before, into output columns.
     """
-    layout = layout or plan_layout(df, spec.keys, spec.time)
     marked = with_lags(df, layout, spec.sort, {"_opening": (F.lit(True), 1)}).withColumn(
         "_opening", F.col("_opening").isNull())
-    ordered = ordered_partitions(marked, layout, spec.sort)
+    ordered = ordered_partitions(marked, layout, spec.sort, clustered=True)
     runs, cuts, total = [*layout.keys, SEGMENT], _blocks(sizes), sum(sizes)
     kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
 
@@ -231,7 +230,7 @@ def rollout_many(df: DataFrame, spec: TrajectorySpec, models: dict[str, LinearMo
         raise ValueError(f"the model needs columns the table lacks: {missing}")
     keep = list(dict.fromkeys(keep or [*spec.keys, spec.time, *spec.order, *spec.states]))
     layout = layout or plan_layout(df, spec.keys, spec.time)
-    shifted = with_lags(df, layout, spec.sort, {**{f"_u_{c}": (c, 1) for c in inputs}, "_t_before": (spec.time, 1)})
+    shifted = with_lags(cluster(df, layout), layout, spec.sort, {**{f"_u_{c}": (c, 1) for c in inputs}, "_t_before": (spec.time, 1)})
     time, sizes = spec.time, [len(m.states) for m in parts]
     cache: dict[tuple[int, float], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -444,7 +443,7 @@ def kalman_filter(df: DataFrame, spec: TrajectorySpec, model: LinearModel, measu
     inverse = np.linalg.pinv(h)
     schedule = GainSchedule(a, h, q, r, p0)
     layout = layout or plan_layout(df, spec.keys, spec.time)
-    placed = with_position(df, layout, spec.sort)
+    placed = with_position(cluster(df, layout), layout, spec.sort)
     lag = 1 if input_alignment == "previous" else 0
     driven = with_lags(placed, layout, spec.sort, {f"_u_{c}": (c, lag) for c in model.inputs}) if model.inputs else placed
     inputs = [f"_u_{c}" for c in model.inputs]

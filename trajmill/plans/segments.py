@@ -208,10 +208,26 @@ def with_position(df: DataFrame, layout: CaseLayout, order: list[str], name: str
     return numbered.withColumn(name, (F.col(name) - 1).cast("bigint"))
 
 
-def ordered_partitions(df: DataFrame, layout: CaseLayout, order: list[str]) -> DataFrame:
-    """Rows hashed by (case, segment) and sorted inside each partition, for streaming folds."""
-    tagged = layout.assign(df)
+def cluster(df: DataFrame, layout: CaseLayout) -> DataFrame:
+    """Bring the rows of each case together before windows and a fold, when no case is hot.
+
+    The windows that follow find the distribution they need and add no exchange, and neither does
+    ``ordered_partitions(..., clustered=True)``: one shuffle serves all. Split layouts shuffle by
+    segment later.
+    """
+    if layout.split:
+        return df
+    return df.repartition(*layout.keys) if layout.keys else df.repartition(1)
+
+
+def ordered_partitions(df: DataFrame, layout: CaseLayout, order: list[str], clustered: bool = False) -> DataFrame:
+    """Rows hashed by (case, segment) and sorted inside each partition, for streaming folds.
+
+    ``clustered`` says the rows come from ``cluster`` and passed row-preserving steps only.
+    """
     if not layout.split:
-        tagged = tagged.withColumn(SEGMENT, F.lit(0))
+        tagged = df.withColumn(SEGMENT, F.lit(0))
+        tagged = tagged if clustered else cluster(tagged, layout)
+        return tagged.sortWithinPartitions(*layout.keys, *order)
     keys = [*layout.keys, SEGMENT]
-    return tagged.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return layout.assign(df).repartition(*keys).sortWithinPartitions(*keys, *order)
