@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from trajmill import TrajectorySpec
 from trajmill.operators import fitting as fit, models as MT, status as ST, summaries as SU
 from trajmill.sources import archive as AR, tables as TB
 
@@ -102,6 +103,9 @@ def test_model_table(spark):
     store.promote("loop_a", "v1")
     assert store.resolve("loop_a").a[0, 0] == 0.5
     assert store.deployments().where("stage = 'production'").first()["version"] == "v1"
+    line = spark.createDataFrame([(0.0, 8.0), (1.0, 0.0), (2.0, 0.0)], "t double, x double")
+    rolled = MT.predict_saved(store, line, TrajectorySpec(time="t", states=("x",)), "loop_a")
+    assert [r["pred_x"] for r in rolled.orderBy("t").collect()] == [8.0, 4.0, 2.0]
     for bad in (lambda: store.promote("loop_a", "v9"), lambda: store.resolve("other"), lambda: store.resolve("loop_a", version="v9")):
         with pytest.raises(MT.UnknownModel):
             bad()
@@ -124,6 +128,8 @@ def test_folder_import(spark):
     assert set(rows.columns) == {"time", "x", "u", "y", "source_file", "case_id"} and skipped.count() == 1
     one, _ = TB.read_folder(spark, folder, "run*.csv", required=["time"], mapping={"t": "time"}, max_files=1)
     assert {r["source_file"] for r in one.collect()} == {"run_1.csv"}
+    chunks, _ = TB.read_daq_folder(spark, folder, "run*.csv", required=["time"], mapping={"t": "time"}, settle_seconds=None)
+    assert {r["importer"] for r in chunks.collect()} == {"daq_folder"}
     with pytest.raises(FileNotFoundError):
         TB.read_folder(spark, folder, "*.none", required=["time"])
     assert TB.list_files(spark, folder, "*.csv", settle_seconds=3600).count() == 0

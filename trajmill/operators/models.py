@@ -89,6 +89,14 @@ class ModelTable:
         return model_from_row(row)
 
 
+def predict_saved(store: ModelTable, df: DataFrame, spec, name: str, stage: str = "production",
+                  version: str | None = None) -> DataFrame:
+    """Roll a stored model out over every case of a table."""
+    from trajmill.operators.prediction import rollout
+
+    return rollout(df, spec, store.resolve(name, stage, version))
+
+
 def _newest(df: DataFrame, keys: list[str], moment: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.col(moment).desc())
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trajmill.operators.quality import time_steps, percentiles
-from trajmill.operators.shaping import nearest_match
+from trajmill.operators.shaping import asof_backward, nearest_match
 from trajmill.plans.segments import plan_layout, with_running
 from trajmill.plans.sizing import broadcast_if_small
 from trajmill.spec import TrajectorySpec
@@ -170,21 +170,24 @@ def trust_timeline(alerts: DataFrame, ticks: DataFrame, keys=(), time: str = "or
     """Trust at each tick: 1 minus penalties for all alerts up to that time, never below 0.
 
     ``ticks`` are the estimates of the run, or the alerts themselves where there are no estimates. A
-    tick without a time counts the alerts without a time.
+    tick without a time counts the alerts without a time. Alerts are counted per time and summed up
+    before the ticks look up their time, so neither many alerts nor many ticks at one time pile up.
     """
     keys = list(keys)
-    asked = ticks.select(*keys, F.col(time).cast("double").alias("time"), F.lit(True).alias("_tick"))
+    by = [*keys, "_timeless"]
+    moment = {"_timeless": F.col("time").isNull(), "_at": F.coalesce(F.col("time"), F.lit(0.0))}
+    asked = ticks.select(*keys, F.col(time).cast("double").alias("time")).withColumns(moment)
     counted = alerts.groupBy(*keys, F.col("time").cast("double").alias("time")).agg(
         F.count_if(F.col("severity") == "warning").alias("_w"), F.count_if(F.col("severity") == "critical").alias("_c"))
-    both = asked.unionByName(counted.withColumn("_tick", F.lit(False)), allowMissingColumns=True)
-    both = both.withColumn("_timeless", F.col("time").isNull())
-    layout = plan_layout(both, [*keys, "_timeless"], "time", target_rows)
-    seen = with_running(both, layout, ["time"], total={"n_warning_alerts": F.coalesce("_w", F.lit(0)),
-                                                       "n_critical_alerts": F.coalesce("_c", F.lit(0))}, peers=True)
+    counted = counted.withColumns(moment).select(*by, F.col("_at").alias("_since"), "_w", "_c")
+    layout = plan_layout(counted, by, "_since", target_rows)
+    counts = ["n_warning_alerts", "n_critical_alerts"]
+    so_far = with_running(counted, layout, ["_since"], total=dict(zip(counts, (F.col("_w"), F.col("_c")))))
+    seen = asof_backward(asked, so_far.drop("_w", "_c"), by, "_at", "_since", counts, slack=0.0, target_rows=target_rows)
+    seen = seen.fillna(0, counts)
     score = 1.0 - F.col("n_warning_alerts") * warning_penalty - F.col("n_critical_alerts") * critical_penalty
-    return seen.where("_tick").select(*keys, "time", F.greatest(F.lit(0.0), score).alias("trust_score"),
-                                      F.col("n_warning_alerts").cast("int").alias("n_warning_alerts"),
-                                      F.col("n_critical_alerts").cast("int").alias("n_critical_alerts"))
+    return seen.select(*keys, "time", F.greatest(F.lit(0.0), score).alias("trust_score"),
+                       *[F.col(c).cast("int").alias(c) for c in counts])
 
 
 def summarize_monitoring(alerts: DataFrame, residuals: DataFrame, trust: DataFrame, keys=()) -> DataFrame:

@@ -230,7 +230,9 @@ def rollout_many(df: DataFrame, spec: TrajectorySpec, models: dict[str, LinearMo
         raise ValueError(f"the model needs columns the table lacks: {missing}")
     keep = list(dict.fromkeys(keep or [*spec.keys, spec.time, *spec.order, *spec.states]))
     layout = layout or plan_layout(df, spec.keys, spec.time)
-    shifted = with_lags(cluster(df, layout), layout, spec.sort, {**{f"_u_{c}": (c, 1) for c in inputs}, "_t_before": (spec.time, 1)})
+    # Only what the fold needs is shuffled.
+    needed = list(dict.fromkeys([*keep, *spec.keys, *spec.sort, *[c for s in full for c in s], *inputs]))
+    shifted = with_lags(cluster(df.select(*needed), layout), layout, spec.sort, {**{f"_u_{c}": (c, 1) for c in inputs}, "_t_before": (spec.time, 1)})
     time, sizes = spec.time, [len(m.states) for m in parts]
     cache: dict[tuple[int, float], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -443,7 +445,8 @@ def kalman_filter(df: DataFrame, spec: TrajectorySpec, model: LinearModel, measu
     inverse = np.linalg.pinv(h)
     schedule = GainSchedule(a, h, q, r, p0)
     layout = layout or plan_layout(df, spec.keys, spec.time)
-    placed = with_position(cluster(df, layout), layout, spec.sort)
+    needed = list(dict.fromkeys([*spec.keys, *spec.sort, *measurements, *model.inputs]))
+    placed = with_position(cluster(df.select(*needed), layout), layout, spec.sort)
     lag = 1 if input_alignment == "previous" else 0
     driven = with_lags(placed, layout, spec.sort, {f"_u_{c}": (c, lag) for c in model.inputs}) if model.inputs else placed
     inputs = [f"_u_{c}" for c in model.inputs]

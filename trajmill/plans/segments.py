@@ -122,7 +122,8 @@ def plan_layout(df: DataFrame, keys: list[str], time: str, target_rows: int | No
     )
     rows = picked.collect()  # at most 8,192 doubles, see the module note
     longest = max((len(r["_cuts"]) for r in rows), default=0)
-    ties = any(2 * len(r["_cuts"]) < r["_pieces"] - 1 for r in rows)
+    # A cut point that repeats marks a time that holds several segments' worth of rows.
+    ties = any(r["_pieces"] - 1 - len(r["_cuts"]) >= 2 for r in rows)
     schema = T.StructType([f for f in picked.schema.fields if f.name != "_pieces"])
     cuts = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) + (r["_cuts"],) for r in rows], schema)
     return CaseLayout(keys, time, cuts, max(1, longest.bit_length()), ties)

@@ -143,6 +143,16 @@ def read_folder(spark: SparkSession, root: str, pattern: str = "*.csv", *, requi
     return rows.select(*[F.col(c) if c in texts else _typed(rows, c, wanted) for c in rows.columns]), skipped
 
 
+def read_daq_folder(spark: SparkSession, root: str, pattern: str = "*.csv", **options) -> tuple[DataFrame, DataFrame]:
+    """Folder of data-acquisition chunk files: as ``read_folder``, labelled with its importer.
+
+    Such loggers may still be writing the newest chunk, so files changed within the last two seconds
+    are left for the next import unless ``settle_seconds`` says otherwise.
+    """
+    rows, skipped = read_folder(spark, root, pattern, **{"settle_seconds": 2.0, **options})
+    return rows.withColumn("importer", F.lit("daq_folder")), skipped
+
+
 def _typed(df: DataFrame, column: str, numeric: set[str]):
     """Required columns of a text import become doubles; text that is no number becomes null."""
     return F.col(column).try_cast("double").alias(column) if column in numeric else F.col(column)
