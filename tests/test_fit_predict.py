@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajmill import TrajectorySpec
 from trajmill.functions import linalg as L
-from trajmill.operators import fitting as fit, prediction as pred
+from trajmill.operators import fitting as fit, metrics as M, prediction as pred
 from trajmill.plans.segments import plan_layout
 
 A = np.array([[0.9, 0.1], [-0.05, 0.85]])
@@ -187,6 +187,24 @@ def test_sensors_reconstruct_two_modes(spark):
     assert np.allclose(got["rec_s"], got["s"], atol=1e-10) and np.allclose(got["rec_k"], got["k"], atol=1e-10)
 
 
+def test_wide_maps_agree_with_column_expressions(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    names = [f"s{i}" for i in range(20)]
+    df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(30, 20)), columns=names).assign(id=range(30)))
+    pod = fit.fit_pod(fit.fit_snapshots(df, names), names, rank=5)
+    chosen = fit.sensor_ranking(pod)["sensor_index"].tolist()[:5]
+    got = []
+    for most in (512, 0):
+        monkeypatch.setattr(pred, "MOST_TERMS", most)
+        out = pred.reconstruct_from_sensors(pred.pod_inverse(pred.pod_transform(df, pod), pod, "low_"), pod, chosen)
+        got.append(out.toPandas().sort_values("id"))
+        errors = M.error_by_column(out, {c: f"rec_{c}" for c in names}).toPandas().set_index("column")
+        few = M.error_by_column(out, {c: f"rec_{c}" for c in names[:3]}).toPandas().set_index("column")
+        assert np.allclose(errors.loc[names[:3], few.columns], few.loc[names[:3]])
+    columns = [f"{p}_{c}" for p in ("low", "rec") for c in names]
+    assert np.allclose(got[0][columns], got[1][columns])
+
+
 def test_rank_rule():
     s = np.array([10.0, 1.0, 1e-20])
     assert [L.pick_rank(s, r) for r in (None, "full", "auto", 1, 99, 0.5, 1.0)] == [3, 3, 2, 1, 3, 1, 2]

@@ -69,6 +69,15 @@ def test_operators_agree_on_split_layouts(table):
         same(f(20), f(None))
 
 
+def test_table_that_is_one_hot_case(table):
+    rows = table.where("c = 'hot'").drop("c")
+    plain, cut = plan_layout(rows, [], "t"), plan_layout(rows, [], "t", 40)
+    assert cut.split
+    same(with_lags(rows, cut, ["t"], {"x2": ("x", 2)}), with_lags(rows, plain, ["t"], {"x2": ("x", 2)}))
+    same(with_position(rows, cut, ["t"]), with_position(rows, plain, ["t"]))
+    same(Q.percentiles(rows, [], "t", {"m": 0.5}, 40), Q.percentiles(rows, [], "t", {"m": 0.5}))
+
+
 def test_one_time_holding_a_third_of_all_rows(spark):
     rows = [("a", 1.0, float(i), 0.0) for i in range(100)] + [("a", float(i), 1.0, 0.0) for i in range(2, 200)]
     df = spark.createDataFrame(rows, SPEC_SCHEMA)

@@ -33,6 +33,14 @@ def _relative(ss: Column, yy: Column) -> Column:
 
 def error_by_column(df: DataFrame, pairs: dict[str, str], by: list[str] | None = None) -> DataFrame:
     """rmse, mae, largest error and bias (truth minus prediction) per column; ``pairs`` maps truth to prediction."""
+    if len(pairs) > 16:  # hundreds of aggregates would leave generated code; long form keeps six of them
+        long = df.select(*(by or []), F.inline(F.array(*[
+            F.struct(F.lit(y).alias("column"), F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"))
+            for y, p in pairs.items()])))
+        error = F.col("_y") - F.col("_p")
+        return long.groupBy(*(by or []), "column").agg(
+            F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"), F.max(F.abs(error)).alias("max_abs"),
+            F.avg(error).alias("bias"), _relative(F.sum(error * error), F.sum(F.col("_y") * F.col("_y"))).alias("relative_error"))
     columns, names = _sums({y: (F.col(y), F.col(p)) for y, p in pairs.items()})
     sums = df.groupBy(*(by or [])).agg(*columns)
     cells = [F.struct(F.lit(n).alias("column"), F.sqrt(F.col(f"_ss{i}") / F.col(f"_n{i}")).alias("rmse"),

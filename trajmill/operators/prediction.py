@@ -30,12 +30,35 @@ def affine_columns(weights: np.ndarray, offset: np.ndarray, columns: list) -> li
     return [dot(row, columns) + F.lit(float(c)) if c != 0.0 else dot(row, columns) for row, c in zip(weights, offset)]
 
 
+MOST_TERMS = 256
+
+
+def apply_affine(df: DataFrame, weights: np.ndarray, offset: np.ndarray, columns: list[str], outputs: list[str]) -> DataFrame:
+    """Add ``outputs = weights @ columns + offset``.
+
+    Small maps are column expressions in generated code; a map with many terms is one matrix product
+    per Arrow batch, as thousands of generated terms would no longer compile into one method.
+    """
+    if weights.size <= MOST_TERMS:
+        return df.withColumns(dict(zip(outputs, affine_columns(weights, offset, columns))))
+    kept = [c for c in df.columns if c not in outputs]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def product(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            values = frame[columns].to_numpy(float) @ weights.T + offset
+            yield pd.concat([frame[kept].reset_index(drop=True), pd.DataFrame(values, columns=outputs)], axis=1)
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"`{c}` double" for c in outputs])
+    return df.mapInPandas(product, schema)
+
+
 def predict_one_step(df: DataFrame, model: LinearModel, dt: float | None = None, prefix: str = "pred_") -> DataFrame:
     """Add the next state of every row."""
     full = model.physical()
     a, b = full.step(dt)
-    columns = affine_columns(np.column_stack([a, b]), full.offset, [*full.states, *full.inputs])
-    return df.withColumns({f"{prefix}{s}": c for s, c in zip(full.states, columns)})
+    return apply_affine(df, np.column_stack([a, b]), full.offset, [*full.states, *full.inputs],
+                        [f"{prefix}{s}" for s in full.states])
 
 
 def encode_columns(pod: PODBasis, columns: list[str]) -> list[Column]:
@@ -44,25 +67,32 @@ def encode_columns(pod: PODBasis, columns: list[str]) -> list[Column]:
 
 def pod_transform(df: DataFrame, pod: PODBasis) -> DataFrame:
     """Add modal coefficients ``a1..``."""
-    return df.withColumns({f"a{i + 1}": c for i, c in enumerate(encode_columns(pod, pod.states))})
+    return apply_affine(df, pod.encoder(), pod.encode_offset(), pod.states, [f"a{i + 1}" for i in range(pod.rank)])
 
 
 def pod_inverse(df: DataFrame, pod: PODBasis, prefix: str = "rec_") -> DataFrame:
     """Add full states reconstructed from ``a1..``."""
     names = [f"a{i + 1}" for i in range(pod.rank)]
-    return df.withColumns({f"{prefix}{s}": c for s, c in zip(pod.states, affine_columns(pod.decoder(), pod.mean, names))})
+    return apply_affine(df, pod.decoder(), pod.mean, names, [f"{prefix}{s}" for s in pod.states])
+
+
+def _sensor_map(pod: PODBasis, indices: list[int]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    chosen = list(indices)
+    weights = np.linalg.pinv(pod.modes[chosen]) / pod.spread[chosen]
+    return weights, -weights @ pod.mean[chosen], [pod.states[i] for i in chosen]
 
 
 def coefficients_from_sensors(df: DataFrame, pod: PODBasis, indices: list[int]) -> DataFrame:
     """Least-squares modal coefficients from the selected sensor columns."""
-    sensors = [pod.states[i] for i in indices]
-    weights = np.linalg.pinv(pod.modes[list(indices)]) / pod.spread[list(indices)]
-    offset = -weights @ pod.mean[list(indices)]
-    return df.withColumns({f"a{i + 1}": c for i, c in enumerate(affine_columns(weights, offset, sensors))})
+    weights, offset, sensors = _sensor_map(pod, indices)
+    return apply_affine(df, weights, offset, sensors, [f"a{i + 1}" for i in range(pod.rank)])
 
 
 def reconstruct_from_sensors(df: DataFrame, pod: PODBasis, indices: list[int], prefix: str = "rec_") -> DataFrame:
-    return pod_inverse(coefficients_from_sensors(df, pod, indices), pod, prefix)
+    """Full states from the selected sensor columns: both maps multiplied into one."""
+    weights, offset, sensors = _sensor_map(pod, indices)
+    decoder = pod.decoder()
+    return apply_affine(df, decoder @ weights, decoder @ offset + pod.mean, sensors, [f"{prefix}{s}" for s in pod.states])
 
 
 # -- streaming folds over ordered partitions ------------------------------------------------------
