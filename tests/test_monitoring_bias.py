@@ -30,6 +30,8 @@ def test_earlier_measurement_wins_a_tie(spark):
     forecasts = spark.createDataFrame([(0.0, 1.5, "x1", 0.0)], "origin_time double, forecast_horizon_s double, state string, predicted_value double")
     row = mon.forecast_residuals(clean, forecasts, [], "time", ["x1"], tolerance=0.5).first()
     assert row["matched_time"] == 1.0 and row["residual"] == 10.0
+    twice = spark.createDataFrame([(1.0, 7.0, 5), (1.0, 8.0, 3), (1.0, 1.0, 9)], "time double, x1 double, _stream_row_index bigint")
+    assert mon.forecast_residuals(twice, forecasts, [], "time", ["x1"], tolerance=0.5).first()["measured_value"] == 8.0
 
 
 def test_alerts_and_trust(spark):

@@ -31,12 +31,16 @@ def match_tolerance(clean: DataFrame, keys: list[str], time: str, target_rows: i
 
 def forecast_residuals(clean: DataFrame, forecasts: DataFrame, keys: list[str], time: str, measurements: list[str], *,
                        tolerance: float | None = None, predicted: str = "predicted_value",
-                       extra: tuple[str, ...] = (), target_rows: int | None = None) -> DataFrame:
+                       extra: tuple[str, ...] = (), order: tuple[str, ...] = (),
+                       target_rows: int | None = None) -> DataFrame:
     """Match each forecast with the nearest later measurement and take measured minus predicted.
 
     Matches farther away than the tolerance (inclusive) leave no row; of two equally near
-    measurements the earlier one counts.
+    measurements the earlier one counts, and of measurements at one time the first in ``order`` (the
+    arrival number where the log has one).
     """
+    if not order and "_stream_row_index" in clean.columns:
+        order = ("_stream_row_index",)
     rows = forecasts
     if "target_time" not in rows.columns:
         rows = rows.withColumn("target_time", F.col("origin_time") + F.col("forecast_horizon_s"))
@@ -48,9 +52,9 @@ def forecast_residuals(clean: DataFrame, forecasts: DataFrame, keys: list[str],
         rows = rows.withColumn("_tolerance", F.coalesce(F.col("_tolerance"), F.lit(1e-9)))
     else:
         rows = rows.withColumn("_tolerance", F.lit(float(tolerance)))
-    measured = clean.select(*keys, F.col(time).alias("matched_time"), *[F.col(m).alias(f"_m_{m}") for m in wanted])
+    measured = clean.select(*keys, F.col(time).alias("matched_time"), *order, *[F.col(m).alias(f"_m_{m}") for m in wanted])
     hit = nearest_match(rows, measured, keys, "target_time", "matched_time", [f"_m_{m}" for m in wanted],
-                        F.col("_tolerance"), target_rows)
+                        F.col("_tolerance"), target_rows, order)
     value = F.coalesce(*[F.when(F.col("state") == m, F.col(f"_m_{m}").cast("double")) for m in wanted]) if wanted else F.lit(None)
     carried = [c if c in rows.columns else F.lit(None).alias(c) for c in
                ("origin_time", "origin_row_index", "forecast_horizon_s", "effective_horizon_s")]

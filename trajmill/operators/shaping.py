@@ -109,15 +109,20 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_time:
 
 
 def nearest_match(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
-                  values: list[str], tolerance: float | Column, target_rows: int | None = None) -> DataFrame:
+                  values: list[str], tolerance: float | Column, target_rows: int | None = None,
+                  order: tuple[str, ...] = ()) -> DataFrame:
     """Inner join each left row with the nearest right row within ``tolerance`` (earlier wins ties).
 
+    Of right rows at one time the first in ``order`` stands for them; without an order any of them.
+
     The nearest row is the last one at or before the target or the first one after it. Both come
     from running windows over one union (one shuffle, two sorts), so no pairs are formed however
     many right rows fall into one tolerance interval.
     """
     picked = [right_time, *values]
-    # Copies of a time are equally near; the smallest values stand for them.
+    if order:
+        right = right.groupBy(*keys, right_time).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_v")).select(
+            *keys, right_time, *[F.col(f"_v.{v}").alias(v) for v in values])
     given = right.where(F.col(right_time).isNotNull()).select(
         *keys, F.col(right_time).cast("double").alias("_t"), F.struct(*[
             F.col(c).cast("double").alias(c) if c == right_time else F.col(c) for c in picked]).alias("_found"))
