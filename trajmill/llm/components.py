@@ -30,13 +30,13 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root) for every node of an edge but the roots: root is the least node of the component.
 
     Self-loops, repeated edges and nulls are ignored. Each round is a few joins on nodes; rounds are logarithmic in the
-    length of chains and end when a round changes nothing.
+    length of chains and end when all edges lead to roots.
     """
-    now = stored(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u != v").distinct(), "edges")
-    mark = None
+    now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u != v")
     while True:
         now = stored(_small_star(_large_star(now)), "stars")
-        seen = now.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark or not seen[0]:
+        # Done when every node has one edge and no root has an edge itself.
+        nodes = now.select("u", F.lit(1).alias("n")).union(now.select(F.col("v").alias("u"), F.lit(None).alias("n")).distinct())
+        unfinished = nodes.groupBy("u").agg(F.count("n").alias("n"), F.count(F.lit(1)).alias("all")).where("n > 1 or (n = 1 and all > 1)")
+        if unfinished.isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen

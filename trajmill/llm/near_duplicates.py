@@ -7,10 +7,11 @@ shared values than ``matches`` cannot have a partner, and, with values in order
 confirmed on the full shingle sets, so a reported link is never wrong; a pair at the threshold of 0.8 itself collides too
 seldom with a probability below 1e-4 (48 coordinates, 28 matches), a closer pair far more rarely.
 
-Groups of thousands of near copies would give all pairs. Lists are therefore joined to one member (their hub) first;
-what a link has put into one component is not compared again, and only pairs across components of one list follow. Lists that
-are still long and mixed are split by a second shared value, which loses nothing: two classes with ``matches`` common
-values share two of their ``shared - matches + 2`` shortest.
+Groups of thousands of near copies would give all pairs. Lists are therefore joined to one member first, their hub: the member
+whose values the most classes share, as the text that copies derive from does. What links have put into one component is not
+compared again. Pairs across components of one list follow, unless the triangle inequality on their distances to the
+hub rules a link out. Lists with very many such pairs are split by a second shared value, which loses nothing: two
+classes with ``matches`` common values share two of their ``shared - matches + 2`` shortest.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from trajmill.llm.words import blocks, mixed, shingles
 COORDINATES = 48
 MATCHES = 28
 BROADCAST_IDS = 2_000_000
-LONG_LIST = 256  # longer mixed lists are split by a second value
+OPEN_PAIRS = 1_000_000  # lists with more pairs across components are split by a second value
 _SEEDS = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
 
 
@@ -87,22 +88,23 @@ def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
 
 
 def shared_values(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(key, n, vals): the signature values a class shares with others, shortest list first; classes that can have partners."""
+    """(key, n, vals, center) of the classes that can have partners: the signature values a class shares with others, shortest list
+    first, and how many classes share them in all. In a group of copies the text they derive from has the greatest ``center``.
+    """
     posted = classes.select("key", "n", F.explode("sig").alias("val"))
     lists = posted.groupBy("val").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     return (posted.join(lists, "val")
-            .groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("held", "val"))).alias("vals"))  # at most COORDINATES
+            .groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("held", "val"))).alias("vals"), F.sum("held").alias("center"))  # at most COORDINATES
             .where(F.size("vals") >= matches)
             .withColumn("vals", F.col("vals.val")))
 
 
-def _prefix(shared: DataFrame, matches: int, more: int = 0):
+def _prefix(matches: int, more: int = 0):
     return F.slice("vals", 1, F.least(F.size("vals") - (matches - 1 - more), F.size("vals")))
 
 
-def _confirm(pairs: DataFrame, shared: DataFrame, docs: DataFrame, named: DataFrame, words: int, matches: int,
-             percent: int) -> DataFrame:
-    """The pairs (u, v) that collide often enough and whose full sets have the similarity asked for."""
+def _compare(pairs: DataFrame, shared: DataFrame, docs: DataFrame, named: DataFrame, words: int, matches: int) -> DataFrame:
+    """(u, v, alike, whole) for the pairs (u, v) that collide often enough: sizes of intersection and union of the full sets."""
     left = shared.select(F.col("key").alias("u"), F.col("vals").alias("_a"))
     right = shared.select(F.col("key").alias("v"), F.col("vals").alias("_b"))
     near = stored(pairs.join(left, "u").join(right, "v")
@@ -111,48 +113,54 @@ def _confirm(pairs: DataFrame, shared: DataFrame, docs: DataFrame, named: DataFr
     chosen = docs.select("doc_id", "text").join(checked_broadcast(wanted, wanted.count(), BROADCAST_IDS), "doc_id", "left_semi")
     sets = stored(chosen.mapInArrow(_setter(words), "key binary, set array<bigint>").dropDuplicates(["key"]), "sets")
     both = (near.join(sets.select(F.col("key").alias("u"), F.col("set").alias("_s")), "u")
-            .join(sets.select(F.col("key").alias("v"), F.col("set").alias("_t")), "v")
-            .select("u", "v", F.size("_s").alias("_n"), F.size("_t").alias("_m"),
-                    F.size(F.array_intersect("_s", "_t")).alias("_i")))
-    return both.where(100 * F.col("_i") >= percent * (F.col("_n") + F.col("_m") - F.col("_i"))).select("u", "v")
+            .join(sets.select(F.col("key").alias("v"), F.col("set").alias("_t")), "v"))
+    return both.withColumn("alike", F.size(F.array_intersect("_s", "_t"))).select(
+        "u", "v", "alike", (F.size("_s") + F.size("_t") - F.col("alike")).alias("whole"))
 
 
 def links(signed: DataFrame, docs: DataFrame, words: int = 2, percent: int = 80, matches: int = MATCHES,
-          long_list: int = LONG_LIST) -> DataFrame:
+          open_pairs: int = OPEN_PAIRS) -> DataFrame:
     """(node, root) over text classes, from confirmed links."""
     classes = stored(signed.where("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     named = classes.select("key", "doc_id")  # n and sig are equal for all copies
     shared = stored(shared_values(classes, matches), "shared")
-    lists = stored(shared.select("key", "n", F.explode(_prefix(shared, matches)).alias("val")), "lists")
+    lists = shared.select("key", "n", "center", F.explode(_prefix(matches)).alias("val"))
     near_size = lambda a, b: (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
-
-    hubs = lists.groupBy("val").agg(F.min(F.struct("key", "n")).alias("_h"))
-    starred = (lists.join(hubs, "val").select(F.col("key").alias("u"), F.col("n"), F.col("_h.key").alias("v"), F.col("_h.n").alias("m"))
-               .where((F.col("u") != F.col("v")) & near_size("n", "m")).select("u", "v").distinct())
-    first = stored(_confirm(starred, shared, docs, named, words, matches, percent), "links")
-    roots = components(first)
-
-    # Lists whose members are in several components still hide links between these.
-    placed = lists.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed_lists = (placed.groupBy("val").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count(F.lit(1)).alias("_c"))
-                   .where("_x != _y").select("val", (F.col("_c") > long_list).alias("_long")))
-    open_lists = stored(placed.join(mixed_lists, "val"), "mixed")
-    deeper = (open_lists.where("_long")
-              .join(shared.select("key", F.explode(_prefix(shared, matches, 1)).alias("_second")), "key")
-              .where("_second != val")
-              .select(F.xxhash64(F.least("val", "_second"), F.greatest("val", "_second")).alias("val"), "key", "n", "root"))
-    members = open_lists.where("not _long").select("val", "key", "n", "root").union(deeper)
-    members = members.join(shared.select("key", "vals"), "key")
-    a = members.select("val", *[F.col(c).alias(f"_{c}1") for c in ("key", "n", "root", "vals")])
-    b = members.select("val", *[F.col(c).alias(f"_{c}2") for c in ("key", "n", "root", "vals")])
-    across = a.join(b, (a["val"] == b["val"]) & (F.col("_root1") < F.col("_root2")) & near_size("_n1", "_n2")
-                    & (F.size(F.array_intersect("_vals1", "_vals2")) >= matches))
-    pairs = across.select(F.col("_key1").alias("u"), F.col("_key2").alias("v")).distinct()
-    second = stored(_confirm(pairs, shared, docs, named, words, matches, percent), "links")
-    if second.isEmpty():
+    linked = 100 * F.col("alike") >= percent * F.col("whole")
+
+    hubs = lists.groupBy("val").agg(F.max(F.struct("center", "key", "n")).alias("_h")).select(
+        "val", F.col("_h.key").alias("hub"), F.col("_h.n").alias("_m"))
+    placed = stored(lists.join(hubs, "val").select("val", "key", "n", "hub", "_m"), "lists")
+    starred = placed.where((F.col("key") != F.col("hub")) & near_size("n", "_m")).select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
+    first = stored(_compare(starred, shared, docs, named, words, matches), "links")
+    roots = components(first.where(linked))
+
+    # Lists whose members are in several components may still hide links between these.
+    distance = first.select(F.col("u").alias("key"), F.col("v").alias("hub"), (1 - F.col("alike") / F.col("whole")).alias("away"))
+    placed = placed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    counted = placed.groupBy("val", "root").agg(F.count(F.lit(1)).alias("_c")).groupBy("val").agg(F.sum("_c").alias("_all"), F.max("_c").alias("_top"))
+    mixed_lists = counted.where("_top < _all").select("val", ((F.col("_all") - F.col("_top")) * F.col("_all") > open_pairs).alias("_long"))
+    members = (placed.join(mixed_lists, "val").join(distance, ["key", "hub"], "left")
+               .withColumn("away", F.when(F.col("key") == F.col("hub"), 0.0).otherwise(F.col("away")))
+               .join(shared.select("key", "vals"), "key"))
+    members = stored(members.select("val", "key", "n", "root", "away", "vals", "_long"), "mixed")
+    second = F.explode(F.array_except(_prefix(matches, 1), F.array("val")))
+    deeper = members.where("_long").withColumn("_second", second).withColumn(
+        "val", F.xxhash64(F.least("val", "_second"), F.greatest("val", "_second"))).drop("_second")
+    members = members.where("not _long").unionByName(deeper)
+    a, b = (members.select(*[F.col(c).alias(f"{c}{i}") for c in members.columns]) for i in (1, 2))
+    both = F.array_intersect("vals1", "vals2")  # in the order of vals: each pair is taken in its first common list only
+    lead = F.get(both, F.lit(0))
+    # 1 - similarity is a metric: members of a list whose distances to its hub differ by more than a link allows cannot be linked.
+    may_link = F.coalesce(F.abs(F.col("away1") - F.col("away2")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    across = a.join(b, (F.col("val1") == F.col("val2")) & (F.col("root1") < F.col("root2")) & (F.col("_long1") == F.col("_long2"))
+                    & near_size("n1", "n2") & may_link & (F.size(both) >= matches) & (F.col("_long1") | (lead == F.col("val1"))))
+    pairs = across.select(F.col("key1").alias("u"), F.col("key2").alias("v")).distinct()
+    more = stored(_compare(pairs, shared, docs, named, words, matches).where(linked), "links")
+    if more.isEmpty():
         return roots
-    return components(first.union(second))
+    return components(first.where(linked).select("u", "v").union(more.select("u", "v")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
@@ -179,3 +187,23 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates of another: of each group the row with the least doc_id stays, all columns kept.
+
+    Rows without doc_id or without a word stay. Where doc_ids repeat, rows with one doc_id and text count as one, and rows
+    with one doc_id and different texts are judged apart.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        gone = near_duplicates(rows, words, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
+        gone = stored(gone, "gone")
+        return docs.join(checked_broadcast(gone, gone.count(), BROADCAST_IDS), F.col(doc_id) == F.col("_gone"), "left_anti")
+    named = docs.withColumn("_row", F.when(F.col(doc_id).isNotNull(), F.struct(
+        F.col(doc_id).alias("id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("of"))))
+    known = named.where("_row is not null").dropDuplicates(["_row"])
+    gone = near_duplicates(known.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")), words, percent)
+    gone = stored(gone.where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
+    return known.join(gone, F.col("_row") == F.col("_gone"), "left_anti").unionByName(named.where("_row is null")).drop("_row")
