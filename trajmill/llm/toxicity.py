@@ -25,9 +25,11 @@ ORDER = 5
 BITS = 22  # the language model is one table of 2**BITS counts, whatever the corpus
 BEAM = 8
 LONGEST_UNIT = 48  # characters of a disguised spot after squeezing runs; longer ones are no words
-TRAIN_ROWS = 20_000  # labelled rows used to learn the lexicon, those with the smallest hash of their id
-LEXICON = 2_000  # words at most
-EVIDENCE = 20.0  # least likelihood ratio (G2) of a lexicon word
+TRAIN_ROWS = 12_000  # labelled rows used to learn the lexicon, those with the smallest hash of their id
+STEMS = (5, 6)  # lengths of word beginnings that may stand in the lexicon, written ``begin*``
+LEXICON = 2_000  # entries at most
+EVIDENCE = 20.0  # least likelihood ratio (G2) of a lexicon entry
+PURITY, PURITY_STEM = 0.9, 0.97  # least share of toxic rows among those with a word, or with a beginning
 LINE = 0.3
 
 # Letters that a sign may stand for.
@@ -235,6 +237,12 @@ def restored_text(text: str, decoder: Decoder) -> str:
     return "".join([*out, text[at:]])
 
 
+def entries(words) -> set[str]:
+    """Words and the beginnings of longer words."""
+    words = set(words)
+    return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
+
+
 # -- lexicon model -----------------------------------------------------------------------------------
 
 class Scorer:
@@ -246,9 +254,16 @@ class Scorer:
         self.weights, self.bias = np.array(model["weights"], float), model["bias"]
         _, value = _classes()
         hashes = lambda words: self._hash_words(list(words), value)
-        self.plain = hashes(self.words)
-        self.order = np.argsort(self.plain)
-        self.squeezed = np.unique(hashes({re.sub(r"(.)\1+", r"\1", w) for w in self.words}))
+        whole = [w for w in self.words if not w.endswith("*")]
+        # By length of the beginning (None: whole words): sorted hashes and the entries they stand for.
+        self.tables = {}
+        for k in (None, *STEMS):
+            chosen = whole if k is None else [w for w in self.words if w.endswith("*") and len(w) == k + 1]
+            if chosen:
+                hashed = hashes([w.rstrip("*") for w in chosen])
+                order = np.argsort(hashed)
+                self.tables[k] = hashed[order], np.array([self.words[chosen[i]] for i in order])
+        self.squeezed = np.unique(hashes({re.sub(r"(.)\1+", r"\1", w) for w in whole}))
 
     @staticmethod
     def _hash_words(words: list[str], value: np.ndarray) -> np.ndarray:
@@ -274,11 +289,15 @@ class Scorer:
         owner = lambda at: np.searchsorted(begin, at, "right") - 1
         first, last = _runs(kind[code] == _LETTER)
         if len(first):
-            hashes = self._hash_runs(code, value, first, last)
-            slot = np.minimum(np.searchsorted(self.plain[self.order], hashes), len(self.order) - 1)
-            hit = np.flatnonzero(self.plain[self.order][slot] == hashes)
-            for doc, word in zip(owner(first[hit]), self.order[slot[hit]]):
-                out[doc].add(int(word))
+            up, down = POWERS.upto(len(code))
+            total = np.cumsum(value[code] * up)
+            for k, (known, index) in self.tables.items():
+                a, b = (first, last) if k is None else (first[last - first >= k], first[last - first >= k] + k - 1)
+                hashes = mixed((total[b] - total[a - 1]) * down[a])
+                slot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = np.flatnonzero(known[slot] == hashes)
+                for doc, word in zip(owner(a[hit]), index[slot[hit]]):
+                    out[doc].add(int(word))
             # Doubled letters: only runs that squeeze to a squeezed lexicon word can be one.
             fresh = np.ones(len(code), bool)
             fresh[1:] = (code[1:] != code[:-1]) | (kind[code[1:]] != _LETTER)
@@ -295,14 +314,14 @@ class Scorer:
 
     def _look(self, found: set, unit: str) -> None:
         if len(_LETTERS.findall(unit)) and sum(map(str.isalpha, unit)) > 1:
-            found.update(self.words[w] for w in _LETTERS.findall(self.decoder.restore(unit)) if w in self.words)
+            found.update(self.words[w] for w in entries(_LETTERS.findall(self.decoder.restore(unit))) if w in self.words)
 
     def score(self, texts: list) -> np.ndarray:
         out = np.zeros(len(texts))
         for first, end in blocks(texts):
             for i, words in enumerate(self.found([t or "" for t in texts[first:end]])):
                 out[first + i] = self.bias + self.weights[sorted(words)].sum()
-        return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
+        return 1.0 - np.exp(out)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label",
@@ -318,49 +337,32 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         decoder = Decoder(shared.value)
         for frame in frames:
             yield pd.DataFrame({"y": frame["_y"], "words": [
-                sorted(set(_LETTERS.findall(restored_text(t or "", decoder)))) for t in frame["_t"]]})
+                sorted(entries(_LETTERS.findall(restored_text(t or "", decoder)))) for t in frame["_t"]]})
 
     seen = (docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id")  # at most ``rows``
             .select("_y", "_t").mapInPandas(words, "y int, words array<string>").persist())
     total = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     good, bad = total.get(0, 0), total.get(1, 0)
-    model = {"table": table, "words": [], "weights": [], "bias": -30.0}
+    model = {"table": table, "words": [], "weights": [], "bias": 0.0}
     if bad:
         lift = lambda n, of: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / ((F.col("t") + F.col("f")) * of / (good + bad)))).otherwise(0.0)
         lexicon = (seen.select("y", F.explode("words").alias("w")).groupBy("w")
                    .agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("f"))
-                   .where((F.col("t") * (good + bad) > 2 * (F.col("t") + F.col("f")) * bad))
+                   .where((F.col("t") >= F.when(F.col("w").endswith("*"), PURITY_STEM).otherwise(PURITY) * (F.col("t") + F.col("f"))) & (F.col("t") * (good + bad) > (F.col("t") + F.col("f")) * bad))
                    .withColumn("g", 2 * (lift("t", bad) + lift("f", good)))
                    .where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "w").limit(LEXICON))
-        model["words"] = [r["w"] for r in lexicon.select("w").collect()]  # at most LEXICON
+        found = lexicon.collect()  # at most LEXICON
+        model["words"] = [r["w"] for r in found]
         index = F.array(*map(F.lit, model["words"])) if model["words"] else F.array().cast("array<string>")
-        patterns = (seen.select("y", F.array_intersect("words", index).alias("has")).groupBy("y", "has").count()
-                    .collect())  # at most ``rows``
-        model["weights"], model["bias"] = _logistic(patterns, model["words"])
+        plain = seen.where(F.size(F.array_intersect("words", index)) == 0).agg(F.sum("y").alias("t"), F.count("y").alias("n")).first()
+        # Noisy or: an entry makes a text toxic with its share of toxic rows, shrunk towards that of rows without an entry.
+        base = ((plain["t"] or 0) + bad / (good + bad)) / (plain["n"] + 1.0)
+        model["bias"] = log(1 - min(base, 0.25))
+        model["weights"] = [log(1 - min((r["t"] + base) / (r["t"] + r["f"] + 1.0), 1 - 1e-9)) for r in found]
     seen.unpersist()
     return model
 
 
-def _logistic(patterns: list, words: list[str]) -> tuple[list[float], float]:
-    """Newton steps of a logistic regression on the presence of lexicon words, with a small ridge."""
-    at = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(patterns), len(words) + 1))
-    x[:, -1] = 1.0
-    for row, p in enumerate(patterns):
-        x[row, [at[w] for w in p["has"]]] = 1.0
-    y, n = np.array([p["y"] for p in patterns], float), np.array([p["count"] for p in patterns], float)
-    ridge = np.full(len(words) + 1, 0.2)
-    ridge[-1] = 1e-3
-    beta = np.zeros(len(words) + 1)
-    for _ in range(40):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (n * (y - p)) - ridge * beta)
-        beta += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta[:-1].tolist(), float(beta[-1])
-
-
 def score_column(spark, model: dict, text: str = "text"):
     """A column of scores in 0..1 for any DataFrame with the column ``text``."""
     shared = spark.sparkContext.broadcast(model)
@@ -379,7 +381,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, fold, doc_id: str = "doc
 
     ``labels`` holds (doc_id, label) and ``fold`` is a boolean column over a doc_id that is true for held-out rows; these are
     never learned from. Null and empty texts score like texts without a lexicon word. Rows without doc_id are scored and
-    count as not held out; without any positive label every score is near 0. Repeated rows repeat in the result, other columns are ignored.
+    count as not held out; without any positive label every score is 0. Repeated rows repeat in the result, other columns are ignored.
     """
     model = fit(docs, labels.where(~fold), doc_id, text)
     return docs.select(F.col(doc_id), F.coalesce(fold, F.lit(False)).alias("held_out"),
