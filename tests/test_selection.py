@@ -42,7 +42,7 @@ def test_compare_recommend_bootstrap(cases):
 def test_sweep_reports_failures(cases):
     labelled = S.split_by_fraction(cases, "c", 0.7).cache()
     sweep = sel.rank_delay_sweep(labelled, SPEC, models=("dmdc", "pod_dmdc"), pod_ranks=(2,), dmdc_ranks=(1, None), delays=(1, 2)).toPandas()
-    assert len(sweep) == 8 and (sweep.status == "failed").sum() == 2
+    assert len(sweep) == 8 and (sweep.status == "ok").all()
     assert sweep[sweep.status == "ok"].test_rmse.is_monotonic_increasing
     assert sweep.run_name.iloc[0].startswith("run_00")
 

@@ -99,10 +99,9 @@ def import_column_profile(spark, d):
     return TB.column_profile(table(spark, d, "events")).drop("dtype")
 
 
-@query("load_trajectories", f"WITH {ev_sql} SELECT user_id, event_id, round(t, 3) AS t, x, u FROM ev WHERE CAST(user_id AS VARCHAR) LIKE '1%'")
+@query("load_trajectories", f"WITH {ev_sql} SELECT user_id, event_id, round(t, 3) AS t, x, u FROM ev")
 def load_trajectories(spark, d):
-    rows = events(spark, d).where(F.col("user_id").cast("string").startswith("1"))
-    return rounded(TB.load_trajectories(rows, EV, sort=False), 3, "t").select("user_id", "event_id", "t", "x", "u")
+    return rounded(TB.load_trajectories(events(spark, d), EV, sort=False), 3, "t").select("user_id", "event_id", "t", "x", "u")
 
 
 @query("table_summary", "SELECT count(*) AS n_rows, 6 AS n_columns, count(DISTINCT user_id) AS n_cases FROM events")
@@ -407,7 +406,9 @@ def pod_energies(spark, d):
 
 def embeddings(spark, d) -> tuple[DataFrame, list[str]]:
     raw = table(spark, d, "embeddings")
-    width = len(raw.select("embedding").first()[0])
+    least, width = raw.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != width:
+        raise ValueError(f"embeddings have {least} to {width} numbers")
     names = [f"e{i}" for i in range(width)]
     return raw.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names
 
@@ -473,7 +474,7 @@ def sensor_reconstruction(spark, d):
 def tree_one_step(spark, d):
     df = supply(spark, d)
     pod = fit.fit_pod(fit.fit_snapshots(df, SUP.states), SUP.states, rank=1)
-    models = fit.fit_trees(S.transitions(df, SUP), SUP, pod, trees=10)
+    models = fit.fit_trees(S.transitions(df, SUP), SUP, pod)
     return pred.predict_next_trees(df, SUP, pod, models).select("l_suppkey", "t", "pred_qty", "pred_rev")
 
 
@@ -579,7 +580,7 @@ def rank_delay_sweep(spark, d):
 def bootstrap_interval(spark, d):
     steps = S.transitions(events(spark, d), EV).withColumn("change", F.abs(F.col("next_x") - F.col("x")))
     per_case = steps.groupBy("user_id").agg(F.avg("change").alias("change"))
-    return sel.bootstrap_ci(per_case.withColumn("band", F.pmod("user_id", F.lit(3))), ["band"], "change", n=100)
+    return sel.bootstrap_ci(per_case.withColumn("band", F.pmod("user_id", F.lit(3))), ["band"], "change")
 
 
 _kal = f"""{rn_sql}, st AS (SELECT * FROM (SELECT *, lead(x) OVER (PARTITION BY user_id ORDER BY k) AS x1 FROM rn) WHERE x1 IS NOT NULL), cf AS {_ar},

@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from trajmill.functions import linalg as L
 from trajmill.operators.quality import percentiles
 from trajmill.operators.shaping import slopes, transitions
-from trajmill.plans.segments import SMALL_PLAN_BYTES, CaseLayout
-from trajmill.plans.sizing import planned_bytes
+from trajmill.plans.segments import CaseLayout
 from trajmill.spec import TrajectorySpec
 
 FAN_IN = 64
@@ -85,12 +84,20 @@ def _merge(frames: Iterator[pd.DataFrame], p: int, keys: list[str], names: list[
         yield pd.DataFrame(done, columns=names)
 
 
+MERGE_LEVELS = 2  # before the last merge
+
+
+def merge_tree_level(rows: DataFrame, number) -> DataFrame:
+    """Number the group of FAN_IN neighbours that each partial factor merges into next."""
+    return rows.withColumn("_g", F.floor(number / FAN_IN).cast("int"))
+
+
 def factors(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Triangular factor of ``[1 | columns]`` per group: ``by..., n_rows, p, r`` (row-major).
 
-    Rows are never shuffled for this; only partial factors are. A hot group leaves one partial
-    factor per task that saw it; a first merge salted by task keeps every merge task at no more
-    than about FAN_IN of them.
+    Rows are never shuffled for this; only partial factors are. A group leaves one partial factor per
+    task that saw it. These merge in a tree by the number of their task: a group's factors of FAN_IN tasks, then of
+    FAN_IN**2, then what is left, which is FAN_IN or fewer up to FAN_IN**3 (262,144) tasks.
     """
     by = list(by or [])
     source = {f.name: f for f in df.schema.fields}
@@ -102,24 +109,18 @@ def factors(df: DataFrame, columns: list[str], by: list[str] | None = None) -> D
     fold, p = _batch_factors(keys, [f"c{i}" for i in range(len(columns))], [f.name for f in fields])
     partial = slim.mapInPandas(fold, fields)
 
-    def merge(frames):
-        return _merge(frames, p, keys, [f.name for f in fields])
-
-    small = planned_bytes(df) <= SMALL_PLAN_BYTES  # then also the partial factors are few
-    if by and small:
-        merged = partial.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(merge, fields)
-    elif by:
-        # Small partials of one group: salt by task, merge, then merge what is left per group.
-        salted = partial.withColumn("_task", F.spark_partition_id())
-        spread = salted.withColumn("_salt", F.floor(F.col("_task") / FAN_IN)).drop("_task")
-        first = spread.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt").drop("_salt").mapInPandas(merge, fields)
-        merged = first.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(merge, fields)
-    else:
-        merged = partial
-        for groups in () if small else (FAN_IN * 4, 4):
-            merged = merged.withColumn("_g", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
-            merged = merged.repartition(groups, "_g").drop("_g").mapInPandas(merge, fields)
-    return merged.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "n_rows", F.lit(p).alias("p"), "r")
+    def merged(rows: DataFrame, level: list[str]) -> DataFrame:
+        kept = T.StructType([*key_fields, *[T.StructField(c, T.IntegerType()) for c in level], *fields.fields[len(keys):]])
+        names = [*keys, *level]
+        rows = rows.select(*names, "n_rows", "r")
+        rows = rows.repartition(*names).sortWithinPartitions(*names) if names else rows.repartition(1)
+        return rows.mapInPandas(lambda frames: _merge(frames, p, names, [f.name for f in kept]), kept)
+
+    tree = merge_tree_level(partial, F.spark_partition_id())
+    for _ in range(MERGE_LEVELS - 1):
+        tree = merge_tree_level(merged(tree, ["_g"]), F.col("_g"))
+    tree = merged(merged(tree, ["_g"]), [])
+    return tree.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "n_rows", F.lit(p).alias("p"), "r")
 
 
 @dataclass
@@ -158,7 +159,7 @@ class Factor:
 
 
 def collect_factor(df: DataFrame, columns: list[str]) -> Factor:
-    """Reduce to one factor; the driver receives at most four, or one per task of a small plan."""
+    """Reduce to one factor; the driver receives one row."""
     total, rows = None, 0
     for row in factors(df, columns).collect():
         total = L.stack_factor(total, np.asarray(row["r"]).reshape(-1, row["p"]))

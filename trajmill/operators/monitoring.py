@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trajmill.operators.quality import time_steps, percentiles
 from trajmill.operators.shaping import asof_backward, nearest_match
-from trajmill.plans.segments import plan_layout, with_running
-from trajmill.plans.sizing import broadcast_if_small
+from trajmill.plans.segments import join_null_safe, plan_layout, with_running
 from trajmill.spec import TrajectorySpec
 
 ALERT_COLUMNS = ["time", "severity", "code", "state", "value", "threshold", "message", "suggested_action"]
@@ -48,7 +47,7 @@ def forecast_residuals(clean: DataFrame, forecasts: DataFrame, keys: list[str],
     rows = rows.where(F.col("target_time").isNotNull() & F.col("state").isin(wanted))
     if tolerance is None:
         limits = match_tolerance(clean, keys, time, target_rows)
-        rows = rows.join(broadcast_if_small(limits), keys, "left") if keys else rows.crossJoin(F.broadcast(limits))
+        rows = join_null_safe(rows, limits, list(keys))
         rows = rows.withColumn("_tolerance", F.coalesce(F.col("_tolerance"), F.lit(1e-9)))
     else:
         rows = rows.withColumn("_tolerance", F.lit(float(tolerance)))
@@ -206,6 +205,6 @@ def summarize_monitoring(alerts: DataFrame, residuals: DataFrame, trust: DataFra
     ]
     out = trust.groupBy(*keys).agg(F.max_by("trust_score", "time").alias("final_trust_score"))
     for side in sides:
-        out = out.join(side, keys, "left") if keys else out.crossJoin(F.broadcast(side))  # one row each
+        out = join_null_safe(out, side, keys)
     counts = ["n_alerts", "n_warning_alerts", "n_critical_alerts", "n_residual_rows"]
     return out.fillna(0, counts).fillna(1.0, ["final_trust_score"])

@@ -19,7 +19,7 @@ from trajmill.functions import linalg as L
 from trajmill.functions.columns import dot
 from trajmill.operators.fitting import LinearModel, PODBasis, measurement_matrix
 from trajmill.operators.shaping import transitions
-from trajmill.plans.segments import SEGMENT, CaseLayout, cluster, ordered_partitions, plan_layout, with_lags
+from trajmill.plans.segments import SEGMENT, CaseLayout, cluster, join_null_safe, ordered_partitions, plan_layout, with_lags
 from trajmill.spec import TrajectorySpec
 
 
@@ -314,7 +314,7 @@ def rollout_persistence(df: DataFrame, spec: TrajectorySpec, prefix: str = "pred
     """
     rank = F.struct(*spec.sort)
     firsts = df.groupBy(*spec.keys).agg(F.min_by(F.struct(*spec.states), rank).alias("_x0"), F.min(rank).alias("_at"))
-    joined = df.join(firsts, spec.keys) if spec.keys else df.crossJoin(F.broadcast(firsts))  # one row
+    joined = join_null_safe(df, firsts, list(spec.keys))
     opening = rank == F.col("_at")
     return joined.select(*df.columns, *[
         (F.col(f"_x0.{c}") if mean is None else F.when(opening, F.col(f"_x0.{c}")).otherwise(F.lit(mean[c]))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trajmill.functions.columns import floating_columns, is_missing
 from trajmill.plans.segments import plan_layout, with_lags, with_running
-from trajmill.plans.sizing import broadcast_if_small
 from trajmill.spec import TrajectorySpec
 
 # Fixed value: status texts that count as a finished case (compared in lower case).
@@ -110,7 +109,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     if keys:
         names = {k: f"_g_{k}" for k in keys}
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(g)) for k, g in names.items()])
-        joined = ranked.join(broadcast_if_small(totals.withColumnsRenamed(names)), on)
+        joined = ranked.join(totals.withColumnsRenamed(names), on)
     else:
         joined = ranked.crossJoin(F.broadcast(totals))  # one row
 
@@ -203,7 +202,7 @@ def large_gaps(df: DataFrame, spec: TrajectorySpec, factor: float = 5.0, target_
     if spec.keys:
         names = {k: f"_k_{k}" for k in spec.keys}
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
-        joined = steps.join(broadcast_if_small(medians.withColumnsRenamed(names)), on)
+        joined = steps.join(medians.withColumnsRenamed(names), on)
     else:
         joined = steps.crossJoin(F.broadcast(medians))  # one row
     case = F.col(spec.case) if spec.case else F.lit(ONE_CASE)
@@ -294,13 +293,14 @@ def case_quality(df: DataFrame, spec: TrajectorySpec, *, required: list[str] | N
     at = [spec.time] if has_time else []
     local = df.groupBy(*spec.keys, *at).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(missing).cast("bigint").alias("_missing"),
-        *([F.max(F.struct(*[F.col(c) for c in order], F.col(status).cast("string").alias("_status"))).alias("_last")]
+        *([F.max(F.struct(*[F.col(c) for c in order], F.coalesce(F.col(status).cast("string"), F.lit("None")).alias("_status"))).alias("_last")]
           if status and status in df.columns else []))
     moment = F.col(spec.time).cast("double") if has_time else F.lit(None).cast("double")
+    timed = moment.isNotNull() & ~F.isnan(moment)  # rows without a time are no copies of each other
     per_case = local.groupBy(*spec.keys).agg(
         F.sum("_n").alias("n_rows"), F.sum("_missing").alias("n_missing_required_values"),
         F.min(moment).alias("time_start"), F.max(moment).alias("time_end"),
-        F.bool_or(F.col("_n") > 1).alias("_repeated"),
+        F.coalesce(F.bool_or(timed & (F.col("_n") > 1)), F.lit(False)).alias("_repeated"),
         *([F.max("_last").getField("_status").alias("explicit_status")] if "_last" in local.columns
           else [F.lit(None).cast("string").alias("explicit_status")]))
     nonmonotonic = F.when((F.col("n_rows") >= 2) & F.lit(has_time), F.col("_repeated"))
@@ -325,6 +325,6 @@ def case_quality(df: DataFrame, spec: TrajectorySpec, *, required: list[str] | N
 
 
 def filter_usable_cases(df: DataFrame, quality: DataFrame, case: str) -> DataFrame:
-    """Rows of usable cases (semi join; broadcast only while the case list is provably small)."""
+    """Rows of usable cases (semi join)."""
     good = quality.where("usable_for_rom").select(F.col("case_id").alias(case))
-    return df.join(broadcast_if_small(good), case, "left_semi")
+    return df.join(good, case, "left_semi")

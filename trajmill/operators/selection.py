@@ -12,7 +12,7 @@ from trajmill.operators import fitting as fit
 from trajmill.operators.metrics import score_models, stability, summarise_scores, train_test_table
 from trajmill.operators.prediction import rollout_many, rollout_persistence
 from trajmill.operators.shaping import delay_embedding
-from trajmill.plans.segments import plan_layout, with_position
+from trajmill.plans.segments import join_null_safe, plan_layout, with_position
 from trajmill.spec import TrajectorySpec
 
 
@@ -84,12 +84,21 @@ def candidate_grid(models, pod_ranks, dmdc_ranks, delays) -> list[dict]:
     return out
 
 
+def _baseline(kind: str, mean, spec: TrajectorySpec) -> fit.LinearModel:
+    """Persistence and the training mean as linear models, so that they roll out in the same pass."""
+    n, m = len(spec.states), len(spec.inputs)
+    a = np.eye(n) if kind == "persistence" else np.zeros((n, n))
+    offset = np.zeros(n) if kind == "persistence" else np.array([mean[c] for c in spec.states], float)
+    return fit.LinearModel(kind, list(spec.states), list(spec.inputs), a, np.zeros((n, m)), offset)
+
+
 def rank_delay_sweep(df: DataFrame, spec: TrajectorySpec, *, models=("dmdc",), pod_ranks=(0.999,), dmdc_ranks=(None,),
                      delays=(1,), alpha: float = 1e-4) -> DataFrame:
     """Score every candidate on train and test cases.
 
     Rows are read twice per *delay* (factors, rollouts), whatever the number of ranks and models. A
-    candidate that cannot be fitted gives a row with status "failed".
+    candidate that cannot be fitted gives a row with status "failed". Errors cover all states of the
+    embedding, delayed ones too; ``newest_*`` covers the undelayed states only.
     """
     grid, results = candidate_grid(models, pod_ranks, dmdc_ranks, delays), None
     spark = df.sparkSession
@@ -106,13 +115,13 @@ def rank_delay_sweep(df: DataFrame, spec: TrajectorySpec, *, models=("dmdc",), p
         for c in mine:
             try:
                 kind = fit.MODEL_NAMES.get(c["model"].lower(), c["model"])
-                if kind.startswith("pod") and delay != 1:
-                    raise NotImplementedError("the reduced-order fit takes no delays")
                 steps = steps or fit.fit_transitions(train, view)
                 if kind.startswith("pod"):
                     snapshots = snapshots or fit.fit_snapshots(train, view.states)
                 model = fit.fit_named(c["model"], train, view, steps=steps, snapshots=snapshots, rank=c["dmdc_rank"],
                                       pod_rank=c["pod_rank"], alpha=alpha)
+                if kind in ("persistence", "mean"):
+                    model = _baseline(kind, model, view)
                 if not isinstance(model, fit.LinearModel):
                     raise ValueError("only linear models are swept")
                 fitted[c["run_name"]] = model
@@ -131,14 +140,18 @@ def rank_delay_sweep(df: DataFrame, spec: TrajectorySpec, *, models=("dmdc",), p
             keep = [*view.keys, view.time, *view.order, *view.states, "split"]
             rolled = rollout_many(rows, view, {alias[n]: m for n, m in fitted.items()}, keep=keep)
             newest = view.with_states([s for s in view.states if delay == 1 or s.endswith("__lag0")])
-            table = train_test_table(score_models(rolled, newest, list(alias.values()), ["split"]))
+            names = list(alias.values())
+            table = train_test_table(score_models(rolled, view, names, ["split"]))
+            table = table.join(train_test_table(score_models(rolled, newest, names, ["split"])).select(
+                "model_name", F.col("train_rmse").alias("newest_train_rmse"), F.col("test_rmse").alias("newest_test_rmse")), "model_name")
             back = F.create_map(*[F.lit(x) for n, a in alias.items() for x in (a, n)])
             table = table.withColumn("run_name", back[F.col("model_name")]).drop("model_name")
             scored = described.join(F.broadcast(table), "run_name", "left")
         else:
             scored = described.select("*", *[F.lit(None).cast("double").alias(c) for c in (
                 "train_rmse", "test_rmse", "generalization_gap", "generalization_ratio")],
-                F.lit(None).cast("boolean").alias("gap_warning"))
+                F.lit(None).cast("boolean").alias("gap_warning"),
+                *[F.lit(None).cast("double").alias(c) for c in ("newest_train_rmse", "newest_test_rmse")])
         results = scored if results is None else results.unionByName(scored)
     ok_first = F.when(F.col("status") == "ok", 0).otherwise(1)
     return results.orderBy(ok_first, F.col("test_rmse").asc_nulls_last(), "run_name")
@@ -195,17 +208,16 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, *, n: int = 500, co
     rows = rows.select(*keys, F.col(value).cast("double").alias("_value"))
     numbered = with_position(rows, plan_layout(rows, keys, "_value"), ["_value"], "_row")
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.avg("_value").alias("_mean"))
-    draws = numbered.select(*keys, F.col("_row").alias("_draw")).join(sizes.select(*keys, "_size"), keys) if keys else \
-        numbered.select(F.col("_row").alias("_draw")).crossJoin(F.broadcast(sizes.select("_size")))  # one row
+    draws = join_null_safe(numbered.select(*keys, F.col("_row").alias("_draw")), sizes.select(*keys, "_size"), list(keys))
     draws = draws.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
         "_row", F.pmod(F.xxhash64(F.lit(seed), *keys, "_rep", "_draw"), F.col("_size"))).drop("_size", "_draw")
-    means = draws.join(numbered, [*keys, "_row"]).groupBy(*keys, "_rep").agg(F.avg("_value").alias("_m"))
+    means = join_null_safe(draws, numbered, [*keys, "_row"]).groupBy(*keys, "_rep").agg(F.avg("_value").alias("_m"))
     finish = F.sqrt if root else (lambda c: F.col(c) if isinstance(c, str) else c)
     tail = (1.0 - confidence) / 2.0
     spans = means.groupBy(*keys).agg(  # n replicates per group
         F.percentile(finish("_m"), F.lit(tail)).alias("ci_low"), F.percentile(finish("_m"), F.lit(1.0 - tail)).alias("ci_high"))
     center = sizes.select(*keys, F.col("_size").alias("n"), finish("_mean").alias("mean"))
-    return center.join(spans, keys) if keys else center.crossJoin(F.broadcast(spans))  # one row
+    return join_null_safe(center, spans, list(keys))
 
 
 # -- recommendation --------------------------------------------------------------------------------------------

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trajmill.functions.columns import number
-from trajmill.plans.segments import CaseLayout, plan_layout, with_lags, with_running
-from trajmill.plans.sizing import BROADCAST_BYTES, broadcast_if_small, planned_bytes
+from trajmill.plans.segments import CaseLayout, join_null_safe, plan_layout, with_lags, with_running
+from trajmill.plans.sizing import BROADCAST_ROWS, fits_one_task
 from trajmill.session import settle
 from trajmill.spec import TrajectorySpec
 
@@ -183,14 +183,15 @@ def resample_linear(df: DataFrame, spec: TrajectorySpec, dt: float, columns: lis
     rows = df.select(*spec.keys, t.alias(spec.time), *[c for c in spec.order if c not in columns and c != spec.time],
                      *[F.col(c).cast("double").alias(c) for c in columns]).where(F.col(spec.time).isNotNull())
     layout = plan_layout(rows, spec.keys, spec.time, target_rows)
+    # Of several rows at one time the first counts, by ``order`` and then by the values, in either layout.
+    tie = [c for c in spec.order if c in rows.columns]
     if drop_duplicate_times:
         if layout.split and layout.heavy_ties:
-            tie = [c for c in spec.order if c in rows.columns]
             pick = F.struct(*[F.col(c) for c in [*tie, *columns]])
             rows = rows.groupBy(*spec.keys, spec.time).agg(F.min(pick).alias("_first")).select(
                 *spec.keys, spec.time, *[F.col(f"_first.{c}").alias(c) for c in dict.fromkeys([*tie, *columns])])
         else:
-            rows = with_lags(rows, layout, [c for c in spec.sort if c in rows.columns], {"_seen": (spec.time, 1)})
+            rows = with_lags(rows, layout, list(dict.fromkeys([spec.time, *tie, *columns])), {"_seen": (spec.time, 1)})
             rows = rows.where(F.col("_seen").isNull() | (F.col("_seen") < F.col(spec.time))).drop("_seen")
     pairs = with_lags(rows, layout, [c for c in spec.sort if c in rows.columns], {
         "_a_t": (spec.time, 1), **{f"_a_{c}": (c, 1) for c in columns}})
@@ -198,7 +199,7 @@ def resample_linear(df: DataFrame, spec: TrajectorySpec, dt: float, columns: lis
     if layout.split:
         ends = rows.groupBy(*spec.keys).agg(*[f.alias(n) for n, f in span.items()])
         pairs = pairs.where(F.col("_a_t").isNotNull())
-        pairs = pairs.join(broadcast_if_small(ends), spec.keys) if spec.keys else pairs.crossJoin(F.broadcast(ends))
+        pairs = join_null_safe(pairs, ends, list(spec.keys))
     else:  # every case fits a task and is already there
         whole = Window.partitionBy(*(spec.keys or [F.lit(0)]))
         pairs = pairs.withColumns({n: f.over(whole) for n, f in span.items()}).where(F.col("_a_t").isNotNull())
@@ -264,11 +265,11 @@ def split_labels(cases: DataFrame, case: str, train_fraction: float = 0.7) -> Da
 def global_rank(cases: DataFrame, column: str) -> DataFrame:
     """0-based rank of distinct values over the whole table, and the total.
 
-    A list proven small is ranked by one window. A larger one is sorted into ranges, written to
+    A list counted small is ranked by one window. A larger one is sorted into ranges, written to
     the shared folder (so that both uses see the same ranges), and ranked per range plus the count
     of the ranges before.
     """
-    if planned_bytes(cases) <= BROADCAST_BYTES:
+    if fits_one_task(cases, BROADCAST_ROWS):
         everything = Window.partitionBy(F.lit(0))
         return cases.withColumns({"_rank": F.row_number().over(everything.orderBy(column)) - 1,
                                   "_total": F.count(F.lit(1)).over(everything)})
@@ -287,7 +288,7 @@ def global_rank(cases: DataFrame, column: str) -> DataFrame:
 def split_by_fraction(df: DataFrame, case: str, train_fraction: float = 0.7) -> DataFrame:
     """Add a ``split`` column."""
     labels = split_labels(distinct_cases(df, case), case, train_fraction)
-    return df.join(broadcast_if_small(labels), case)
+    return df.join(labels, case)
 
 
 def leave_one_case_out(df: DataFrame, case: str) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trajmill.functions.columns import melt
 from trajmill.operators.quality import percentiles
-from trajmill.plans.segments import SMALL_PLAN_BYTES
-from trajmill.plans.sizing import planned_bytes
+from trajmill.plans.sizing import fits_one_task
 
 WINDOWS = (60.0, 300.0, 3600.0)
 
@@ -30,7 +29,7 @@ def _windowed(df: DataFrame, time: str, windows) -> DataFrame:
 def _grouped(rows: DataFrame, by: list[str], measures: list[Column], value: str, shares: dict[str, float],
              target_rows: int | None) -> DataFrame:
     """Plain measures and exact percentiles; percentiles of huge groups take the ranked way."""
-    if target_rows is None and planned_bytes(rows) <= SMALL_PLAN_BYTES:
+    if target_rows is None and fits_one_task(rows):
         clean = F.when(~F.isnan(value), F.col(value))
         return rows.groupBy(*by).agg(*measures, *[F.percentile(clean, F.lit(p)).alias(n) for n, p in shares.items()])
     plain = rows.groupBy(*by).agg(*measures)

@@ -17,12 +17,10 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from trajmill.plans.sizing import planned_bytes
+from trajmill.plans.sizing import TARGET_ROWS
 
 SEGMENT = "_seg"
 HALO = "_halo"
-TARGET_ROWS = 2_000_000
-SMALL_PLAN_BYTES = 64 << 20
 MOST_SEGMENTS = 4096
 
 
@@ -49,7 +47,7 @@ class CaseLayout:
         if not self.split:
             return df
         moment = F.col(time or self.time)
-        joined = _join_null_safe(df, F.broadcast(self.cuts), self.keys)
+        joined = join_null_safe(df, F.broadcast(self.cuts), self.keys)
         # Binary search, one comparison per power of two: get() is null past the end.
         steps = F.array(*[F.lit(1 << b) for b in reversed(range(self.depth))])
         found = F.aggregate(
@@ -63,7 +61,7 @@ class CaseLayout:
 
     def join_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
         """Left-join one row per segment of the hot cases back to their rows."""
-        return _join_null_safe(df, F.broadcast(carry), self.group)
+        return join_null_safe(df, F.broadcast(carry), self.group)
 
     def hot_rows(self, tagged: DataFrame) -> DataFrame:
         """The rows of hot cases only; the carries of this module are built from these."""
@@ -81,25 +79,26 @@ def _all(conditions: list[Column]) -> Column:
     return result
 
 
-def _join_null_safe(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+def join_null_safe(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join one row per key to the rows of that key, a null key included; without keys ``other`` is one row."""
     if not keys:
-        return df.crossJoin(small)  # one row: a table that is a single case
-    renamed = small.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in small.columns])
+        return df.crossJoin(F.broadcast(other))
+    renamed = other.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in other.columns])
     on = _all([F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return df.join(renamed, on, "left").drop(*[f"_r_{k}" for k in keys])
+    return df.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def plan_layout(df: DataFrame, keys: list[str], time: str, target_rows: int | None = None) -> CaseLayout:
     """Measure the cases of ``df`` and cut the hot ones.
 
-    A plan that is small as a whole cannot hold a hot case, so it is not measured. Otherwise one
-    map-side-combined count by case decides, and only hot cases are read again for quantiles.
+    Counted rows decide: a table that fits one task as a whole cannot hold a hot case. Otherwise one
+    map-side-combined count by case follows, and only hot cases are read again for quantiles.
     """
     keys = list(keys)
     if target_rows is None:
-        if planned_bytes(df) <= SMALL_PLAN_BYTES:
-            return CaseLayout(keys, time)
         target_rows = TARGET_ROWS
+        if df.count() <= target_rows:
+            return CaseLayout(keys, time)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, biggest = counts.agg(F.sum("_n"), F.max("_n")).first()
     target = max(target_rows, ceil((total or 0) / MOST_SEGMENTS))
@@ -109,7 +108,7 @@ def plan_layout(df: DataFrame, keys: list[str], time: str, target_rows: int | No
     grid = 1 << ceil(biggest / target - 1).bit_length()
     shares = [i / grid for i in range(1, grid)]
     # hot holds at most 4,096 rows by the choice of target
-    hot_only = _join_null_safe(df.select(*keys, time), F.broadcast(hot), keys).where(F.col("_n").isNotNull())
+    hot_only = join_null_safe(df.select(*keys, time), F.broadcast(hot), keys).where(F.col("_n").isNotNull())
     sketch = hot_only.groupBy(*keys).agg(
         F.percentile_approx(time, F.array(*map(F.lit, shares)), F.lit(max(10_000, 8 * grid))).alias("_q"),
         F.ceil(F.max("_n") / F.lit(float(target))).cast("int").alias("_pieces"),

@@ -1,21 +1,16 @@
-"""Size checks behind broadcasts and behind the choice of a plan."""
+"""Size checks behind the choice of a plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_ROWS = 500_000
+TARGET_ROWS = 2_000_000
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def fits_one_task(df: DataFrame, rows: int = TARGET_ROWS) -> bool:
+    """Whether the *counted* rows of the plan, after explodes and joins, are at most ``rows``.
 
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only where the estimate proves the side small.
-
-    Beyond the limit the side stays unhinted: Spark then shuffles both sides, and the adaptive
-    skew join splits hot keys.
+    A size estimate in bytes proves nothing: files compress, and it does not see what an explode makes.
     """
-    return F.broadcast(df) if planned_bytes(df) <= limit else df
+    return df.count() <= rows

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from trajmill.plans.segments import plan_layout, with_lags, with_position
+from trajmill.plans.segments import join_null_safe, plan_layout, with_lags, with_position
 from trajmill.spec import TrajectorySpec
 
 SEQ = "_stream_row_index"
@@ -113,7 +113,7 @@ def check_table(df: DataFrame, spec: TrajectorySpec, target_rows: int | None = N
     layout = plan_layout(valid, spec.keys, SEQ, target_rows)
     stepped = with_lags(valid, layout, [SEQ], {"_last": (spec.time, 1)})
     firsts = valid.groupBy(*spec.keys, spec.time).agg(F.min(SEQ).alias("_first_seq"))
-    joined = stepped.join(firsts, [*spec.keys, spec.time])
+    joined = join_null_safe(stepped, firsts, [*spec.keys, spec.time])
     code = (F.when(F.col(spec.time) < F.col("_last"), BACKWARDS)
             .when((F.col(spec.time) == F.col("_last")) | (F.col("_first_seq") < F.col(SEQ)), REPEATED))
     return joined.withColumn("_code", code).drop("_last", "_first_seq").unionByName(rest)
@@ -142,7 +142,7 @@ def trim(clean: DataFrame, spec: TrajectorySpec, *, max_samples: int | None = No
     last = clean.groupBy(*spec.keys).agg(F.max_by(spec.time, SEQ).alias("_latest"), F.count(F.lit(1)).alias("_rows"))
     if max_samples:
         out = with_position(out, plan_layout(out, spec.keys, SEQ, target_rows), [SEQ])
-    out = out.join(last, spec.keys) if spec.keys else out.crossJoin(F.broadcast(last))  # one row
+    out = join_null_safe(out, last, list(spec.keys))
     if max_samples:
         out = out.where(F.col("_k") >= F.col("_rows") - max_samples).drop("_k")
     if buffer_seconds is not None:
@@ -166,6 +166,6 @@ def buffer_summary(clean: DataFrame, spec: TrajectorySpec, target_rows: int | No
         F.count(F.lit(1)).alias("n_clean_samples"), F.min_by(spec.time, SEQ).alias("start_time"),
         F.max_by(spec.time, SEQ).alias("end_time"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"))
     median = percentiles(stepped, spec.keys, "dt", {"median_dt": 0.5}, target_rows)
-    both = stats.join(median, spec.keys, "left") if spec.keys else stats.crossJoin(F.broadcast(median))  # one row
+    both = join_null_safe(stats, median, list(spec.keys))
     return both.withColumn("dt_ratio", F.when(F.col("min_dt") > 0, F.col("max_dt") / F.col("min_dt")).when(
         F.col("min_dt").isNotNull(), F.lit(float("inf"))))
