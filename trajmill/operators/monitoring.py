@@ -167,16 +167,22 @@ def build_alerts(*, keys=(), residuals: DataFrame | None = None, innovations: Da
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def trust_timeline(alerts: DataFrame, ticks: DataFrame, keys=(), time: str = "origin_time", *,
+def trust_timeline(alerts: DataFrame, ticks: DataFrame | None = None, keys=(), time: str = "origin_time", *,
                    warning_penalty: float = 0.10, critical_penalty: float = 0.25,
                    target_rows: int | None = None) -> DataFrame:
     """Trust at each tick: 1 minus penalties for all alerts up to that time, never below 0.
 
-    ``ticks`` are the estimates of the run, or the alerts themselves where there are no estimates. A
+    ``ticks`` are the estimates of the run; without them the alerts are the ticks, and without alerts
+    either there is one row of full trust (for a table without keys). A
     tick without a time counts the alerts without a time. Alerts are counted per time and summed up
     before the ticks look up their time, so neither many alerts nor many ticks at one time pile up.
     """
     keys = list(keys)
+    if ticks is None or ticks.isEmpty():
+        if not keys and alerts.isEmpty():
+            return alerts.sparkSession.createDataFrame(
+                [(None, 1.0, 0, 0)], "time double, trust_score double, n_warning_alerts int, n_critical_alerts int")
+        ticks = alerts.select(*keys, F.col("time").alias(time))
     by = [*keys, "_timeless"]
     moment = {"_timeless": F.col("time").isNull(), "_at": F.coalesce(F.col("time"), F.lit(0.0))}
     asked = ticks.select(*keys, F.col(time).cast("double").alias("time")).withColumns(moment)

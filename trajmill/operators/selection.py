@@ -220,6 +220,15 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, *, n: int = 500, co
     return join_null_safe(center, spans, list(keys))
 
 
+def bootstrap_metric(df: DataFrame, keys: list[str], true: str, predicted: str, metric: str = "rmse", **options) -> DataFrame:
+    """Interval of an error of aligned true and predicted values by resampling rows: rmse, mse or mae."""
+    gap = F.col(true).cast("double") - F.col(predicted).cast("double")
+    if metric not in ("rmse", "mse", "mae"):
+        raise ValueError(f"unknown metric: {metric!r}")
+    error = F.abs(gap) if metric == "mae" else gap * gap
+    return bootstrap_ci(df.withColumn("_error", error), keys, "_error", root=metric == "rmse", **options)
+
+
 # -- recommendation --------------------------------------------------------------------------------------------
 
 def recommend(table: DataFrame, error: str = "test_rmse", *, require_stable: bool = True,

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import fnmatch
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from trajmill.functions.columns import floating_columns, is_missing
 from trajmill.plans.segments import plan_layout, with_lags
 from trajmill.spec import TrajectorySpec
 
-MOST_HEADERS = 200
-
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Read CSV or Parquet by suffix; other suffixes are an error."""
@@ -81,11 +80,13 @@ def parse_rename_pairs(pairs) -> dict[str, str]:
 
 def read_folder(spark: SparkSession, root: str, pattern: str = "*.csv", *, required: list[str],
                 mapping: dict[str, str] | None = None, case: str = "case_id", max_files: int | None = None,
-                schema=None, settle_seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
+                schema=None, settle_seconds: float | None = None, case_from_stem: bool = True) -> tuple[DataFrame, DataFrame]:
     """Stack the files of a folder: outer union of columns, ``source_file`` and case from the stem.
 
-    Returns ``(rows, skipped)``; ``skipped`` lists files whose header holds none of the required
-    columns. With ``schema`` (all files alike) the header pass over the data is not needed.
+    Returns ``(rows, skipped)``; ``skipped`` lists text files whose header holds none of the required
+    columns, and Parquet files that gave no row (unreadable or empty). Every text file is read once for its header
+    and once for its rows; with ``schema`` (all files alike) the first pass is not needed. Without
+    ``case_from_stem`` files that lack the case column stay without one.
     """
     mapping = mapping or {}
     listing = list_files(spark, root, pattern, settle_seconds=settle_seconds)
@@ -93,7 +94,7 @@ def read_folder(spark: SparkSession, root: str, pattern: str = "*.csv", *, requi
         listing = listing.orderBy("name").limit(max_files)
     if listing.isEmpty():
         raise FileNotFoundError(f"no file matches {pattern!r} under {root}")
-    chosen = F.broadcast(listing.select(F.col("path").alias("_path"))) if max_files or settle_seconds else None
+    chosen = listing.select(F.col("path").alias("_path")) if max_files or settle_seconds else None
     empty = spark.createDataFrame([], "path string, reason string")
 
     def label(df: DataFrame, only: DataFrame | None) -> DataFrame:
@@ -102,13 +103,15 @@ def read_folder(spark: SparkSession, root: str, pattern: str = "*.csv", *, requi
         df = apply_column_mapping(df, mapping)
         name = F.element_at(F.split("_path", "/"), -1)
         df = df.withColumn("source_file", F.url_decode(name))
-        if case not in df.columns:
+        if case_from_stem and case not in df.columns:
             df = df.withColumn(case, F.regexp_replace("source_file", r"\.[^.]*$", ""))
         return df.drop("_path")
 
     if fnmatch.fnmatch("x.parquet", pattern) or pattern.endswith((".parquet", ".pq")):
-        reader = spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True)
-        return label(reader.option("pathGlobFilter", pattern).parquet(root), chosen), empty
+        found = spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).option("pathGlobFilter", pattern).parquet(root)
+        full = found.select(F.col("_metadata.file_path").alias("path")).distinct()
+        unread = (listing.select("path") if chosen is None else chosen.select(F.col("_path").alias("path"))).join(full, "path", "left_anti")
+        return label(found, chosen), unread.withColumn("reason", F.lit("no readable row"))
     if schema is not None:
         reader = spark.read.option("header", True).option("pathGlobFilter", pattern).schema(schema)
         return label(reader.csv(root), chosen), empty
@@ -119,25 +122,25 @@ def read_folder(spark: SparkSession, root: str, pattern: str = "*.csv", *, requi
         .groupBy("_path").agg(F.min_by("value", "at").alias("header"))
     )
     heads = heads.join(chosen, "_path", "left_semi") if chosen is not None else heads
-    headers = [r["header"] for r in heads.select("header").distinct().limit(MOST_HEADERS + 1).collect()]
-    if len(headers) > MOST_HEADERS:
-        raise ValueError(f"more than {MOST_HEADERS} different headers under {root}")
+    separator = "\t" if pattern.endswith(".tsv") else ","
 
     def names(header: str) -> list[str]:
-        return [c.strip().strip('"') for c in header.split(",")]
+        return [c.strip() for c in next(csv.reader([header], delimiter=separator), [])]
 
     wanted = set(required)
-    readable = [h for h in headers if wanted & {mapping.get(c, c) for c in names(h)}]
-    skipped = heads.where(~F.col("header").isin(readable)).select(
-        F.col("_path").alias("path"), F.lit("header holds no required column").alias("reason"))
+    files: dict[str, list[str]] = {}
+    for r in heads.collect():  # file names, which Spark's listing keeps on the driver anyway
+        files.setdefault(r["header"], []).append(r["_path"])
+    readable = sorted(h for h in files if wanted & {mapping.get(c, c) for c in names(h)})
+    skipped = spark.createDataFrame([(p, "header holds no required column") for h in sorted(set(files) - set(readable)) for p in sorted(files[h])],
+                                    "path string, reason string")
     if not readable:
         raise ValueError(f"no readable file under {root}")
     parts = []
-    for header in sorted(readable):
-        paths = heads.where(F.col("header") == header).select("_path")
-        kinds = ", ".join(f"`{c}` STRING" for c in names(header))
-        part = spark.read.option("header", True).option("pathGlobFilter", pattern).schema(kinds).csv(root)
-        parts.append(label(part, paths))
+    for header in readable:
+        kinds = T.StructType([T.StructField(c, T.StringType()) for c in names(header)])
+        part = spark.read.option("header", True).option("sep", separator).schema(kinds).csv(sorted(files[header]))
+        parts.append(label(part, None))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     texts = {"source_file", case}
     return rows.select(*[F.col(c) if c in texts else _typed(rows, c, wanted) for c in rows.columns]), skipped

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from trajmill.plans.segments import plan_layout, with_position
+from trajmill.session import shared_folder
 
 META = ["_stream_source", "_stream_row_index", "_received_utc"]
-MOST_CHUNKS = 10_000
 
 
 def write_replay(df: DataFrame, path: str, *, chunk_size: int, time: str | None = None, case: str | None = None,
                  case_value=None, order: tuple[str, ...] = (), max_samples: int | None = None) -> int:
     """Write a finished table as time-ordered chunk files, one per poll; returns the number of chunks.
 
-    ``_stream_row_index`` counts rows in (time, order). Chunks are committed one after the other, as
-    the file source replays files by age; a replay of more than 10,000 polls needs larger chunks.
+    ``_stream_row_index`` counts rows in (time, order). Rows are dealt into chunks once, in the shared folder; the
+    chunks are then committed one after the other, as the file source replays files by age.
     """
     if chunk_size < 1:
         raise ValueError("chunk_size must be at least 1")
@@ -26,17 +28,15 @@ def write_replay(df: DataFrame, path: str, *, chunk_size: int, time: str | None
     numbered = with_position(rows, plan_layout(rows, [], sort[0]), sort, "_stream_row_index")
     if max_samples is not None:
         numbered = numbered.where(F.col("_stream_row_index") < max_samples)
-    numbered = numbered.withColumn("_stream_row_index", F.col("_stream_row_index").cast("bigint")).persist()
-    top = numbered.agg(F.max("_stream_row_index")).first()[0]
-    chunks = 0 if top is None else top // chunk_size + 1
-    if chunks > MOST_CHUNKS:
-        raise ValueError(f"{chunks} chunks; use a larger chunk_size")
-    for i in range(chunks):
-        low = i * chunk_size
-        part = numbered.where((F.col("_stream_row_index") >= low) & (F.col("_stream_row_index") < low + chunk_size))
-        part.coalesce(1).write.mode("append").parquet(path)
-    numbered.unpersist()
-    return chunks
+    numbered = numbered.withColumn("_stream_row_index", F.col("_stream_row_index").cast("bigint"))
+    dealt = numbered.withColumn("_chunk", F.floor(F.col("_stream_row_index") / chunk_size))
+    spark, staging = df.sparkSession, f"{shared_folder(df.sparkSession)}/replay-{uuid.uuid4().hex}"
+    dealt.repartition("_chunk").write.partitionBy("_chunk").parquet(staging)
+    top = spark.read.schema("_chunk bigint").parquet(staging).agg(F.max("_chunk")).first()[0]
+    for i in range(0 if top is None else top + 1):
+        part = spark.read.schema(numbered.schema).parquet(f"{staging}/_chunk={i}")
+        part.coalesce(1).write.mode("append").parquet(path)  # one chunk
+    return 0 if top is None else top + 1
 
 
 def replay_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 1) -> DataFrame:
