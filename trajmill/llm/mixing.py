@@ -53,7 +53,6 @@ def share_out(nodes: DataFrame, parent: list[str], name: str, budget: str, out:
 
 def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], other: dict[str, float], budget: float, epochs: int) -> DataFrame:
     """Tokens for each leaf (columns of LEVELS, tokens): ``given``."""
-    spark = leaves.sparkSession
     now, above = None, []
     for i, level in enumerate(LEVELS):
         path = list(LEVELS[: i + 1])
@@ -63,13 +62,12 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], other: dict
         nodes = nodes.withColumn("_budget", F.lit(float(budget))) if now is None else nodes.join(
             now.select(*above, F.col("_given").alias("_budget")), above)
         now, above = share_out(nodes, above, level, "_budget", "_given"), path
-    del spark
     return now.select(*LEVELS, F.floor("_given").cast("bigint").alias("given"))
 
 
-def _place(seed: int) -> Column:
+def _place(seed: int, whole: str = "whole", doc_id: str = "_id") -> Column:
     """60 bits of a hash of seed, epoch and document."""
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), _named(F.col("_id"))).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(whole).cast("string"), _named(F.col(doc_id))).cast("binary"))
     return F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint")
 
 
@@ -115,17 +113,18 @@ def mix(docs: DataFrame, *, domain: Column, language: Column | None = None, sour
     a branch ``(none)``; documents without a token are not in the mix; rows of one doc_id share their place in an epoch. An empty
     table gives an empty result.
     """
+    docs = docs.drop("mix_domain", "mix_tokens", "mix_copies", "mix_prefix")
     language = F.col("lang") if language is None else language
     source = F.col("source") if source is None else source
     tokens = token_count(text)
     leaves = plan(docs, doc_id, domain, language, source, tokens, weights or {}, other or {}, share, epochs, seed)
     leaves = checked_broadcast(leaves, leaves.count(), BROADCAST_LEAVES).select(
-        *[F.col(c).alias(f"_{c}") for c in LEVELS], F.col("whole"), F.col("cut_place").alias("_cut_place"), F.col("cut_tokens").alias("_cut_tokens"))
-    on = [a == F.col(f"_{n}") for a, n in zip(map(_named, (domain, language, source)), LEVELS)]
-    rows = docs.withColumns({"mix_tokens": tokens, "_id": F.col(doc_id)}).join(leaves, on[0] & on[1] & on[2])
-    rows = rows.withColumn("_place", _place(seed))
-    prefix = (F.when(F.col("_place") < F.col("_cut_place"), F.col("mix_tokens"))
-              .when(F.col("_place") == F.col("_cut_place"), F.least("mix_tokens", "_cut_tokens")).otherwise(0))
-    return (rows.withColumns({"mix_domain": F.col("_domain"), "mix_copies": F.col("whole"), "mix_prefix": prefix.cast("bigint")})
+        *[F.col(c).alias(f"_mix_{c}") for c in (*LEVELS, "whole", "cut_place", "cut_tokens")])
+    on = [a == F.col(f"_mix_{n}") for a, n in zip(map(_named, (domain, language, source)), LEVELS)]
+    rows = docs.withColumn("mix_tokens", tokens).join(leaves, on[0] & on[1] & on[2])
+    rows = rows.withColumn("_mix_place", _place(seed, "_mix_whole", doc_id))
+    prefix = (F.when(F.col("_mix_place") < F.col("_mix_cut_place"), F.col("mix_tokens"))
+              .when(F.col("_mix_place") == F.col("_mix_cut_place"), F.least("mix_tokens", "_mix_cut_tokens")).otherwise(0))
+    return (rows.withColumns({"mix_domain": F.col("_mix_domain"), "mix_copies": F.col("_mix_whole"), "mix_prefix": prefix.cast("bigint")})
             .where((F.col("mix_tokens") > 0) & ((F.col("mix_copies") > 0) | (F.col("mix_prefix") > 0)))
-            .select(*[docs[c] for c in docs.columns], "mix_domain", "mix_tokens", "mix_copies", "mix_prefix"))
+            .select(*docs.columns, "mix_domain", "mix_tokens", "mix_copies", "mix_prefix"))

@@ -84,6 +84,8 @@ def passages(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
     pair = hashes.copy()
     pair[:-1] ^= hashes[1:] * np.uint64(0x9E3779B97F4A7C15)
+    end = w1[w1 > w0] - 1  # the last word of a passage has no pair in it: a value of its own
+    pair[end] = end.astype(np.uint64)
     letter, mark = (kind & _LETTER) > 0, (kind & _MARK) > 0
     twice = np.zeros(len(code), bool)
     twice[1:] = mark[1:] & (code[1:] == code[:-1])
@@ -108,7 +110,7 @@ class Attention:
         m = len(MEASURES)
         self.p = dict(zip(self.NAMES, (scale(m, HIDDEN), np.zeros(HIDDEN), scale(HIDDEN, ATTENTION), np.zeros(ATTENTION), scale(HIDDEN, ATTENTION),
                                        np.zeros(ATTENTION), scale(ATTENTION), scale(HIDDEN), np.zeros(1))))
-        self.mean, self.spread, self.prior = np.zeros(m), np.ones(m), 0.5
+        self.mean, self.spread, self.prior, self.fitted = np.zeros(m), np.ones(m), 0.5, False
 
     def _forward(self, x: np.ndarray, edge: np.ndarray):
         p, bag = self.p, np.repeat(np.arange(len(edge) - 1), np.diff(edge))
@@ -126,6 +128,7 @@ class Attention:
         self.prior = float(label.mean()) if len(label) else 0.5
         if len(set(label.tolist())) < 2:
             return self
+        self.fitted = True
         self.mean, self.spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
         p, first, second = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, STEPS + 1):
@@ -146,7 +149,7 @@ class Attention:
 
     def score(self, texts: list) -> np.ndarray:
         out = np.full(len(texts), self.prior)
-        if 0.0 < self.prior < 1.0:
+        if self.fitted:
             for first, end in blocks(texts):
                 x, edge = passages(texts[first:end])
                 out[first:end] = self._forward(x, edge)[-1]
