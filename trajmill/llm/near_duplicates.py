@@ -9,7 +9,7 @@ seldom with a probability below 1e-4 (48 coordinates, 28 matches), a closer pair
 
 Groups of thousands of near copies would give all pairs. Lists are therefore joined to one member first, their hub: the member
 whose values the most classes share, as the text that copies derive from does. What links have put into one component is not
-compared again. Pairs across components of one list follow, unless the triangle inequality on their distances to the
+compared again; lists with many pairs across components are joined to a few more hubs. Pairs across components of one list follow, unless the triangle inequality on their distances to the
 hub rules a link out. Lists with very many such pairs are split by a second shared value, which loses nothing: two
 classes with ``matches`` common values share two of their ``shared - matches + 2`` shortest.
 """
@@ -27,7 +27,8 @@ from trajmill.llm.words import blocks, mixed, shingles
 COORDINATES = 48
 MATCHES = 28
 BROADCAST_IDS = 2_000_000
-OPEN_PAIRS = 1_000_000  # lists with more pairs across components are split by a second value
+HUBS, ROUNDS, WIDE = 6, 2, 10_000  # lists with more than WIDE pairs across components get HUBS more hubs, in ROUNDS rounds at most
+OPEN_PAIRS = 1_000_000  # lists with more pairs across components after that are split by a second value
 _SEEDS = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
 
 
@@ -131,17 +132,34 @@ def links(signed: DataFrame, docs: DataFrame, words: int = 2, percent: int = 80,
 
     hubs = lists.groupBy("val").agg(F.max(F.struct("center", "key", "n")).alias("_h")).select(
         "val", F.col("_h.key").alias("hub"), F.col("_h.n").alias("_m"))
-    placed = stored(lists.join(hubs, "val").select("val", "key", "n", "hub", "_m"), "lists")
+    placed = stored(lists.join(hubs, "val").select("val", "key", "n", "center", "hub", "_m"), "lists")
     starred = placed.where((F.col("key") != F.col("hub")) & near_size("n", "_m")).select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
     first = stored(_compare(starred, shared, docs, named, words, matches), "links")
-    roots = components(first.where(linked))
+    confirmed = first.where(linked).select("u", "v")
+    roots = components(confirmed)
+
+    def with_roots() -> tuple[DataFrame, DataFrame]:
+        """Lists with each member's component, and the pairs across components of each list that has some."""
+        rooted = placed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        sizes = rooted.groupBy("val", "root").agg(F.count(F.lit(1)).alias("_c")).groupBy("val").agg(F.sum("_c").alias("_all"), F.max("_c").alias("_top"))
+        return rooted, sizes.where("_top < _all").select("val", ((F.col("_all") - F.col("_top")) * F.col("_all")).alias("_pairs"))
+
+    for turn in range(ROUNDS):
+        rooted, mixed_lists = with_roots()
+        wide = stored(rooted.join(mixed_lists.where(F.col("_pairs") > WIDE), "val").select("val", "key", "n", "center", "root"), "wide")
+        if wide.isEmpty():
+            break
+        more_hubs = wide.groupBy("val", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(HUBS)).alias("_slot")).agg(
+            F.max(F.struct("center", "key", "n", "root")).alias("_h")).select("val", F.col("_h.key").alias("v"), F.col("_h.n").alias("_m"), F.col("_h.root").alias("_r"))
+        starred = wide.join(more_hubs, "val").where((F.col("root") != F.col("_r")) & near_size("n", "_m")).select(F.col("key").alias("u"), "v").distinct()
+        found = stored(_compare(starred, shared, docs, named, words, matches).where(linked).select("u", "v"), "links")
+        confirmed = confirmed.union(found)
+        roots = components(confirmed)
 
     # Lists whose members are in several components may still hide links between these.
     distance = first.select(F.col("u").alias("key"), F.col("v").alias("hub"), (1 - F.col("alike") / F.col("whole")).alias("away"))
-    placed = placed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    counted = placed.groupBy("val", "root").agg(F.count(F.lit(1)).alias("_c")).groupBy("val").agg(F.sum("_c").alias("_all"), F.max("_c").alias("_top"))
-    mixed_lists = counted.where("_top < _all").select("val", ((F.col("_all") - F.col("_top")) * F.col("_all") > open_pairs).alias("_long"))
-    members = (placed.join(mixed_lists, "val").join(distance, ["key", "hub"], "left")
+    rooted, mixed_lists = with_roots()
+    members = (rooted.join(mixed_lists.select("val", (F.col("_pairs") > open_pairs).alias("_long")), "val").join(distance, ["key", "hub"], "left")
                .withColumn("away", F.when(F.col("key") == F.col("hub"), 0.0).otherwise(F.col("away")))
                .join(shared.select("key", "vals"), "key"))
     members = stored(members.select("val", "key", "n", "root", "away", "vals", "_long"), "mixed")
@@ -160,7 +178,7 @@ def links(signed: DataFrame, docs: DataFrame, words: int = 2, percent: int = 80,
     more = stored(_compare(pairs, shared, docs, named, words, matches).where(linked), "links")
     if more.isEmpty():
         return roots
-    return components(first.where(linked).select("u", "v").union(more.select("u", "v")))
+    return components(confirmed.union(more.select("u", "v")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
