@@ -89,8 +89,6 @@ def test_long_mixed_lists_lose_no_link(spark, monkeypatch):
     rows = [(i, " ".join(line + [f"w{draw.randrange(30)}" for _ in range(draw.choice([3, 4, 5, 30]))])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     real = nd.links
-    monkeypatch.setattr(nd, "WIDE", 20)
-    monkeypatch.setattr(nd, "HUBS", 2)
     monkeypatch.setattr(nd, "links", lambda *a, **k: real(*a, **k, open_pairs=4))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(df).collect()}
     assert got == brute(rows, 2, 80)
