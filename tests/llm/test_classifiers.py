@@ -114,6 +114,29 @@ def test_secrets_found_and_masked(spark):
     assert all((secrets.MASK in masked[d]) == s and (masked[d] == texts[d]) != s for d, s in truth.items())
 
 
+def test_candidates_inside_longer_runs():
+    hexed, issued = "0123456789abcdef" * 2, "AKIA" + "Q7" * 8
+    github = "ghp_" + "a1B2" * 6
+    for text, want in [
+        (f"token={hexed}", [hexed]), (f"DB_PASSWORD_PRIMARY={hexed} x", [hexed]), (f"GH={github}", [github]), (f"export KEY={hexed};", [hexed]),
+        (f"https://a.io/v1?access={issued}", [issued]), (f"https://a.io/v1?token={hexed}&user=bob", [hexed]), (f"url=https://a.io/v1?a=b&token={hexed}", [hexed]),
+        (f"env: TOKEN={hexed}", [hexed]), (f"{hexed}/{issued}", [f"{hexed}/", issued]), (f'"token":"{hexed}"', [hexed]),
+        (f"see {hexed}== here", [f"{hexed}=="]), (f"a {hexed[:15]}= b", [f"{hexed[:15]}="]),
+    ]:
+        assert [text[a:b] for a, b in secrets.candidates(text)] == want, text
+
+
+def test_assigned_without_spaces_is_masked(spark):
+    rows, truth = findings_corpus()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    model, draw = secrets.train(df), random.Random(3)
+    hexed, issued = "".join(draw.choice("0123456789abcdef") for _ in range(40)), "AKIA" + "Q7" * 8
+    texts = [f"words {t} stand here" for t in (f"token={hexed}", f"DB_PASSWORD={hexed}", f"https://a.io/v1?token={hexed}&x=1", f"https://a.io/v1?access={issued}")]
+    new = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    masked = [r.text for r in secrets.redacted(new, model).orderBy("doc_id").collect()]
+    assert masked == [t.replace(hexed, secrets.MASK).replace(issued, secrets.MASK) for t in texts]
+
+
 def test_given_labels_are_learned(spark):
     rows, truth = findings_corpus()
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
