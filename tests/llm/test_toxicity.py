@@ -40,6 +40,13 @@ def test_restores_disguises(fitted):
         assert tx.restored_text(text, decoder) == text
 
 
+def test_restores_spots_of_any_length(fitted):
+    decoder, scorer = tx.Decoder(fitted[1]["table"]), tx.Scorer(fitted[1])
+    phrase = "the river ran over the hills while you stupid clown sang"
+    for text in (" ".join(phrase.replace(" ", "")), ".".join(phrase.replace(" ", "")), "_".join(phrase.replace(" ", "")), " ".join(phrase.replace(" ", "") * 20)):
+        assert "stupid" in tx.restored_text(text, decoder) and scorer.score([text])[0] >= tx.LINE, text
+
+
 def test_model_and_scores(spark, fitted):
     df, model = fitted
     assert set(BAD) <= set(model["words"]) <= set(BAD) | {"stupi*"}

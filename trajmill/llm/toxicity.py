@@ -24,7 +24,7 @@ from trajmill.llm.words import POWERS, blocks, mixed
 ORDER = 5
 BITS = 22  # the language model is one table of 2**BITS counts, whatever the corpus
 BEAM = 8
-LONGEST_UNIT = 48  # characters of a disguised spot after squeezing runs; longer ones are no words
+REMEMBERED = 64  # characters of the longest spots whose restoration is kept for the next time
 TRAIN_ROWS = 12_000  # labelled rows used to learn the lexicon, those with the smallest hash of their id
 STEMS = (5, 6)  # lengths of word beginnings that may stand in the lexicon, written ``begin*``
 LEXICON = 2_000  # entries at most
@@ -150,18 +150,19 @@ class Decoder:
         return value
 
     def restore(self, unit: str) -> str:
-        """The likeliest plain text of a disguised spot; the spot itself if it is too long to be words."""
+        """The likeliest plain text of a disguised spot of any length."""
         unit = re.sub(r"(.)\1{2,}", r"\1\1\1", unit)
         if unit in self.seen:
             return self.seen[unit]
-        found = self._search(unit) if len(unit) <= LONGEST_UNIT else unit
-        if len(self.seen) > 200_000:
-            self.seen.clear()
-        self.seen[unit] = found
+        found = self._search(unit)
+        if len(unit) <= REMEMBERED:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[unit] = found
         return found
 
     def _search(self, unit: str) -> str:
-        paths = {" ": (0.0, "")}  # last characters -> (score, text so far)
+        paths = {" ": (0.0, None)}  # last characters -> (score, what was put last and the same before it)
         i = 0
         while i < len(unit):
             ch, run = unit[i], 1
@@ -180,7 +181,7 @@ class Decoder:
                 else:
                     options += [("", 2.5), (" ", 3.0)]
             ahead: dict = {}
-            for past, (score, text) in paths.items():
+            for past, (score, back) in paths.items():
                 for put, cost in options:
                     total, now = score - cost, past
                     for c in put:
@@ -189,10 +190,18 @@ class Decoder:
                         total += self.step(now, c)
                         now = (now + c)[-(ORDER - 1):] if c != " " else " "
                     if now not in ahead or ahead[now][0] < total:
-                        ahead[now] = (total, text + put)
+                        ahead[now] = (total, (back, put) if put else back)
             paths = dict(sorted(ahead.items(), key=lambda x: (-x[1][0], x[0]))[:BEAM])
             i += run
-        return max((score + (0.0 if past == " " else self.step(past, " ")), text) for past, (score, text) in paths.items())[1]
+        return max((score + (0.0 if past == " " else self.step(past, " ")), self._spelled(back)) for past, (score, back) in paths.items())[1]
+
+    @staticmethod
+    def _spelled(back) -> str:
+        puts = []
+        while back:
+            back, put = back
+            puts.append(put)
+        return "".join(reversed(puts))
 
 
 # -- disguised spots ---------------------------------------------------------------------------------
