@@ -47,6 +47,32 @@ def test_restores_spots_of_any_length(fitted):
         assert "stupid" in tx.restored_text(text, decoder) and scorer.score([text])[0] >= tx.LINE, text
 
 
+def test_finds_every_spot_of_the_lattice(fitted):
+    decoder, scorer = tx.Decoder(fitted[1]["table"]), tx.Scorer(fitted[1])
+    for text, want in [("s t u p 1 d rain", "stupid"), ("the m 0 r 0 n sang", "moron"), ("5 7 u p 1 d", "stupid"),
+                       ("you 5tup1d.", "stupid"), ("m0r0n55 m0r0n", "moron"), ("1o$3r", "loser"), ("a l05er's day", "loser")]:
+        assert want in tx.restored_text(text, decoder), text
+        assert (scorer.score([text])[0] >= tx.LINE) == (want in BAD), text
+    for text in ("1 2 3 4 5", "5 * 3 + 2", "10537 at 10", "* + !"):
+        assert tx.restored_text(text, decoder) == text
+    # Words that end in two signs, and those with a single plain letter.
+    spots = lambda t: [t[a - 1: b] for a, b in zip(*(x.tolist() for x in tx.disguised(tx._codes([t]))))]
+    for text in ("sh17", "a55", "a$$", "5h17", "s h 1 t", "i d 1 o t"):
+        assert spots(f"an {text} end") == [text], text
+
+
+def test_single_plain_letter_is_scored(spark):
+    rows = [(i, " ".join(PLAIN if i % 3 else [*PLAIN, "zonk"]), int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    model = tx.fit(df, df)
+    assert "zonk" in model["words"]
+    assert (tx.Scorer(model).score(["a z0nk", "2onk here", "z 0 n k"]) >= tx.LINE).all()
+    for word, text in (("as", "the a$ town"), ("us", "the u5 town")):
+        scorer = tx.Scorer({**model, "words": [word], "weights": [-9.0]})
+        scorer.decoder.restore = lambda unit, w=word: w  # the spot counts here, not how it is read
+        assert scorer.score([text])[0] >= tx.LINE
+
+
 def test_model_and_scores(spark, fitted):
     df, model = fitted
     assert set(BAD) <= set(model["words"]) <= set(BAD) | {"stupi*"}

@@ -38,6 +38,7 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiou", "#": "h", "€": "e", "£": "l",
 }
 SEPARATORS = ".-_*·~"
+_SIGNS = "".join(LEET) + SEPARATORS
 
 _LETTER, _LEET, _SEPARATOR, _OTHER, _SPACE = 1, 2, 4, 8, 16
 _MULTIPLIER, _ODD, _MASK = 1000003, 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -150,16 +151,16 @@ class Decoder:
         return value
 
     def restore(self, unit: str) -> str:
-        """The likeliest plain text of a disguised spot of any length."""
-        unit = re.sub(r"(.)\1{2,}", r"\1\1\1", unit)
-        if unit in self.seen:
-            return self.seen[unit]
-        found = self._search(unit)
-        if len(unit) <= REMEMBERED:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[unit] = found
-        return found
+        """The likeliest plain text of a disguised spot of any length; a plain word keeps the signs around it."""
+        whole, unit = unit, re.sub(r"(.)\1{2,}", r"\1\1\1", unit)
+        found = self.seen.get(unit)
+        if found is None:
+            found = self._search(unit)
+            if len(unit) <= REMEMBERED:
+                if len(self.seen) > 200_000:
+                    self.seen.clear()
+                self.seen[unit] = found
+        return whole if found.strip() == whole.strip(_SIGNS) else found
 
     def _search(self, unit: str) -> str:
         paths = {" ": (0.0, None)}  # last characters -> (score, what was put last and the same before it)
@@ -213,22 +214,20 @@ def disguised(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     letter, leet, space = cls == _LETTER, (cls & _LEET) > 0, cls == _SPACE
     sep = (cls & _SEPARATOR) > 0
     mark = np.zeros(len(code), bool)
-    mark[:-1] |= leet[:-1] & letter[1:]  # a sign before a letter
-    strong = leet & ((code < 58) | (code == ord("$")) | (code == ord("@")))  # digits, $ and @, but not !, * or #
-    strong &= (code >= 48) | (code == ord("$"))
-    mark[1:-1] |= letter[:-2] & strong[1:-1] & space[2:]  # a sign that ends a word
     mark[1:-1] |= letter[1:-1] & (code[:-2] == code[1:-1]) & (code[2:] == code[1:-1])  # a stretched letter
     if len(code) > 4:
         mark[:-4] |= letter[:-4] & sep[1:-3] & letter[2:-2] & sep[3:-1] & letter[4:]  # dotted letters
     first, last = _runs(~space)
     if not len(first):
         return first, last
-    hot = np.add.reduceat(mark, first) > 0
-    single = (first == last) & letter[first]
+    holds = lambda what: np.add.reduceat(what, first, dtype=np.int64) > 0
+    hot = holds(mark) | (holds(letter) & holds(leet))
+    single = (first == last) & (letter | leet)[first]
     spaced = np.concatenate([[False], single, [False]])
     begin, end = _runs(spaced)
     begin, end = begin - 1, end - 1
-    long = end - begin >= 2
+    letters = np.concatenate([[0], np.cumsum(letter[first])])
+    long = (end - begin >= 2) & (letters[end + 1] > letters[begin])  # letters or signs one by one, not signs alone
     begin, end = begin[long], end[long]
     return np.concatenate([first[hot], first[begin]]), np.concatenate([last[hot], last[end]])
 
@@ -322,8 +321,7 @@ class Scorer:
         return out
 
     def _look(self, found: set, unit: str) -> None:
-        if len(_LETTERS.findall(unit)) and sum(map(str.isalpha, unit)) > 1:
-            found.update(self.words[w] for w in entries(_LETTERS.findall(self.decoder.restore(unit))) if w in self.words)
+        found.update(self.words[w] for w in entries(_LETTERS.findall(self.decoder.restore(unit))) if w in self.words)
 
     def score(self, texts: list) -> np.ndarray:
         out = np.zeros(len(texts))
