@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,26 @@ def test_restores_spots_of_any_length(fitted):
         assert "stupid" in tx.restored_text(text, decoder) and scorer.score([text])[0] >= tx.LINE, text
 
 
+def test_language_model_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(tx, "HELD", 1000)
+    draw = random.Random(5)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    texts = [" ".join("".join(draw.choice(letters) for _ in range(draw.choice([1, 4, 9]))) for _ in range(300)) for _ in range(60)] + [None, "", "1 2", "a, ab a"]
+    want = {}
+    for t in texts:
+        for word in re.findall(r"[^\W\d_]+", t or ""):
+            padded = f" {word} "
+            for n in range(1, tx.ORDER + 1):
+                for i in range(max(n - 1, 1), len(padded)):
+                    gram = padded[i - n + 1: i + 1]
+                    want[gram] = want.get(gram, 0) + 1
+    table = tx.language_model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    decoder = tx.Decoder(table)
+    assert len(table[0]) == len(want) and all(decoder._held(g) == n for g, n in want.items())
+    unseen = ["".join(draw.choice(letters) for _ in range(5)) for _ in range(20_000)]
+    assert not any(decoder._held(g) for g in unseen if g not in want)
+
+
 def test_finds_every_spot_of_the_lattice(fitted):
     decoder, scorer = tx.Decoder(fitted[1]["table"]), tx.Scorer(fitted[1])
     for text, want in [("s t u p 1 d rain", "stupid"), ("the m 0 r 0 n sang", "moron"), ("5 7 u p 1 d", "stupid"),

@@ -22,7 +22,7 @@ from trajmill.llm.common import bounded_sample
 from trajmill.llm.words import POWERS, blocks, mixed
 
 ORDER = 5
-BITS = 22  # the language model is one table of 2**BITS counts, whatever the corpus
+HELD = 1 << 21  # n-grams that a counting task holds before it hands them on
 BEAM = 8
 REMEMBERED = 64  # characters of the longest spots whose restoration is kept for the next time
 TRAIN_ROWS = 12_000  # labelled rows used to learn the lexicon, those with the smallest hash of their id
@@ -41,7 +41,7 @@ SEPARATORS = ".-_*·~"
 _SIGNS = "".join(LEET) + SEPARATORS
 
 _LETTER, _LEET, _SEPARATOR, _OTHER, _SPACE = 1, 2, 4, 8, 16
-_MULTIPLIER, _ODD, _MASK = 1000003, 0x9E3779B97F4A7C15, (1 << 64) - 1
+_MULTIPLIER, _MASK = 1000003, (1 << 64) - 1
 _BETWEEN = "\n\x01\n"  # a token of no letter keeps spots from reaching into the next text
 _LETTERS = re.compile(r"[^\W\d_]+")
 _tables: dict = {}
@@ -80,57 +80,89 @@ def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # -- character language model ------------------------------------------------------------------------
 
+def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    return key[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the letter n-grams; every distinct word is taken apart once."""
+    kind, value = _classes()
+    code = _codes(texts)
+    first, last = _runs(kind[code] == _LETTER)
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    _, at, times = np.unique(Scorer._hash_runs(code, value, first, last), return_index=True, return_counts=True)
+    size = last[at] - first[at] + 3  # with the edges before and after
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    place = np.arange(size.sum()) - np.repeat(begin, size)  # in the word, 0 is the edge before it
+    plain = code[np.repeat(first[at] - 1, size) + place].astype(np.uint64)
+    plain[begin] = plain[begin + size - 1] = 32
+    weight = np.repeat(times, size)
+    key, keys, counts = np.zeros(len(plain), np.uint64), [], []
+    for n in range(1, ORDER + 1):
+        key = key.copy()
+        key[n - 1:] += plain[: len(plain) - n + 1] * np.uint64(pow(_MULTIPLIER, n - 1, 1 << 64))
+        chosen = place >= max(n - 1, 1)
+        keys.append(key[chosen])
+        counts.append(weight[chosen])
+    return _summed(keys, counts)
+
+
 def _count(batches):
-    """Per task: (bucket, n) of the letter n-grams up to ORDER that begin at a word's edge or inside it."""
-    kind, _ = _classes()
-    table = np.zeros(1 << BITS, np.int64)
+    """Per task: (gram, n) of the letter n-grams up to ORDER that begin at a word's edge or inside it."""
+    keys, counts, held = [], [], 0
+
+    def handed_on():
+        key, count = _summed(keys, counts)
+        for i in range(0, len(key), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i: i + (1 << 18)].view(np.int64)), pa.array(count[i: i + (1 << 18)], pa.int64())], names=["gram", "n"])
+
     for batch in batches:
         texts = [(t or "").lower() for t in batch.column(0).to_pylist()]
         for first, end in blocks(texts, 1 << 21):
-            code = _codes(texts[first:end])
-            letter = kind[code] == _LETTER
-            edge = ~letter
-            code = np.where(letter, code, 32).astype(np.uint64)
-            keep = letter.copy()
-            keep[1:] |= letter[:-1]  # the first edge after a word ends it; further edges tell nothing
-            at = np.arange(len(code))
-            since = at - np.maximum.accumulate(np.where(edge, at, 0))
-            since[1:] = np.where(edge[1:], since[:-1] + 1, since[1:])
-            key, found = np.zeros(len(code), np.uint64), []
-            for size in range(1, ORDER + 1):
-                power = np.uint64(pow(_MULTIPLIER, size - 1, 1 << 64))
-                key = key.copy()
-                key[size - 1:] += code[: len(code) - size + 1] * power
-                chosen = keep & (since >= size - 1)
-                chosen[: size - 1] = False
-                found.append((key[chosen] * np.uint64(_ODD)) >> np.uint64(64 - BITS))
-            table += np.bincount(np.concatenate(found).astype(np.int64), minlength=1 << BITS)
-    hit = np.flatnonzero(table)
-    for i in range(0, len(hit), 1 << 18):
-        part = hit[i: i + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(table[part], pa.int64())], names=["bucket", "n"])
-
-
-def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts of letter n-grams over all rows, in one table of fixed size."""
-    rows = (docs.select(text).mapInArrow(_count, "bucket bigint, n bigint")
-            .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())  # at most 2**BITS rows
-    table = np.zeros(1 << BITS, np.float32)
-    table[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float32)
-    return table
+            key, count = _grams(texts[first:end])
+            keys, counts, held = [*keys, key], [*counts, count], held + len(key)
+            if held > HELD:
+                key, count = _summed(keys, counts)
+                keys, counts, held = [key], [count], len(key)
+                if held > HELD // 2:
+                    yield from handed_on()
+                    keys, counts, held = [], [], 0
+    if held:
+        yield from handed_on()
+
+
+def language_model(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Letter n-grams over all rows: their 64-bit keys in order, and how often each occurs.
+
+    Every distinct n-gram has an entry of its own, so the arrays (12 bytes an entry) grow with the n-grams of the corpus
+    and an n-gram that never occurs has none.
+    """
+    rows = docs.select(text).mapInArrow(_count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    key, n = rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(np.float32)
+    order = np.argsort(key)
+    return key[order], n[order]
 
 
 class Decoder:
     """Viterbi decoding of disguised spots under the language model."""
 
-    def __init__(self, table: np.ndarray):
-        self.table, self.known, self.seen = table, {}, {}
+    def __init__(self, table: tuple[np.ndarray, np.ndarray]):
+        self.keys, self.counts = table
+        self.most = float(self.counts.max()) if len(self.counts) else 0.0
+        self.known, self.seen = {}, {}
 
     def _held(self, gram: str) -> float:
         key = 0
         for ch in gram:
             key = (key * _MULTIPLIER + ord(ch)) & _MASK
-        return float(self.table[((key * _ODD) & _MASK) >> (64 - BITS)])
+        at = int(self.keys.searchsorted(np.uint64(key)))
+        return float(self.counts[at]) if at < len(self.keys) and int(self.keys[at]) == key else 0.0
 
     def step(self, past: str, ch: str) -> float:
         """Log-probability of ``ch`` after ``past``, with a fixed fine for every shorter history."""
@@ -141,7 +173,7 @@ class Decoder:
         while True:
             n = self._held(g)
             if n > 0 or len(g) == 1:
-                whole = self._held(g[:-1]) if len(g) > 1 else float(self.table.max())
+                whole = self._held(g[:-1]) if len(g) > 1 else self.most
                 value = log(max(n, 0.1) / max(whole, n, 1.0)) - fine
                 break
             g, fine = g[1:], fine + 1.5
