@@ -120,7 +120,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_decontamination")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), segment=decontamination.SEGMENT)
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), segment=decontamination.SEGMENT, every_item=True)
 
 
 # -- op7 ---------------------------------------------------------------------------------------------
