@@ -114,3 +114,10 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {x: root(x) for x in up if root(x) != x}
     assert components(spark.createDataFrame([], T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))).collect() == []
+
+
+def test_links_at_the_threshold_are_lost_as_seldom_as_stated():
+    from math import comb
+    from trajmill.llm import near_duplicates as nd
+    n = nd.COORDINATES
+    assert sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(nd.MATCHES)) < 2e-5

@@ -5,7 +5,7 @@ collide in at least ``matches`` of ``coordinates``; so values held by one class
 shared values than ``matches`` cannot have a partner, and, with values in order of list length, each class is merged on its
 ``shared - matches + 1`` shortest lists only: the long lists are skipped and probed just for candidates. Candidates are
 confirmed on the full shingle sets, so a reported link is never wrong; a pair at the threshold of 0.8 itself collides too
-seldom with a probability below 1e-4 (48 coordinates, 28 matches), a closer pair far more rarely.
+seldom with a probability of 1.3e-5 (48 coordinates, 26 matches), a closer pair far more rarely.
 
 Groups of thousands of near copies would give all pairs. Lists are therefore joined to one member first, their hub: the member
 whose values the most classes share, as the text that copies derive from does. What links have put into one component is not
@@ -25,7 +25,7 @@ from trajmill.llm.components import components
 from trajmill.llm.words import blocks, mixed, shingles
 
 COORDINATES = 48
-MATCHES = 28
+MATCHES = 26
 BROADCAST_IDS = 2_000_000
 OPEN_PAIRS = 1_000_000  # lists with more pairs across components are split by a second value
 _SEEDS = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
