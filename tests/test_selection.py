@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajmill import TrajectorySpec
-from trajmill.operators import fitting as fit, metrics as M, prediction as pred, selection as sel, shaping as S
+from trajmill.operators import fitting as fit, metrics as M, prediction as pred, selection as sel, shaping as S, trees as TR
 
 SPEC = TrajectorySpec(case="c", time="t", states=("x1", "x2"), inputs=("u1",))
 
@@ -78,14 +78,56 @@ def test_horizon_and_case_errors(cases):
     assert np.isclose(tail[(tail.c == "run2") & (tail.horizon == 5)].tail_rmse.iloc[0], want)
 
 
-def test_trees_roll_out(cases):
+@pytest.mark.parametrize("kind, trees", [("random_forest", 7), ("gradient_boosting", 4)])
+def test_flat_trees_equal_spark_step_by_step(spark, cases, kind, trees):
+    from pyspark.ml.feature import VectorAssembler
+
     pod = fit.fit_pod(fit.fit_snapshots(cases, SPEC.states), SPEC.states, rank=2)
-    models = fit.fit_trees(S.transitions(cases, SPEC), SPEC, pod, trees=5)
-    rolled = pred.rollout_trees(cases, SPEC, pod, models, 3)
-    assert rolled.count() == 16
-    start = rolled.where("_k = 0 and c = 'run2'").first()
-    assert np.isclose(start["pred_x1"], 3.0)
-    assert pred.predict_next_trees(cases, SPEC, pod, models).count() == 48
+    steps = S.transitions(cases, SPEC)
+    ensembles = TR.train_ensembles(steps, SPEC, pod, model_type=kind, trees=trees, seed=3)
+    model = TR.TreeModel("pod_ml", list(SPEC.states), list(SPEC.inputs), pod, [TR.flatten(m) for m in ensembles])
+    rolled = TR.rollout_trees(cases.repartition(5), SPEC, model).toPandas().sort_values(["c", "t"])
+    frame = cases.toPandas().sort_values(["c", "t"])
+    modal = [g[list(SPEC.states)].to_numpy(float)[:1] for _, g in frame.groupby("c")]
+    modal = (np.concatenate(modal) - pod.mean) / pod.spread @ pod.modes
+    assemble = VectorAssembler(inputCols=["a1", "a2", *SPEC.inputs], outputCol="features")
+    for k in range(5):
+        got = rolled[rolled._k == k][[f"pred_{s}" for s in SPEC.states]].to_numpy()
+        assert np.allclose(got, modal @ pod.modes.T * pod.spread + pod.mean)
+        u = frame.groupby("c").nth(k)[list(SPEC.inputs)].to_numpy(float)
+        table = pd.DataFrame(np.column_stack([modal, u]), columns=["a1", "a2", *SPEC.inputs]).assign(row=range(len(modal)))
+        features = assemble.transform(spark.createDataFrame(table))
+        for m in ensembles:
+            features = m.transform(features)
+        modal = features.orderBy("row").select("pred_a1", "pred_a2").toPandas().to_numpy()
+    assert len(rolled) == len(frame) and TR.rollout_trees(cases, SPEC, model, steps=3).count() == 4 * frame.c.nunique()
+    one = TR.predict_next_trees(cases, SPEC, model).toPandas().sort_values(["c", "t"])
+    first, second = rolled[rolled._k == 0], rolled[rolled._k == 1]
+    assert len(one) == len(frame) and np.allclose(one[one.t.isin(first.t)].groupby("c").nth(0)["pred_x1"], second["pred_x1"])
+
+
+def test_trees_without_case_and_null_case(spark):
+    rows = [(c, float(t), 0.1 * t + (c or 0), float(t % 3)) for c in (1, 2, None) for t in range(12)]
+    df = spark.createDataFrame(rows, "c int, t double, x double, u double")
+    spec = TrajectorySpec(case="c", time="t", states=("x",), inputs=("u",))
+    pod = fit.fit_pod(fit.fit_snapshots(df, ["x"]), ["x"], rank=1)
+    model = TR.fit_tree_model(S.transitions(df, spec), spec, pod, trees=3)
+    got = TR.rollout_trees(df, spec, model)
+    assert got.count() == 36 and got.where("c is null").count() == 12 and got.where("pred_x is null").count() == 0
+    alone = TrajectorySpec(time="t", states=("x",), inputs=("u",))
+    part = df.where("c = 2").drop("c")
+    want = [r.pred_x for r in got.where("c = 2").orderBy("t").collect()]
+    assert np.allclose([r.pred_x for r in TR.rollout_trees(part, alone, model).orderBy("t").collect()], want)
+
+
+def test_trees_by_name(cases):
+    df = cases.withColumn("split", F.when(F.col("c") == "run1", "test").otherwise("train"))
+    table, scores = sel.compare_models(df, SPEC, ["persistence", "dmdc", "pod_ml_rf"], pod_rank=2, trees=3)
+    rows = {r.model_name: r for r in table.collect()}
+    assert set(rows) == {"persistence", "dmdc", "pod_ml_rf"} and rows["pod_ml_rf"].test_rmse > 0
+    assert rows["pod_ml_rf"].stability_status == "not_applicable" and rows["persistence"].stability_status == "baseline"
+    swept = sel.rank_delay_sweep(df, SPEC, models=("dmdc", "pod_ml_gb"), pod_ranks=(1, 2), delays=(1, 2), trees=2).collect()
+    assert len(swept) == 8 and all(r.status == "ok" and r.test_rmse is not None and r.newest_test_rmse is not None for r in swept)
 
 
 def test_stability_and_delay_names():

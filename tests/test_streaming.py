@@ -94,6 +94,93 @@ def collect_late(spark, drop):
     return sum(seen)
 
 
+def test_one_growing_file(spark):
+    """Rows appended between triggers come once each, half lines wait, and a restart goes on where it stopped."""
+    drop, check, seen = folder(), folder(), []
+    path = f"{drop}/log.csv"
+
+    def put(text, mode="a"):
+        with open(path, mode, newline="") as f:
+            f.write(text)
+
+    def poll(source=path, checkpoint=check, **options):
+        rows = []
+        stream = IN.make_stream(spark, "csv_tail", source, columns=["time", "TP1", "absent"], **options)
+        IN.run_until_done(stream, lambda df, _: rows.extend(df.orderBy("_stream_row_index").collect()), checkpoint)
+        seen.extend((r.time, r.TP1) for r in rows)
+        return rows
+
+    assert poll() == []  # no file yet
+    put("TP1,time\r\n1,0\r\n2,1\r\n3,", "w")
+    first = poll()
+    assert [(r.time, r.TP1, r.absent) for r in first] == [("0", "1", None), ("1", "2", None)] and first[0]["_stream_source"] == "log.csv"
+    assert poll() == []
+    put("2\r\n")
+    put('"4, x",3\n\n,4\n')
+    assert [(r.time, r.TP1) for r in poll(part_bytes=3)] == [("2", "3"), ("3", "4, x"), ("4", None)]
+    body = "".join(f"{i},{i}\n" for i in range(5, 3000))
+    put(body + "half")
+    more = poll(part_bytes=1000)
+    assert [int(r.time) for r in more] == list(range(5, 3000)) and len(set(r["_stream_row_index"] for r in more)) == 2995
+    assert all(more[i]["_stream_row_index"] < more[i + 1]["_stream_row_index"] for i in range(2994))
+    assert len(seen) == len(set(seen)) == 3000
+    late, fresh = folder(), folder()
+    assert poll(checkpoint=late, start_at_end=True) == [] and poll(drop, fresh)  # at the end; the folder form reads all
+    put("\n9999,9999\n")
+    assert [r.time for r in poll(checkpoint=late, start_at_end=True)] == [None, "9999"]
+    put("TP1,time\n7,7\n", "w")  # written anew
+    assert [(r.time, r.TP1) for r in poll()] == [("7", "7")]
+    with open(f"{drop}/second.csv", "w") as f:
+        f.write("time,TP1,case\n1,1,a\n2,2,b\n")
+    assert [r.TP1 for r in poll(drop, fresh)] == ["7", "1", "2"]
+
+
+def test_runs_stop_at_their_limits(spark, log):
+    path = folder() + "/replay"
+    IN.write_replay(log, path, chunk_size=3, order=("n",))
+    schema, seen = spark.read.parquet(path).schema, []
+
+    def run(check, **limits):
+        got = []
+        IN.run_until_done(IN.replay_stream(spark, path, schema), lambda df, _: got.append([r.n for r in df.orderBy("n").collect()]), check, **limits)
+        return got
+
+    assert run(folder(), max_samples=7) == [[0, 1, 2], [3, 4, 5], [6]]
+    check = folder()
+    assert run(check, max_polls=2) == [[0, 1, 2], [3, 4, 5]]
+    assert run(check) == [[6, 7, 8], [9, 10]]  # nothing after the limit was lost
+    assert run(folder(), max_samples=0) == [] and run(folder(), max_polls=3, poll_seconds=0.2)[:1] == [[0, 1, 2]]
+    assert run(folder(), max_samples=100) == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10]]
+    failing = lambda df, _: 1 / 0
+    with pytest.raises(Exception, match="ZeroDivision|division"):
+        IN.run_until_done(IN.replay_stream(spark, path, schema), failing, folder(), max_polls=5)
+
+
+@pytest.mark.parametrize("triggers", [1, 10, 100])
+def test_checks_equal_the_table_with_a_short_memory(spark, triggers):
+    rng = np.random.default_rng(6)
+    rows = [(str(rng.integers(3)), float(rng.integers(0, 400) / 4 + i / 4), float(i), float(i), "1", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "case_id string, time double, TP1 double, TP2 double, q string, n long")
+    path = folder() + "/replay"
+    IN.write_replay(df, path, chunk_size=-(-300 // triggers), order=("n",))
+    schema = spark.read.parquet(path).schema
+    stream = BUF.check_stream(IN.replay_stream(spark, path, schema), SPEC, remember_seconds=20.0)
+    got = collect_stream(stream)
+    table = df.withColumn("_stream_row_index", F.col("n"))
+    want = {r.n: r["_code"] for r in BUF.check_table(table, SPEC, remember_seconds=20.0).collect()}
+    split = {r.n: r["_code"] for r in BUF.check_table(table, SPEC, remember_seconds=20.0, target_rows=25).collect()}
+    everything = {r.n: r["_code"] for r in BUF.check_table(table, SPEC).collect()}
+    assert dict(zip(got.n, got["_code"])) == want == split
+    assert want != everything and BUF.REPEATED in want.values() and BUF.BACKWARDS in want.values()
+
+
+def test_frames_stay_apart_and_are_ranked():
+    part = lambda *values: pd.DataFrame({"x": values})
+    frames, order = BUF.in_order(iter([part(2, 1), part(9, None), part(5, 7)]), [BUF.SEQ])
+    assert [len(f) for f in frames] == [2, 2, 2] and order.tolist() == [1, 0, 4, 5, 2, 3]
+    assert [v.tolist() for _, v in BUF.dealt(np.arange(6), frames)] == [[0, 1], [2, 3], [4, 5]]
+
+
 @pytest.mark.parametrize("chunk", [7, 100])
 def test_stream_filter_equals_batch_filter(spark, chunk):
     rng = np.random.default_rng(3)

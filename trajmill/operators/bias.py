@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trajmill.operators import monitoring as mon
 from trajmill.operators.shaping import asof_backward, flags_at_time
@@ -79,14 +80,61 @@ def _moved(bias: float, residual: float, rules: BiasRules) -> float:
     return min(max(bias + step, -rules.max_abs_bias), rules.max_abs_bias)
 
 
+class BiasMap:
+    """What a run of accepted updates makes of any starting bias: a rising piecewise-linear function, kept as its corners.
+
+    One update moves a bias by at most ``max_step`` towards a residual and clips it, which has at most six corners. Such
+    functions are closed under composition, so a run is one function. An update that adds corners also draws the results
+    together, by up to twice the step, and one that adds none leaves the number as it is: a run has a few times max_abs_bias / max_step
+    corners, and only two of one value as soon as its start no longer matters.
+    """
+
+    def __init__(self, rules: BiasRules, corners: list[float] | None = None, values: list[float] | None = None):
+        self.rules = rules
+        bound = float(rules.max_abs_bias)
+        self.corners, self.values = corners or [-bound, bound], values or [-bound, bound]
+
+    def update(self, residual: float) -> None:
+        """Compose with one more accepted residual."""
+        values, rules = self.values, self.rules
+        if values[0] == values[-1]:
+            self.corners, self.values = [self.corners[0], self.corners[-1]], [_moved(values[0], residual, rules)] * 2
+            return
+        for bend in _bends(residual, rules):
+            if values[0] < bend < values[-1]:
+                i = bisect_left(values, bend)
+                if values[i] != bend:
+                    share = (bend - values[i - 1]) / (values[i] - values[i - 1])
+                    self.corners.insert(i, self.corners[i - 1] + share * (self.corners[i] - self.corners[i - 1]))
+                    values.insert(i, bend)
+        self.values = values = [_moved(v, residual, rules) for v in values]
+        if len(values) > 8:  # corners inside a flat stretch say nothing
+            keep = [i for i in range(len(values)) if i in (0, len(values) - 1) or not values[i - 1] == values[i] == values[i + 1]]
+            self.corners, self.values = [self.corners[i] for i in keep], [values[i] for i in keep]
+
+    def __call__(self, start: float) -> float:
+        return float(np.interp(start, self.corners, self.values))
+
+
+def _bends(residual: float, rules: BiasRules) -> list[float]:
+    """Where one update changes its slope."""
+    rate, step, bound = rules.learning_rate, rules.max_step, rules.max_abs_bias
+    if rate == 0.0:
+        return []
+    low, high = residual - step / rate, residual + step / rate
+    bends = {low, high, bound - step, step - bound}
+    if rate < 1.0:
+        bends |= {(bound - rate * residual) / (1.0 - rate), (-bound - rate * residual) / (1.0 - rate)}
+    return sorted(bends)
+
+
 def bias_events(residuals: DataFrame, alerts: DataFrame, trust: DataFrame, keys: list[str] = (),
                 rules: BiasRules = BiasRules(), target_rows: int | None = None) -> DataFrame:
     """Audit log of every accepted or skipped update, 18 columns besides the keys.
 
     The bias of a key is an ordered fold with clipping. It runs as a stream over sorted partitions.
-    A hot key is cut into time segments: an update never swaps the order of two starting values, so
-    when a segment ends alike from both ends of the allowed range, its result does not depend on
-    its start. Segments where the ends still differ are folded once their start is known.
+    A hot key is cut into time segments, and each segment is summarised by the function that it is of its start
+    (``BiasMap``); one pass over the hot rows gives all functions, and following them gives every start.
     """
     keys, key = list(keys), rules.key(keys)
     judged = update_decision(lookup_trust(residuals, trust, keys, "matched_time", target_rows), alerts, keys, rules,
@@ -108,17 +156,24 @@ def bias_events(residuals: DataFrame, alerts: DataFrame, trust: DataFrame, keys:
     def fold(frames):
         last, bias = None, 0.0
         for frame in frames:
-            old, new = np.zeros(len(frame)), np.zeros(len(frame))
-            used, ok = frame["_used"].to_numpy(float), frame["_ok"].to_numpy(bool)
-            start = frame["_start"].to_numpy(float) if seeded else None
-            change = _changes(frame, runs, last)
-            for i in range(len(frame)):
-                if change[i]:
-                    bias = float(start[i]) if seeded and start[i] == start[i] else 0.0
-                old[i] = bias
+            used, ok = frame["_used"].to_numpy(float).tolist(), frame["_ok"].to_numpy(bool)
+            start = frame["_start"].to_numpy(float) if seeded else np.zeros(len(frame))
+            begins = np.flatnonzero(_changes(frame, runs, last))
+            opening = dict(zip(begins.tolist(), np.nan_to_num(start[begins]).tolist()))
+            new = np.empty(len(frame))
+            old = np.empty(len(frame))
+            # A bias only changes at accepted rows: those are folded, the others repeat what stands.
+            stops = np.union1d(np.flatnonzero(ok), begins).tolist()
+            at = 0
+            for i in stops:
+                old[at: i + 1], new[at:i] = bias, bias
+                if i in opening:
+                    bias = opening[i]
+                    old[i] = bias
                 if ok[i]:
                     bias = _moved(bias, used[i], rules)
-                new[i] = bias
+                new[i], at = bias, i + 1
+            old[at:], new[at:] = bias, bias
             if len(frame):
                 last = _identity(frame, runs, len(frame) - 1)
             yield frame[columns].assign(_old=old, _new=new)
@@ -150,66 +205,40 @@ def _changes(frame: pd.DataFrame, runs: list[str], last) -> np.ndarray:
 
 
 def _segment_starts(ordered: DataFrame, layout, rules: BiasRules, runs: list[str], kinds: dict) -> DataFrame | None:
-    """Start value of every segment of the hot keys (at most 8,192 rows on the driver)."""
+    """Start value of every segment of the hot keys, from one pass over their rows."""
     if not layout.split:
         return None
 
-    def ends(frames):
-        last, lo, hi, count, out = None, 0.0, 0.0, 0, []
+    def summarise(frames):
+        last, made = None, None
         for frame in frames:
-            used, ok = frame["_used"].to_numpy(float), frame["_ok"].to_numpy(bool)
-            first = frame["_first"].to_numpy(float) if "_first" in frame else None
-            change = _changes(frame, runs, last)
-            for i in range(len(frame)):
-                if change[i]:
+            used, ok = frame["_used"].to_numpy(float).tolist(), frame["_ok"].to_numpy(bool)
+            begins = set(np.flatnonzero(_changes(frame, runs, last)).tolist())
+            out = []
+            for i in sorted(begins.union(np.flatnonzero(ok).tolist())):
+                if i in begins:
                     if last is not None:
-                        out.append((*last, lo, hi, count))
-                    last, count = _identity(frame, runs, i), 0
-                    lo, hi = (-rules.max_abs_bias, rules.max_abs_bias) if first is None else (first[i], first[i])
+                        out.append((*last, made.corners, made.values))
+                    last, made = _identity(frame, runs, i), BiasMap(rules)
                 if ok[i]:
-                    lo, hi, count = _moved(lo, used[i], rules), _moved(hi, used[i], rules), count + 1
-            yield pd.DataFrame(out, columns=[*runs, "_lo", "_hi", "_count"])
-            out = []
+                    made.update(used[i])
+            yield pd.DataFrame(out, columns=[*runs, "_corners", "_values"])
         if last is not None:
-            yield pd.DataFrame([(*last, lo, hi, count)], columns=[*runs, "_lo", "_hi", "_count"])
+            yield pd.DataFrame([(*last, made.corners, made.values)], columns=[*runs, "_corners", "_values"])
+
+    def follow(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(SEGMENT).reset_index(drop=True)
+        bias, starts = 0.0, []
+        for corners, values in zip(frame["_corners"], frame["_values"]):
+            starts.append(bias)
+            bias = BiasMap(rules, list(corners), list(values))(bias)
+        return frame[runs].assign(_start=starts)
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in runs) + ", _lo double, _hi double, _count bigint"
+    names = ", ".join(f"`{k}` {kinds[k]}" for k in runs)
     slim = layout.hot_rows(ordered).select(*dict.fromkeys([*runs, *ORDER]), "_used", "_ok")
-    found = {tuple(r[k] for k in runs): (r["_lo"], r["_hi"], r["_count"]) for r in slim.mapInPandas(ends, schema).collect()}
-    spark, known = ordered.sparkSession, {}
-    run_type = T.StructType([ordered.schema[k] for k in runs])
-    while True:
-        known, open_segments = _compose(found)
-        if not open_segments:
-            break
-        # Segments whose result depends on a start that is now known; every pass settles all of these.
-        table = spark.createDataFrame([(*k, float(v)) for k, v in open_segments.items()],
-                                      T.StructType([*run_type.fields, T.StructField("_first", T.DoubleType())]))
-        again = layout.join_carry(slim, table).where(F.col("_first").isNotNull())
-        again = again.repartition(*runs).sortWithinPartitions(*runs, *ORDER)
-        for r in again.mapInPandas(ends, schema).collect():
-            found[tuple(r[k] for k in runs)] = (r["_lo"], r["_hi"], r["_count"])
-    return spark.createDataFrame([(*k, float(v)) for k, v in known.items()],
-                                 T.StructType([*run_type.fields, T.StructField("_start", T.DoubleType())]))
-
-
-def _compose(found: dict) -> tuple[dict, dict]:
-    """Starts known so far, and the first segment of each key that still depends on its start."""
-    starts, waiting, by_key = {}, {}, {}
-    for run in found:
-        by_key.setdefault(run[:-1], []).append(run)
-    for runs in by_key.values():
-        value = 0.0
-        for run in sorted(runs, key=lambda r: r[-1]):
-            starts[run] = value
-            lo, hi, count = found[run]
-            if count == 0:
-                continue  # nothing accepted: the bias passes through
-            if lo != hi:
-                waiting[run] = value
-                break
-            value = lo
-    return starts, waiting
+    maps = slim.mapInPandas(summarise, f"{names}, _corners array<double>, _values array<double>")
+    # At most 8,192 segments exist in all; those of one key meet in one small task.
+    return settle(maps.groupBy(*runs[:-1]).applyInPandas(follow, f"{names}, _start double"))
 
 
 def _format_number(c: Column) -> Column:

@@ -517,34 +517,13 @@ def _all_but_one(parts, base=(None, 0)):
     return out
 
 
-# -- baselines and tree regressors ----------------------------------------------------------------------------
+# -- baselines and modal features ----------------------------------------------------------------------------
 
 def fit_mean(df: DataFrame, states) -> dict[str, float]:
     row = df.agg(*[F.avg(c).alias(c) for c in states]).first()
     return {c: row[c] for c in states}
 
 
-def fit_trees(steps: DataFrame, spec: TrajectorySpec, pod: PODBasis, *, model_type: str = "random_forest",
-              trees: int = 100, seed: int = 0) -> list:
-    """One Spark tree ensemble per mode on features (modal state, inputs); distributed training."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    features = modal_features(steps, spec, pod)
-    names = [f"a{i + 1}" for i in range(pod.rank)]
-    ready = VectorAssembler(inputCols=[*names, *spec.inputs], outputCol="features").transform(features)
-    ready = ready.select("features", *[f"next_{c}" for c in names]).persist()
-    makers = {
-        "random_forest": lambda y: RandomForestRegressor(featuresCol="features", labelCol=y, numTrees=trees, seed=seed),
-        "gradient_boosting": lambda y: GBTRegressor(featuresCol="features", labelCol=y, seed=seed, maxIter=trees, maxDepth=3),
-    }
-    if model_type not in makers:
-        raise ValueError(f"unknown tree model: {model_type!r}")
-    models = [makers[model_type](f"next_{c}").setPredictionCol(f"pred_{c}").fit(ready) for c in names]
-    ready.unpersist()
-    return models
-
-
 def modal_features(steps: DataFrame, spec: TrajectorySpec, pod: PODBasis) -> DataFrame:
     """Modal coefficients of the start and (where present) next states as column expressions."""
     from trajmill.operators.prediction import encode_columns
@@ -563,13 +542,18 @@ MODEL_NAMES = {
     "ridge_dmdc": "ridge_dmdc", "regularized_dmdc": "ridge_dmdc", "ridge_dmd": "ridge_dmdc",
     "adaptive_dmdc": "adaptive_dmdc", "variable_dt_dmdc": "adaptive_dmdc", "adaptive": "adaptive_dmdc",
     "pod_dmdc": "pod_dmdc", "pod_ml": "pod_ml", "pod_ml_ridge": "pod_ml",
+    "pod_ml_random_forest": "pod_trees", "pod_ml_rf": "pod_trees",
+    "pod_ml_gradient_boosting": "pod_trees", "pod_ml_gb": "pod_trees",
 }
 
 
 def fit_named(name: str, df: DataFrame, spec: TrajectorySpec, *, steps: Factor | None = None,
               snapshots: Factor | None = None, rank=None, pod_rank=0.999, alpha: float = 1e-4,
-              center: bool = True, scale: bool = False):
-    """Fit by registered name; shared factors are reused when given. Centre and scale act on the modes only."""
+              center: bool = True, scale: bool = False, trees: int = 100):
+    """Fit by registered name; shared factors are reused when given. Centre and scale act on the modes only.
+
+    Tree names read the transitions once more, as trees need the rows; ``trees`` is their number.
+    """
     kind = MODEL_NAMES.get(name.lower())
     if kind is None:
         raise ValueError(f"unknown model: {name!r}")
@@ -584,6 +568,11 @@ def fit_named(name: str, df: DataFrame, spec: TrajectorySpec, *, steps: Factor |
             spec = TrajectorySpec(time=spec.time, states=spec.states, case=spec.case, order=spec.order)
         steps = steps or fit_transitions(df, spec)
         return fit_ridge(steps, spec, rank=rank, alpha=alpha) if kind == "ridge_dmdc" else fit_dmdc(steps, spec, rank=rank)
+    if kind == "pod_trees":
+        from trajmill.operators.trees import TREE_NAMES, fit_tree_model
+
+        pod = fit_pod(snapshots or fit_snapshots(df, spec.states), spec.states, rank=pod_rank, center=center, scale=scale)
+        return fit_tree_model(transitions(df, spec), spec, pod, model_type=TREE_NAMES[name.lower()], trees=trees)
     steps = steps or fit_transitions(df, spec)
     snapshots = snapshots or fit_snapshots(df, spec.states)
     if kind == "pod_dmdc":

@@ -113,12 +113,7 @@ def _key(frame: pd.DataFrame, keys: list[str], row: int) -> tuple:
 
 def _scan(matrices: np.ndarray, forcing: np.ndarray, first: np.ndarray) -> np.ndarray:
     """``x[k] = M x[k-1] + f[k]`` restarted where ``first``; M is constant or given per row."""
-    if matrices.ndim == 2:
-        return L.affine_scan(matrices, forcing, first)
-    x = np.array(forcing, float)
-    for k in np.flatnonzero(~first):
-        x[k] += matrices[k] @ x[k - 1]
-    return x
+    return (L.affine_scan if matrices.ndim == 2 else L.varying_scan)(matrices, forcing, first)
 
 
 def _blocks(sizes: list[int]) -> list[slice]:
@@ -205,9 +200,8 @@ def _recursion(df: DataFrame, spec: TrajectorySpec, layout: CaseLayout, sizes: l
                 for i, m in enumerate(matrices):
                     if m.ndim == 2:
                         phis[i] = np.linalg.matrix_power(m, hi - lo) @ phis[i]
-                    else:
-                        for one in m[lo + int(opening[lo]):hi]:
-                            phis[i] = one @ phis[i]
+                    elif lo + int(opening[lo]) < hi:
+                        phis[i] = L.chain_product(m[lo + int(opening[lo]):hi]) @ phis[i]
         if key is not None:
             yield record()
 
@@ -264,16 +258,6 @@ def rollout_many(df: DataFrame, spec: TrajectorySpec, models: dict[str, LinearMo
     needed = list(dict.fromkeys([*keep, *spec.keys, *spec.sort, *[c for s in full for c in s], *inputs]))
     shifted = with_lags(cluster(df.select(*needed), layout), layout, spec.sort, {**{f"_u_{c}": (c, 1) for c in inputs}, "_t_before": (spec.time, 1)})
     time, sizes = spec.time, [len(m.states) for m in parts]
-    cache: dict[tuple[int, float], tuple[np.ndarray, np.ndarray]] = {}
-
-    def held(i, dt):
-        if (i, dt) not in cache:
-            if not dt > 0:
-                raise ValueError("time must strictly increase inside a case")
-            if len(cache) > 4096:
-                cache.clear()
-            cache[i, dt] = L.hold_step(parts[i].a, parts[i].b, dt)
-        return cache[i, dt]
 
     def prepare(frame, opening):
         matrices, forcing = [], []
@@ -282,11 +266,11 @@ def rollout_many(df: DataFrame, spec: TrajectorySpec, models: dict[str, LinearMo
             if m.inputs:
                 u = np.where(opening[:, None], 0.0, frame[[f"_u_{c}" for c in m.inputs]].to_numpy(float))
             if m.continuous:
-                dts = (frame[time] - frame["_t_before"]).to_numpy(float)
-                rows, push = np.zeros((len(frame), sizes[i], sizes[i])), np.zeros((len(frame), sizes[i]))
-                for k in np.flatnonzero(~opening):
-                    a, b = held(i, float(dts[k]))
-                    rows[k], push[k] = a, b @ u[k]
+                dts = np.where(opening, 1.0, (frame[time] - frame["_t_before"]).to_numpy(float))
+                if not (dts > 0).all():
+                    raise ValueError("time must strictly increase inside a case")
+                rows, push = L.hold_steps(m.a, m.b, dts)
+                push = np.einsum("kij,kj->ki", push, u)
             else:
                 rows, push = m.a, u @ m.b.T + m.offset
             x0 = frame[full[i]].to_numpy(float)[opening]
@@ -321,43 +305,6 @@ def rollout_persistence(df: DataFrame, spec: TrajectorySpec, prefix: str = "pred
          ).alias(f"{prefix}{c}") for c in spec.states])
 
 
-def rollout_trees(df: DataFrame, spec: TrajectorySpec, pod: PODBasis, models: list, steps: int) -> DataFrame:
-    """Recursive tree rollout for ``steps`` rows of every case, all cases advanced together per step."""
-    from pyspark.ml.feature import VectorAssembler
-
-    from trajmill.plans.segments import with_position
-    from trajmill.session import settle
-
-    names = [f"a{i + 1}" for i in range(pod.rank)]
-    layout = plan_layout(df, spec.keys, spec.time)
-    near = with_position(df, layout, spec.sort).where(F.col("_k") <= steps)
-    current = pod_transform(near.where(F.col("_k") == 0), pod).select(*spec.keys, *names)
-    assemble = VectorAssembler(inputCols=[*names, *spec.inputs], outputCol="features")
-    out = current.withColumn("_k", F.lit(0))
-    for k in range(steps):
-        driven = current.join(near.where(F.col("_k") == k).select(*spec.keys, *spec.inputs), spec.keys)
-        features = assemble.transform(driven)
-        for model in models:
-            features = model.transform(features)
-        current = features.select(*spec.keys, *[F.col(f"pred_{c}").alias(c) for c in names])
-        if k % 10 == 9:
-            current = settle(current)
-        out = out.unionByName(current.withColumn("_k", F.lit(k + 1)))
-    return pod_inverse(out, pod, "pred_")
-
-
-def predict_next_trees(df: DataFrame, spec: TrajectorySpec, pod: PODBasis, models: list) -> DataFrame:
-    """One-step tree prediction of every row, reconstructed to full states."""
-    from pyspark.ml.feature import VectorAssembler
-
-    names = [f"a{i + 1}" for i in range(pod.rank)]
-    features = VectorAssembler(inputCols=[*names, *spec.inputs], outputCol="features").transform(pod_transform(df, pod))
-    for model in models:
-        features = model.transform(features)
-    full = features.drop(*names, "features").withColumnsRenamed({f"pred_{c}": c for c in names})
-    return pod_inverse(full, pod, "pred_").drop(*names)
-
-
 # -- forecasts ---------------------------------------------------------------------------------------
 
 DEFAULT_HORIZONS = (5.0, 10.0, 30.0, 60.0)
@@ -416,40 +363,6 @@ def forecast(df: DataFrame, model: LinearModel, time: str, horizons=DEFAULT_HORI
 
 # -- Kalman filter -------------------------------------------------------------------------------------
 
-class GainSchedule:
-    """Gains of a linear filter; they depend on the model and noise only, not on the data.
-
-    Row 0 of a case updates without a prediction. After the covariance settles, the last gain
-    stays; until then gains are extended on demand.
-    """
-
-    def __init__(self, a, h, q, r, p0, tolerance: float = 1e-15):
-        self.a, self.h, self.q, self.r = a, h, q, r
-        self.gains, self.covariances = [], []
-        self.settled = False
-        self.tolerance = tolerance
-        self._update(np.array(p0, float))
-
-    def _update(self, p):
-        k = p @ self.h.T @ np.linalg.pinv(self.h @ p @ self.h.T + self.r)
-        after = (np.eye(len(p)) - k @ self.h) @ p
-        if self.covariances:
-            change = np.abs(after - self.covariances[-1]).max()
-            self.settled = change <= self.tolerance * max(np.abs(after).max(), 1e-300)
-        self.gains.append(k)
-        self.covariances.append(after)
-
-    def reach(self, index: int) -> None:
-        while len(self.gains) <= index and not self.settled:
-            self._update(self.a @ self.covariances[-1] @ self.a.T + self.q)
-
-    def at(self, index: np.ndarray):
-        if len(index):
-            self.reach(int(index.max()))
-        clipped = np.minimum(index, len(self.gains) - 1)
-        return np.asarray(self.gains)[clipped], np.asarray(self.covariances)[clipped]
-
-
 def kalman_filter(df: DataFrame, spec: TrajectorySpec, model: LinearModel, measurements: list[str], h: np.ndarray, *,
                   q: np.ndarray | None = None, r: np.ndarray | None = None, p0: np.ndarray | None = None,
                   x0=None, d: np.ndarray | None = None, h_offset: np.ndarray | None = None,
@@ -473,7 +386,7 @@ def kalman_filter(df: DataFrame, spec: TrajectorySpec, model: LinearModel, measu
     shift = np.zeros(len(measurements)) if h_offset is None else np.asarray(h_offset, float)
     start = np.zeros(n) if x0 is None else np.asarray(x0, float)
     inverse = np.linalg.pinv(h)
-    schedule = GainSchedule(a, h, q, r, p0)
+    schedule = L.RiccatiScan(a, h, q, r, p0)
     layout = layout or plan_layout(df, spec.keys, spec.time)
     needed = list(dict.fromkeys([*spec.keys, *spec.sort, *measurements, *model.inputs]))
     placed = with_position(cluster(df.select(*needed), layout), layout, spec.sort)
@@ -494,14 +407,10 @@ def kalman_filter(df: DataFrame, spec: TrajectorySpec, model: LinearModel, measu
         keep = eye - gains @ h
         drive = u @ b.T + offset
         forcing = np.einsum("kij,kj->ki", keep, drive) + np.einsum("kij,kj->ki", gains, y - u @ d.T)
-        matrices = keep @ a
-        for k in np.flatnonzero(opening):
-            x = inverse @ y[k] if initialise else start
-            forcing[k] = x + gains[k] @ (y[k] - h @ x - d @ u[k])
-        settled = schedule.settled and len(frame) and frame["_k"].min() >= len(schedule.gains)
-        if settled and not opening.any():
-            return [matrices[0]], forcing  # constant from here on: the doubling scan applies
-        return [matrices], forcing
+        at = np.flatnonzero(opening)
+        x = y[at] @ inverse.T if initialise else np.broadcast_to(start, (len(at), n))
+        forcing[at] = x + np.einsum("kij,kj->ki", gains[at], y[at] - x @ h.T - u[at] @ d.T)
+        return [keep @ a], forcing
 
     spread = decode
     states = list(decode.states) if decode is not None else list(model.states)
@@ -557,23 +466,13 @@ def one_step_table(df: DataFrame, spec: TrajectorySpec, model: LinearModel) -> D
     steps = transitions(df, spec)
     if not full.continuous:
         return predict_one_step(steps, full)
-    n = len(full.states)
 
     def step(frames):
-        cache = {}
         for frame in frames:
             x, u = frame[full.states].to_numpy(float), frame[full.inputs].to_numpy(float).reshape(len(frame), -1)
-            out = np.zeros((len(frame), n))
-            dts = frame["dt"].to_numpy(float)
-            for dt in np.unique(dts):
-                if len(cache) > 4096:
-                    cache.clear()
-                a, b = cache.setdefault(dt, L.hold_step(full.a, full.b, float(dt)))
-                rows = dts == dt
-                out[rows] = x[rows] @ a.T + u[rows] @ b.T
-            for i, c in enumerate(full.states):
-                frame[f"pred_{c}"] = out[:, i]
-            yield frame
+            a, b = L.hold_steps(full.a, full.b, frame["dt"].to_numpy(float))
+            out = np.einsum("kij,kj->ki", a, x) + np.einsum("kij,kj->ki", b, u)
+            yield frame.assign(**{f"pred_{c}": out[:, i] for i, c in enumerate(full.states)})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in steps.schema.fields)
     return steps.mapInPandas(step, kinds + "".join(f", pred_{c} double" for c in full.states))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from trajmill.operators import fitting as fit
 from trajmill.operators.metrics import score_models, stability, summarise_scores, train_test_table
-from trajmill.operators.prediction import rollout_many, rollout_persistence
+from trajmill.operators.prediction import rollout_many
 from trajmill.operators.shaping import delay_embedding
+from trajmill.operators.trees import TreeModel, rollout_trees
 from trajmill.plans.segments import join_null_safe, plan_layout, with_position
 from trajmill.spec import TrajectorySpec
 
@@ -21,27 +23,28 @@ def _train(df: DataFrame) -> DataFrame:
 
 
 def compare_models(df: DataFrame, spec: TrajectorySpec, names: list[str], *, rank=None, pod_rank=0.999,
-                   alpha: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+                   alpha: float = 1e-4, trees: int = 100) -> tuple[DataFrame, DataFrame]:
     """Fit every model on the train cases and roll all of them out over all cases.
 
     ``df`` carries a ``split`` column. One pass builds the factors all models share and one pass rolls
-    the linear models out side by side. Returns ``(table per model, errors per split/case/state)``.
+    the linear models and the baselines out side by side; each tree model has a pass of its own. Returns
+    ``(table per model, errors per split/case/state)``.
     """
     train = _train(df)
     steps = fit.fit_transitions(train, spec)
     snapshots = fit.fit_snapshots(train, spec.states) if any(fit.MODEL_NAMES.get(n.lower(), "").startswith("pod") for n in names) else None
-    models = {n: fit.fit_named(n, train, spec, steps=steps, snapshots=snapshots, rank=rank, pod_rank=pod_rank, alpha=alpha)
+    models = {n: fit.fit_named(n, train, spec, steps=steps, snapshots=snapshots, rank=rank, pod_rank=pod_rank, alpha=alpha, trees=trees)
               for n in names}
-    linear = {n: m for n, m in models.items() if isinstance(m, fit.LinearModel)}
+    linear = {n: m if isinstance(m, fit.LinearModel) else _baseline(fit.MODEL_NAMES[n.lower()], m, spec)
+              for n, m in models.items() if not isinstance(m, TreeModel)}
     keep = [*spec.keys, spec.time, *spec.order, *spec.states, "split"]
     by = ["split", *spec.keys]
     parts = []
     if linear:
         parts.append(score_models(rollout_many(df, spec, linear, keep=keep), spec, list(linear), by))
     for n, m in models.items():
-        if n not in linear:
-            rolled = rollout_persistence(df.select(*keep), spec, mean=None if m == "persistence" else m)
-            parts.append(score_models(rolled, spec, [""], by).withColumn("model_name", F.lit(n)))
+        if isinstance(m, TreeModel):
+            parts.append(score_models(rollout_trees(df, spec, m, keep=keep), spec, [""], by).withColumn("model_name", F.lit(n)))
     scores = parts[0]
     for part in parts[1:]:
         scores = scores.unionByName(part)
@@ -51,6 +54,8 @@ def compare_models(df: DataFrame, spec: TrajectorySpec, names: list[str], *, ran
 
 
 def _judge(model) -> dict:
+    if isinstance(model, TreeModel):
+        return {"spectral_radius": None, "n_unstable": 0, "stability_status": "not_applicable", "status": "ok"}
     if not isinstance(model, fit.LinearModel):
         return {"spectral_radius": None, "n_unstable": 0, "stability_status": "baseline", "status": "ok"}
     s = stability(model)
@@ -93,10 +98,11 @@ def _baseline(kind: str, mean, spec: TrajectorySpec) -> fit.LinearModel:
 
 
 def rank_delay_sweep(df: DataFrame, spec: TrajectorySpec, *, models=("dmdc",), pod_ranks=(0.999,), dmdc_ranks=(None,),
-                     delays=(1,), alpha: float = 1e-4) -> DataFrame:
+                     delays=(1,), alpha: float = 1e-4, trees: int = 100) -> DataFrame:
     """Score every candidate on train and test cases.
 
-    Rows are read twice per *delay* (factors, rollouts), whatever the number of ranks and models. A
+    Rows are read twice per *delay* (factors, rollouts), whatever the number of ranks and linear models; tree models have
+    passes of their own. A
     candidate that cannot be fitted gives a row with status "failed". Errors cover all states of the
     embedding, delayed ones too; ``newest_*`` covers the undelayed states only.
     """
@@ -116,14 +122,12 @@ def rank_delay_sweep(df: DataFrame, spec: TrajectorySpec, *, models=("dmdc",), p
             try:
                 kind = fit.MODEL_NAMES.get(c["model"].lower(), c["model"])
                 steps = steps or fit.fit_transitions(train, view)
-                if kind.startswith("pod"):
+                if kind.startswith("pod_"):
                     snapshots = snapshots or fit.fit_snapshots(train, view.states)
                 model = fit.fit_named(c["model"], train, view, steps=steps, snapshots=snapshots, rank=c["dmdc_rank"],
-                                      pod_rank=c["pod_rank"], alpha=alpha)
+                                      pod_rank=c["pod_rank"], alpha=alpha, trees=trees)
                 if kind in ("persistence", "mean"):
                     model = _baseline(kind, model, view)
-                if not isinstance(model, fit.LinearModel):
-                    raise ValueError("only linear models are swept")
                 fitted[c["run_name"]] = model
                 notes[c["run_name"]] = {**_judge(model), "message": ""}
             except (ValueError, NotImplementedError, np.linalg.LinAlgError) as problem:
@@ -138,11 +142,14 @@ def rank_delay_sweep(df: DataFrame, spec: TrajectorySpec, *, models=("dmdc",), p
         if fitted:
             alias = {name: f"m{i}" for i, name in enumerate(fitted)}
             keep = [*view.keys, view.time, *view.order, *view.states, "split"]
-            rolled = rollout_many(rows, view, {alias[n]: m for n, m in fitted.items()}, keep=keep)
-            newest = view.with_states([s for s in view.states if delay == 1 or s.endswith("__lag0")])
-            names = list(alias.values())
-            table = train_test_table(score_models(rolled, view, names, ["split"]))
-            table = table.join(train_test_table(score_models(rolled, newest, names, ["split"])).select(
+            newest = {s for s in view.states if delay == 1 or s.endswith("__lag0")}
+            side_by_side = {alias[n]: m for n, m in fitted.items() if not isinstance(m, TreeModel)}
+            scores = [score_models(rollout_many(rows, view, side_by_side, keep=keep), view, list(side_by_side), ["split"])] if side_by_side else []
+            scores += [score_models(rollout_trees(rows, view, m, keep=keep), view, [""], ["split"]).withColumn("model_name", F.lit(alias[n]))
+                       for n, m in fitted.items() if isinstance(m, TreeModel)]
+            scores = reduce(DataFrame.unionByName, scores)
+            table = train_test_table(scores)
+            table = table.join(train_test_table(scores.where(F.col("state").isin(newest))).select(
                 "model_name", F.col("train_rmse").alias("newest_train_rmse"), F.col("test_rmse").alias("newest_test_rmse")), "model_name")
             back = F.create_map(*[F.lit(x) for n, a in alias.items() for x in (a, n)])
             table = table.withColumn("run_name", back[F.col("model_name")]).drop("model_name")

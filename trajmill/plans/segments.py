@@ -163,40 +163,47 @@ def with_lags(df: DataFrame, layout: CaseLayout, order: list[str], lags: dict[st
 
 
 def with_running(df: DataFrame, layout: CaseLayout, order: list[str], *, last: dict[str, Column] | None = None,
-                 total: dict[str, Column] | None = None, peers: bool = False, reverse: bool = False) -> DataFrame:
-    """Add running last-non-null values and running totals in case order, the current row included.
+                 total: dict[str, Column] | None = None, peak: dict[str, Column] | None = None, peers: bool = False,
+                 reverse: bool = False) -> DataFrame:
+    """Add running last-non-null values, running totals and running maxima in case order, the current row included.
 
     ``peers`` makes rows that share the whole order see each other (RANGE instead of ROWS);
     ``reverse`` runs from the end of each case to its start.
     """
-    last, total = last or {}, total or {}
+    last, total, peak = last or {}, total or {}, peak or {}
     tagged = layout.assign(df)
     turn = (lambda c: F.col(c).desc()) if reverse else F.col
     w = layout.window([turn(c) for c in order])
     w = w.rangeBetween(Window.unboundedPreceding, 0) if peers else w.rowsBetween(Window.unboundedPreceding, 0)
-    sources = {f"_v{i}": c for i, c in enumerate([*last.values(), *total.values()])}
+    sources = {f"_v{i}": c for i, c in enumerate([*last.values(), *total.values(), *peak.values()])}
     tagged = tagged.withColumns(sources)
-    names = [*last, *total]
-    running = tagged.withColumns({
-        n: (F.last(s, ignorenulls=True) if n in last else F.sum(s)).over(w) for n, s in zip(names, sources)})
+    names = [*last, *total, *peak]
+
+    def over(n: str, s: str) -> Column:
+        return F.last(s, ignorenulls=True) if n in last else F.sum(s) if n in total else F.max(s)
+
+    running = tagged.withColumns({n: over(n, s).over(w) for n, s in zip(names, sources)})
     if not layout.split:
         return running.drop(*sources)
     latest = F.min_by if reverse else F.max_by
     rank = F.struct(*order)
     per_segment = layout.hot_rows(tagged).groupBy(*layout.group).agg(*[
-        (latest(F.col(s), F.when(F.col(s).isNotNull(), rank)) if n in last else F.sum(s)).alias(s)
+        (latest(F.col(s), F.when(F.col(s).isNotNull(), rank)) if n in last else over(n, s)).alias(s)
         for n, s in zip(names, sources)])
     before = Window.partitionBy(*(layout.keys or [F.lit(0)])).orderBy(turn(SEGMENT)).rowsBetween(
         Window.unboundedPreceding, -1)
-    carry = per_segment.select(*layout.group, *[
-        (F.last(s, ignorenulls=True) if n in last else F.sum(s)).over(before).alias(f"_c{s}")
-        for n, s in zip(names, sources)])
+    carry = per_segment.select(*layout.group, *[over(n, s).over(before).alias(f"_c{s}") for n, s in zip(names, sources)])
     joined = layout.join_carry(running, carry)
-    merged = joined.withColumns({
-        n: F.coalesce(F.col(n), F.col(f"_c{s}")) if n in last
-        else F.when(F.col(n).isNull() & F.col(f"_c{s}").isNull(), None).otherwise(
-            F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_c{s}"), F.lit(0)))
-        for n, s in zip(names, sources)})
+
+    def merge(n: str, c: str) -> Column:
+        if n in last:
+            return F.coalesce(F.col(n), F.col(c))
+        if n in peak:
+            return F.greatest(F.col(n), F.col(c))
+        return F.when(F.col(n).isNull() & F.col(c).isNull(), None).otherwise(
+            F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(c), F.lit(0)))
+
+    merged = joined.withColumns({n: merge(n, f"_c{s}") for n, s in zip(names, sources)})
     return merged.drop(SEGMENT, *sources, *[f"_c{s}" for s in sources])
 
 

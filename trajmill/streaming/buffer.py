@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from trajmill.plans.segments import join_null_safe, plan_layout, with_lags, with_position
+from trajmill.plans.segments import join_null_safe, plan_layout, with_lags, with_position, with_running
 from trajmill.spec import TrajectorySpec
 
 SEQ = "_stream_row_index"
@@ -54,69 +55,121 @@ def gather(rows, columns: list[str]) -> pd.DataFrame:
     return frame
 
 
+def in_order(rows, columns: list[str], order: str = SEQ) -> tuple[list[pd.DataFrame], np.ndarray]:
+    """The frames of one key as they came, and the ranks of their rows in ``order``; rows without an order come last.
+
+    Only the order column is put together and sorted. Frames stay as they are and can leave one by one.
+    """
+    frames = []
+    for frame in rows:
+        frame.columns = columns
+        frames.append(frame.reset_index(drop=True))
+    values = pd.concat([f[order] for f in frames], ignore_index=True) if frames else pd.Series([], dtype=float)
+    return frames, values.argsort(kind="stable").to_numpy() if values.notna().all() else np.argsort(
+        values.astype(float).fillna(np.inf).to_numpy(), kind="stable")
+
+
+def dealt(values: np.ndarray, frames: list[pd.DataFrame]):
+    """Values of all rows, cut to the frames they belong to."""
+    edge = np.cumsum([0, *map(len, frames)])
+    return zip(frames, (values[lo:hi] for lo, hi in zip(edge, edge[1:])))
+
+
 class _TimeOrder(StatefulProcessor):
-    """Per case: the last time that arrived, the times seen lately, and how many rows came."""
+    """Per case: the last and the latest time that arrived, how many rows came, and the times seen lately by stretch of time.
+
+    The times lie in a map from stretch number to times. A batch reads and writes the stretches that its rows fall into; stretches that are older
+    than the memory are removed whole.
+    """
 
-    def __init__(self, columns: list[str], time: str, remember: float):
-        self.columns, self.time, self.remember = columns, time, remember
+    def __init__(self, columns: list[str], time: str, remember: float, forget: float | None):
+        self.columns, self.time, self.remember, self.forget = columns, time, remember, forget
+        self.stretch = remember / 64.0 if 0 < remember < float("inf") else 3600.0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("order", "last double, rows bigint, seen array<double>")
+        ttl = None if self.forget is None else int(self.forget * 1000)
+        self.state = handle.getValueState("order", "last double, latest double, rows bigint", ttl)
+        self.seen = handle.getMapState("seen", "stretch bigint", "times array<double>", ttl)
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = gather(rows, self.columns)
-        frame = frame.sort_values(SEQ, kind="stable", na_position="last").reset_index(drop=True)
-        last, count, seen = self.state.get() if self.state.exists() else (None, 0, [])
-        seen, codes, index = set(seen), [], []
-        for t, code, given in zip(frame[self.time], frame["_code"], frame[SEQ]):
-            index.append(count if pd.isna(given) else given)
-            count += 1
-            if isinstance(code, str):
-                codes.append(code)
-                continue
-            if last is not None and t < last:
-                codes.append(BACKWARDS)
-            elif last is not None and (t == last or t in seen):
-                codes.append(REPEATED)
-            else:
-                codes.append(None)
-            last = t
-            seen.add(t)
-        if seen:
-            floor = max(seen) - self.remember
-            seen = {t for t in seen if t >= floor}
-        self.state.update((last, count, sorted(seen)))
-        frame["_code"], frame[SEQ] = codes, index
-        yield frame
+        last, latest, count = self.state.get() if self.state.exists() else (None, None, 0)
+        frames, order = in_order(rows, self.columns)
+        given = pd.concat([f[SEQ] for f in frames], ignore_index=True)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(count, count + len(order))
+        numbers = given.where(given.notna(), pd.Series(place)).astype("int64").to_numpy()
+        codes = np.concatenate([f["_code"].to_numpy(object) for f in frames])
+        count += len(order)
+        valid = order[pd.isna(codes[order])]
+        if len(valid):
+            times = np.concatenate([f[self.time].to_numpy(float) for f in frames])[valid]
+            known = self._seen_before(times)
+            peak = np.maximum.accumulate(np.append(-np.inf if latest is None else latest, times))
+            previous = np.append(np.nan if last is None else last, times[:-1])
+            remembered = known & (times >= peak[:-1] - self.remember)
+            codes[valid] = np.where(times < previous, BACKWARDS, np.where((times == previous) | remembered, REPEATED, None))
+            last, latest = float(times[-1]), float(peak[-1])
+            self._drop_before(latest - self.remember)
+        self.state.update((last, latest, count))
+        for (frame, code), (_, number) in zip(dealt(codes, frames), dealt(numbers, frames)):
+            yield frame.assign(**{"_code": code, SEQ: number})
+
+    def _seen_before(self, times: np.ndarray) -> np.ndarray:
+        """Which times came before, in the state or earlier in the array; all are noted down."""
+        known = np.zeros(len(times), bool)
+        place = np.floor(times / self.stretch).astype(np.int64)
+        for stretch in np.unique(place):
+            at = np.flatnonzero(place == stretch)
+            key = (int(stretch),)
+            old = np.asarray(self.seen.getValue(key)[0], float) if self.seen.containsKey(key) else np.zeros(0)
+            values, first = np.unique(times[at], return_index=True)
+            known[at] = True
+            known[at[first]] = np.isin(values, old)
+            if fresh := values[~np.isin(values, old)].tolist():
+                self.seen.updateValue(key, (old.tolist() + fresh,))
+        return known
+
+    def _drop_before(self, floor: float) -> None:
+        for key in [k for k in self.seen.keys() if (k[0] + 1) * self.stretch < floor]:
+            self.seen.removeKey(key)
 
     def close(self) -> None:
         pass
 
 
-def check_stream(stream: DataFrame, spec: TrajectorySpec, remember_seconds: float = 3600.0) -> DataFrame:
-    """Value and time checks on a stream; state per case, seen times kept for ``remember_seconds``.
+def check_stream(stream: DataFrame, spec: TrajectorySpec, remember_seconds: float = 3600.0, forget_seconds: float | None = None) -> DataFrame:
+    """Value and time checks on a stream, in arrival order, with state per case.
 
-    Rows with a value problem are not clean; rows with a time problem are clean and warned about.
+    Rows with a value problem are not clean; rows with a time problem are clean and warned about. A time counts as repeated while it is at most
+    ``remember_seconds`` before the latest one, however rows are dealt to triggers. ``forget_seconds`` drops the state of a case that was silent for
+    so long by the clock.
     """
     checked = check_values(stream, spec)
     keyed = checked if spec.case else checked.withColumn("_case", F.lit("all"))
     out = keyed.groupBy(spec.case or "_case").transformWithStateInPandas(
-        statefulProcessor=_TimeOrder(keyed.columns, spec.time, remember_seconds), outputStructType=keyed.schema,
-        outputMode="Append", timeMode="None")
+        statefulProcessor=_TimeOrder(keyed.columns, spec.time, float(remember_seconds), forget_seconds), outputStructType=keyed.schema,
+        outputMode="Append", timeMode="None" if forget_seconds is None else "ProcessingTime")
     return out if spec.case else out.drop("_case")
 
 
-def check_table(df: DataFrame, spec: TrajectorySpec, target_rows: int | None = None) -> DataFrame:
+def check_table(df: DataFrame, spec: TrajectorySpec, target_rows: int | None = None, remember_seconds: float = float("inf")) -> DataFrame:
     """The same checks over a finished log, from windows; ``_stream_row_index`` is the arrival order."""
     checked = check_values(df, spec)
     valid, rest = checked.where(F.col("_code").isNull()), checked.where(F.col("_code").isNotNull())
     layout = plan_layout(valid, spec.keys, SEQ, target_rows)
-    stepped = with_lags(valid, layout, [SEQ], {"_last": (spec.time, 1)})
+    lags = {"_last": (spec.time, 1)}
+    if remember_seconds != float("inf"):
+        valid = with_running(valid, layout, [SEQ], peak={"_peak": F.col(spec.time)})
+        lags["_peak_before"] = ("_peak", 1)
+    stepped = with_lags(valid, layout, [SEQ], lags)
     firsts = valid.groupBy(*spec.keys, spec.time).agg(F.min(SEQ).alias("_first_seq"))
     joined = join_null_safe(stepped, firsts, [*spec.keys, spec.time])
+    known = F.col("_first_seq") < F.col(SEQ)
+    if remember_seconds != float("inf"):
+        known &= F.col(spec.time) >= F.col("_peak_before") - remember_seconds
     code = (F.when(F.col(spec.time) < F.col("_last"), BACKWARDS)
-            .when((F.col(spec.time) == F.col("_last")) | (F.col("_first_seq") < F.col(SEQ)), REPEATED))
-    return joined.withColumn("_code", code).drop("_last", "_first_seq").unionByName(rest)
+            .when((F.col(spec.time) == F.col("_last")) | known, REPEATED))
+    return joined.withColumn("_code", code).drop("_last", "_first_seq", "_peak", "_peak_before").unionByName(rest)
 
 
 def clean_rows(checked: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
-"""Streaming sources: replay of a finished table and tail of a drop folder."""
+"""Streaming sources: replay of a finished table, appended logs and drop folders; runs with limits."""
 
 from __future__ import annotations
 
 import uuid
+from time import monotonic
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from trajmill.plans.segments import plan_layout, with_position
 from trajmill.session import shared_folder
+from trajmill.streaming.tail import follow_stream
 
 META = ["_stream_source", "_stream_row_index", "_received_utc"]
 
@@ -71,22 +74,67 @@ def _stamped(stream: DataFrame) -> DataFrame:
 
 
 def make_stream(spark: SparkSession, stream_type: str, path: str, **options) -> DataFrame:
-    """Stream by type name: csv_replay / replay, or csv_tail / tail."""
-    kind = stream_type.lower()
+    """Stream by type name: csv_replay / replay, csv_tail / tail (appended files), or csv_drop / drop (one file per flush)."""
+    kind = stream_type.lower().replace("-", "_")
     if kind in ("csv_replay", "replay"):
         return replay_stream(spark, path, **options)
     if kind in ("csv_tail", "tail"):
+        return follow_stream(spark, path, **options)
+    if kind in ("csv_drop", "drop"):
         return tail_stream(spark, path, **options)
     raise ValueError(f"unknown stream type: {stream_type!r}")
 
 
+class _Enough(Exception):
+    """Raised in a batch that must not be committed, because the limit was reached before it."""
+
+
 def run_until_done(stream: DataFrame, each_batch, checkpoint: str, *, poll_seconds: float | None = None,
-                   timeout: float | None = None):
-    """Drive a stream: everything that is there (default), or by polling until ``timeout`` seconds."""
-    writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
+                   timeout: float | None = None, max_samples: int | None = None, max_polls: int | None = None,
+                   order: str = "_stream_row_index"):
+    """Drive a stream: everything that is there (default), or by polling every ``poll_seconds``.
+
+    It ends after ``timeout`` seconds, after ``max_polls`` batches and idle poll intervals, or when ``max_samples`` rows were handed on. The
+    batch that reaches the row limit is cut to it, in ``order``; a later batch is not committed, so that a run with the same
+    checkpoint reads it again.
+    """
+    seen = {"rows": 0, "polls": 0}
+
+    def full() -> bool:
+        return (max_samples is not None and seen["rows"] >= max_samples) or (max_polls is not None and seen["polls"] >= max_polls)
+
+    def limited(batch: DataFrame, epoch: int) -> None:
+        if full():
+            raise _Enough
+        if max_samples is not None:
+            batch = batch.persist()
+            try:
+                rows, left = batch.count(), max_samples - seen["rows"]
+                if rows > left:
+                    batch = batch.orderBy(*[c for c in (order,) if c in batch.columns]).limit(left)
+                each_batch(batch, epoch)
+            finally:
+                batch.unpersist()
+            seen["rows"] += min(rows, left)
+        else:
+            each_batch(batch, epoch)
+        seen["polls"] += 1
+
+    bounded = max_samples is not None or max_polls is not None
+    writer = stream.writeStream.foreachBatch(limited if bounded else each_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if poll_seconds is None else writer.trigger(processingTime=f"{poll_seconds} seconds")
+    if full():
+        return None
     query = writer.start()
-    query.awaitTermination(timeout) if timeout is not None else query.awaitTermination()
-    if query.isActive:
-        query.stop()
+    deadline, idle, tick = monotonic() + (timeout if timeout is not None else float("inf")), 0.0, 0.2
+    try:
+        while not query.awaitTermination(min(tick if bounded else 3600.0, max(0.01, deadline - monotonic()))):
+            if bounded and poll_seconds is not None and query.status["message"].startswith("Waiting"):
+                idle += tick
+            waited = max_polls is not None and poll_seconds is not None and seen["polls"] + idle / max(poll_seconds, tick) >= max_polls
+            if full() or waited or monotonic() >= deadline:
+                query.stop()
+    except StreamingQueryException:
+        if not full():
+            raise
     return query
