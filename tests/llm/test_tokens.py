@@ -67,6 +67,22 @@ def test_stretches_do_not_change_ids(texts, monkeypatch):
     assert [list(f(p).ids(whole)) for f, p in ((tokens.word_ends, WORDS), (tokens.byte_level, BYTES), (tokens.pieces, PIECES))] == plain
 
 
+def test_words_apart_give_the_ids_of_whole_texts(texts):
+    pick = random.Random(9)
+    spaced = ["".join(pick.choice(["a", "Bc", "1", ".", "'s", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "é", "🙂", "▁"]) for _ in range(pick.randint(1, 60))) for _ in range(3000)]
+    words = alignment.WordPairs(BYTES, PIECES)
+    some = [t for t in texts if t] + spaced
+    for size in (1, 7, 500):
+        for k in range(0, len(some), size):
+            for text, x, y in zip(some[k: k + size], *words.ids(some[k: k + size])):
+                a, b = words.first.ids(" " + text), words.second.ids(text)
+                same = b"".join(words.second.bytes[i] for i in b) == (" " + text).encode()
+                assert (x, y) == ((a, b) if same else ([], [])), repr(text)
+        words.WORD_CHARS = 0  # from now on it forgets before it learns
+        words.known.clear()
+    assert words.ids([None, ""]) == ([[], []], [[], []]) and words.ids([]) == ([], [])
+
+
 # -- packing -----------------------------------------------------------------------------------------
 
 def test_binary_lengths():
@@ -229,7 +245,7 @@ def test_merge_path_pieces_of_any_size():
 def test_huge_group_is_counted_by_ids(monkeypatch, texts):
     some = [t for t in texts if t][:40]
     block = alignment.Block(some, BYTES, PIECES)
-    plain = [x.tolist() for x in block.links(32_000)]
+    plain = [x.tolist() for x in block.links()]
     for limit in (1, 5):
         monkeypatch.setattr(alignment, "LINKS", limit)
-        assert [x.tolist() for x in block.links(32_000)] == plain
+        assert [x.tolist() for x in block.links()] == plain

@@ -13,6 +13,7 @@ looked up beside the documents; only rows of rare pairs, each in few documents,
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import cache
 from itertools import chain
 from math import ceil
@@ -30,6 +31,7 @@ WORK = 1 << 14  # merged ends of a piece
 FREQUENT = 500_000  # pairs whose counts are broadcast, 12 bytes each
 LINKS = 1 << 22  # links spelt out at once
 _SHIFT = 32
+_BLANK = re.compile("(?<! ) ")
 
 
 def diagonals(a: np.ndarray, b: np.ndarray, work: int = WORK) -> tuple[np.ndarray, np.ndarray]:
@@ -88,18 +90,84 @@ def group_ends(a: np.ndarray, b: np.ndarray, work: int = WORK) -> tuple[np.ndarr
     return over_a[closes] + 1, over_b[closes] + 1
 
 
+class WordPairs:
+    """Ids of both vocabularies by words: a word is what lies from one blank to the next, with the blank before it.
+
+    Tokens of neither vocabulary reach over a blank that follows another character, so words are encoded apart, once for all their
+    occurrences while they are remembered. At most WORD_CHARS characters of words are.
+    """
+
+    WORD_CHARS = 1 << 24
+
+    def __init__(self, path_a: str, path_b: str):
+        self.first, self.second = byte_level(path_a), pieces(path_b)
+        self.known: dict[str, tuple | None] = {}
+        self.chars = 0
+
+    def ids(self, texts: list) -> tuple[list[list], list[list]]:
+        """Ids of blank + text by both, for every text; none where a text is null or empty or either does not give back its bytes."""
+        words = [_words(t) for t in texts]
+        if self.chars > self.WORD_CHARS:
+            self.known.clear()
+            self.chars = 0
+        self._learn(set().union(*words) - self.known.keys())
+        found = [[self.known[w] for w in ws] for ws in words]
+        found = [[] if None in pairs else pairs for pairs in found]
+        return tuple([list(chain.from_iterable([pair[side] for pair in pairs])) for pairs in found] for side in (0, 1))
+
+    def _learn(self, fresh: set[str]) -> None:
+        self.chars += sum(map(len, fresh))
+        ended = [w for w in fresh if not w or w[-1] == " "]  # these would grow together with the next word's blank
+        together = [w for w in fresh if w and w[-1] != " "]
+        raw = [(" " + w).encode("utf-8", "surrogatepass") for w in together]
+        whole, place = " ".join(["", *together]), np.cumsum([0, *map(len, raw)])
+        parts = [self._parted(vocabulary, ids, b"".join(raw), place) for vocabulary, ids in (
+            (self.first, self.first.ids(whole)), (self.second, self.second.ids(whole[1:])))] if together else []
+        if None in parts:
+            ended, together = [*ended, *together], []
+        self.known.update(zip(together, zip(*parts)) if together else ())
+        for word in ended:
+            x, y = self.first.ids(" " + word), self.second.ids(word) or self.second.blank
+            same = _joined_bytes(self.first, x) == _joined_bytes(self.second, y) == (" " + word).encode("utf-8", "surrogatepass")
+            self.known[word] = (x, y) if same else None
+
+    @staticmethod
+    def _parted(vocabulary, ids: list, raw: bytes, place: np.ndarray) -> list[list] | None:
+        """The ids of each word, cut at its last byte; None if the bytes are not those of the words."""
+        if _joined_bytes(vocabulary, ids) != raw:
+            return None
+        ends = np.cumsum(vocabulary.sizes[np.fromiter(ids, np.int64, len(ids))])
+        at = [0, *(np.searchsorted(ends, place[1:]) + 1).tolist()]
+        return [ids[lo:hi] for lo, hi in zip(at, at[1:])]
+
+
+def _words(text: str | None) -> list[str]:
+    padded = f" {text or ''}"
+    return (_BLANK.split(padded) if "  " in padded else padded.split(" "))[1:] if text else []
+
+
+def _joined_bytes(vocabulary, ids: list) -> bytes:
+    return b"".join(map(vocabulary.bytes.__getitem__, ids))
+
+
+@cache
+def _word_pairs(path_a: str, path_b: str) -> WordPairs:
+    return WordPairs(path_a, path_b)
+
+
 class Block:
     """Tokens and groups of a run of texts; ``tokens_a`` and the like count up to each text's end."""
 
     def __init__(self, texts: list, path_a: str, path_b: str):
-        first, second = byte_level(path_a), pieces(path_b)
-        ids = [_tokens(t, first, second) for t in texts]
-        self.ids_a, self.tokens_a = _joined([x for x, _ in ids])
-        self.ids_b, self.tokens_b = _joined([y for _, y in ids])
-        self.groups_a, self.groups_b = group_ends(np.cumsum(_sizes(path_a, byte_level)[self.ids_a]), np.cumsum(_sizes(path_b, pieces)[self.ids_b]))
+        encoder = _word_pairs(path_a, path_b)
+        first, second = encoder.ids(texts)
+        self.ids_a, self.tokens_a = _joined(first)
+        self.ids_b, self.tokens_b = _joined(second)
+        self.size_b = len(encoder.second.sizes)
+        self.groups_a, self.groups_b = group_ends(np.cumsum(encoder.first.sizes[self.ids_a]), np.cumsum(encoder.second.sizes[self.ids_b]))
         self.groups = np.searchsorted(self.groups_a, self.tokens_a, side="right")
 
-    def links(self, size_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, pair, times): the distinct linked id pairs of every text, as a << 32 | b, and how many links each is."""
         wide, high = np.diff(self.groups_a, prepend=0), np.diff(self.groups_b, prepend=0)
         text = np.searchsorted(self.groups, np.arange(len(wide)), side="right")
@@ -110,17 +178,17 @@ class Block:
             if h == g + 1 and one[0] > LINKS:  # one huge group: distinct ids first
                 x, nx = np.unique(self.ids_a[self.groups_a[g] - wide[g]: self.groups_a[g]], return_counts=True)
                 y, ny = np.unique(self.ids_b[self.groups_b[g] - high[g]: self.groups_b[g]], return_counts=True)
-                found.append((np.full(len(x) * len(y), text[g]), np.repeat(x, len(y)) * size_b + np.tile(y, len(x)), np.outer(nx, ny).ravel()))
+                found.append((np.full(len(x) * len(y), text[g]), np.repeat(x, len(y)) * self.size_b + np.tile(y, len(x)), np.outer(nx, ny).ravel()))
                 continue
             owner = np.repeat(np.arange(g, h), one)
             step = np.arange(len(owner)) - np.repeat(np.cumsum(one) - one, one)
             x = self.ids_a[self.groups_a[owner] - wide[owner] + step // high[owner]]
             y = self.ids_b[self.groups_b[owner] - high[owner] + step % high[owner]]
-            found.append(_summed(text[owner], x * size_b + y, np.ones(len(owner), np.int64)))
+            found.append(_summed(text[owner], x * self.size_b + y, np.ones(len(owner), np.int64)))
         if not found:
             return (np.zeros(0, np.int64),) * 3
         text, pair, times = found[0] if len(found) == 1 else _summed(*(np.concatenate(c) for c in zip(*found)))
-        return text, (pair // size_b << _SHIFT) | pair % size_b, times
+        return text, (pair // self.size_b << _SHIFT) | pair % self.size_b, times
 
     def digests(self) -> list[str]:
         """sha256 of each text's groups, spelt ``a1,a2|b1;a3|b2,b3``; an empty string for a text without tokens."""
@@ -140,29 +208,10 @@ class Block:
         return out
 
 
-def _tokens(text: str | None, first, second) -> tuple[list, list]:
-    """Ids of blank + text by both vocabularies; none where either does not give back its bytes."""
-    if not text:
-        return [], []
-    raw = (" " + text).encode("utf-8", "surrogatepass")
-    x, y = first.ids(" " + text), second.ids(text)
-    same = b"".join(map(first.bytes.__getitem__, x)) == raw and b"".join(map(second.bytes.__getitem__, y)) == raw
-    return (x, y) if same else ([], [])
-
-
 def _joined(lists: list) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists))), np.cumsum([len(x) for x in lists])
 
 
-@cache
-def _sizes(path: str, load) -> np.ndarray:
-    """Bytes of each id."""
-    tokens = load(path).bytes
-    sizes = np.zeros(max(tokens) + 1, np.int64)
-    sizes[list(tokens)] = [len(b) for b in tokens.values()]
-    return sizes
-
-
 @cache
 def _numbers(last: str) -> np.ndarray:
     """Decimal numbers followed by a comma (even places) or by ``last`` (odd places)."""
@@ -240,13 +289,12 @@ def linked(docs: DataFrame, path_a: str | None = None, path_b: str | None = None
     paths = _paths(path_a, path_b)
 
     def count(batches):
-        size_b = len(_sizes(paths[1], pieces))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for first, last in blocks(texts):
                 block = Block(texts[first:last], *paths)
                 n = last - first
-                owner, pair, times = block.links(size_b)
+                owner, pair, times = block.links()
                 links = _row_sums(times, owner, n)
                 counts = [pa.array(np.diff(c, prepend=0)) for c in (block.tokens_a, block.tokens_b, block.groups)]
                 yield pa.RecordBatch.from_arrays(
