@@ -94,10 +94,10 @@ class WordPairs:
     """Ids of both vocabularies by words: a word is what lies from one blank to the next, with the blank before it.
 
     Tokens of neither vocabulary reach over a blank that follows another character, so words are encoded apart, once for all their
-    occurrences while they are remembered. At most WORD_CHARS characters of words are.
+    occurrences while they are remembered. When WORD_CHARS characters of words are, all are forgotten: a bound on memory, not on what is encoded.
     """
 
-    WORD_CHARS = 1 << 24
+    WORD_CHARS = 1 << 21
 
     def __init__(self, path_a: str, path_b: str):
         self.first, self.second = byte_level(path_a), pieces(path_b)
