@@ -52,13 +52,6 @@ def _raw(token: str, symbols: dict[str, int]) -> bytes:
     return bytes(symbols[c] for c in token)
 
 
-def _sizes(tokens: dict[int, bytes]) -> np.ndarray:
-    """Bytes of each id."""
-    sizes = np.zeros(max(tokens) + 1, np.int64)
-    sizes[list(tokens)] = [len(b) for b in tokens.values()]
-    return sizes
-
-
 class WordEnds:
     """A lower-casing BPE vocabulary whose words end with ``</w>`` (word_bpe_49k.json)."""
 
@@ -111,7 +104,6 @@ class ByteLevel:
         ranks = {_raw(t, symbols): i for t, i in content["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes = {i: b for b, i in ranks.items()}
-        self.sizes = _sizes(self.bytes)
 
     def ids(self, text: str) -> list[int]:
         return [i for s in stretches(text) for i in self.fast.encode_ordinary(s)]
@@ -125,8 +117,6 @@ class Pieces:
         spell = lambda i: self.model.id_to_piece(i)
         self.bytes = {i: bytes([int(spell(i)[3:-1], 16)]) if self.model.is_byte(i) else spell(i).replace("▁", " ").encode()
                       for i in range(self.model.get_piece_size())}
-        self.sizes = _sizes(self.bytes)
-        self.blank = [self.model.piece_to_id("▁")]
 
     def ids(self, text: str) -> list[int]:
         parts = list(stretches(text))  # all but the first begin with the blank that the model puts there itself
