@@ -138,3 +138,37 @@ def test_folder_import(spark):
     assert TB.read_table(spark, folder + "/out.parquet").count() == 4
     with pytest.raises(ValueError):
         TB.read_table(spark, "a.xyz")
+
+
+def test_writes_append_and_repeat(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/archive"
+    rows = lambda lo, hi: spark.range(lo, hi).select(F.col("id").cast("double").alias("time"), (F.col("id") * 2.0).alias("x"))
+    assert AR.load_kind(spark, root, "raw_stream") is None and AR.read_manifest(spark, root).count() == 0
+    AR.write_records(rows(0, 100), root, "raw_stream", "run-1", write_id="epoch-0")
+    AR.write_records(rows(50, 150), root, "raw_stream", "run-1", write_id="epoch-1")  # the same hour
+    AR.write_records(rows(50, 150), root, "raw_stream", "run-1", write_id="epoch-1")  # a repeated epoch
+    AR.write_records(rows(0, 10), root, "raw_stream", "other")
+    AR.write_records(rows(0, 0), root, "raw_stream", "other", write_id="nothing")
+    assert AR.load_kind(spark, root, "raw_stream").count() == 210 and AR.load_kind(spark, root, "raw_stream", run_id="run-1").count() == 200
+    manifest = AR.read_manifest(spark, root)
+    assert {(r.run_id, r.n) for r in manifest.groupBy("run_id").agg(F.sum("n_rows").alias("n")).collect()} == {("run-1", 200), ("other", 10)}
+    assert AR.compact(spark, root, "raw_stream", "run-1") and AR.compact(spark, root, "raw_stream", "run-1") is None
+    whole = AR.load_kind(spark, root, "raw_stream", run_id="run-1")
+    assert whole.count() == 200 and whole.agg(F.sum("x")).first()[0] == sum(2 * i for i in [*range(100), *range(50, 150)])
+    assert AR.read_manifest(spark, root).where("run_id = 'run-1'").select("write_id").distinct().count() == 1
+    assert AR.load_kind(spark, root, "raw_stream").count() == 210
+    findings = AR.validation_status(AR.validate_archive(spark, root)).first()
+    assert findings["n_errors"] == 0
+    with pytest.raises(ValueError):
+        AR.write_records(rows(0, 10), root, "raw_stream", "run/1")
+
+
+def test_a_broken_file_is_an_error(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/archive"
+    AR.write_records(spark.range(10).select(F.col("id").cast("double").alias("time")), root, "raw_stream", "r")
+    path = AR.read_manifest(spark, root).first()["path"]
+    os.remove(f"{root}/{path}")
+    with open(f"{root}/{path}", "wb") as f:
+        f.write(b"no parquet")
+    with pytest.raises(Exception):
+        AR.load_kind(spark, root, "raw_stream").count()

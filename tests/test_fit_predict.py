@@ -81,12 +81,30 @@ def test_per_case_and_leave_one_out(noisy, spark):
         alone = fit.fit_dmdc(fit.fit_transitions(noisy.where(F.col("c") == case), SPEC), SPEC)
         assert np.allclose(models[case]["a"], alone.a, atol=1e-10)
         assert np.isclose(models[case]["growth_rate"], np.log(np.abs(np.linalg.eigvals(alone.a))).max())
-    held = {r["c"]: r for r in fit.leave_one_out_factors(table, "c", buckets=2).collect()}
+    held = {r["c"]: r for r in fit.leave_one_out_factors(table, "c", fan_in=2).collect()}
     rest = fit.fit_dmdc(fit.fit_transitions(noisy.where("c <> 'a'"), SPEC), SPEC)
     factor = fit.Factor(fit.transition_columns(SPEC), np.array(held["a"]["r"]).reshape(-1, held["a"]["p"]), held["a"]["n_rows"])
     assert np.allclose(fit.fit_dmdc(factor, SPEC).a, rest.a, atol=1e-9)
 
 
+def test_every_case_left_out_in_a_deep_tree(spark):
+    rng = np.random.default_rng(12)
+    rows = [(c if c else None, rng.normal(size=3 + c % 4)) for c in range(29)]
+    df = spark.createDataFrame([(c, float(t), float(x)) for c, xs in rows for t, x in enumerate(xs)], "c int, t double, x1 double")
+    spec = TrajectorySpec(case="c", time="t", states=("x1",))
+    table = fit.case_factors(df.repartition(5), spec).cache()
+    held = fit.leave_one_out_factors(table, "c", fan_in=3)
+    assert held.schema["c"].dataType.simpleString() == "int"
+    got = {r.c: np.asarray(r.r).reshape(-1, r.p) for r in held.collect()}
+    sums = {c: np.array([[(xs[:-1] ** 2).sum(), (xs[:-1] * xs[1:]).sum()]]) for c, xs in rows}
+    total = sum(sums.values())
+    assert set(got) == {c for c, _ in rows}
+    for c, r in got.items():
+        assert np.allclose([(r[:, 1] ** 2).sum(), (r[:, 1] * r[:, 2]).sum()], (total - sums[c])[0])
+    alone = fit.leave_one_out_factors(table.where("c = 5"), "c").collect()
+    assert len(alone) == 1 and alone[0]["n_rows"] == 0 and fit.leave_one_out_factors(table.where("c = 99"), "c").count() == 0
+
+
 def test_adaptive_exact_on_euler_data(spark):
     t = np.cumsum(np.linspace(0.05, 0.15, 80))
     u, x = np.sin(0.3 * t), np.ones(80)

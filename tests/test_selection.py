@@ -39,6 +39,32 @@ def test_compare_recommend_bootstrap(cases):
     assert ((ci.ci_low <= ci["mean"] + 1e-12) & (ci["mean"] <= ci.ci_high + 1e-12)).all() and len(ci) == 14
 
 
+def test_bootstrap_spans_what_resampling_spans(spark):
+    rng = np.random.default_rng(21)
+    frame = pd.DataFrame({"g": rng.choice(["a", "b"], 600), "v": rng.exponential(2.0, 600)})
+    frame.loc[0, "g"], frame.loc[1, "v"] = None, np.nan
+    got = {r.g: r for r in sel.bootstrap_ci(spark.createDataFrame(frame).repartition(4), ["g"], "v", n=400).collect()}
+    again = {r.g: r for r in sel.bootstrap_ci(spark.createDataFrame(frame).repartition(4), ["g"], "v", n=400).collect()}
+    for g in ("a", "b"):
+        v = frame[frame.g == g].v.dropna().to_numpy()
+        means = np.array([rng.choice(v, len(v)).mean() for _ in range(4000)])
+        width = np.percentile(means, 97.5) - np.percentile(means, 2.5)
+        assert got[g].n == len(v) and np.isclose(got[g]["mean"], v.mean()) and got[g] == again[g]
+        assert abs(got[g].ci_low - np.percentile(means, 2.5)) < 0.2 * width and abs(got[g].ci_high - np.percentile(means, 97.5)) < 0.2 * width
+    assert got[None].n == 1 and got[None].ci_low == got[None].ci_high
+    whole = sel.bootstrap_ci(spark.createDataFrame(frame), [], "v", n=100).collect()
+    assert len(whole) == 1 and whole[0].n == 599
+    assert sel.bootstrap_ci(spark.createDataFrame(frame).limit(0), ["g"], "v").collect() == []
+
+
+def test_bootstrap_covers_the_mean(spark):
+    """Of intervals at 90 % over many samples about that share holds the true mean."""
+    rng = np.random.default_rng(33)
+    frame = pd.DataFrame({"g": np.repeat(np.arange(300), 60), "v": rng.normal(5.0, 1.0, 18_000)})
+    rows = sel.bootstrap_ci(spark.createDataFrame(frame), ["g"], "v", n=200, confidence=0.9).collect()
+    assert 0.83 < np.mean([r.ci_low <= 5.0 <= r.ci_high for r in rows]) < 0.95
+
+
 def test_sweep_reports_failures(cases):
     labelled = S.split_by_fraction(cases, "c", 0.7).cache()
     sweep = sel.rank_delay_sweep(labelled, SPEC, models=("dmdc", "pod_dmdc"), pod_ranks=(2,), dmdc_ranks=(1, None), delays=(1, 2)).toPandas()

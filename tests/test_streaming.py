@@ -156,7 +156,7 @@ def test_runs_stop_at_their_limits(spark, log):
         IN.run_until_done(IN.replay_stream(spark, path, schema), failing, folder(), max_polls=5)
 
 
-@pytest.mark.parametrize("triggers", [1, 10, 100])
+@pytest.mark.parametrize("triggers", [1, 10, 30])
 def test_checks_equal_the_table_with_a_short_memory(spark, triggers):
     rng = np.random.default_rng(6)
     rows = [(str(rng.integers(3)), float(rng.integers(0, 400) / 4 + i / 4), float(i), float(i), "1", i) for i in range(300)]
@@ -233,3 +233,63 @@ def test_stream_residuals(spark):
     out = LIVE.residual_stream(clean, asked, ["run"], "ts", "target_ts", ["x1"], 5.0, "30 seconds")
     got = collect_stream(out)
     assert len(got) >= 25 and (got["measured_value"] == got["origin_time"] + 10).all()
+
+
+def test_stream_residuals_equal_the_table(spark):
+    from trajmill.operators import monitoring as mon
+
+    rng = np.random.default_rng(11)
+    n = 120
+    seconds = np.cumsum(rng.choice([0.5, 1.0, 3.0], n))
+    clean = pd.DataFrame({"run": rng.choice(["a", "b"], n), "time": seconds, "x1": rng.normal(size=n), "x2": rng.normal(size=n)})
+    asked = pd.DataFrame([(r.run, r.time, h, s, r.time + h, float(rng.normal())) for r in clean.itertuples() for h in (2.0, 7.0) for s in ("x1", "x2", "other")],
+                         columns=["run", "origin_time", "forecast_horizon_s", "state", "target_time", "predicted_value"])
+    end = pd.DataFrame({"run": ["a", "b"], "time": [500.0, 500.0], "x1": 0.0, "x2": 0.0})  # moves the watermark past all targets
+    clean = pd.concat([clean, end], ignore_index=True)
+    base = pd.Timestamp("2024-01-01")
+    clean["ts"], asked["ts"] = base + pd.to_timedelta(clean["time"], unit="s"), base + pd.to_timedelta(asked["target_time"], unit="s")
+    last = pd.DataFrame([("a", 499.0, 1.0, "x1", 500.0, 0.0, base + pd.to_timedelta(500.0, unit="s"))], columns=asked.columns)
+    asked = pd.concat([asked, last], ignore_index=True)
+    left, right = spark.createDataFrame(clean), spark.createDataFrame(asked)
+    a, b = folder() + "/a", folder() + "/b"
+    IN.write_replay(left, a, chunk_size=30, time="time", order=("run",))
+    IN.write_replay(right, b, chunk_size=180, time="origin_time", order=("state", "forecast_horizon_s", "run"))
+    out = LIVE.residual_stream(IN.replay_stream(spark, a, spark.read.parquet(a).schema), IN.replay_stream(spark, b, spark.read.parquet(b).schema),
+                               ["run"], "ts", "ts", ["x1", "x2"], 1.0, "20 seconds")
+    got = collect_stream(out)
+    want = mon.forecast_residuals(left.drop("ts"), right.drop("ts"), ["run"], "time", ["x1", "x2"], tolerance=1.0).where("target_time < 400").toPandas()
+    by = ["run", "state", "forecast_horizon_s", "origin_time"]
+    got, want = (f.sort_values(by).reset_index(drop=True) for f in (got[got.origin_time < 400], want))
+    assert len(got) == len(want) > 100 and (got[by] == want[by]).all().all()
+    assert np.allclose(got["residual"], want["residual"]) and np.allclose(got["measured_value"], want["measured_value"])
+
+
+def test_estimation_as_one_run(spark):
+    """Check, filter and archive in one query: equal to the batch filter of the clean rows, whatever the chunks."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        z = rng.normal(size=2)
+        rows.append(("ab"[i % 2], str(float(i // 2)), str(450 + z[0] + z[1]), str(450 - z[0]), str(rng.normal()), i))
+    rows[7] = (*rows[7][:2], "broken", *rows[7][3:])
+    rows[20] = (rows[20][0], rows[16][1], *rows[20][2:])  # time runs back: clean, with a warning
+    log = spark.createDataFrame(rows, "case_id string, time string, s0 string, s2 string, q string, n int")
+    spec = TrajectorySpec(case="case_id", time="time", states=("s0", "s1", "s2"), inputs=("q",))
+    full = spark.createDataFrame(pd.DataFrame({"case_id": "a", "time": np.arange(40.0), "s0": rng.normal(450, 1, 40), "s1": rng.normal(450, 1, 40), "s2": rng.normal(450, 1, 40), "q": rng.normal(size=40)}))
+    model = fit.fit_pod_dmdc(fit.fit_transitions(full, spec), fit.fit_snapshots(full, spec.states), spec, pod_rank=2)
+    clean = BUF.clean_rows(BUF.check_table(log.withColumn("_stream_row_index", F.col("n").cast("bigint")), spec.with_states(["s0", "s2"])))
+    # The filter takes rows as they arrived.
+    arrived = TrajectorySpec(case="case_id", time="n", states=("s0", "s2"), inputs=("q",))
+    want = pred.kalman_pod(clean.withColumn("n", F.col("n").cast("double")), arrived, model, ["s0", "s2"]).toPandas().sort_values("n").reset_index(drop=True)
+    for chunk in (7, 60):
+        path, root = folder() + "/replay", folder() + "/archive"
+        IN.write_replay(log, path, chunk_size=chunk, order=("n",))
+        LIVE.run_estimation(IN.replay_stream(spark, path, spark.read.parquet(path).schema), spec, root, "r", folder(), model, ["s0", "s2"], horizons=(2.0,), dt=1.0)
+        kind = lambda name: AR.load_kind(spark, root, name).toPandas()
+        states, modal, cov = (kind(k).sort_values(BUF.SEQ).reset_index(drop=True) for k in ("state_estimates", "modal_estimates", "estimate_covariance"))
+        assert len(kind("raw_stream")) == 60 and len(kind("cleaned_stream")) == len(states) == 59 and len(kind("warnings")) >= 2
+        assert np.allclose(states[["s0", "s1", "s2"]], want[["est_s0", "est_s1", "est_s2"]]) and np.allclose(modal[["a1", "a2"]], want[["a1", "a2"]])
+        assert np.allclose(cov["covariance_trace"], want["covariance_trace"]) and np.allclose(cov["var_a1"] + cov["var_a2"], cov["covariance_trace"])
+        inn = kind("kalman_innovations")
+        assert len(inn) == 2 * 59 and np.allclose(inn[inn.measurement == "s2"].sort_values("origin_row_index")["innovation"], want["innovation_s2"])
+        assert len(kind("forecasts")) == 3 * 59 and states["initialized_from_measurement"].sum() == 2

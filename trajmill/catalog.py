@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trajmill.functions.columns import seconds
 from trajmill.operators import bias as B, fitting as fit, metrics as M, models as MT, monitoring as mon
 from trajmill.operators import prediction as pred, quality as Q, selection as sel, shaping as S, status as ST
-from trajmill.operators import summaries as SU
+from trajmill.operators import summaries as SU, trees as TR
+from trajmill.plans.segments import plan_layout, with_position
 from trajmill.session import settle, shared_folder
 from trajmill.sources import archive as AR, tables as TB
 from trajmill.spec import TrajectorySpec
@@ -474,8 +475,21 @@ def sensor_reconstruction(spark, d):
 def tree_one_step(spark, d):
     df = supply(spark, d)
     pod = fit.fit_pod(fit.fit_snapshots(df, SUP.states), SUP.states, rank=1)
-    models = fit.fit_trees(S.transitions(df, SUP), SUP, pod)
-    return pred.predict_next_trees(df, SUP, pod, models).select("l_suppkey", "t", "pred_qty", "pred_rev")
+    model = TR.fit_tree_model(S.transitions(df, SUP), SUP, pod)
+    return TR.predict_next_trees(df, SUP, model).select("l_suppkey", "t", "pred_qty", "pred_rev")
+
+
+@query("tree_rollout", None)
+def tree_rollout(spark, d):
+    df = supply(spark, d)
+    pod = fit.fit_pod(fit.fit_snapshots(df, SUP.states), SUP.states, rank=1)
+    return TR.rollout_trees(df, SUP, TR.fit_tree_model(S.transitions(df, SUP), SUP, pod, trees=20)).drop("_k")
+
+
+@query("compare_tree_models", None)
+def compare_tree_models(spark, d):
+    df = S.split_by_fraction(supply(spark, d), "l_suppkey", 0.7)
+    return sel.compare_models(df, SUP, ["persistence", "pod_dmdc", "pod_ml_random_forest", "pod_ml_gb"], trees=10)[0]
 
 
 # -- prediction and scores ----------------------------------------------------------------------------------
@@ -503,6 +517,26 @@ def rollout(spark, d):
     return pred.rollout(events(spark, d), EV, arx(spark, d)).select("user_id", "event_id", r("pred_x").alias("pred_x"))
 
 
+_slope = lambda f, y: f(f"(({y}1 - {y}) / dt)")
+_months = f"""{sup_sql}, mo AS (SELECT l_suppkey, t / 2592000.0 AS t, qty, rev, row_number() OVER (PARTITION BY l_suppkey ORDER BY t) - 1 AS k,
+  (t - lag(t) OVER (PARTITION BY l_suppkey ORDER BY t)) / 2592000.0 AS back FROM sup),
+  sl AS (SELECT * FROM (SELECT qty, rev, lead(qty) OVER w AS qty1, lead(rev) OVER w AS rev1, lead(t) OVER w - t AS dt FROM mo WINDOW w AS (PARTITION BY l_suppkey ORDER BY k)) WHERE dt IS NOT NULL),
+  rate AS (SELECT {_slope(_cramer, "qty")} AS a11, {_slope(_cramer2, "qty")} AS a12, {_slope(_cramer, "rev")} AS a21, {_slope(_cramer2, "rev")} AS a22 FROM sl),
+  half AS (SELECT *, (a11 + a22) / 2 AS s, (a11 - a22) / 2 AS h, ((a11 - a22) / 2) ** 2 + a12 * a21 AS disc FROM rate),
+  hold AS (SELECT l_suppkey, k, exp(s * back) * (CASE WHEN disc >= 0 THEN cosh(sqrt(disc) * back) ELSE cos(sqrt(-disc) * back) END) AS c,
+    exp(s * back) * (CASE WHEN disc >= 0 THEN sinh(sqrt(disc) * back) / sqrt(disc) ELSE sin(sqrt(-disc) * back) / sqrt(-disc) END) AS z, h, a12, a21 FROM mo, half WHERE k > 0),
+  vr AS (SELECT l_suppkey, k, qty AS p, rev AS q FROM mo WHERE k = 0 UNION ALL SELECT e.l_suppkey, e.k, (e.c + e.z * e.h) * vr.p + e.z * e.a12 * vr.q, e.z * e.a21 * vr.p + (e.c - e.z * e.h) * vr.q
+    FROM vr JOIN hold e ON e.l_suppkey = vr.l_suppkey AND e.k = vr.k + 1)"""
+
+
+@query("variable_step_rollout", f"WITH RECURSIVE {_months} SELECT mo.l_suppkey, round(mo.t, 6) AS t, round(p, 4) AS pred_qty, round(q, 4) AS pred_rev FROM vr JOIN mo ON mo.l_suppkey = vr.l_suppkey AND mo.k = vr.k")
+def variable_step_rollout(spark, d):
+    """Two states over months of 28 to 31 days: a matrix exponential per step."""
+    df = supply(spark, d).withColumn("t", F.col("t") / 2592000.0)
+    out = pred.rollout(df, SUP_FREE, fit.fit_adaptive(df, SUP_FREE, alpha=0.0))
+    return rounded(rounded(out, 6, "t"), 4, "pred_qty", "pred_rev").select("l_suppkey", "t", "pred_qty", "pred_rev")
+
+
 @query("rollout_evaluation", f"""WITH RECURSIVE {_roll}, e AS (SELECT rn.user_id, x, p FROM ro JOIN rn USING (user_id, k))
   SELECT user_id, 'case' AS level, round(sqrt(avg((x - p) ** 2)), 6) AS rollout_rmse, round(sqrt(sum((x - p) ** 2)) / sqrt(sum(x * x)), 6) AS rollout_relative_error, count(*) AS n_values FROM e GROUP BY 1
   UNION ALL SELECT NULL, 'pooled', round(sqrt(avg((x - p) ** 2)), 6), round(sqrt(sum((x - p) ** 2)) / sqrt(sum(x * x)), 6), count(*) FROM e""")
@@ -573,7 +607,7 @@ def leave_one_out(spark, d):
 @query("rank_delay_sweep", None)
 def rank_delay_sweep(spark, d):
     df = S.split_by_fraction(supply(spark, d), "l_suppkey", 0.7)
-    return sel.best_candidates(sel.rank_delay_sweep(df, SUP, models=("dmdc", "pod_dmdc"), pod_ranks=(1, 2), dmdc_ranks=(1, None), delays=(1, 2)))
+    return sel.rank_delay_sweep(df, SUP, models=("dmdc", "pod_dmdc"), pod_ranks=(1, 2), dmdc_ranks=(1, None), delays=(1, 2))
 
 
 @query("bootstrap_interval", None)
@@ -595,6 +629,65 @@ def kalman_filter(spark, d):
     return out.select("user_id", "event_id", r("est_x").alias("est_x"), r("covariance_trace", 9).alias("covariance_trace"), r("innovation_x").alias("innovation_x"))
 
 
+_kal2 = f"""{ss_sql}, cf AS (SELECT {_cramer("qty1")} AS a11, {_cramer2("qty1")} AS a12, {_cramer("rev1")} AS a21, {_cramer2("rev1")} AS a22 FROM ss),
+  rn AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY t) - 1 AS k FROM sup), top AS (SELECT max(k) AS top FROM rn),
+  gp AS (SELECT 0::BIGINT AS k, 1 / 1.1 AS g1, 0.0::DOUBLE AS g2, 1 - 1 / 1.1 AS p11, 0.0::DOUBLE AS p12, 1.0::DOUBLE AS p22
+    UNION ALL SELECT k + 1, m11 / (m11 + 0.1), m12 / (m11 + 0.1), (1 - m11 / (m11 + 0.1)) * m11, (1 - m11 / (m11 + 0.1)) * m12, m22 - m12 * m12 / (m11 + 0.1)
+    FROM (SELECT k, a11 * a11 * p11 + 2 * a11 * a12 * p12 + a12 * a12 * p22 + 0.01 AS m11, a11 * a21 * p11 + (a11 * a22 + a12 * a21) * p12 + a12 * a22 * p22 AS m12,
+      a21 * a21 * p11 + 2 * a21 * a22 * p12 + a22 * a22 * p22 + 0.01 AS m22 FROM gp, cf, top WHERE k < top)),
+  kf AS (SELECT l_suppkey, k, g1 * qty AS x1, g2 * qty AS x2, qty AS inn FROM rn JOIN gp USING (k) WHERE k = 0
+    UNION ALL SELECT n.l_suppkey, n.k, a11 * x1 + a12 * x2 + g1 * (qty - a11 * x1 - a12 * x2), a21 * x1 + a22 * x2 + g2 * (qty - a11 * x1 - a12 * x2), qty - a11 * x1 - a12 * x2
+    FROM kf JOIN rn n ON n.l_suppkey = kf.l_suppkey AND n.k = kf.k + 1 JOIN gp ON gp.k = n.k, cf)"""
+
+
+@query("kalman_two_states", f"WITH RECURSIVE {_kal2} SELECT l_suppkey, k, round(x1, 5) AS est_qty, round(x2, 5) AS est_rev, round(p11 + p22, 6) AS covariance_trace, round(inn, 5) AS innovation_qty FROM kf JOIN gp USING (k)")
+def kalman_two_states(spark, d):
+    """One of two states is measured; the other's estimate comes from the dynamics."""
+    df = supply(spark, d)
+    model = fit.fit_dmdc(fit.fit_transitions(df, SUP_FREE), SUP_FREE)
+    out = pred.kalman_filter(df, SUP_FREE, model, ["qty"], np.array([[1.0, 0.0]]), q=np.eye(2) * 0.01, r=np.eye(1) * 0.1)
+    return rounded(rounded(with_position(out, plan_layout(out, ["l_suppkey"], "t"), ["t"], "k"), 5, "est_qty", "est_rev", "innovation_qty"), 6, "covariance_trace").select(
+        "l_suppkey", F.col("k").cast("bigint").alias("k"), "est_qty", "est_rev", "covariance_trace", "innovation_qty")
+
+
+# One mode of two states: its direction, the modal fit z1 = a z + b u and the filter of qty are closed forms.
+_mode = f"""{sup_sql}, c0 AS (SELECT avg(qty) AS mq, avg(rev) AS mr, var_pop(qty) AS va, covar_pop(qty, rev) AS vb, var_pop(rev) AS vc FROM sup),
+  e0 AS (SELECT *, (va + vc) / 2 + sqrt(((va - vc) / 2) ** 2 + vb * vb) AS l1 FROM c0),
+  v AS (SELECT mq, mr, vb / sqrt(vb * vb + (l1 - va) ** 2) AS v1, (l1 - va) / sqrt(vb * vb + (l1 - va) ** 2) AS v2 FROM e0),
+  zz AS (SELECT l_suppkey, t, qty, rev, disc, v1 * (qty - mq) + v2 * (rev - mr) AS z, row_number() OVER (PARTITION BY l_suppkey ORDER BY t) - 1 AS k FROM sup, v),
+  zs AS (SELECT * FROM (SELECT z, disc AS u, lead(z) OVER (PARTITION BY l_suppkey ORDER BY k) AS z1 FROM zz) WHERE z1 IS NOT NULL),
+  ab AS (SELECT (sum(z1 * z) * sum(u * u) - sum(z1 * u) * sum(z * u)) / (sum(z * z) * sum(u * u) - sum(z * u) ** 2) AS a,
+    (sum(z1 * u) * sum(z * z) - sum(z1 * z) * sum(z * u)) / (sum(z * z) * sum(u * u) - sum(z * u) ** 2) AS b FROM zs)"""
+_kal1 = f"""{_mode}, top AS (SELECT max(k) AS top FROM zz),
+  gp AS (SELECT 0::BIGINT AS k, v1 / (v1 * v1 + 1e-3) AS g, 1 - v1 * v1 / (v1 * v1 + 1e-3) AS p FROM v
+    UNION ALL SELECT k + 1, m * v1 / (v1 * v1 * m + 1e-3), m - m * v1 * v1 * m / (v1 * v1 * m + 1e-3) FROM (SELECT k, a * a * p + 1e-6 AS m FROM gp, ab, top WHERE k < top), v),
+  kf AS (SELECT l_suppkey, k, (qty - mq) / v1 AS x, 0.0::DOUBLE AS inn FROM zz, v WHERE k = 0
+    UNION ALL SELECT n.l_suppkey, n.k, a * x + b * n.disc + g * (n.qty - mq - v1 * (a * x + b * n.disc)), n.qty - mq - v1 * (a * x + b * n.disc)
+    FROM kf JOIN zz n ON n.l_suppkey = kf.l_suppkey AND n.k = kf.k + 1 JOIN gp ON gp.k = n.k, ab, v),
+  es AS (SELECT l_suppkey, CAST(t AS BIGINT) AS t, mq + v1 * x AS est_qty, mr + v2 * x AS est_rev, x AS a1, p AS covariance_trace, inn AS innovation_qty FROM kf JOIN zz USING (l_suppkey, k) JOIN gp USING (k), v)"""
+
+
+def _one_mode(df: DataFrame) -> fit.LinearModel:
+    return fit.fit_pod_dmdc(fit.fit_transitions(df, SUP), fit.fit_snapshots(df, SUP.states), SUP, pod_rank=1)
+
+
+@query("pod_one_mode_rollout", f"""WITH RECURSIVE {_mode}, ro AS (SELECT l_suppkey, k, z AS p, disc AS u FROM zz WHERE k = 0 UNION ALL SELECT n.l_suppkey, n.k, a * p + b * ro.u, n.disc FROM ro JOIN zz n ON n.l_suppkey = ro.l_suppkey AND n.k = ro.k + 1, ab)
+  SELECT l_suppkey, t, round(mq + v1 * p, 4) AS pred_qty, round(mr + v2 * p, 4) AS pred_rev FROM ro JOIN zz USING (l_suppkey, k), v""")
+def pod_one_mode_rollout(spark, d):
+    df = supply(spark, d)
+    return rounded(pred.rollout(df, SUP, _one_mode(df)), 4, "pred_qty", "pred_rev").select("l_suppkey", "t", "pred_qty", "pred_rev")
+
+
+_ESTIMATES = ("est_qty", "est_rev", "a1", "innovation_qty")
+
+
+@query("kalman_one_mode", f"WITH RECURSIVE {_kal1} SELECT l_suppkey, t, round(est_qty, 4) AS est_qty, round(est_rev, 4) AS est_rev, round(a1, 4) AS a1, round(covariance_trace, 9) AS covariance_trace, round(innovation_qty, 4) AS innovation_qty FROM es")
+def kalman_one_mode(spark, d):
+    df = supply(spark, d)
+    out = pred.kalman_pod(df, SUP, _one_mode(df), ["qty"])
+    return rounded(rounded(out, 4, *_ESTIMATES), 9, "covariance_trace").select("l_suppkey", F.col("t").cast("bigint").alias("t"), *_ESTIMATES, "covariance_trace")
+
+
 @query("kalman_pod_estimates", None)
 def kalman_pod_estimates(spark, d):
     df = supply(spark, d)
@@ -884,6 +977,20 @@ def archive_validation(spark, d):
     return AR.validate_archive(spark, _archived(spark, d))
 
 
+@query("archive_faults", f"""WITH {_alerts} SELECT 'error' AS level, 'missing_file' AS code, count(DISTINCT floor((matched_time - 1704067200.0) / 24 / 3600))::BIGINT AS n FROM res WHERE matched_time >= 1704067200.0 + 24 * 3600 * 10
+  UNION ALL SELECT 'warning', 'recommended_columns_missing', 1 UNION ALL SELECT 'warning', 'kind_not_present', 5""")
+def archive_faults(spark, d):
+    """Findings of an archive whose later residual hours are listed under other paths and whose alerts lack their code."""
+    root = _archived(spark, d)
+    manifest = AR.read_manifest(spark, root)
+    late = (F.col("data_kind") == "residuals") & (F.col("hour_partition") >= "0010")
+    one_file = manifest.where(~late).unionByName(manifest.where(late).groupBy(*[c for c in manifest.columns if c == "hour_partition"]).agg(
+        *[F.first(c).alias(c) for c in manifest.columns if c != "hour_partition"]))
+    damaged = one_file.withColumns({"path": F.when(late, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")),
+                                    "columns": F.when(F.col("data_kind") == "alerts", F.regexp_replace("columns", '"code",', "")).otherwise(F.col("columns"))})
+    return AR.validate_archive(spark, root, damaged).groupBy("level", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- status ---------------------------------------------------------------------------------------------------------
 
 @query("run_status", f"""WITH {_trust} SELECT (SELECT count(*) FROM ev) AS n_clean_samples, (SELECT round(max(t), 3) FROM ev) AS latest_time, (SELECT count(*) FROM fc) AS n_forecast_rows, (SELECT count(*) FROM res) AS n_residual_rows,
@@ -941,3 +1048,84 @@ def stream_estimates(spark, d):
     q = est.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out").drop("_received_utc")
+
+
+def _estimation_run(spark, d, chunks: int = 10) -> str:
+    """The supply series as a live log in ten triggers, checked, filtered and archived by one streaming query."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df = settle(supply(spark, d))
+    model = _one_mode(df)
+    IN.write_replay(df.drop("rev"), f"{root}/in", chunk_size=-(-df.count() // chunks), time="t", order=("l_suppkey",))
+    schema = spark.read.parquet(f"{root}/in").schema
+    LIVE.run_estimation(IN.replay_stream(spark, f"{root}/in", schema), SUP, f"{root}/archive", "run", f"{root}/ck", model, ["qty"],
+                        horizons=(2592000.0,), dt=2592000.0, remember_seconds=1e9)
+    return f"{root}/archive"
+
+
+@query("live_estimation_run", f"""WITH RECURSIVE {_kal1} SELECT l_suppkey, t, round(est_qty, 4) AS est_qty, round(est_rev, 4) AS est_rev, round(a1, 4) AS a1, round(covariance_trace, 9) AS covariance_trace, round(innovation_qty, 4) AS innovation_qty FROM es""")
+def live_estimation_run(spark, d):
+    """State, modal, covariance and innovation tables of the run side by side."""
+    root = _estimation_run(spark, d)
+    by = ["l_suppkey", "t"]
+    kind = lambda name, *columns: AR.load_kind(spark, root, name).select("l_suppkey", F.col("t").cast("bigint").alias("t"), *columns)
+    inn = AR.load_kind(spark, root, "kalman_innovations").select("l_suppkey", F.col("origin_time").cast("bigint").alias("t"), F.col("innovation").alias("innovation_qty"))
+    out = (kind("state_estimates", F.col("qty").alias("est_qty"), F.col("rev").alias("est_rev")).join(kind("modal_estimates", "a1"), by)
+           .join(kind("estimate_covariance", "covariance_trace"), by).join(inn, by))
+    return rounded(rounded(out, 4, *_ESTIMATES), 9, "covariance_trace").select(*by, *_ESTIMATES, "covariance_trace")
+
+
+@query("live_archive_counts", f"""WITH {sup_sql}, n AS (SELECT count(*) AS n FROM sup) SELECT k AS data_kind, (n * m)::BIGINT AS n_rows FROM n,
+  (VALUES ('raw_stream', 1), ('cleaned_stream', 1), ('state_estimates', 1), ('modal_estimates', 1), ('estimate_covariance', 1), ('kalman_innovations', 1), ('forecasts', 2)) v(k, m)""")
+def live_archive_counts(spark, d):
+    manifest = AR.read_manifest(spark, _estimation_run(spark, d, chunks=2))
+    return manifest.groupBy("data_kind").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query("followed_log", """SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders""")
+def followed_log(spark, d):
+    """The orders table written as text and followed as a growing log, in arrival order."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string"), F.round("o_totalprice", 2).cast("string").alias("o_totalprice"))
+    TB.write_table(rows, f"{root}/log", "csv")
+    stream = IN.make_stream(spark, "csv_tail", f"{root}/log", columns=["o_totalprice", "o_orderkey"])
+    q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(F.col("o_orderkey").cast("bigint"), F.col("o_totalprice").cast("double"))
+
+
+@query("live_checks_short_memory", f"""WITH {_arr}, ck AS (SELECT cust, seq, CASE WHEN t < lt THEN 'NONMONOTONIC_LIVE_TIME' WHEN t = lt OR (dup > 1 AND t >= peak - 200) THEN 'DUPLICATE_LIVE_TIME' END AS code
+  FROM (SELECT *, lag(t) OVER (PARTITION BY cust ORDER BY seq) AS lt, row_number() OVER (PARTITION BY cust, t ORDER BY seq) AS dup,
+    max(t) OVER (PARTITION BY cust ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak FROM arr))
+  SELECT cust, seq AS _stream_row_index, code AS _code FROM ck""")
+def live_checks_short_memory(spark, d):
+    """Time checks that forget times older than 200 days, as a stream of ten triggers."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = settle(arrivals(spark, d))
+    IN.write_replay(rows.withColumnRenamed("_stream_row_index", "_n"), f"{root}/in", chunk_size=-(-rows.count() // 10), order=("_n",))
+    stream = IN.replay_stream(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema)
+    checked = BUF.check_stream(stream, ARR, remember_seconds=200.0).select("cust", F.col("_n").alias("_stream_row_index"), "_code")
+    q = checked.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("archive_appends", """WITH o AS (SELECT CAST(floor(o_orderkey / 3600) AS BIGINT) AS h, o_orderkey % 3 AS part FROM orders) SELECT printf('%04d', h) AS hour_partition, count(*) AS n_rows, count(DISTINCT part) AS n_writes FROM o GROUP BY 1""")
+def archive_appends(spark, d):
+    """Three writes of one kind into the same hours of a run, one of them written twice."""
+    root = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("double").alias("time"), F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 3).alias("part"))
+    for part in (0, 1, 2, 1):
+        AR.write_records(rows.where(F.col("part") == part), root, "raw_stream", "run", write_id=f"epoch-{part}")
+    return AR.read_manifest(spark, root).groupBy("hour_partition").agg(F.sum("n_rows").alias("n_rows"), F.countDistinct("write_id").alias("n_writes"))
+
+
+@query("archive_compacted", """SELECT CAST(floor(o_orderkey / 3600) AS BIGINT) AS hour, count(*) AS n, round(sum(o_totalprice), 2) AS price, 1 AS n_writes FROM orders GROUP BY 1""")
+def archive_compacted(spark, d):
+    """The rows of many writes after they were brought together into one."""
+    root = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("double").alias("time"), F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 3).alias("part"))
+    for part in (0, 1, 2):
+        AR.write_records(rows.where(F.col("part") == part).drop("part"), root, "raw_stream", "run")
+    AR.compact(spark, root, "raw_stream", "run")
+    return AR.load_kind(spark, root, "raw_stream").groupBy(F.floor(F.col("time") / 3600).alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), r(F.sum("price"), 2).alias("price"), F.countDistinct("write_id").cast("int").alias("n_writes"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from trajmill.functions import linalg as L
 from trajmill.operators.quality import percentiles
@@ -460,43 +460,59 @@ def models_per_case(case_factor_table: DataFrame, spec: TrajectorySpec, *, rank=
 
 # -- leave one case out -------------------------------------------------------------------------------------
 
-def leave_one_out_factors(case_factor_table: DataFrame, case: str, buckets: int | None = None) -> DataFrame:
+def leave_one_out_factors(case_factor_table: DataFrame, case: str, fan_in: int | None = None) -> DataFrame:
     """For every case the merged factor of all *other* cases, without subtracting anything.
 
-    The table is read three times, so pass a settled one (``session.settle``).
-
-    Cases fall into about sqrt(N) buckets. Bucket factors (a few hundred rows) give "all other
-    buckets" by prefix and suffix merges on the driver; inside a bucket the same trick runs over
-    its own cases. Work is linear in the number of cases and no task sees more than one bucket.
+    The table is read several times, so pass a settled one (``session.settle``). Cases are numbered and merged upward in a tree of
+    ``fan_in``; then each node hands its "all others" factor down to its children, who add their siblings to it. Every
+    group holds at most ``fan_in`` factors and one from above, whatever the number of cases, and the work is linear in it.
     """
+    from trajmill.session import settle
+
+    fan = fan_in or FAN_IN
     n, p = case_factor_table.agg(F.count(F.lit(1)), F.max("p")).first()
-    buckets = buckets or int(min(1024, max(1, round(np.sqrt(n)))))
-    tagged = case_factor_table.withColumn("_bucket", F.pmod(F.xxhash64(case), F.lit(buckets)).cast("int"))
-    fields = T.StructType([T.StructField("k0", T.IntegerType()), T.StructField("n_rows", T.LongType()),
-                           T.StructField("r", T.ArrayType(T.DoubleType()))])
-
-    def merge(frames):
-        return _merge(frames, p, ["k0"], ["k0", "n_rows", "r"])
-
-    per_bucket = tagged.select(F.col("_bucket").alias("k0"), "n_rows", "r").repartition(
-        "k0").sortWithinPartitions("k0").mapInPandas(merge, fields)
-    rows = sorted(per_bucket.collect(), key=lambda r: r["k0"])  # at most 1,024 factors
-    inside = [(np.asarray(r["r"]).reshape(-1, p), r["n_rows"]) for r in rows]
-    others = dict(zip([r["k0"] for r in rows], _all_but_one(inside)))
-    outside = case_factor_table.sparkSession.sparkContext.broadcast(others)
     case_type = case_factor_table.schema[case].dataType.simpleString()
+    if not n:
+        return case_factor_table.select(case, "n_rows", "p", "r")
+    place = case_factor_table.select(F.col(case).alias("_case"), "n_rows", "r", F.spark_partition_id().alias("_task"),
+                                     F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"))
+    tasks = place.groupBy("_task").agg(F.max("_at").alias("_top"))
+    begin = tasks.select("_task", F.coalesce(F.sum(F.col("_top") + 1).over(
+        Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begin"))
+    leaves = place.join(F.broadcast(begin), "_task").select("_case", (F.col("_begin") + F.col("_at")).alias("node"), "n_rows", "r")
+    leaves = settle(leaves)
+    nodes = "node bigint, n_rows bigint, r array<double>"
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        factor, rows = None, 0
+        for r, k in zip(frame["r"], frame["n_rows"]):
+            factor, rows = L.stack_factor(factor, np.asarray(r, float).reshape(-1, p)), rows + int(k)
+        return pd.DataFrame({"node": [int(frame["node"].iat[0]) // fan], "n_rows": [rows], "r": [factor.ravel().tolist()]})
+
+    levels, count = [leaves.select("node", "n_rows", "r")], n
+    while count > fan:
+        levels.append(settle(levels[-1].groupBy(F.floor(F.col("node") / fan)).applyInPandas(merge, nodes)))
+        count = -(-count // fan)
 
     def hold_out(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_case").reset_index(drop=True)
-        base = outside.value[int(frame["_bucket"].iat[0])]
-        own = [(np.asarray(r, float).reshape(-1, p), int(k)) for r, k in zip(frame["r"], frame["n_rows"])]
+        above = frame[frame["_above"]]
+        below = frame[~frame["_above"]].sort_values("node")
+        base = (None, 0)
+        if len(above) and len(above["r"].iat[0]):
+            base = np.asarray(above["r"].iat[0], float).reshape(-1, p), int(above["n_rows"].iat[0])
+        own = [(np.asarray(r, float).reshape(-1, p), int(k)) for r, k in zip(below["r"], below["n_rows"])]
         held = _all_but_one(own, base)
-        return pd.DataFrame({"_case": frame["_case"], "n_rows": [k for _, k in held], "p": p,
-                             "r": [[] if f is None else f.ravel().tolist() for f, _ in held]})
-
-    out = tagged.select(F.col(case).alias("_case"), "_bucket", "n_rows", "r").groupBy("_bucket").applyInPandas(
-        hold_out, f"_case {case_type}, n_rows bigint, p int, r array<double>")
-    return out.withColumnRenamed("_case", case)
+        return pd.DataFrame({"node": below["node"], "n_rows": [k for _, k in held], "r": [[] if f is None else f.ravel().tolist() for f, _ in held]})
+
+    others = None
+    for level in reversed(levels):
+        group = F.floor(F.col("node") / fan) if others is not None else F.lit(0)
+        rows = level.withColumns({"_above": F.lit(False), "_g": group})
+        if others is not None:
+            rows = rows.unionByName(others.withColumns({"_above": F.lit(True), "_g": F.col("node")}))
+        others = rows.groupBy("_g").applyInPandas(hold_out, nodes)
+    out = leaves.select("_case", "node").join(others, "node").select(F.col("_case").cast(case_type).alias(case), "n_rows", F.lit(p).cast("int").alias("p"), "r")
+    return out
 
 
 def _all_but_one(parts, base=(None, 0)):

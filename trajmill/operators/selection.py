@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import product
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,6 @@ from trajmill.operators.metrics import score_models, stability, summarise_scores
 from trajmill.operators.prediction import rollout_many
 from trajmill.operators.shaping import delay_embedding
 from trajmill.operators.trees import TreeModel, rollout_trees
-from trajmill.plans.segments import join_null_safe, plan_layout, with_position
 from trajmill.spec import TrajectorySpec
 
 
@@ -203,28 +203,70 @@ def leave_one_out_scores(df: DataFrame, spec: TrajectorySpec, *, rank=None) -> D
 
 # -- uncertainty ---------------------------------------------------------------------------------------------
 
+HELD_GROUPS = 1024  # groups whose sums a task keeps before it hands them on
+_STEPS = np.cumsum([np.exp(-1.0) / factorial(k) for k in range(18)])  # chances of at most k draws of a row
+
+
+def _draws(place: np.ndarray, seed: int, n: int) -> np.ndarray:
+    """How often each row (by its place) is drawn in each of ``n`` replicates: Poisson with mean 1, the same on every run."""
+    with np.errstate(over="ignore"):
+        x = place.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(n, dtype=np.uint64) + np.uint64(seed) * np.uint64(n))[None, :]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the finisher of SplitMix64
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(_STEPS, (x >> np.uint64(11)).astype(float) / 2.0**53).astype(float)
+
+
 def bootstrap_ci(df: DataFrame, keys: list[str], value: str, *, n: int = 500, confidence: float = 0.95, seed: int = 0,
                  root: bool = False) -> DataFrame:
-    """Percentile interval of the mean of ``value`` per group by resampling with replacement.
+    """Percentile interval of the mean of ``value`` per group by a Poisson bootstrap.
 
-    Draw d of replicate b takes row ``hash(seed, b, d) mod N`` of its group, so a rerun after a lost
-    executor draws the same rows. Draws meet their rows in an equi-join on (group, row), which
-    spreads even one single group over all tasks. ``root`` gives the interval of the root mean.
+    Every row draws, for each replicate, how often it counts; a replicate's mean is the weighted mean. Draws depend on the seed and the
+    row's place in the table, so a settled table gives the same interval again. Tasks add weighted sums of all replicates side by
+    side while they read; rows are not shuffled, only groups x (replicates + 1) sums are, once. ``root`` gives the interval of the root mean.
     """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    rows = rows.select(*keys, F.col(value).cast("double").alias("_value"))
-    numbered = with_position(rows, plan_layout(rows, keys, "_value"), ["_value"], "_row")
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.avg("_value").alias("_mean"))
-    draws = join_null_safe(numbered.select(*keys, F.col("_row").alias("_draw")), sizes.select(*keys, "_size"), list(keys))
-    draws = draws.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
-        "_row", F.pmod(F.xxhash64(F.lit(seed), *keys, "_rep", "_draw"), F.col("_size"))).drop("_size", "_draw")
-    means = join_null_safe(draws, numbered, [*keys, "_row"]).groupBy(*keys, "_rep").agg(F.avg("_value").alias("_m"))
-    finish = F.sqrt if root else (lambda c: F.col(c) if isinstance(c, str) else c)
+    usable = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
+    rows = usable.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.monotonically_increasing_id().alias("_place"),
+                         F.col(value).cast("double").alias("_value"))
+    names = [f"k{i}" for i in range(len(keys))]
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in names)
+
+    def add(frames):
+        held: dict[tuple, np.ndarray] = {}
+
+        def out():
+            return pd.concat([pd.DataFrame({**dict(zip(names, key)), "_rep": np.arange(n + 1), "_weight": sums[0], "_sum": sums[1]}) if len(key) else
+                              pd.DataFrame({"_rep": np.arange(n + 1), "_weight": sums[0], "_sum": sums[1]}) for key, sums in held.items()])
+
+        for frame in frames:
+            if not len(frame):
+                continue
+            codes = frame.groupby(names, dropna=False, sort=False).ngroup().to_numpy() if names else np.zeros(len(frame), int)
+            order = np.argsort(codes, kind="stable")
+            v = frame["_value"].to_numpy()[order]
+            weights = np.column_stack([np.ones(len(v)), _draws(frame["_place"].to_numpy()[order], seed, n)])
+            first = np.flatnonzero(np.append(True, np.diff(codes[order]) != 0))
+            both = np.stack([np.add.reduceat(weights, first), np.add.reduceat(weights * v[:, None], first)], axis=1)
+            for at, sums in zip(order[first], both):
+                key = tuple(None if pd.isna(x) else x for x in (frame[k].iat[at] for k in names))
+                held[key] = held[key] + sums if key in held else sums
+            if len(held) > HELD_GROUPS:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    parts = rows.mapInPandas(add, f"{kinds}_rep int, _weight double, _sum double")
+    parts = parts.repartition(*names) if names else parts.repartition(1)  # n + 1 rows a task and group; both aggregations below use this
+    means = parts.groupBy(*names, "_rep").agg(F.sum("_weight").alias("_weight"), F.sum("_sum").alias("_sum"))
+    mean = F.when(F.col("_weight") > 0, F.col("_sum") / F.col("_weight"))
     tail = (1.0 - confidence) / 2.0
-    spans = means.groupBy(*keys).agg(  # n replicates per group
-        F.percentile(finish("_m"), F.lit(tail)).alias("ci_low"), F.percentile(finish("_m"), F.lit(1.0 - tail)).alias("ci_high"))
-    center = sizes.select(*keys, F.col("_size").alias("n"), finish("_mean").alias("mean"))
-    return join_null_safe(center, spans, list(keys))
+    share = F.when(F.col("_rep") > 0, F.sqrt(mean) if root else mean)
+    whole = lambda c: F.max(F.when(F.col("_rep") == 0, c))
+    spans = means.groupBy(*names).agg(
+        whole(F.col("_weight")).cast("bigint").alias("n"), whole(F.sqrt(mean) if root else mean).alias("mean"),
+        F.percentile(share, F.lit(tail)).alias("ci_low"), F.percentile(share, F.lit(1.0 - tail)).alias("ci_high"))
+    return spans.select(*[F.col(a).alias(k) for a, k in zip(names, keys)], "n", "mean", "ci_low", "ci_high")
 
 
 def bootstrap_metric(df: DataFrame, keys: list[str], true: str, predicted: str, metric: str = "rmse", **options) -> DataFrame:

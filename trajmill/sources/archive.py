@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -26,7 +28,8 @@ SCHEMA_VERSION = "live_archive_v1"
 MANIFEST_SCHEMA = (
     "schema_version string, written_at_utc string, data_kind string, source_file string, path string, format string, "
     "n_rows bigint, n_columns bigint, columns string, time_col string, min_time string, max_time string, "
-    "file_size_bytes bigint, date_partition string, hour_partition string, run_id string")
+    "file_size_bytes bigint, date_partition string, hour_partition string, run_id string, write_id string")
+PLACES = ("data_kind", "run_id", "write_id", "date", "hour")
 REQUIRED_MANIFEST = ("schema_version", "run_id", "data_kind", "path", "format", "n_rows", "columns", "file_size_bytes")
 RECOMMENDED = {
     "cleaned_stream": ("time",), "state_estimates": ("time",),
@@ -64,28 +67,58 @@ def partition_columns(df: DataFrame, time: str | None) -> tuple[Column, Column]:
     return F.lit("relative"), F.format_string("%04d", F.floor(seconds / 3600.0).cast("bigint"))
 
 
-def write_records(df: DataFrame, root: str, kind: str, run_id: str, *, source: str = "", time: str | None = None) -> None:
-    """Append one table of a run to the archive, then its files to the manifest.
+def _place(kind: str, run_id: str, write_id: str) -> str:
+    """The folder of one write; names that a path would spell otherwise are refused."""
+    for name in (kind, run_id, write_id):
+        if not re.fullmatch(r"[\w.-]+", name):
+            raise ValueError(f"letters, digits, dot, dash and underscore only: {name!r}")
+    return f"data_kind={kind}/run_id={run_id}/write_id={write_id}"
 
-    Rows are rebalanced by (date, hour): an hour holding a third of all rows becomes several files,
-    and small hours do not become many. Partitions carry the run id and are overwritten as a
-    whole, so repeating a failed write (or a streaming epoch) leaves no copy behind.
+
+def _found(read, otherwise):
+    """The result of a read, or ``otherwise`` where nothing has been written yet; any other problem is raised."""
+    try:
+        return read()
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return otherwise
+
+
+def write_records(df: DataFrame, root: str, kind: str, run_id: str, *, source: str = "", time: str | None = None,
+                  write_id: str | None = None, replaces: list[str] = ()) -> str:
+    """Append one table to a run of the archive and list its files in the manifest; returns the id of the write.
+
+    Every write has a folder and a manifest entry of its own: what it costs depends on its rows, not on the archive. The write counts
+    once its entry stands. Without ``write_id`` it is a new one; a repeated id (a failed write, a streaming epoch) replaces itself as a
+    whole. ``replaces`` names writes that no longer count from then on (``compact``). Rows are rebalanced by (date, hour): an hour holding a
+    third of all rows becomes several files, and small hours do not become many.
     """
-    spark, root = df.sparkSession, root.rstrip("/")
+    spark, root, write_id = df.sparkSession, root.rstrip("/"), write_id or uuid.uuid4().hex
     time = time or infer_time_column(df.columns, kind)
     date, hour = partition_columns(df, time)
-    placed = df.withColumns({"data_kind": F.lit(kind), "date": date, "hour": hour, "run_id": F.lit(run_id)})
-    parts = ["data_kind", "date", "hour", "run_id"]
-    (placed.hint("rebalance", "date", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("compression", "zstd").partitionBy(*parts).parquet(root))
-    try:
-        written = (spark.read.schema(placed.schema).option("basePath", root).parquet(f"{root}/data_kind={kind}")
-                   .where(F.col("run_id") == run_id))
-        rows = manifest_rows(written, df.columns, kind, run_id, time, source)
-    except AnalysisException:
-        return  # nothing was written: the table was empty
-    (rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("data_kind", "run_id").parquet(f"{root}/_manifest"))
+    placed = df.withColumns({"date": date, "hour": hour})
+    place = _place(kind, run_id, write_id)
+    (placed.hint("rebalance", "date", "hour").write.mode("overwrite").option("compression", "zstd")
+     .partitionBy("date", "hour").parquet(f"{root}/{place}"))
+    written = spark.read.schema(placed.schema).parquet(f"{root}/{place}")
+    rows = manifest_rows(written, df.columns, kind, run_id, time, source).withColumn("replaces", F.lit(list(replaces)).cast("array<string>"))
+    rows.drop("data_kind", "run_id").coalesce(1).write.mode("overwrite").parquet(f"{root}/_manifest/{place}")
+    return write_id
+
+
+def compact(spark: SparkSession, root: str, kind: str, run_id: str) -> str | None:
+    """Bring all writes of a kind in a run together into one, so that many small files become few.
+
+    The new write's manifest entry replaces the old writes in one step; their files stay until the storage is cleaned, as readers may still hold them.
+    """
+    manifest = read_manifest(spark, root).where((F.col("data_kind") == kind) & (F.col("run_id") == run_id))
+    writes = sorted(r["write_id"] for r in manifest.select("write_id").distinct().collect())  # names of writes
+    if len(writes) < 2:
+        return None
+    first = manifest.select("source_file", "time_col").first()
+    rows = load_kind(spark, root, kind, run_id=run_id).drop(*PLACES)
+    return write_records(rows, root, kind, run_id, source=first["source_file"], time=first["time_col"] or None, replaces=writes)
 
 
 def manifest_rows(written: DataFrame, columns: list[str], kind: str, run_id: str, time: str | None, source: str) -> DataFrame:
@@ -105,36 +138,42 @@ def manifest_rows(written: DataFrame, columns: list[str], kind: str, run_id: str
 
 
 def archive_run(tables: dict[str, DataFrame], root: str, run_id: str) -> DataFrame:
-    """Archive all known tables of a run (one write per kind) and return the manifest."""
+    """Archive all known tables of a finished run (one write per kind; a repeated run replaces it) and return the manifest."""
     unknown = set(tables) - set(KIND_TIMES)
     if unknown:
         raise ValueError(f"unknown data kinds: {sorted(unknown)}")
     for kind, df in tables.items():
-        write_records(df, root, kind, run_id, source=kind)
+        write_records(df, root, kind, run_id, source=kind, write_id="run")
     return read_manifest(next(iter(tables.values())).sparkSession, root)
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """One row per file of the writes that count."""
     empty = spark.createDataFrame([], MANIFEST_SCHEMA)
-    try:
-        return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root.rstrip('/')}/_manifest").select(*empty.columns)
-    except AnalysisException:
+    log = _found(lambda: spark.read.schema(f"{MANIFEST_SCHEMA}, replaces array<string>").parquet(f"{root.rstrip('/')}/_manifest"), None)
+    if log is None:
         return empty
+    gone = log.select("data_kind", "run_id", F.explode("replaces").alias("write_id")).distinct()
+    return log.join(gone, ["data_kind", "run_id", "write_id"], "left_anti").select(*empty.columns)
 
 
-def load_kind(spark: SparkSession, root: str, kind: str, max_files: int | None = None) -> DataFrame | None:
-    """Rows of one kind (None when it was never archived); ``max_files`` keeps the newest manifest files."""
+def load_kind(spark: SparkSession, root: str, kind: str, max_files: int | None = None, run_id: str | None = None) -> DataFrame | None:
+    """Rows of one kind (None when it was never archived), of all runs or one; ``max_files`` keeps the newest manifest files.
+
+    Only files that the manifest lists are read; a file that cannot be read is an error, not silently shorter.
+    """
     root = root.rstrip("/")
-    reader = spark.read.option("basePath", root).option("mergeSchema", True).option("ignoreCorruptFiles", True)
-    try:
-        if max_files is None:
-            return reader.parquet(f"{root}/data_kind={kind}")
-        newest = read_manifest(spark, root).where(F.col("data_kind") == kind).orderBy(
-            F.col("written_at_utc").desc(), F.col("path").desc()).limit(max_files)
-        paths = [f"{root}/{r['path']}" for r in newest.select("path").collect()]  # max_files paths
-        return reader.parquet(*paths) if paths else None
-    except AnalysisException:
-        return None
+    listed = read_manifest(spark, root).where(F.col("data_kind") == kind)
+    if run_id is not None:
+        listed = listed.where(F.col("run_id") == run_id)
+    if max_files is not None:
+        listed = listed.orderBy(F.col("written_at_utc").desc(), F.col("path").desc()).limit(max_files)
+        paths = [r["path"] for r in listed.select("path").collect()]  # max_files paths
+    else:
+        # One folder per write: the file index of the read holds these anyway.
+        paths = [_place(kind, r["run_id"], r["write_id"]) for r in listed.select("run_id", "write_id").distinct().collect()]
+    reader = spark.read.option("basePath", root).option("mergeSchema", True)
+    return reader.parquet(*[f"{root}/{p}" for p in paths]) if paths else None
 
 
 # -- search -----------------------------------------------------------------------------------------
@@ -233,12 +272,10 @@ def validate_archive(spark: SparkSession, root: str, manifest: DataFrame | None
     parts.append(total.where("_n = 0").select(F.lit("error").alias("level"), F.lit("empty_manifest").alias("code"),
                                               F.lit(root).alias("detail")))
     if "path" in manifest.columns:
-        try:
-            actual = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-                "pathGlobFilter", "*.parquet").load(root).select(F.regexp_extract("path", r"(data_kind=.*)$", 1).alias("path"))
-            lost = manifest.select("path").where(F.col("path").isNotNull()).join(actual, "path", "left_anti")
-        except AnalysisException:
-            lost = manifest.select("path")
+        actual = _found(lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+            "pathGlobFilter", "*.parquet").load(root).select(F.regexp_extract("path", r"(data_kind=.*)$", 1).alias("path")), None)
+        lost = manifest.select("path").where(F.col("path").isNotNull())
+        lost = lost if actual is None else lost.join(actual, "path", "left_anti")
         parts.append(lost.select(F.lit("error").alias("level"), F.lit("missing_file").alias("code"), F.col("path").alias("detail")))
     if {"data_kind", "columns"} <= set(manifest.columns):
         wanted = spark.createDataFrame([(k, list(c)) for k, c in RECOMMENDED.items()], "data_kind string, _wanted array<string>")

@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from trajmill.functions import linalg as L
 from trajmill.operators.fitting import LinearModel, measurement_matrix
-from trajmill.operators.prediction import DEFAULT_HORIZONS, forecast
+from trajmill.operators.prediction import DEFAULT_HORIZONS, forecast, innovations_long
 from trajmill.sources.archive import write_records
 from trajmill.spec import TrajectorySpec
-from trajmill.streaming.buffer import SEQ, buffer_warnings, check_stream, clean_rows, gather, latest_rows
+from trajmill.streaming.buffer import BACKWARDS, REPEATED, SEQ, buffer_warnings, check_stream, clean_rows, dealt, gather, in_order, latest_rows
 from trajmill.streaming.inputs import run_until_done
 
 
@@ -20,7 +21,7 @@ def ingest(stream: DataFrame, spec: TrajectorySpec, root: str, run_id: str, chec
            newest_only: bool = False, remember_seconds: float = 3600.0, timeout: float | None = None):
     """Read, check and archive a stream: raw rows, clean rows, warnings and (with a model) forecasts.
 
-    Every table of an epoch is written under its own run partition, so a repeated epoch replaces
+    Every table of an epoch is a write of its own in the run's archive, so a repeated epoch replaces
     itself. ``newest_only`` forecasts from the newest clean row of each batch instead of all rows.
     """
     checked = check_stream(stream, spec, remember_seconds)
@@ -28,15 +29,15 @@ def ingest(stream: DataFrame, spec: TrajectorySpec, root: str, run_id: str, chec
     def sink(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         try:
-            part = f"{run_id}-{epoch:08d}"
+            part = f"epoch-{epoch:08d}"
             clean = clean_rows(batch)
-            write_records(batch.drop("_code"), root, "raw_stream", part, time=spec.time)
-            write_records(clean, root, "cleaned_stream", part, time=spec.time)
-            write_records(buffer_warnings(batch, spec.keys), root, "warnings", part)
+            write_records(batch.drop("_code"), root, "raw_stream", run_id, time=spec.time, write_id=part)
+            write_records(clean, root, "cleaned_stream", run_id, time=spec.time, write_id=part)
+            write_records(buffer_warnings(batch, spec.keys), root, "warnings", run_id, write_id=part)
             if model is not None:
                 rows = latest_rows(clean, spec) if newest_only else clean
                 write_records(forecast(rows, model, spec.time, horizons, dt=dt, keys=spec.keys, row_index=SEQ,
-                                       received="_received_utc"), root, "forecasts", part)
+                                       received="_received_utc"), root, "forecasts", run_id, write_id=part)
         finally:
             batch.unpersist()
 
@@ -44,7 +45,11 @@ def ingest(stream: DataFrame, spec: TrajectorySpec, root: str, run_id: str, chec
 
 
 class _PODKalman(StatefulProcessor):
-    """Modal state and covariance of one case; the first row starts from the pseudo-inverse."""
+    """Modal state of one case and how many rows it has filtered; the first row starts from the pseudo-inverse.
+
+    Gains and covariances depend on the number of the row only (``RiccatiScan``), so the state is one vector and one number, and the rows of a
+    micro-batch are one scan over their matrices.
+    """
 
     def __init__(self, given: list[str], model: LinearModel, measurements: list[str], q: float, r: float, p0: float):
         self.given = given
@@ -53,34 +58,51 @@ class _PODKalman(StatefulProcessor):
         self.model, self.measurements = model, measurements
         self.h, self.shift = measurement_matrix(pod, chosen), pod.mean[chosen]
         k = pod.rank
-        self.q, self.r, self.p0 = np.eye(k) * q, np.eye(len(chosen)) * r, np.eye(k) * p0
+        self.schedule = L.RiccatiScan(model.a, self.h, np.eye(k) * q, np.eye(len(chosen)) * r, np.eye(k) * p0)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("filter", "a array<double>, p array<double>")
+        self.state = handle.getValueState("filter", "a array<double>, rows bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = gather(rows, self.given).sort_values(SEQ, kind="stable").reset_index(drop=True)
-        m, pod, k = self.model, self.model.pod, self.model.pod.rank
-        a = p = None
-        if self.state.exists():
-            flat_a, flat_p = self.state.get()
-            a, p = np.asarray(flat_a, float), np.asarray(flat_p, float).reshape(k, k)
-        y = frame[self.measurements].to_numpy(float) - self.shift
-        u = frame[list(m.inputs)].to_numpy(float) if m.inputs else np.zeros((len(frame), 0))
-        out = []
-        for i in range(len(frame)):
-            started = a is None
-            if started:
-                a, p = np.linalg.pinv(self.h) @ y[i], self.p0
-            else:
-                a, p = m.a @ a + m.b @ u[i] + m.offset, m.a @ p @ m.a.T + self.q
-            innovation = y[i] - self.h @ a
-            gain = p @ self.h.T @ np.linalg.pinv(self.h @ p @ self.h.T + self.r)
-            a, p = a + gain @ innovation, (np.eye(k) - gain @ self.h) @ p
-            out.append([*(pod.decoder() @ a + pod.mean), *a, np.trace(p), np.linalg.norm(innovation), *innovation, *np.diag(p), started])
-        self.state.update((a.tolist(), p.ravel().tolist()))
-        values = pd.DataFrame(out, columns=self.columns())
-        yield pd.concat([frame.drop(columns=[c for c in frame.columns if c in values.columns]), values], axis=1)
+        frames, order = in_order(rows, self.given)
+        whole = {c: np.concatenate([f[c].to_numpy() for f in frames]) for c in {*self.measurements, *self.model.inputs, "_code"} & set(self.given)}
+        if "_code" in whole:  # rows with a problem in their values pass without an estimate
+            order = order[[code is None or pd.isna(code) or code in (BACKWARDS, REPEATED) for code in whole["_code"][order]]]
+        out = np.full((sum(map(len, frames)), len(self.columns()) - 1), np.nan)
+        started = np.zeros(len(out), bool)
+        if len(order):
+            before, count = self.state.get() if self.state.exists() else (None, 0)
+            y = np.column_stack([whole[c][order].astype(float) for c in self.measurements]) - self.shift
+            u = np.column_stack([whole[c][order].astype(float) for c in self.model.inputs]) if self.model.inputs else np.zeros((len(order), 0))
+            out[order], last = self._filter(y, u, None if count == 0 else np.asarray(before, float), count)
+            started[order[0]] = count == 0
+            self.state.update((last.tolist(), count + len(order)))
+        for (frame, values), (_, flags) in zip(dealt(out, frames), dealt(started, frames)):
+            estimates = pd.DataFrame(values, columns=self.columns()[:-1]).assign(initialized_from_measurement=flags)
+            yield pd.concat([frame.drop(columns=[c for c in frame.columns if c in estimates.columns]), estimates], axis=1)
+
+    def _filter(self, y: np.ndarray, u: np.ndarray, before: np.ndarray | None, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Output columns of rows ``count``, ``count + 1``, ... and the last modal state."""
+        m, pod, h = self.model, self.model.pod, self.h
+        gains, covariances = self.schedule.at(np.arange(count, count + len(y)))
+        drive = u @ m.b.T + m.offset
+        keep = np.eye(pod.rank) - gains @ h
+        forcing = np.einsum("kij,kj->ki", keep, drive) + np.einsum("kij,kj->ki", gains, y)
+        if before is None:
+            opening = np.linalg.pinv(h) @ y[0]
+            forcing[0] = opening + gains[0] @ (y[0] - h @ opening)
+        else:
+            forcing[0] += keep[0] @ m.a @ before
+        first = np.zeros(len(y), bool)
+        first[0] = True
+        x = L.varying_scan(keep @ m.a, forcing, first)
+        prior = np.empty_like(x)
+        prior[1:] = x[:-1] @ m.a.T + drive[1:]
+        prior[0] = opening if before is None else m.a @ before + drive[0]
+        innovation = y - prior @ h.T
+        full = x @ pod.decoder().T + pod.mean
+        variances = np.diagonal(covariances, axis1=1, axis2=2)
+        return np.column_stack([full, x, variances.sum(axis=1), np.linalg.norm(innovation, axis=1), innovation, variances]), x[-1]
 
     def columns(self) -> list[str]:
         k = range(1, self.model.pod.rank + 1)
@@ -92,23 +114,69 @@ class _PODKalman(StatefulProcessor):
 
 
 def estimate_stream(clean: DataFrame, spec: TrajectorySpec, model: LinearModel, measurements: list[str], *,
-                    process_noise: float = 1e-6, measurement_noise: float = 1e-3, initial_covariance: float = 1.0) -> DataFrame:
-    """Filter every clean row of a stream into full states, one keyed state per case."""
+                    process_noise: float = 1e-6, measurement_noise: float = 1e-3, initial_covariance: float = 1.0,
+                    carry: list[str] = ()) -> DataFrame:
+    """Filter every row of a stream into full states, one keyed state per case.
+
+    Rows are taken in the order of their arrival number. Where the rows carry ``_code`` those with a problem in their values pass without an estimate.
+    ``carry`` names further columns to keep.
+    """
     for name, value in (("process_noise", process_noise), ("measurement_noise", measurement_noise),
                         ("initial_covariance", initial_covariance)):
         if not value > 0:
             raise ValueError(f"{name} must be positive")
-    keep = list(dict.fromkeys([*spec.keys, spec.time, *measurements, *model.inputs, SEQ, "_received_utc"]))
+    keep = list(dict.fromkeys([*spec.keys, spec.time, *measurements, *model.inputs, SEQ, "_received_utc", *carry]))
     slim = clean.select(*keep)
     keyed = slim if spec.case else slim.withColumn("_case", F.lit("all"))
     processor = _PODKalman(keyed.columns, model, list(measurements), process_noise, measurement_noise, initial_covariance)
-    fields = [*keyed.schema.fields, *[T.StructField(c, T.BooleanType() if c.startswith("initialized") else T.DoubleType())
-                                     for c in processor.columns()]]
+    fields = [*[f for f in keyed.schema.fields if f.name not in processor.columns()],
+              *[T.StructField(c, T.BooleanType() if c.startswith("initialized") else T.DoubleType()) for c in processor.columns()]]
     out = keyed.groupBy(spec.case or "_case").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append", timeMode="None")
     return out if spec.case else out.drop("_case")
 
 
+def run_estimation(stream: DataFrame, spec: TrajectorySpec, root: str, run_id: str, checkpoint: str, model: LinearModel,
+                   measurements: list[str], *, horizons=None, dt: float | None = None, process_noise: float = 1e-6,
+                   measurement_noise: float = 1e-3, initial_covariance: float = 1.0, remember_seconds: float = 3600.0, **limits):
+    """Read, check, filter and archive a stream as one run: two chained stateful operators, one query.
+
+    The stream holds the measured states and the inputs only; the model's other states are estimated. Tables of each epoch: raw_stream,
+    cleaned_stream, warnings, state_estimates, modal_estimates, estimate_covariance, kalman_innovations and, with ``horizons``, forecasts from
+    the filtered states. A repeated epoch replaces itself. ``limits`` go to ``run_until_done``.
+    """
+    measured = spec.with_states(measurements)
+    checked = check_stream(stream, measured, remember_seconds)
+    given = list(checked.columns)
+    estimated = estimate_stream(checked, measured, model, measurements, process_noise=process_noise, measurement_noise=measurement_noise,
+                                initial_covariance=initial_covariance, carry=given)
+    pod = model.pod
+    modal = [f"a{i + 1}" for i in range(pod.rank)]
+    about = [*spec.keys, spec.time, SEQ, "_received_utc"]
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        try:
+            def write(df, kind, time=spec.time):
+                write_records(df, root, kind, run_id, time=time, write_id=f"epoch-{epoch:08d}")
+
+            clean = clean_rows(batch)
+            write(batch.select(*[c for c in given if c != "_code"]), "raw_stream")
+            write(clean.select(*[c for c in given if c != "_code"]), "cleaned_stream")
+            write(buffer_warnings(batch, spec.keys), "warnings", None)
+            write(clean.select(*about, *[F.col(f"est_{c}").alias(c) for c in pod.states], "initialized_from_measurement"), "state_estimates")
+            write(clean.select(*about, *modal), "modal_estimates")
+            write(clean.select(*about, "covariance_trace", *[f"var_{c}" for c in modal]), "estimate_covariance")
+            rows = clean.withColumn("origin_row_index", F.col(SEQ))
+            write(innovations_long(rows, spec.keys, spec.time, list(measurements)), "kalman_innovations", "origin_time")
+            if horizons is not None:
+                write(forecast_estimates(clean, model, spec, horizons, dt), "forecasts", None)
+        finally:
+            batch.unpersist()
+
+    return run_until_done(estimated, sink, checkpoint, **limits)
+
+
 def forecast_estimates(estimates: DataFrame, model: LinearModel, spec: TrajectorySpec, horizons=DEFAULT_HORIZONS,
                        dt: float | None = None) -> DataFrame:
     """Forecasts from filtered states instead of raw measurements."""
@@ -132,15 +200,16 @@ class _BiasFold(StatefulProcessor):
 
         frame = gather(rows, self.columns)
         frame = frame.sort_values([c for c in ORDER if c in frame.columns], kind="stable").reset_index(drop=True)
-        bias, old, new = (self.state.get()[0] if self.state.exists() else 0.0), [], []
-        for residual, accepted in zip(frame["residual"], frame["accepted"]):
-            old.append(bias)
-            if accepted:
-                limit = self.rules.clip_residual
-                bias = _moved(bias, residual if limit is None else min(max(residual, -abs(limit)), abs(limit)), self.rules)
-            new.append(bias)
-        self.state.update((bias,))
-        yield frame.assign(old_bias=old, new_bias=new)
+        limit = self.rules.clip_residual
+        used = frame["residual"] if limit is None else frame["residual"].clip(-abs(limit), abs(limit))
+        bias = self.state.get()[0] if self.state.exists() else 0.0
+        moved = np.full(len(frame), np.nan)  # a bias changes at accepted rows only
+        for i in np.flatnonzero(frame["accepted"].to_numpy(bool)):
+            moved[i] = bias = _moved(bias, float(used.iat[i]), self.rules)
+        new = pd.Series(moved).ffill().fillna(self.state.get()[0] if self.state.exists() else 0.0)
+        old = new.shift(1, fill_value=self.state.get()[0] if self.state.exists() else 0.0)
+        self.state.update((float(bias),))
+        yield frame.assign(old_bias=old.to_numpy(), new_bias=new.to_numpy())
 
     def close(self) -> None:
         pass
@@ -153,25 +222,94 @@ def bias_stream(decided: DataFrame, keys: list[str], rules) -> DataFrame:
         statefulProcessor=_BiasFold(decided.columns, rules), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
+class _NearestMatch(StatefulProcessor):
+    """Open forecasts of one run and channel, and the measurements that one of them may still be nearest to.
+
+    A forecast leaves by a timer, when the watermark has passed its target and the tolerance; a measurement is forgotten when no open or coming
+    target reaches it.
+    """
+
+    LISTS = ("m_at", "m_value", "f_at", "f_value", "f_origin", "f_horizon")
+
+    def __init__(self, given: list[str], keys: list[str], tolerance: float):
+        self.given, self.keys, self.tolerance = given, keys, tolerance
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", ", ".join(f"{c} array<double>" for c in self.LISTS))
+
+    def _load(self) -> dict[str, np.ndarray]:
+        held = self.state.get() if self.state.exists() else [[]] * len(self.LISTS)
+        return {c: np.asarray(v, float) for c, v in zip(self.LISTS, held)}
+
+    def _store(self, held: dict[str, np.ndarray], watermark: float) -> None:
+        useful = held["m_at"] >= min(watermark, held["f_at"].min(initial=np.inf)) - self.tolerance
+        held["m_at"], held["m_value"] = held["m_at"][useful], held["m_value"][useful]
+        self.state.update(tuple(held[c].tolist() for c in self.LISTS))
+        if len(held["f_at"]):
+            self.handle.registerTimer(max(int((held["f_at"].min() + self.tolerance) * 1000) + 1, int(watermark * 1000) + 1))
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self._load()
+        for frame in rows:
+            frame.columns = self.given
+            asks = frame["_asks"].to_numpy(bool)
+            for mine, names in ((~asks, ("m_at", "m_value")), (asks, ("f_at", "f_value", "f_origin", "f_horizon"))):
+                for name, column in zip(names, ("_at", "_value", "origin_time", "forecast_horizon_s")):
+                    held[name] = np.concatenate([held[name], frame[column].to_numpy(float)[mine]])
+        self._store(held, timerValues.getCurrentWatermarkInMs() / 1000.0)
+        yield pd.DataFrame(columns=self.names())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held, watermark = self._load(), timerValues.getCurrentWatermarkInMs() / 1000.0
+        ripe = held["f_at"] + self.tolerance < watermark
+        target = held["f_at"][ripe]
+        order = np.argsort(held["m_at"], kind="stable")
+        at, value = held["m_at"][order], held["m_value"][order]
+        if len(at) and len(target):
+            after = np.searchsorted(at, target)
+            low, high = np.maximum(after - 1, 0), np.minimum(after, len(at) - 1)
+            near = np.where(np.abs(at[low] - target) <= np.abs(at[high] - target), low, high)  # the earlier of two equally near
+            near = np.searchsorted(at, at[near])  # the first that came of equal times
+            hit = np.abs(at[near] - target) <= self.tolerance
+            out = {c: held[c][ripe][hit] for c in ("f_origin", "f_horizon", "f_at", "f_value")}
+            yield pd.DataFrame(dict(zip(self.names(), [
+                *[[k] * int(hit.sum()) for k in key], out["f_origin"], out["f_horizon"], out["f_at"], at[near][hit], value[near][hit],
+                out["f_value"], value[near][hit] - out["f_value"]])))
+        else:
+            yield pd.DataFrame(columns=self.names())
+        for name in ("f_at", "f_value", "f_origin", "f_horizon"):
+            held[name] = held[name][~ripe]
+        self._store(held, watermark)
+
+    def names(self) -> list[str]:
+        return [*self.keys, "origin_time", "forecast_horizon_s", "_target", "_matched", "measured_value", "predicted_value", "residual"]
+
+    def close(self) -> None:
+        pass
+
+
 def residual_stream(clean: DataFrame, forecasts: DataFrame, keys: list[str], time_ts: str, target_ts: str,
                     measurements: list[str], tolerance_seconds: float, max_delay: str = "10 minutes") -> DataFrame:
-    """Match forecasts with measurements of a stream: interval join per run, nearest match per forecast.
+    """Match forecasts with measurements of a stream: the nearest one within the tolerance, of equally near ones the earlier.
 
-    Both sides carry event-time columns. A forecast leaves when the watermark passes its target, with
-    its nearest measurement (the earlier of two equally near ones).
+    Both sides carry event-time columns and meet in one keyed state per run and channel, which holds open targets and recent measurements
+    only. A forecast leaves, or is dropped without a match, when the watermark has passed its target and the tolerance.
     """
-    cells = F.array(*[F.struct(F.lit(m).alias("_m_state"), F.col(m).cast("double").alias("_m_value")) for m in measurements])
+    cells = F.array(*[F.struct(F.lit(m).alias("state"), F.col(m).cast("double").alias("_value")) for m in measurements])
+    moment = lambda c: (F.unix_micros(c) / 1e6).alias("_at")
+    nothing = F.lit(None).cast("double")
     measured = clean.withWatermark(time_ts, max_delay).select(
-        *[F.col(k).alias(f"_m_{k}") for k in keys], F.col(time_ts).alias("_m_ts"), F.inline(cells))
-    asked = forecasts.withWatermark(target_ts, max_delay)
-    span = F.expr(f"INTERVAL {float(tolerance_seconds)} SECONDS")
-    on = (F.col("state") == F.col("_m_state")) & (F.col("_m_ts") >= F.col(target_ts) - span) & (F.col("_m_ts") <= F.col(target_ts) + span)
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_m_{k}"))
-    gap = F.abs(F.unix_micros("_m_ts") - F.unix_micros(target_ts))
-    pairs = asked.join(measured, on).withColumn("_target", F.unix_micros(target_ts))
-    by = [*keys, "origin_time", "forecast_horizon_s", "state"]
-    nearest = pairs.groupBy(F.window(target_ts, "1 minute"), "_target", *by, "predicted_value").agg(
-        F.min_by(F.struct("_m_ts", "_m_value"), F.struct(gap, F.col("_m_ts"))).alias("_hit"))
-    return nearest.select(*by, F.timestamp_micros("_target").alias(target_ts), F.col("_hit._m_ts").alias("matched_ts"), F.col("_hit._m_value").alias("measured_value"),
-                          "predicted_value", (F.col("_hit._m_value") - F.col("predicted_value")).alias("residual"))
+        *keys, F.col(time_ts).alias("_ts"), moment(time_ts), F.inline(cells)).select(
+        *keys, "state", "_ts", "_at", "_value", nothing.alias("origin_time"), nothing.alias("forecast_horizon_s"), F.lit(False).alias("_asks"))
+    asked = forecasts.withWatermark(target_ts, max_delay).where(F.col("state").isin(list(measurements))).select(
+        *keys, "state", F.col(target_ts).alias("_ts"), moment(target_ts), F.col("predicted_value").cast("double").alias("_value"),
+        F.col("origin_time").cast("double").alias("origin_time"), F.col("forecast_horizon_s").cast("double").alias("forecast_horizon_s"), F.lit(True).alias("_asks"))
+    both = measured.unionByName(asked)
+    by = [*keys, "state"]
+    processor = _NearestMatch(both.columns, by, float(tolerance_seconds))
+    kinds = {f.name: f.dataType for f in both.schema.fields}
+    schema = T.StructType([T.StructField(c, kinds.get(c, T.DoubleType())) for c in processor.names()])
+    out = both.groupBy(*by).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    stamp = lambda c: F.timestamp_micros(F.round(F.col(c) * 1e6).cast("bigint"))
+    return out.withColumns({target_ts: stamp("_target"), "matched_ts": stamp("_matched")}).drop("_target", "_matched")
