@@ -24,6 +24,11 @@ def test_grams_do_not_depend_on_neighbours():
     assert not len(language.grams(["12 !"])[0]) and not len(language.grams([])[0])
 
 
+def test_letters_of_all_planes_are_letters():
+    for text in ("\U00030000\U00030001", "\U0002a6d6", "ж"):
+        assert text.isalpha() and len(language.grams([text])[0])
+
+
 def test_held_out_accuracy(spark):
     docs = docs_of(spark)
     out = language.identify(docs, remainder("doc_id", 3) == 1).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")

@@ -33,6 +33,8 @@ def brute(rows, share, epochs, seed):
     for d, dom, lang, src, text in rows:
         tokens.setdefault(dom, {}).setdefault(lang, {}).setdefault(src, []).append((d, len((text or "").split())))
     total = sum(n for a in tokens.values() for b in a.values() for c in b.values() for _, n in c)
+    # What has a weight of 0 takes nothing, and gives nothing above it room.
+    tokens = {d: {k: v for k, v in a.items() if WEIGHTS["language"].get(k, 1.0) > 0} for d, a in tokens.items() if WEIGHTS["domain"].get(d, 1.0) > 0}
     size = lambda t: sum(size(x) for x in t.values()) if isinstance(t, dict) else sum(n for _, n in t)
     out = {}
     weight = lambda level, name: WEIGHTS.get(level, {}).get(name, 1.0)
@@ -69,6 +71,16 @@ def test_against_rounds(spark, share, epochs):
     assert all(abs(found.get(k, (0, 0))[1] - want.get(k, (0, 0))[1]) <= 1 for k in {*found, *want})
 
 
+def test_weight_zero_loses_no_budget(spark):
+    """A source whose tokens are mostly under weight 0 leaves its share to its sibling."""
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(1, "a", "de", words(1000)), (2, "a", "en", words(50)), (3, "b", "en", words(2000))]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")
+    out = mix(df, domain=F.col("source"), language=F.col("lang"), weights={"language": {"en": 1.0}}, other={"language": 0.0}, share=0.3, epochs=1, seed=3).collect()
+    spent = {r.doc_id: r.mix_copies * r.mix_tokens + r.mix_prefix for r in out}
+    assert spent == {2: 50, 3: 865}  # 915 in all
+
+
 def test_nulls_and_empty(spark):
     schema = "doc_id bigint, lang string, source string, text string"
     df = spark.createDataFrame([(1, None, None, "a b c"), (None, "en", "s", "d e"), (2, "en", "s", None), (3, "en", "s", ""), (1, None, None, "a b c")], schema)

@@ -27,7 +27,7 @@ _tables: dict = {}
 def _letters() -> np.ndarray:
     if not _tables:
         table = np.zeros(0x110000, bool)
-        table[[c for c in range(0x30000) if chr(c).isalpha()]] = True  # no letters beyond the third plane
+        table[[c for c in range(0x110000) if chr(c).isalpha()]] = True
         _tables["letters"] = table
     return _tables["letters"]
 

@@ -54,11 +54,13 @@ def share_out(nodes: DataFrame, parent: list[str], name: str, budget: str, out:
 def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], other: dict[str, float], budget: float, epochs: int) -> DataFrame:
     """Tokens for each leaf (columns of LEVELS, tokens): ``given``."""
     now, above = None, []
+    # What lies under a weight of 0 takes no tokens and gives its ancestors no room for them.
+    for level in LEVELS:
+        leaves = leaves.where(_weight(F.col(level), weights.get(level, {}), other.get(level, 1.0)) > 0)
     for i, level in enumerate(LEVELS):
         path = list(LEVELS[: i + 1])
         nodes = leaves.groupBy(*path).agg((F.sum("tokens") * epochs).cast("double").alias("cap"))
         nodes = nodes.withColumn("weight", _weight(F.col(level), weights.get(level, {}), other.get(level, 1.0)))
-        # A node counts only if something below it can take tokens.
         nodes = nodes.withColumn("_budget", F.lit(float(budget))) if now is None else nodes.join(
             now.select(*above, F.col("_given").alias("_budget")), above)
         now, above = share_out(nodes, above, level, "_budget", "_given"), path
