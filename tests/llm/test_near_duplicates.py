@@ -94,6 +94,60 @@ def test_long_mixed_lists_lose_no_link(spark, monkeypatch):
     assert got == brute(rows, 2, 80)
 
 
+def near_copies(seed, count, size, kinds, edits):
+    """Texts that differ from one text by some of a few shared edits and some of their own: pairs between 0.6 and 0.85."""
+    draw = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    common = [(draw.randrange(size), f"e{k}") for k in range(kinds)]
+    rows = []
+    for i in range(count):
+        copy = list(base)
+        for _ in range(draw.choice(edits)):
+            at, word = draw.choice(common) if draw.random() < 0.6 else (draw.randrange(size), f"o{draw.randrange(10 ** 6)}")
+            copy[at] = word
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_members_of_a_group_between_the_thresholds(spark):
+    for seed, words in ((1, 2), (2, 5)):
+        rows = near_copies(seed, 90, 60, 9, [0, 2, 4, 6, 7, 8, 9, 12])
+        want = brute(rows, words, 80)
+        assert 3 < len({c for _, c in want.values()}) < 85
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words).collect()}
+        assert got == want
+
+
+def test_across_finds_every_link_of_differences(spark):
+    """The join on rare elements against all pairs, for sets that are far from and near to their hub."""
+    import trajmill.llm.near_duplicates as nd
+
+    draw = random.Random(7)
+    hub = set(range(40))
+    sets = {b"hub": hub}
+    shared = [draw.randrange(1000, 1030) for _ in range(12)]
+    for i in range(60):
+        mine = {x for x in hub if draw.random() > draw.choice([0.02, 0.1, 0.2])} | set(draw.sample(shared, draw.choice([0, 1, 3, 6])))
+        sets[f"k{i:02}".encode()] = mine | {2000 + 10 * i + j for j in range(draw.choice([0, 1, 4]))}
+    roots = {k: draw.choice([k, b"hub", b"k01"]) for k in sets}
+    rows = [(b"h", k, roots[k], len(v), sorted(v ^ hub)) for k, v in sets.items()]
+    df = spark.createDataFrame([(bytearray(a), bytearray(b), bytearray(c), n, d) for a, b, c, n, d in rows], "hub binary, id binary, root binary, n int, d array<bigint>")
+    for percent in (80, 60):
+        got = {frozenset((bytes(r.u), bytes(r.v))) for r in nd._across(df, percent).collect()}
+        up = dict(roots)
+
+        def root(x, up=up):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        link = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+        assert all(link(*p) for p in got)
+        for u, v in map(tuple, got):
+            up[root(u)] = root(v)
+        assert all(root(a) == root(b) for a in sets for b in sets if a < b and roots[a] != roots[b] and link(a, b))
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, extra int")
     assert near_duplicates(empty).collect() == [] and representatives(empty).collect() == []

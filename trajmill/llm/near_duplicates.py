@@ -9,15 +9,18 @@ seldom with a probability of 1.3e-5 (48 coordinates, 26 matches), a closer pair
 
 Groups of thousands of near copies would give all pairs. Lists are therefore joined to one member first, their hub: the member
 whose values the most classes share, as the text that copies derive from does. What links have put into one component is not
-compared again. Pairs across components of one list follow, unless the triangle inequality on their distances to the
-hub rules a link out. Lists with very many such pairs are split by a second shared value, which loses nothing: two
-classes with ``matches`` common values share two of their ``shared - matches + 2`` shortest.
+compared again. Where members of a list are still in several components, each is known by its difference to the hub, the shingles that one
+of the two has and the other not. For two members, ``|A xor B| = |dA| + |dB| - 2 |dA and dB|``, so a link asks for a number of shared
+elements of their differences, and only members that share one of their rarest elements, as many as that number leaves open, are compared. Work
+grows with the edits that texts share, not with the square of a group, and no full set travels with a pair. Members that were not
+compared with their hub, as too few of their values agree, are compared with members of their lists that agree in enough.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from trajmill.llm.common import checked_broadcast, stored
@@ -26,8 +29,8 @@ from trajmill.llm.words import blocks, mixed, shingles
 
 COORDINATES = 48
 MATCHES = 26
+OPEN_PAIRS = 1_000_000  # lists with more pairs of members far from their hub are split by a second value
 BROADCAST_IDS = 2_000_000
-OPEN_PAIRS = 1_000_000  # lists with more pairs across components are split by a second value
 _SEEDS = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
 
 
@@ -69,14 +72,16 @@ def _signer(words: int):
 
 
 def _setter(words: int):
+    """(id, set) of the rows (text, id, key) whose text has the shingle set of their key."""
     def sets(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             for first, end in blocks(texts):
                 value, at = shingles(texts[first:end], words)
+                same = pc.equal(pa.array(_set_key(value, at), pa.binary()), batch.column(2).slice(first, end - first))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_set_key(value, at), pa.binary()), _lists(value.view(np.int64), np.diff(at), pa.int64())],
-                    names=["key", "set"])
+                    [batch.column(1).slice(first, end - first), _lists(value.view(np.int64), np.diff(at), pa.int64())],
+                    names=["id", "set"]).filter(same)
     return sets
 
 
@@ -88,13 +93,13 @@ def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
 
 
 def shared_values(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(key, n, vals, center) of the classes that can have partners: the signature values a class shares with others, shortest list
+    """(id, vals, center) of the classes that can have partners: the signature values a class shares with others, shortest list
     first, and how many classes share them in all. In a group of copies the text they derive from has the greatest ``center``.
     """
-    posted = classes.select("key", "n", F.explode("sig").alias("val"))
+    posted = classes.select("id", F.explode("sig").alias("val"))
     lists = posted.groupBy("val").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     return (posted.join(lists, "val")
-            .groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("held", "val"))).alias("vals"), F.sum("held").alias("center"))  # at most COORDINATES
+            .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "val"))).alias("vals"), F.sum("held").alias("center"))  # at most COORDINATES
             .where(F.size("vals") >= matches)
             .withColumn("vals", F.col("vals.val")))
 
@@ -103,64 +108,127 @@ def _prefix(matches: int, more: int = 0):
     return F.slice("vals", 1, F.least(F.size("vals") - (matches - 1 - more), F.size("vals")))
 
 
-def _compare(pairs: DataFrame, shared: DataFrame, docs: DataFrame, named: DataFrame, words: int, matches: int) -> DataFrame:
-    """(u, v, alike, whole) for the pairs (u, v) that collide often enough: sizes of intersection and union of the full sets."""
-    left = shared.select(F.col("key").alias("u"), F.col("vals").alias("_a"))
-    right = shared.select(F.col("key").alias("v"), F.col("vals").alias("_b"))
-    near = stored(pairs.join(left, "u").join(right, "v")
-                  .where(F.size(F.array_intersect("_a", "_b")) >= matches).select("u", "v"), "collisions")
-    wanted = stored(near.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(named, "key").select("doc_id"), "wanted")
-    chosen = docs.select("doc_id", "text").join(checked_broadcast(wanted, wanted.count(), BROADCAST_IDS), "doc_id", "left_semi")
-    sets = stored(chosen.mapInArrow(_setter(words), "key binary, set array<bigint>").dropDuplicates(["key"]), "sets")
-    both = (near.join(sets.select(F.col("key").alias("u"), F.col("set").alias("_s")), "u")
-            .join(sets.select(F.col("key").alias("v"), F.col("set").alias("_t")), "v"))
-    return both.withColumn("alike", F.size(F.array_intersect("_s", "_t"))).select(
-        "u", "v", "alike", (F.size("_s") + F.size("_t") - F.col("alike")).alias("whole"))
+def _sets(ids: DataFrame, docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """(id, set) of the wanted classes: the distinct shingle hashes of one of their texts."""
+    wanted = stored(ids.distinct().join(named, "id"), "wanted")
+    chosen = docs.select("doc_id", "text").join(checked_broadcast(wanted, wanted.count(), BROADCAST_IDS), "doc_id")
+    sets = chosen.select("text", "id", "key").mapInArrow(_setter(words), "id bigint, set array<bigint>")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if not repeated.isEmpty():  # only then may a text come twice
+        sets = sets.dropDuplicates(["id"])
+    return stored(sets, "sets")
+
+
+def _differences(pairs: DataFrame, docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """(id, hub, n, m, d) for the pairs (id, hub): the sizes of both sets and what lies in only one of them."""
+    pairs = stored(pairs, "pairs")
+    sets = _sets(pairs.select(F.explode(F.array("id", "hub")).alias("id")), docs, named, words)
+    hubs = pairs.select("hub").distinct()
+    hub_sets = sets.select(F.col("id").alias("hub"), F.col("set").alias("_t"))
+    hub_sets = hub_sets.join(checked_broadcast(hubs, hubs.count(), BROADCAST_IDS), "hub", "left_semi")
+    both = pairs.join(sets.select("id", F.col("set").alias("_s")), "id").join(hub_sets, "hub")
+    return both.select("id", "hub", F.size("_s").alias("n"), F.size("_t").alias("m"),
+                       F.concat(F.array_except("_s", "_t"), F.array_except("_t", "_s")).alias("d"))
+
+
+def _need(percent: int, a: str, b: str):
+    """How many elements two differences must share: a link is ``(100 + percent) * |A xor B| <= (100 - percent) * (|A| + |B|)``."""
+    return F.greatest(F.lit(1), F.ceil((F.col(a) + F.col(b)) / (2 * (100 + percent))))
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members (hub, id, root, n, d) of one hub that lie in different components.
+
+    ``e = (100 + percent) * |d| - (100 - percent) * n`` says how far a member is beyond a link with its hub's set: two members
+    are linked if and only if they share ``(e1 + e2) / (2 * (100 + percent))`` elements. With none needed, both are linked
+    to the member of the least ``e``, which connects them. Else the elements are ranked, rare ones of the hub's group first, and the first
+    common element of a linked pair lies so early in both rankings that enough elements can follow.
+    """
+    beyond = members.withColumns({"e": (100 + percent) * F.size("d") - (100 - percent) * F.col("n"), "size": F.size("d")})
+    beyond = stored(beyond, "beyond")
+    best = beyond.groupBy("hub").agg(F.min(F.struct("e", "id", "root")).alias("_b"))
+    direct = beyond.join(best, "hub").where((F.col("e") + F.col("_b.e") <= 0) & (F.col("root") != F.col("_b.root"))).select(
+        F.col("id").alias("u"), F.col("_b.id").alias("v"))
+
+    # The least e in another component bounds what a member needs at least.
+    by_root = beyond.groupBy("hub", "root").agg(F.min("e").alias("e"))
+    first = by_root.groupBy("hub").agg(F.min(F.struct("e", "root")).alias("_1"))
+    second = by_root.join(first, "hub").where(F.col("root") != F.col("_1.root")).groupBy("hub").agg(F.min("e").alias("_2"))
+    open_ = beyond.join(first.join(second, "hub"), "hub")
+    other = F.when(F.col("root") == F.col("_1.root"), F.col("_2")).otherwise(F.col("_1.e"))
+    open_ = open_.withColumn("_other", other).withColumn("_least", _need(percent, "e", "_other")).where(F.col("_least") <= F.col("size"))
+    posted = open_.select("hub", "id", "root", "e", "size", "_least", F.explode("d").alias("x"))
+    shared = posted.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("_held"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+    ranked = (posted.join(shared, ["hub", "x"]).groupBy("hub", "id", "root", "e", "size", "_least")
+              .agg(F.sort_array(F.collect_list(F.struct("_held", "x", (F.col("_lo") != F.col("_hi")).alias("mixed")))).alias("_x")))  # one difference
+    prefix = F.slice("_x", 1, (F.col("size") - F.col("_least") + 1).cast("int"))
+    early = stored(ranked.select("hub", "id", "root", "e", "size", F.posexplode(prefix).alias("_at", "_y")).where("_y.mixed").select(
+        "hub", "id", "root", "e", "size", (F.col("size") - F.col("_at")).alias("left"), "_y.x"), "early")
+    a, b = (early.select("hub", "x", *[F.col(c).alias(f"{c}{i}") for c in ("id", "root", "e", "left")]) for i in (1, 2))
+    pairs = a.join(b, ["hub", "x"]).where((F.col("root1") < F.col("root2")) & (F.least("left1", "left2") >= _need(percent, "e1", "e2")))
+    pairs = pairs.select("hub", F.col("id1").alias("u"), F.col("id2").alias("v")).distinct()
+    mine = beyond.select("hub", F.col("id"), "d", "e")
+    met = (pairs.join(mine.select("hub", F.col("id").alias("u"), F.col("d").alias("_d1"), F.col("e").alias("_e1")), ["hub", "u"])
+           .join(mine.select("hub", F.col("id").alias("v"), F.col("d").alias("_d2"), F.col("e").alias("_e2")), ["hub", "v"]))
+    return direct.union(met.where(F.size(F.array_intersect("_d1", "_d2")) >= _need(percent, "_e1", "_e2")).select("u", "v"))
 
 
 def links(signed: DataFrame, docs: DataFrame, words: int = 2, percent: int = 80, matches: int = MATCHES,
           open_pairs: int = OPEN_PAIRS) -> DataFrame:
     """(node, root) over text classes, from confirmed links."""
     classes = stored(signed.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    named = classes.select("key", "doc_id")  # n and sig are equal for all copies
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).withColumn(
+        "id", F.monotonically_increasing_id()), "classes")  # n and sig are equal for all copies
+    named, sizes = classes.select("id", "key", "doc_id"), classes.select("id", "n")
     shared = stored(shared_values(classes, matches), "shared")
-    lists = shared.select("key", "n", "center", F.explode(_prefix(matches)).alias("val"))
+    lists = shared.select("id", "center", F.explode(_prefix(matches)).alias("val"))
     near_size = lambda a, b: (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
-    linked = 100 * F.col("alike") >= percent * F.col("whole")
-
-    hubs = lists.groupBy("val").agg(F.max(F.struct("center", "key", "n")).alias("_h")).select(
-        "val", F.col("_h.key").alias("hub"), F.col("_h.n").alias("_m"))
-    placed = stored(lists.join(hubs, "val").select("val", "key", "n", "hub", "_m"), "lists")
-    starred = placed.where((F.col("key") != F.col("hub")) & near_size("n", "_m")).select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
-    first = stored(_compare(starred, shared, docs, named, words, matches), "links")
-    roots = components(first.where(linked))
+    linked = (100 + percent) * F.size("d") <= (100 - percent) * (F.col("n") + F.col("m"))
+
+    hubs = lists.groupBy("val").agg(F.max(F.struct("center", "id")).alias("_h")).select("val", F.col("_h.id").alias("hub"))
+    placed = stored(lists.join(hubs, "val").select("val", "id", "hub"), "lists")
+    starred = placed.where("id != hub").select("id", "hub").distinct()
+    starred = starred.join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("m")), "hub").where(near_size("n", "m"))
+    left = shared.select("id", F.col("vals").alias("_a"))
+    right = shared.select(F.col("id").alias("hub"), F.col("vals").alias("_b"))
+    near = starred.join(left, "id").join(right, "hub").where(F.size(F.array_intersect("_a", "_b")) >= matches).select("id", "hub")
+    first = stored(_differences(near, docs, named, words), "differences")
+    star = first.where(linked).select(F.col("id").alias("u"), F.col("hub").alias("v"))
+    roots = stored(components(star), "roots")
 
     # Lists whose members are in several components may still hide links between these.
-    distance = first.select(F.col("u").alias("key"), F.col("v").alias("hub"), (1 - F.col("alike") / F.col("whole")).alias("away"))
-    placed = placed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = placed.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     counted = placed.groupBy("val", "root").agg(F.count(F.lit(1)).alias("_c")).groupBy("val").agg(F.sum("_c").alias("_all"), F.max("_c").alias("_top"))
-    mixed_lists = counted.where("_top < _all").select("val", ((F.col("_all") - F.col("_top")) * F.col("_all") > open_pairs).alias("_long"))
-    members = (placed.join(mixed_lists, "val").join(distance, ["key", "hub"], "left")
-               .withColumn("away", F.when(F.col("key") == F.col("hub"), 0.0).otherwise(F.col("away")))
-               .join(shared.select("key", "vals"), "key"))
-    members = stored(members.select("val", "key", "n", "root", "away", "vals", "_long"), "mixed")
+    torn = stored(placed.join(counted.where("_top < _all"), "val"), "torn")
+    beside = torn.select("hub", "id", "root").distinct()
+    known = first.select("id", "hub", "n", "d").unionByName(
+        beside.where("id = hub").join(sizes, "id").select("id", "hub", "n", F.array().cast("array<bigint>").alias("d")))
+    close = _across(beside.join(known, ["id", "hub"]), percent)
+    far = _far_pairs(torn, known.select("id", "hub"), shared, sizes, near_size, matches, open_pairs)
+    far = _differences(far, docs, named, words).where(linked).select(F.col("id").alias("u"), F.col("hub").alias("v"))
+    more = stored(close.union(far), "links")
+    found = roots if more.isEmpty() else components(star.union(more))
+    node, root = (classes.select(F.col("id").alias(c), F.col("key").alias(f"_{c}")) for c in ("node", "root"))
+    return found.join(node, "node").join(root, "root").select(F.col("_node").alias("node"), F.col("_root").alias("root"))
+
+
+def _far_pairs(torn: DataFrame, known: DataFrame, shared: DataFrame, sizes: DataFrame, near_size, matches: int, open_pairs: int) -> DataFrame:
+    """Pairs (id, hub) of members of a torn list in different components that collide often enough, one of them unknown to its hub."""
+    told = torn.join(known.withColumn("_known", F.lit(True)), ["id", "hub"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    strange = told.groupBy("val").agg(F.count_if(~F.col("_known")).alias("_far")).where("_far > 0")
+    members = (told.join(strange, "val").withColumn("_long", F.col("_far") * F.col("_all") > open_pairs)
+               .select("val", "id", "root", "_known", "_long").join(sizes, "id").join(shared.select("id", "vals"), "id"))
+    members = stored(members, "mixed")
     second = F.explode(F.array_except(_prefix(matches, 1), F.array("val")))
     deeper = members.where("_long").withColumn("_second", second).withColumn(
         "val", F.xxhash64(F.least("val", "_second"), F.greatest("val", "_second"))).drop("_second")
     members = members.where("not _long").unionByName(deeper)
     a, b = (members.select(*[F.col(c).alias(f"{c}{i}") for c in members.columns]) for i in (1, 2))
     both = F.array_intersect("vals1", "vals2")  # in the order of vals: each pair is taken in its first common list only
-    lead = F.get(both, F.lit(0))
-    # 1 - similarity is a metric: members of a list whose distances to its hub differ by more than a link allows cannot be linked.
-    may_link = F.coalesce(F.abs(F.col("away1") - F.col("away2")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     across = a.join(b, (F.col("val1") == F.col("val2")) & (F.col("root1") < F.col("root2")) & (F.col("_long1") == F.col("_long2"))
-                    & near_size("n1", "n2") & may_link & (F.size(both) >= matches) & (F.col("_long1") | (lead == F.col("val1"))))
-    pairs = across.select(F.col("key1").alias("u"), F.col("key2").alias("v")).distinct()
-    more = stored(_compare(pairs, shared, docs, named, words, matches).where(linked), "links")
-    if more.isEmpty():
-        return roots
-    return components(first.where(linked).select("u", "v").union(more.select("u", "v")))
+                    & ~(F.col("_known1") & F.col("_known2")) & near_size("n1", "n2") & (F.size(both) >= matches)
+                    & (F.col("_long1") | (F.get(both, F.lit(0)) == F.col("val1"))))
+    return across.select(F.col("id1").alias("id"), F.col("id2").alias("hub")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
