@@ -93,13 +93,13 @@ def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
 
 
 def shared_values(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(id, vals, center) of the classes that can have partners: the signature values a class shares with others, shortest list
+    """(id, n, vals, center) of the classes that can have partners: the signature values a class shares with others, shortest list
     first, and how many classes share them in all. In a group of copies the text they derive from has the greatest ``center``.
     """
-    posted = classes.select("id", F.explode("sig").alias("val"))
+    posted = classes.select("id", F.col("n").cast("int").alias("n"), F.explode("sig").alias("val"))
     lists = posted.groupBy("val").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     return (posted.join(lists, "val")
-            .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "val"))).alias("vals"), F.sum("held").alias("center"))  # at most COORDINATES
+            .groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "val"))).alias("vals"), F.sum("held").alias("center"))  # at most COORDINATES
             .where(F.size("vals") >= matches)
             .withColumn("vals", F.col("vals.val")))
 
@@ -179,16 +179,15 @@ def links(signed: DataFrame, docs: DataFrame, words: int = 2, percent: int = 80,
     classes = stored(signed.where("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).withColumn(
         "id", F.monotonically_increasing_id()), "classes")  # n and sig are equal for all copies
-    named, sizes = classes.select("id", "key", "doc_id"), classes.select("id", "n")
+    named = classes.select("id", "key", "doc_id")
     shared = stored(shared_values(classes, matches), "shared")
-    lists = shared.select("id", "center", F.explode(_prefix(matches)).alias("val"))
+    lists = shared.select("id", "n", "center", F.explode(_prefix(matches)).alias("val"))
     near_size = lambda a, b: (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
     linked = (100 + percent) * F.size("d") <= (100 - percent) * (F.col("n") + F.col("m"))
 
-    hubs = lists.groupBy("val").agg(F.max(F.struct("center", "id")).alias("_h")).select("val", F.col("_h.id").alias("hub"))
-    placed = stored(lists.join(hubs, "val").select("val", "id", "hub"), "lists")
-    starred = placed.where("id != hub").select("id", "hub").distinct()
-    starred = starred.join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("m")), "hub").where(near_size("n", "m"))
+    hubs = lists.groupBy("val").agg(F.max(F.struct("center", "id", "n")).alias("_h")).select("val", F.col("_h.id").alias("hub"), F.col("_h.n").alias("m"))
+    placed = stored(lists.join(hubs, "val").select("val", "id", "n", "hub", "m"), "lists")
+    starred = placed.where((F.col("id") != F.col("hub")) & near_size("n", "m")).select("id", "hub").distinct()
     left = shared.select("id", F.col("vals").alias("_a"))
     right = shared.select(F.col("id").alias("hub"), F.col("vals").alias("_b"))
     near = starred.join(left, "id").join(right, "hub").where(F.size(F.array_intersect("_a", "_b")) >= matches).select("id", "hub")
@@ -200,11 +199,11 @@ def links(signed: DataFrame, docs: DataFrame, words: int = 2, percent: int = 80,
     placed = placed.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     counted = placed.groupBy("val", "root").agg(F.count(F.lit(1)).alias("_c")).groupBy("val").agg(F.sum("_c").alias("_all"), F.max("_c").alias("_top"))
     torn = stored(placed.join(counted.where("_top < _all"), "val"), "torn")
-    beside = torn.select("hub", "id", "root").distinct()
-    known = first.select("id", "hub", "n", "d").unionByName(
-        beside.where("id = hub").join(sizes, "id").select("id", "hub", "n", F.array().cast("array<bigint>").alias("d")))
+    beside = torn.select("hub", "id", "n", "root").distinct()
+    known = first.select("id", "hub", "d").unionByName(
+        beside.where("id = hub").select("id", "hub", F.array().cast("array<bigint>").alias("d")))
     close = _across(beside.join(known, ["id", "hub"]), percent)
-    far = _far_pairs(torn, known.select("id", "hub"), shared, sizes, near_size, matches, open_pairs)
+    far = _far_pairs(torn, known.select("id", "hub"), shared, near_size, matches, open_pairs)
     far = _differences(far, docs, named, words).where(linked).select(F.col("id").alias("u"), F.col("hub").alias("v"))
     more = stored(close.union(far), "links")
     found = roots if more.isEmpty() else components(star.union(more))
@@ -212,12 +211,12 @@ def links(signed: DataFrame, docs: DataFrame, words: int = 2, percent: int = 80,
     return found.join(node, "node").join(root, "root").select(F.col("_node").alias("node"), F.col("_root").alias("root"))
 
 
-def _far_pairs(torn: DataFrame, known: DataFrame, shared: DataFrame, sizes: DataFrame, near_size, matches: int, open_pairs: int) -> DataFrame:
+def _far_pairs(torn: DataFrame, known: DataFrame, shared: DataFrame, near_size, matches: int, open_pairs: int) -> DataFrame:
     """Pairs (id, hub) of members of a torn list in different components that collide often enough, one of them unknown to its hub."""
     told = torn.join(known.withColumn("_known", F.lit(True)), ["id", "hub"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
     strange = told.groupBy("val").agg(F.count_if(~F.col("_known")).alias("_far")).where("_far > 0")
     members = (told.join(strange, "val").withColumn("_long", F.col("_far") * F.col("_all") > open_pairs)
-               .select("val", "id", "root", "_known", "_long").join(sizes, "id").join(shared.select("id", "vals"), "id"))
+               .select("val", "id", "n", "root", "_known", "_long").join(shared.select("id", "vals"), "id"))
     members = stored(members, "mixed")
     second = F.explode(F.array_except(_prefix(matches, 1), F.array("val")))
     deeper = members.where("_long").withColumn("_second", second).withColumn(
