@@ -1,11 +1,9 @@
 """Filters, variable steps and clipped folds as scans: equal to stepping, whatever the length."""
 
-import tempfile
 
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from trajmill import TrajectorySpec
 from trajmill.functions import linalg as L
