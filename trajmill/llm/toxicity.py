@@ -408,9 +408,10 @@ def score_column(spark, model: dict, text: str = "text"):
 
     @F.pandas_udf("double")
     def score(batches: "pd.Series") -> "pd.Series":
-        if "scorer" not in _tables or _tables.get("of") is not shared.value:
-            _tables["scorer"], _tables["of"] = Scorer(shared.value), shared.value
-        return pd.Series(_tables["scorer"].score(batches.tolist()))
+        here = shared.value  # the scorer stays with the broadcast value: a worker drops both when its next work does not need them
+        if "scorer" not in here:
+            here["scorer"] = Scorer(here)
+        return pd.Series(here["scorer"].score(batches.tolist()))
 
     return score(F.col(text))
 
