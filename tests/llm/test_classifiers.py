@@ -131,6 +131,17 @@ def test_candidates_inside_longer_runs():
         assert [text[a:b] for a, b in secrets.candidates(text)] == want, text
 
 
+def test_unclosed_key_blocks_take_linear_time():
+    import time
+
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----\n"
+    block = head + "abc\n" + tail
+    assert secrets._keys(f"x {block}{head}{block} y {head}") == [(2, 1 + len(block)), (2 + len(block), 1 + len(block) + len(head) + len(block))]
+    start = time.process_time()
+    assert secrets._keys(head * 100_000) == [] and len(secrets._keys(block * 20_000)) == 20_000
+    assert time.process_time() - start < 5
+
+
 def test_assigned_without_spaces_is_masked(spark):
     rows, truth = findings_corpus()
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
