@@ -293,3 +293,85 @@ def test_estimation_as_one_run(spark):
         inn = kind("kalman_innovations")
         assert len(inn) == 2 * 59 and np.allclose(inn[inn.measurement == "s2"].sort_values("origin_row_index")["innovation"], want["innovation_s2"])
         assert len(kind("forecasts")) == 3 * 59 and states["initialized_from_measurement"].sum() == 2
+
+
+class _CountedState:
+    """State of one bucket in plain dictionaries, with a count of the calls."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.map[key]
+
+    def clear(self):
+        self.map.clear()
+
+
+def test_state_calls_do_not_grow_with_the_cases():
+    """A trigger over 50 or 2,000 cases costs about the same number of state calls, and the codes are those of a plain loop."""
+    calls = []
+    for n in (50, 2000):
+        rng, state = np.random.default_rng(n), _CountedState()
+        df = pd.DataFrame({BUF.CASE: [f"={i}" for i in rng.integers(0, n, 6 * n)], "time": rng.integers(0, 40, 6 * n) / 2 + np.arange(6 * n) // n, "_code": None, BUF.SEQ: np.arange(6 * n)})
+        df.loc[5, "_code"] = BUF.NOT_FINITE
+        check = BUF._TimeOrder(list(df.columns), "time", 8.0, None)
+        check.init(state)
+        got = pd.concat([f for lo in range(0, len(df), 2 * n) for f in check.handleInputRows((0,), iter([df[lo: lo + n].copy(), df[lo + n: lo + 2 * n].copy()]), None)])
+        want, before = [], {}
+        for r in df.itertuples(index=False):
+            seen = before.setdefault(r[0], [])
+            known = r.time in seen and r.time >= max(seen) - 8.0
+            want.append(r[2] or (BUF.BACKWARDS if seen and r.time < seen[-1] else BUF.REPEATED if known or seen and r.time == seen[-1] else None))
+            if r[2] is None:
+                seen.append(r.time)
+        assert [None if pd.isna(c) else c for c in got["_code"]] == want and {BUF.BACKWARDS, BUF.REPEATED} <= set(want)
+        calls.append(state.calls)
+    assert calls[1] <= 1.2 * calls[0]
+
+
+def test_filter_of_a_bucket_equals_its_cases_alone():
+    """Three batches of 40 mixed cases give what each case gives by itself, with two state calls a batch."""
+    rng = np.random.default_rng(8)
+    modes = np.linalg.qr(rng.normal(size=(3, 2)))[0]
+    pod = fit.PODBasis(["p", "q", "r"], rng.normal(size=3), np.ones(3), modes, np.ones(2), 9, modes)
+    model = fit.LinearModel("pod_dmdc", ["p", "q", "r"], ["u"], np.array([[0.9, 0.1], [-0.2, 0.7]]), rng.normal(size=(2, 1)), rng.normal(size=2), pod=pod)
+    df = pd.DataFrame(rng.normal(size=(600, 2)), columns=["p", "u"]).assign(**{BUF.CASE: [f"={i}" for i in rng.integers(0, 40, 600)], BUF.SEQ: np.arange(600), "_code": None})
+    df.loc[::50, "_code"] = BUF.NOT_A_NUMBER
+
+    def run(rows):
+        state, out = _CountedState(), []
+        kalman = LIVE._PODKalman(list(df.columns), model, ["p"], 1e-3, 1e-2, 1.0)
+        kalman.init(state)
+        for _, part in rows.groupby(np.arange(len(rows)) // 200):
+            out += list(kalman.handleInputRows((0,), iter([part.copy()]), None))
+        return pd.concat(out).sort_values(BUF.SEQ), state.calls
+
+    got, calls = run(df)
+    alone = pd.concat([run(part)[0] for _, part in df.groupby(BUF.CASE)]).sort_values(BUF.SEQ)
+    names = ["est_p", "est_q", "est_r", "a1", "a2", "covariance_trace", "innovation_p", "var_a2"]
+    assert np.allclose(got[names].astype(float), alone[names].astype(float), equal_nan=True) and got["est_p"].isna().sum() == 12
+    assert got["initialized_from_measurement"].sum() == 40 and calls == 6

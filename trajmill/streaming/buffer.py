@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -75,81 +76,165 @@ def dealt(values: np.ndarray, frames: list[pd.DataFrame]):
     return zip(frames, (values[lo:hi] for lo, hi in zip(edge, edge[1:])))
 
 
+BUCKETS = 512  # part of a stream's state: a checkpoint keeps the number it was begun with
+CASE, BUCKET = "_case_key", "_bucket"
+
+
+def bucketed(stream: DataFrame, case: str | None) -> DataFrame:
+    """Add the text of the case and its bucket. State is kept by bucket, as a call per case and trigger costs far more than its rows do."""
+    key = F.lit("all") if case is None else F.coalesce(F.concat(F.lit("="), F.col(case).cast("string")), F.lit("null"))
+    return stream.withColumn(CASE, key).withColumn(BUCKET, F.pmod(F.xxhash64(CASE), F.lit(BUCKETS)).cast("int"))
+
+
+def packed(held: pd.DataFrame) -> bytes:
+    sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_pandas(held, preserve_index=False)
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(raw) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(raw))).read_all().to_pandas()
+
+
+def case_runs(names: np.ndarray, order: np.ndarray, held: pd.Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, pd.Index]:
+    """Rows of a bucket, case after case, each case in ``order``: their places, case numbers and ranks in the case, and all cases known.
+
+    ``held`` are the cases known before; new ones follow them.
+    """
+    codes, fresh = pd.factorize(names)
+    number = held.get_indexer(fresh)
+    new = number < 0
+    number[new] = len(held) + np.arange(new.sum())
+    mine = number[codes]
+    place = order[np.argsort(mine[order], kind="stable")]
+    case = mine[place]
+    return place, case, np.arange(len(case)) - np.searchsorted(case, case), held.append(pd.Index(fresh[new], dtype=object))
+
+
 class _TimeOrder(StatefulProcessor):
-    """Per case: the last and the latest time that arrived, how many rows came, and the times seen lately by stretch of time.
+    """Per bucket of cases: of each case the last and the latest time that arrived and how many rows came, and the times seen lately.
 
-    The times lie in a map from stretch number to times. A batch reads and writes the stretches that its rows fall into; stretches that are older
-    than the memory are removed whole.
+    The times lie in a map from stretch number to (case, time) pairs. A batch reads and writes the stretches that its rows fall into, and leaves
+    out what lies before the memory of its case; of the older stretches a few are tidied in turn.
     """
 
+    TIDIED = 2
+
     def __init__(self, columns: list[str], time: str, remember: float, forget: float | None):
         self.columns, self.time, self.remember, self.forget = columns, time, remember, forget
-        self.stretch = remember / 64.0 if 0 < remember < float("inf") else 3600.0
+        self.stretch = remember / 8.0 if 0 < remember < float("inf") else 86400.0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = None if self.forget is None else int(self.forget * 1000)
-        self.state = handle.getValueState("order", "last double, latest double, rows bigint", ttl)
-        self.seen = handle.getMapState("seen", "stretch bigint", "times array<double>", ttl)
+        self.state = handle.getValueState("order", "cases binary, stretches array<bigint>, next bigint, turn bigint", ttl)
+        self.seen = handle.getMapState("seen", "stretch bigint", "pairs binary", ttl)
 
     def handleInputRows(self, key, rows, timerValues):
-        last, latest, count = self.state.get() if self.state.exists() else (None, None, 0)
+        held = self.state.get()
+        now = 0 if self.forget is None else timerValues.getCurrentProcessingTimeInMs()
+        if held is None:
+            cases = pd.DataFrame({"case": pd.Series([], dtype=object), "id": np.zeros(0, np.int64), "last": np.zeros(0), "latest": np.zeros(0),
+                                  "rows": np.zeros(0, np.int64), "touched": np.zeros(0, np.int64)})
+            self.stretches, fresh_id, turn = set(), 0, 0
+            if self.forget is not None:
+                self.seen.clear()
+        else:
+            cases, self.stretches, fresh_id, turn = unpacked(held[0]), set(held[1]), held[2], held[3]
+            if self.forget is not None:  # a case that comes again after its silence is a new one, so its old times fit no more
+                cases = cases[cases["touched"] + self.forget * 1000 > now].reset_index(drop=True)
         frames, order = in_order(rows, self.columns)
+        whole = lambda c: np.concatenate([f[c].to_numpy() for f in frames])
+        place, case, rank, names = case_runs(whole(CASE), order, pd.Index(cases["case"], dtype=object))
+        added = len(names) - len(cases)
+        ids = np.append(cases["id"].to_numpy(), fresh_id + np.arange(added)).astype(np.int64)
+        last, latest = np.append(cases["last"], np.full(added, np.nan)), np.append(cases["latest"], np.full(added, -np.inf))
+        count, touched = np.append(cases["rows"], np.zeros(added, np.int64)).astype(np.int64), np.append(cases["touched"], np.zeros(added, np.int64)).astype(np.int64)
+
         given = pd.concat([f[SEQ] for f in frames], ignore_index=True)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(count, count + len(order))
-        numbers = given.where(given.notna(), pd.Series(place)).astype("int64").to_numpy()
+        numbered = np.empty(len(place), np.int64)
+        numbered[place] = count[case] + rank
+        numbers = given.where(given.notna(), pd.Series(numbered)).astype("int64").to_numpy()
+        count += np.bincount(case, minlength=len(names))
+        touched[case] = now
         codes = np.concatenate([f["_code"].to_numpy(object) for f in frames])
-        count += len(order)
-        valid = order[pd.isna(codes[order])]
+        sound = pd.isna(codes[place])
+        valid, case = place[sound], case[sound]
         if len(valid):
-            times = np.concatenate([f[self.time].to_numpy(float) for f in frames])[valid]
-            known = self._seen_before(times)
-            peak = np.maximum.accumulate(np.append(-np.inf if latest is None else latest, times))
-            previous = np.append(np.nan if last is None else last, times[:-1])
-            remembered = known & (times >= peak[:-1] - self.remember)
-            codes[valid] = np.where(times < previous, BACKWARDS, np.where((times == previous) | remembered, REPEATED, None))
-            last, latest = float(times[-1]), float(peak[-1])
-            self._drop_before(latest - self.remember)
-        self.state.update((last, latest, count))
+            times = whole(self.time).astype(float)[valid] + 0.0
+            first = np.append(True, case[1:] != case[:-1])
+            before = np.append(np.nan, times[:-1])
+            before[first] = last[case[first]]
+            peak = pd.Series(np.maximum(times, latest[case])).groupby(case).cummax().to_numpy()
+            peak_before = np.append(-np.inf, peak[:-1])
+            peak_before[first] = latest[case[first]]
+            end = np.append(first[1:], True)
+            last[case[end]], latest[case[end]] = times[end], peak[end]
+            known = self._seen_before(ids[case], times, ids, latest)
+            remembered = known & (times >= peak_before - self.remember)
+            codes[valid] = np.where(times < before, BACKWARDS, np.where((times == before) | remembered, REPEATED, None))
+            turn = self._tidy(ids, latest, turn)
+        cases = pd.DataFrame({"case": names, "id": ids, "last": last, "latest": latest, "rows": count, "touched": touched})
+        self.state.update((packed(cases), sorted(self.stretches), int(fresh_id + added), int(turn)))
         for (frame, code), (_, number) in zip(dealt(codes, frames), dealt(numbers, frames)):
             yield frame.assign(**{"_code": code, SEQ: number})
 
-    def _seen_before(self, times: np.ndarray) -> np.ndarray:
-        """Which times came before, in the state or earlier in the array; all are noted down."""
-        known = np.zeros(len(times), bool)
-        place = np.floor(times / self.stretch).astype(np.int64)
-        for stretch in np.unique(place):
-            at = np.flatnonzero(place == stretch)
-            key = (int(stretch),)
-            old = np.asarray(self.seen.getValue(key)[0], float) if self.seen.containsKey(key) else np.zeros(0)
-            values, first = np.unique(times[at], return_index=True)
-            known[at] = True
-            known[at[first]] = np.isin(values, old)
-            if fresh := values[~np.isin(values, old)].tolist():
-                self.seen.updateValue(key, (old.tolist() + fresh,))
+    def _pairs(self, stretch: int) -> np.ndarray:
+        """(case, time) pairs of a stretch as complex numbers."""
+        found = self.seen.getValue((stretch,)) if stretch in self.stretches else None
+        return np.zeros(0, complex) if found is None else np.frombuffer(bytes(found[0]), complex)
+
+    def _keep(self, stretch: int, pairs: np.ndarray, ids: np.ndarray, latest: np.ndarray, fresh: int = 0) -> None:
+        """Store the pairs of a stretch that are within the memory of their case; the last ``fresh`` ones are new."""
+        at = np.minimum(np.searchsorted(ids, pairs.real), len(ids) - 1)
+        kept = pairs[(ids[at] == pairs.real) & (pairs.imag >= latest[at] - self.remember)]
+        if not len(kept):
+            if stretch in self.stretches:
+                self.seen.removeKey((stretch,))
+            self.stretches.discard(stretch)
+        elif fresh or len(kept) < len(pairs):
+            self.seen.updateValue((stretch,), (kept.tobytes(),))
+            self.stretches.add(stretch)
+
+    def _seen_before(self, mine: np.ndarray, times: np.ndarray, ids: np.ndarray, latest: np.ndarray) -> np.ndarray:
+        """Which times of a case came before, in the state or earlier in the batch; all are noted down."""
+        pairs = mine + 1j * times
+        known = pd.DataFrame({"id": mine, "at": times}).duplicated().to_numpy()
+        number = np.floor(times / self.stretch).astype(np.int64)
+        by = np.argsort(number, kind="stable")
+        for at in np.split(by, np.flatnonzero(np.diff(number[by])) + 1):
+            stretch = int(number[at[0]])
+            old = self._pairs(stretch)
+            fresh = at[~known[at]]
+            known[at] |= np.isin(pairs[at], old)
+            fresh = fresh[~known[fresh]]
+            if len(fresh):
+                self._keep(stretch, np.concatenate([old, pairs[fresh]]), ids, latest, len(fresh))
         return known
 
-    def _drop_before(self, floor: float) -> None:
-        for key in [k for k in self.seen.keys() if (k[0] + 1) * self.stretch < floor]:
-            self.seen.removeKey(key)
+    def _tidy(self, ids: np.ndarray, latest: np.ndarray, turn: int) -> int:
+        """Clean a few of the stretches before the newest case's memory, so that none stays for good; returns where to go on."""
+        past = sorted(s for s in self.stretches if (s + 1) * self.stretch < latest.max() - self.remember)
+        for stretch in [past[(turn + i) % len(past)] for i in range(min(self.TIDIED, len(past)))]:
+            self._keep(stretch, self._pairs(stretch), ids, latest)
+        return turn + self.TIDIED
 
     def close(self) -> None:
         pass
 
 
 def check_stream(stream: DataFrame, spec: TrajectorySpec, remember_seconds: float = 3600.0, forget_seconds: float | None = None) -> DataFrame:
-    """Value and time checks on a stream, in arrival order, with state per case.
+    """Value and time checks on a stream, in arrival order, with state of every case, kept by bucket.
 
     Rows with a value problem are not clean; rows with a time problem are clean and warned about. A time counts as repeated while it is at most
     ``remember_seconds`` before the latest one, however rows are dealt to triggers. ``forget_seconds`` drops the state of a case that was silent for
     so long by the clock.
     """
-    checked = check_values(stream, spec)
-    keyed = checked if spec.case else checked.withColumn("_case", F.lit("all"))
-    out = keyed.groupBy(spec.case or "_case").transformWithStateInPandas(
+    keyed = bucketed(check_values(stream, spec), spec.case)
+    out = keyed.groupBy(BUCKET).transformWithStateInPandas(
         statefulProcessor=_TimeOrder(keyed.columns, spec.time, float(remember_seconds), forget_seconds), outputStructType=keyed.schema,
         outputMode="Append", timeMode="None" if forget_seconds is None else "ProcessingTime")
-    return out if spec.case else out.drop("_case")
+    return out.drop(CASE, BUCKET)
 
 
 def check_table(df: DataFrame, spec: TrajectorySpec, target_rows: int | None = None, remember_seconds: float = float("inf")) -> DataFrame:

@@ -12,7 +12,9 @@ from trajmill.operators.fitting import LinearModel, measurement_matrix
 from trajmill.operators.prediction import DEFAULT_HORIZONS, forecast, innovations_long
 from trajmill.sources.archive import write_records
 from trajmill.spec import TrajectorySpec
-from trajmill.streaming.buffer import BACKWARDS, REPEATED, SEQ, buffer_warnings, check_stream, clean_rows, dealt, gather, in_order, latest_rows
+from trajmill.streaming.buffer import (
+    BACKWARDS, BUCKET, CASE, REPEATED, SEQ, bucketed, buffer_warnings, case_runs, check_stream, clean_rows, dealt, gather, in_order, latest_rows, packed,
+    unpacked)
 from trajmill.streaming.inputs import run_until_done
 
 
@@ -45,10 +47,10 @@ def ingest(stream: DataFrame, spec: TrajectorySpec, root: str, run_id: str, chec
 
 
 class _PODKalman(StatefulProcessor):
-    """Modal state of one case and how many rows it has filtered; the first row starts from the pseudo-inverse.
+    """Modal states of the cases of a bucket and how many rows each has filtered; a case's first row starts from the pseudo-inverse.
 
-    Gains and covariances depend on the number of the row only (``RiccatiScan``), so the state is one vector and one number, and the rows of a
-    micro-batch are one scan over their matrices.
+    Gains and covariances depend on the number of the row only (``RiccatiScan``), so a case's state is one vector and one number, and the rows of
+    all cases of a micro-batch are one scan over their matrices.
     """
 
     def __init__(self, given: list[str], model: LinearModel, measurements: list[str], q: float, r: float, p0: float):
@@ -61,48 +63,59 @@ class _PODKalman(StatefulProcessor):
         self.schedule = L.RiccatiScan(model.a, self.h, np.eye(k) * q, np.eye(len(chosen)) * r, np.eye(k) * p0)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("filter", "a array<double>, rows bigint")
+        self.state = handle.getValueState("filter", "cases binary")
 
     def handleInputRows(self, key, rows, timerValues):
         frames, order = in_order(rows, self.given)
-        whole = {c: np.concatenate([f[c].to_numpy() for f in frames]) for c in {*self.measurements, *self.model.inputs, "_code"} & set(self.given)}
+        whole = {c: np.concatenate([f[c].to_numpy() for f in frames]) for c in {*self.measurements, *self.model.inputs, "_code", CASE} & set(self.given)}
         if "_code" in whole:  # rows with a problem in their values pass without an estimate
             order = order[[code is None or pd.isna(code) or code in (BACKWARDS, REPEATED) for code in whole["_code"][order]]]
         out = np.full((sum(map(len, frames)), len(self.columns()) - 1), np.nan)
         started = np.zeros(len(out), bool)
         if len(order):
-            before, count = self.state.get() if self.state.exists() else (None, 0)
+            modes = [f"a{i + 1}" for i in range(self.model.pod.rank)]
+            held = self.state.get()
+            cases = unpacked(held[0]) if held is not None else pd.DataFrame({"case": [], "rows": [], **{c: [] for c in modes}})
+            # Only the rows to filter are dealt to cases, so a case begins with its first sound row.
+            place, case, rank, names = case_runs(whole[CASE][order], np.arange(len(order)), pd.Index(cases["case"], dtype=object))
+            order, added = order[place], len(names) - len(cases)
+            count = np.append(cases["rows"], np.zeros(added)).astype(np.int64)
+            before = np.vstack([cases[modes].to_numpy(float), np.zeros((added, len(modes)))])
             y = np.column_stack([whole[c][order].astype(float) for c in self.measurements]) - self.shift
             u = np.column_stack([whole[c][order].astype(float) for c in self.model.inputs]) if self.model.inputs else np.zeros((len(order), 0))
-            out[order], last = self._filter(y, u, None if count == 0 else np.asarray(before, float), count)
-            started[order[0]] = count == 0
-            self.state.update((last.tolist(), count + len(order)))
+            out[order], x = self._filter(y, u, before[case], count[case], rank)
+            started[order] = count[case] + rank == 0
+            end = np.append(case[1:] != case[:-1], True)
+            before[case[end]] = x[end]
+            count += np.bincount(case, minlength=len(names))
+            self.state.update((packed(pd.DataFrame({"case": names, "rows": count, **dict(zip(modes, before.T))})),))
         for (frame, values), (_, flags) in zip(dealt(out, frames), dealt(started, frames)):
             estimates = pd.DataFrame(values, columns=self.columns()[:-1]).assign(initialized_from_measurement=flags)
             yield pd.concat([frame.drop(columns=[c for c in frame.columns if c in estimates.columns]), estimates], axis=1)
 
-    def _filter(self, y: np.ndarray, u: np.ndarray, before: np.ndarray | None, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """Output columns of rows ``count``, ``count + 1``, ... and the last modal state."""
+    def _filter(self, y: np.ndarray, u: np.ndarray, before: np.ndarray, count: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Output columns and modal states of rows that lie case after case; ``before`` and ``count`` are the state of a row's case."""
         m, pod, h = self.model, self.model.pod, self.h
-        gains, covariances = self.schedule.at(np.arange(count, count + len(y)))
+        numbers = count + rank
+        steps, at = np.unique(numbers, return_inverse=True)
+        gains, covariances = (part[at] for part in self.schedule.at(steps))
         drive = u @ m.b.T + m.offset
         keep = np.eye(pod.rank) - gains @ h
         forcing = np.einsum("kij,kj->ki", keep, drive) + np.einsum("kij,kj->ki", gains, y)
-        if before is None:
-            opening = np.linalg.pinv(h) @ y[0]
-            forcing[0] = opening + gains[0] @ (y[0] - h @ opening)
-        else:
-            forcing[0] += keep[0] @ m.a @ before
-        first = np.zeros(len(y), bool)
-        first[0] = True
+        first = rank == 0
+        new, on = np.flatnonzero(numbers == 0), np.flatnonzero(first & (count > 0))
+        opening = y[new] @ np.linalg.pinv(h).T
+        forcing[new] = opening + np.einsum("kij,kj->ki", gains[new], y[new] - opening @ h.T)
+        carried = before[on] @ m.a.T
+        forcing[on] += np.einsum("kij,kj->ki", keep[on], carried)
         x = L.varying_scan(keep @ m.a, forcing, first)
         prior = np.empty_like(x)
         prior[1:] = x[:-1] @ m.a.T + drive[1:]
-        prior[0] = opening if before is None else m.a @ before + drive[0]
+        prior[new], prior[on] = opening, carried + drive[on]
         innovation = y - prior @ h.T
         full = x @ pod.decoder().T + pod.mean
         variances = np.diagonal(covariances, axis1=1, axis2=2)
-        return np.column_stack([full, x, variances.sum(axis=1), np.linalg.norm(innovation, axis=1), innovation, variances]), x[-1]
+        return np.column_stack([full, x, variances.sum(axis=1), np.linalg.norm(innovation, axis=1), innovation, variances]), x
 
     def columns(self) -> list[str]:
         k = range(1, self.model.pod.rank + 1)
@@ -116,7 +129,7 @@ class _PODKalman(StatefulProcessor):
 def estimate_stream(clean: DataFrame, spec: TrajectorySpec, model: LinearModel, measurements: list[str], *,
                     process_noise: float = 1e-6, measurement_noise: float = 1e-3, initial_covariance: float = 1.0,
                     carry: list[str] = ()) -> DataFrame:
-    """Filter every row of a stream into full states, one keyed state per case.
+    """Filter every row of a stream into full states, with the state of every case kept by bucket.
 
     Rows are taken in the order of their arrival number. Where the rows carry ``_code`` those with a problem in their values pass without an estimate.
     ``carry`` names further columns to keep.
@@ -126,14 +139,13 @@ def estimate_stream(clean: DataFrame, spec: TrajectorySpec, model: LinearModel,
         if not value > 0:
             raise ValueError(f"{name} must be positive")
     keep = list(dict.fromkeys([*spec.keys, spec.time, *measurements, *model.inputs, SEQ, "_received_utc", *carry]))
-    slim = clean.select(*keep)
-    keyed = slim if spec.case else slim.withColumn("_case", F.lit("all"))
+    keyed = bucketed(clean.select(*keep), spec.case)
     processor = _PODKalman(keyed.columns, model, list(measurements), process_noise, measurement_noise, initial_covariance)
     fields = [*[f for f in keyed.schema.fields if f.name not in processor.columns()],
               *[T.StructField(c, T.BooleanType() if c.startswith("initialized") else T.DoubleType()) for c in processor.columns()]]
-    out = keyed.groupBy(spec.case or "_case").transformWithStateInPandas(
+    out = keyed.groupBy(BUCKET).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append", timeMode="None")
-    return out if spec.case else out.drop("_case")
+    return out.drop(CASE, BUCKET)
 
 
 def run_estimation(stream: DataFrame, spec: TrajectorySpec, root: str, run_id: str, checkpoint: str, model: LinearModel,
