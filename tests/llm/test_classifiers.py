@@ -170,3 +170,16 @@ def test_secret_edge_rows(spark):
     kept = secrets.redacted(df, model)
     assert kept.columns == df.columns and kept.count() == 5 and kept.where("doc_id = 1 and text is null").count() == 1
     assert secrets.scan(df.limit(0), secrets.train(df.limit(0))).collect() == []
+
+
+def test_features_see_the_whole_value():
+    """What stands far behind in a value counts: its length, dictionary words, harmless words and letters."""
+    stats = {"dictionary": np.zeros(1 << secrets.BITS, bool), "surprise": np.zeros((256, 256), np.float32)}
+    word, _ = secrets.word_hashes(["lantern"])
+    stats["dictionary"][int(word[0] >> np.uint64(64 - secrets.BITS))] = True
+    name = dict(zip(secrets.FEATURES, range(len(secrets.FEATURES)))).__getitem__
+    for digits in (64, 4093, 9000):  # the second ends a stretch of look-ups inside the first word
+        value = "7" * digits + "lantern" * 10 + "_sample"
+        row = secrets.features(f"key={value}", [(4, 4 + len(value))], "", stats)[0]
+        assert row[name("length")] == len(value) and np.isclose(row[name("covered")], 70 / len(value))
+        assert row[name("harmless")] == 1 and np.isclose(row[name("digits")], digits / len(value))
