@@ -19,7 +19,7 @@ from trajmill.operators import bias as B, fitting as fit, metrics as M, models a
 from trajmill.operators import prediction as pred, quality as Q, selection as sel, shaping as S, status as ST
 from trajmill.operators import summaries as SU, trees as TR
 from trajmill.plans.segments import plan_layout, with_position
-from trajmill.session import settle, shared_folder
+from trajmill.session import kept, settle, shared_folder
 from trajmill.sources import archive as AR, tables as TB
 from trajmill.spec import TrajectorySpec
 from trajmill.streaming import buffer as BUF, inputs as IN, live as LIVE
@@ -58,9 +58,14 @@ def events(spark, d) -> DataFrame:
 
 
 def supply(spark, d) -> DataFrame:
+    """Grouped once: fits, layouts and rollouts pass over the months, not over lineitem again."""
     month = F.date_trunc("month", F.col("l_shipdate").cast("timestamp"))
-    return table(spark, d, "lineitem").groupBy("l_suppkey", seconds(month).alias("t")).agg(
-        F.sum("l_quantity").alias("qty"), (F.sum("l_extendedprice") / 1000.0).alias("rev"), F.avg("l_discount").alias("disc"))
+    return kept(table(spark, d, "lineitem").groupBy("l_suppkey", seconds(month).alias("t")).agg(
+        F.sum("l_quantity").alias("qty"), (F.sum("l_extendedprice") / 1000.0).alias("rev"), F.avg("l_discount").alias("disc")))
+
+
+def split_supply(spark, d) -> DataFrame:
+    return kept(S.split_by_fraction(supply(spark, d), "l_suppkey", 0.7))
 
 
 def arrivals(spark, d) -> DataFrame:
@@ -488,7 +493,7 @@ def tree_rollout(spark, d):
 
 @query("compare_tree_models", None)
 def compare_tree_models(spark, d):
-    df = S.split_by_fraction(supply(spark, d), "l_suppkey", 0.7)
+    df = split_supply(spark, d)
     return sel.compare_models(df, SUP, ["persistence", "pod_dmdc", "pod_ml_random_forest", "pod_ml_gb"], trees=10)[0]
 
 
@@ -593,7 +598,7 @@ def recommend_model(spark, d):
 
 @query("compare_all_models", None)
 def compare_all_models(spark, d):
-    df = S.split_by_fraction(supply(spark, d), "l_suppkey", 0.7)
+    df = split_supply(spark, d)
     return sel.compare_models(df, SUP, ["persistence", "mean", "dmdc", "ridge_dmdc", "pod_dmdc", "pod_ml"])[0]
 
 
@@ -606,7 +611,7 @@ def leave_one_out(spark, d):
 
 @query("rank_delay_sweep", None)
 def rank_delay_sweep(spark, d):
-    df = S.split_by_fraction(supply(spark, d), "l_suppkey", 0.7)
+    df = split_supply(spark, d)
     return sel.rank_delay_sweep(df, SUP, models=("dmdc", "pod_dmdc"), pod_ranks=(1, 2), dmdc_ranks=(1, None), delays=(1, 2))
 
 
@@ -1053,7 +1058,7 @@ def stream_estimates(spark, d):
 def _estimation_run(spark, d, chunks: int = 10) -> str:
     """The supply series as a live log in ten triggers, checked, filtered and archived by one streaming query."""
     root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df = settle(supply(spark, d))
+    df = supply(spark, d)
     model = _one_mode(df)
     IN.write_replay(df.drop("rev"), f"{root}/in", chunk_size=-(-df.count() // chunks), time="t", order=("l_suppkey",))
     schema = spark.read.parquet(f"{root}/in").schema
