@@ -34,3 +34,13 @@ def test_query_equals_sql(spark, db, name):
 
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_views_read_by_several_passes_are_made_once(spark):
+    """The plans of these views begin at stored rows: a pass over them groups or matches nothing again."""
+    from trajmill import catalog
+
+    folder = "/root/testdata/sf0.001"
+    for view in (catalog.supply, catalog.split_supply, catalog.bias_chain):
+        plan = view(spark, folder)._jdf.queryExecution().analyzed().toString()
+        assert not any(step in plan for step in ("Aggregate", "Join", "Window", "MapIn")), view.__name__

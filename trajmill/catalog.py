@@ -719,8 +719,8 @@ def forecasts(spark, d):
     return pred.forecast(events(spark, d), ar(spark, d), "t", HORIZONS, dt=STEP, keys=["user_id"], row_index="event_id")
 
 
-def residuals(spark, d):
-    return mon.forecast_residuals(events(spark, d), forecasts(spark, d), ["user_id"], "t", ["x"], tolerance=TOL)
+def residuals(spark, d, asked=None):
+    return mon.forecast_residuals(events(spark, d), asked if asked is not None else forecasts(spark, d), ["user_id"], "t", ["x"], tolerance=TOL)
 
 
 def alerts(spark, d, found=None):
@@ -807,10 +807,11 @@ _corr = f"""{_bias}, ac AS (SELECT user_id, forecast_horizon_s, matched_time AS
   AND fc.forecast_horizon_s = ac.forecast_horizon_s AND fc.origin_time >= ac.bt)"""
 
 
-def bias_chain(spark, d):
-    found = settle(residuals(spark, d))  # used three times below
-    raised = alerts(spark, d, found)
-    return B.bias_events(found, raised, trust(spark, d, raised), ["user_id"], RULES)
+def bias_chain(spark, d, found=None):
+    """Each table of the chain is read several times below, so each is written once."""
+    found = found if found is not None else kept(residuals(spark, d))
+    raised = kept(alerts(spark, d, found))
+    return kept(B.bias_events(found, raised, kept(trust(spark, d, raised)), ["user_id"], RULES))
 
 
 @query("bias_events", f"""WITH RECURSIVE {_bias} SELECT user_id, origin_row_index, forecast_horizon_s, round(old_bias, 6) AS old_bias, round(new_bias, 6) AS new_bias, round(new_bias - old_bias, 6) AS delta_bias,
@@ -852,9 +853,10 @@ def bias_timeseries(spark, d):
   SELECT 'x' AS state, forecast_horizon_s, round(avg(ra), 6) AS raw_mean_abs_residual, round(max(ra), 6) AS raw_max_abs_residual, count(*) AS n_raw, round(avg(ca), 6) AS corrected_mean_abs_residual, round(max(ca), 6) AS corrected_max_abs_residual,
   count(*) AS n_corrected, round(avg(ra) - avg(ca), 6) AS mean_abs_residual_improvement, round(max(ra) - max(ca), 6) AS max_abs_residual_improvement FROM cr GROUP BY 2""")
 def bias_error_comparison(spark, d):
-    e = events(spark, d)
-    corrected = B.corrected_residuals(e, B.apply_bias(forecasts(spark, d), bias_chain(spark, d), ["user_id"]), ["user_id"], "t", ["x"], TOL)
-    out = B.compare_errors(residuals(spark, d), corrected)
+    asked = kept(forecasts(spark, d))
+    found = kept(residuals(spark, d, asked))
+    moved = kept(B.apply_bias(asked, bias_chain(spark, d, found), ["user_id"]))
+    out = B.compare_errors(found, B.corrected_residuals(events(spark, d), moved, ["user_id"], "t", ["x"], TOL))
     return rounded(out, 6, *[c for c in out.columns if c not in ("state", "forecast_horizon_s", "n_raw", "n_corrected")])
 
 
