@@ -23,9 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from trajmill.llm.common import checked_broadcast, stored
+from trajmill.llm.common import checked_broadcast, stored, text_batches
 from trajmill.llm.components import components
-from trajmill.llm.words import blocks, mixed, shingles
+from trajmill.llm.words import mixed, pieces, shingles
 
 COORDINATES = 48
 MATCHES = 26
@@ -54,9 +54,8 @@ def _signer(words: int):
     def sign(batches):
         seeds = _SEEDS
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for first, end in blocks(texts):
-                value, at = shingles(texts[first:end], words)
+            for first, end, texts in pieces(batch.column(1)):
+                value, at = shingles(texts, words)
                 size = np.diff(at)
                 full = np.flatnonzero(size)
                 rows = np.zeros((end - first, COORDINATES), np.int64)
@@ -75,9 +74,8 @@ def _setter(words: int):
     """(id, set) of the rows (text, id, key) whose text has the shingle set of their key."""
     def sets(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for first, end in blocks(texts):
-                value, at = shingles(texts[first:end], words)
+            for first, end, texts in pieces(batch.column(0)):
+                value, at = shingles(texts, words)
                 same = pc.equal(pa.array(_set_key(value, at), pa.binary()), batch.column(2).slice(first, end - first))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(first, end - first), _lists(value.view(np.int64), np.diff(at), pa.int64())],
@@ -88,6 +86,7 @@ def _setter(words: int):
 def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
     """(doc_id, key, n_shingles, sig) per row of ``docs`` (columns doc_id, text); key is null without words."""
     kind = dict(docs.dtypes)["doc_id"]
+    text_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(
         _signer(words), f"doc_id {kind}, key binary, n_shingles bigint, sig array<bigint>")
 

@@ -18,8 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trajmill.llm.common import bounded_sample
-from trajmill.llm.words import POWERS, blocks, mixed
+from trajmill.llm.common import bounded_sample, text_batches
+from trajmill.llm.words import PIECE_BYTES, POWERS, blocks, mixed, pieces
 
 ORDER = 5
 HELD = 1 << 21  # n-grams that a counting task holds before it hands them on
@@ -123,9 +123,8 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key[i: i + (1 << 18)].view(np.int64)), pa.array(count[i: i + (1 << 18)], pa.int64())], names=["gram", "n"])
 
     for batch in batches:
-        texts = [(t or "").lower() for t in batch.column(0).to_pylist()]
-        for first, end in blocks(texts, 1 << 21):
-            key, count = _grams(texts[first:end])
+        for _, _, texts in pieces(batch.column(0), 1 << 19):
+            key, count = _grams([(t or "").lower() for t in texts])
             keys, counts, held = [*keys, key], [*counts, count], held + len(key)
             if held > HELD:
                 key, count = _summed(keys, counts)
@@ -357,7 +356,7 @@ class Scorer:
 
     def score(self, texts: list) -> np.ndarray:
         out = np.zeros(len(texts))
-        for first, end in blocks(texts):
+        for first, end in blocks(texts, PIECE_BYTES):
             for i, words in enumerate(self.found([t or "" for t in texts[first:end]])):
                 out[first + i] = self.bias + self.weights[sorted(words)].sum()
         return 1.0 - np.exp(out)
@@ -367,6 +366,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         rows: int = TRAIN_ROWS) -> dict:
     """Language model over all ``docs``; lexicon and weights from at most ``rows`` labelled rows (doc_id, label 0/1)."""
     spark = docs.sparkSession
+    text_batches(spark)
     table = language_model(docs, text)
     chosen = bounded_sample(labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
                             .where("_id is not null and _y is not null"), "_id", rows)
@@ -405,13 +405,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def score_column(spark, model: dict, text: str = "text"):
     """A column of scores in 0..1 for any DataFrame with the column ``text``."""
     shared = spark.sparkContext.broadcast(model)
+    text_batches(spark)
 
-    @F.pandas_udf("double")
-    def score(batches: "pd.Series") -> "pd.Series":
+    @F.arrow_udf("double")
+    def score(column: "pa.Array") -> "pa.Array":
         here = shared.value  # the scorer stays with the broadcast value: a worker drops both when its next work does not need them
         if "scorer" not in here:
             here["scorer"] = Scorer(here)
-        return pd.Series(here["scorer"].score(batches.tolist()))
+        return pa.array(np.concatenate([np.zeros(0), *(here["scorer"].score(texts) for _, _, texts in pieces(column))]))
 
     return score(F.col(text))
 

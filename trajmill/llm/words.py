@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -55,6 +58,17 @@ def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, list]]:
+    """Ranges of whole texts of about ``limit`` bytes, with their texts; no more of an Arrow batch than a piece becomes Python strings at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first = 0
+    while first < len(size):
+        held = size[first - 1] if first else 0
+        end = min(int(np.searchsorted(size, held + limit)) + 1, len(size))
+        yield first, end, column.slice(first, end - first).to_pylist()
+        first = end
+
+
 def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of every text, and for each text the index of its first word (and the end)."""
     raw = [(t or "").encode("utf-8", "replace").lower() for t in texts]
