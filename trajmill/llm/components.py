@@ -13,17 +13,20 @@ def _toward_least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
+def _either(edges: DataFrame, one, other) -> DataFrame:
+    """Two rows for each edge, from one reading of it: a union would put the whole plan of ``edges`` into the plan twice."""
+    return edges.select(F.explode(F.array(F.struct(*one), F.struct(*other))).alias("_e")).select("_e.*")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _either(edges, ["u", "v"], [F.col("v").alias("u"), F.col("u").alias("v")])
     return _toward_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    star = _toward_least(down)
-    return (star.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(star.select("u", F.col("m").alias("v")))
-            .where(F.col("u") != F.col("v")).distinct())
+    least = F.col("m").alias("v")
+    return _either(_toward_least(down), [F.col("v").alias("u"), least], ["u", least]).where(F.col("u") != F.col("v")).distinct()
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -34,9 +37,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u != v")
     while True:
-        now = stored(_small_star(_large_star(now)), "stars")
+        now = stored(_small_star(stored(_large_star(now), "stars")), "stars")
         # Done when every node has one edge and no root has an edge itself.
-        nodes = now.select("u", F.lit(1).alias("n")).union(now.select(F.col("v").alias("u"), F.lit(None).alias("n")).distinct())
-        unfinished = nodes.groupBy("u").agg(F.count("n").alias("n"), F.count(F.lit(1)).alias("all")).where("n > 1 or (n = 1 and all > 1)")
+        nodes = _either(now, ["u", F.lit(1).alias("n")], [F.col("v").alias("u"), F.lit(0).alias("n")])
+        unfinished = nodes.groupBy("u").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 or (n = 1 and least = 0)")
         if unfinished.isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -107,21 +107,23 @@ def _prefix(matches: int, more: int = 0):
     return F.slice("vals", 1, F.least(F.size("vals") - (matches - 1 - more), F.size("vals")))
 
 
-def _sets(ids: DataFrame, docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
+def _repeats(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+
+
+def _sets(ids: DataFrame, docs: DataFrame, named: DataFrame, words: int, repeated: bool) -> DataFrame:
     """(id, set) of the wanted classes: the distinct shingle hashes of one of their texts."""
     wanted = stored(ids.distinct().join(named, "id"), "wanted")
     chosen = docs.select("doc_id", "text").join(checked_broadcast(wanted, wanted.count(), BROADCAST_IDS), "doc_id")
     sets = chosen.select("text", "id", "key").mapInArrow(_setter(words), "id bigint, set array<bigint>")
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    if not repeated.isEmpty():  # only then may a text come twice
+    if repeated:  # only then may a text come twice
         sets = sets.dropDuplicates(["id"])
     return stored(sets, "sets")
 
 
-def _differences(pairs: DataFrame, docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
-    """(id, hub, n, m, d) for the pairs (id, hub): the sizes of both sets and what lies in only one of them."""
-    pairs = stored(pairs, "pairs")
-    sets = _sets(pairs.select(F.explode(F.array("id", "hub")).alias("id")), docs, named, words)
+def _differences(pairs: DataFrame, docs: DataFrame, named: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """(id, hub, n, m, d) for the stored pairs (id, hub): the sizes of both sets and what lies in only one of them."""
+    sets = _sets(pairs.select(F.explode(F.array("id", "hub")).alias("id")), docs, named, words, repeated)
     hubs = pairs.select("hub").distinct()
     hub_sets = sets.select(F.col("id").alias("hub"), F.col("set").alias("_t"))
     hub_sets = hub_sets.join(checked_broadcast(hubs, hubs.count(), BROADCAST_IDS), "hub", "left_semi")
@@ -153,7 +155,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     by_root = beyond.groupBy("hub", "root").agg(F.min("e").alias("e"))
     first = by_root.groupBy("hub").agg(F.min(F.struct("e", "root")).alias("_1"))
     second = by_root.join(first, "hub").where(F.col("root") != F.col("_1.root")).groupBy("hub").agg(F.min("e").alias("_2"))
-    open_ = beyond.join(first.join(second, "hub"), "hub")
+    open_ = beyond.join(stored(first.join(second, "hub"), "bounds"), "hub")
     other = F.when(F.col("root") == F.col("_1.root"), F.col("_2")).otherwise(F.col("_1.e"))
     open_ = open_.withColumn("_other", other).withColumn("_least", _need(percent, "e", "_other")).where(F.col("_least") <= F.col("size"))
     posted = open_.select("hub", "id", "root", "e", "size", "_least", F.explode("d").alias("x"))
@@ -165,7 +167,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         "hub", "id", "root", "e", "size", (F.col("size") - F.col("_at")).alias("left"), "_y.x"), "early")
     a, b = (early.select("hub", "x", *[F.col(c).alias(f"{c}{i}") for c in ("id", "root", "e", "left")]) for i in (1, 2))
     pairs = a.join(b, ["hub", "x"]).where((F.col("root1") < F.col("root2")) & (F.least("left1", "left2") >= _need(percent, "e1", "e2")))
-    pairs = pairs.select("hub", F.col("id1").alias("u"), F.col("id2").alias("v")).distinct()
+    pairs = stored(pairs.select("hub", F.col("id1").alias("u"), F.col("id2").alias("v")).distinct(), "close")
     mine = beyond.select("hub", F.col("id"), "d", "e")
     met = (pairs.join(mine.select("hub", F.col("id").alias("u"), F.col("d").alias("_d1"), F.col("e").alias("_e1")), ["hub", "u"])
            .join(mine.select("hub", F.col("id").alias("v"), F.col("d").alias("_d2"), F.col("e").alias("_e2")), ["hub", "v"]))
@@ -173,8 +175,9 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
 
 def links(signed: DataFrame, docs: DataFrame, words: int = 2, percent: int = 80, matches: int = MATCHES,
-          open_pairs: int = OPEN_PAIRS) -> DataFrame:
-    """(node, root) over text classes, from confirmed links."""
+          open_pairs: int = OPEN_PAIRS, repeated: bool | None = None) -> DataFrame:
+    """(node, root) over text classes, from confirmed links. ``repeated``: whether doc_ids repeat, looked up where not given."""
+    repeated = _repeats(docs) if repeated is None else repeated
     classes = stored(signed.where("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).withColumn(
         "id", F.monotonically_increasing_id()), "classes")  # n and sig are equal for all copies
@@ -190,8 +193,9 @@ def links(signed: DataFrame, docs: DataFrame, words: int = 2, percent: int = 80,
     left = shared.select("id", F.col("vals").alias("_a"))
     right = shared.select(F.col("id").alias("hub"), F.col("vals").alias("_b"))
     near = starred.join(left, "id").join(right, "hub").where(F.size(F.array_intersect("_a", "_b")) >= matches).select("id", "hub")
-    first = stored(_differences(near, docs, named, words), "differences")
-    star = first.where(linked).select(F.col("id").alias("u"), F.col("hub").alias("v"))
+    near = stored(near, "pairs")
+    first = stored(_differences(near, docs, named, words, repeated).withColumn("linked", linked), "differences")
+    star = first.where("linked").select(F.col("id").alias("u"), F.col("hub").alias("v"))
     roots = stored(components(star), "roots")
 
     # Lists whose members are in several components may still hide links between these.
@@ -199,20 +203,21 @@ def links(signed: DataFrame, docs: DataFrame, words: int = 2, percent: int = 80,
     counted = placed.groupBy("val", "root").agg(F.count(F.lit(1)).alias("_c")).groupBy("val").agg(F.sum("_c").alias("_all"), F.max("_c").alias("_top"))
     torn = stored(placed.join(counted.where("_top < _all"), "val"), "torn")
     beside = torn.select("hub", "id", "n", "root").distinct()
-    known = first.select("id", "hub", "d").unionByName(
-        beside.where("id = hub").select("id", "hub", F.array().cast("array<bigint>").alias("d")))
-    close = _across(beside.join(known, ["id", "hub"]), percent)
-    far = _far_pairs(torn, known.select("id", "hub"), shared, near_size, matches, open_pairs)
-    far = _differences(far, docs, named, words).where(linked).select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    more = stored(close.union(far), "links")
-    found = roots if more.isEmpty() else components(star.union(more))
+    itself = F.when(F.col("id") == F.col("hub"), F.array().cast("array<bigint>"))
+    known = beside.join(first.select("id", "hub", "d"), ["id", "hub"], "left").withColumn("d", F.coalesce("d", itself)).where("d is not null")
+    more = stored(_across(known, percent), "links")
+    far = stored(_far_pairs(torn, first.select("id", "hub"), shared, near_size, matches, open_pairs), "pairs")
+    if not far.isEmpty():
+        far = _differences(far, docs, named, words, repeated).where(linked)
+        more = more.union(stored(far.select(F.col("id").alias("u"), F.col("hub").alias("v")), "links"))
+    found = roots if more.isEmpty() else components(roots.union(more), "node", "root")  # roots join what the first links do
     node, root = (classes.select(F.col("id").alias(c), F.col("key").alias(f"_{c}")) for c in ("node", "root"))
     return found.join(node, "node").join(root, "root").select(F.col("_node").alias("node"), F.col("_root").alias("root"))
 
 
 def _far_pairs(torn: DataFrame, known: DataFrame, shared: DataFrame, near_size, matches: int, open_pairs: int) -> DataFrame:
-    """Pairs (id, hub) of members of a torn list in different components that collide often enough, one of them unknown to its hub."""
-    told = torn.join(known.withColumn("_known", F.lit(True)), ["id", "hub"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    """Pairs (id, hub) of members of a torn list in different components that collide often enough, one of them not ``known`` to its hub."""
+    told = torn.join(known.withColumn("_known", F.lit(True)), ["id", "hub"], "left").withColumn("_known", F.coalesce("_known", F.col("id") == F.col("hub")))
     strange = told.groupBy("val").agg(F.count_if(~F.col("_known")).alias("_far")).where("_far > 0")
     members = (told.join(strange, "val").withColumn("_long", F.col("_far") * F.col("_all") > open_pairs)
                .select("val", "id", "n", "root", "_known", "_long").join(shared.select("id", "vals"), "id"))
@@ -229,7 +234,7 @@ def _far_pairs(torn: DataFrame, known: DataFrame, shared: DataFrame, near_size,
     return across.select(F.col("id1").alias("id"), F.col("id2").alias("hub")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, repeated: bool | None = None) -> DataFrame:
     """One row per row of ``docs`` (columns doc_id, text; others are ignored): doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the least doc_id that links reach, the own one included; ``kept`` marks doc_id = component_id.
@@ -237,15 +242,16 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     lower-casing A-Z. Texts that are null, empty or blank have no shingle and no link, and stay. Rows of one doc_id with
     different texts are linked on their own and each is judged by its text. Rows without doc_id link nothing and have no component; they are kept.
     Copies of one shingle set are grouped before anything is compared; an empty table gives an empty result.
+    ``repeated`` says whether a doc_id occurs twice, for a caller that knows.
     """
     signed = stored(signatures(docs, words), "signed")
     known = signed.where("doc_id is not null")
     classes = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    found = links(known, docs.where("doc_id is not null"), words, percent)
-    placed = classes.join(found.withColumnRenamed("node", "key"), "key", "left")
+    found = links(known, docs.where("doc_id is not null"), words, percent, repeated=repeated)
+    placed = stored(classes.join(found.withColumnRenamed("node", "key"), "key", "left"), "placed")
     inner = placed.where("root is not null")
     least = (inner.select("root", "rep").union(
-        classes.join(inner.select(F.col("root").alias("key")).distinct(), "key").select(F.col("key").alias("root"), "rep"))
+        placed.join(inner.select(F.col("root").alias("key")).distinct(), "key").select(F.col("key").alias("root"), "rep"))
         .groupBy("root").agg(F.min("rep").alias("_least")))
     named = (placed.select("key", "rep", F.coalesce("root", "key").alias("root")).join(least, "root", "left")
              .select("key", F.coalesce("_least", "rep").alias("_component")))
@@ -262,14 +268,13 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     with one doc_id and different texts are judged apart.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if repeated.isEmpty():
-        gone = near_duplicates(rows, words, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
+    if not _repeats(rows.where("doc_id is not null")):
+        gone = near_duplicates(rows, words, percent, repeated=False).where("not kept").select(F.col("doc_id").alias("_gone"))
         gone = stored(gone, "gone")
         return docs.join(checked_broadcast(gone, gone.count(), BROADCAST_IDS), F.col(doc_id) == F.col("_gone"), "left_anti")
     named = docs.withColumn("_row", F.when(F.col(doc_id).isNotNull(), F.struct(
         F.col(doc_id).alias("id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("of"))))
     known = named.where("_row is not null").dropDuplicates(["_row"])
-    gone = near_duplicates(known.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")), words, percent)
+    gone = near_duplicates(known.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")), words, percent, repeated=False)
     gone = stored(gone.where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
     return known.join(gone, F.col("_row") == F.col("_gone"), "left_anti").unionByName(named.where("_row is null")).drop("_row")
