@@ -78,6 +78,15 @@ def test_table_that_is_one_hot_case(table):
     same(Q.percentiles(rows, [], "t", {"m": 0.5}, 40), Q.percentiles(rows, [], "t", {"m": 0.5}))
 
 
+def test_order_column_may_have_any_name(table):
+    for name in ("_n", "_q", "_pieces"):
+        rows = table.where("t is not null").select("c", F.col("t").alias(name), "x")
+        for keys in ([], ["c"]):
+            cut = plan_layout(rows, keys, name, 30)
+            assert cut.split
+            same(with_position(rows, cut, [name]), with_position(rows, plan_layout(rows, keys, name), [name]))
+
+
 def test_one_time_holding_a_third_of_all_rows(spark):
     rows = [("a", 1.0, float(i), 0.0) for i in range(100)] + [("a", float(i), 1.0, 0.0) for i in range(2, 200)]
     df = spark.createDataFrame(rows, SPEC_SCHEMA)

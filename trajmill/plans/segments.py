@@ -99,19 +99,19 @@ def plan_layout(df: DataFrame, keys: list[str], time: str, target_rows: int | No
         target_rows = TARGET_ROWS
         if df.count() <= target_rows:
             return CaseLayout(keys, time)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total, biggest = counts.agg(F.sum("_n"), F.max("_n")).first()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_layout_n"))
+    total, biggest = counts.agg(F.sum("_layout_n"), F.max("_layout_n")).first()
     target = max(target_rows, ceil((total or 0) / MOST_SEGMENTS))
     if not biggest or biggest <= target:
         return CaseLayout(keys, time)
-    hot = counts.where(F.col("_n") > target)
+    hot = counts.where(F.col("_layout_n") > target)
     grid = 1 << ceil(biggest / target - 1).bit_length()
     shares = [i / grid for i in range(1, grid)]
     # hot holds at most 4,096 rows by the choice of target
-    hot_only = join_null_safe(df.select(*keys, time), F.broadcast(hot), keys).where(F.col("_n").isNotNull())
+    hot_only = join_null_safe(df.select(*keys, F.col(time).alias("_layout_at")), F.broadcast(hot), keys).where(F.col("_layout_n").isNotNull())
     sketch = hot_only.groupBy(*keys).agg(
-        F.percentile_approx(time, F.array(*map(F.lit, shares)), F.lit(max(10_000, 8 * grid))).alias("_q"),
-        F.ceil(F.max("_n") / F.lit(float(target))).cast("int").alias("_pieces"),
+        F.percentile_approx("_layout_at", F.array(*map(F.lit, shares)), F.lit(max(10_000, 8 * grid))).alias("_q"),
+        F.ceil(F.max("_layout_n") / F.lit(float(target))).cast("int").alias("_pieces"),
     )
     picked = sketch.select(
         *keys, "_pieces",
