@@ -172,3 +172,42 @@ def test_a_broken_file_is_an_error(spark):
         f.write(b"no parquet")
     with pytest.raises(Exception):
         AR.load_kind(spark, root, "raw_stream").count()
+
+
+def test_tables_of_one_epoch_have_their_entries_from_one_job(spark):
+    root, other = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(2))
+    rows = spark.range(60).select((F.col("id") * 600.0).alias("time"), "id")
+    later = rows.withColumnRenamed("time", "origin_time")
+
+    def tables(cleaned):
+        return [(rows, "raw_stream", "time"), (cleaned, "cleaned_stream", "time"), (rows.select("id"), "warnings", None), (later, "forecasts", "origin_time")]
+    compared = ["data_kind", "run_id", "write_id", "n_columns", "columns", "time_col", "date_partition", "hour_partition", "schema_version", "format", "source_file"]
+    listed = lambda place: sorted(map(tuple, AR.read_manifest(spark, place).groupBy(*compared).agg(
+        F.sum("n_rows"), F.min(F.col("min_time").cast("double")), F.max(F.col("max_time").cast("double"))).collect()))
+    for cleaned in (rows.where("id < 20"), rows.limit(0)):  # the repeated epoch has no such rows
+        AR.write_together(tables(cleaned), root, "r", "epoch-0")
+        for df, kind, time in tables(cleaned):
+            AR.write_records(df, other, kind, "r", time=time, write_id="epoch-0")
+        assert listed(root) == listed(other)
+    assert {r[0] for r in listed(root)} == {"raw_stream", "warnings", "forecasts"}
+    jobs = {f.rsplit("/part-", 1)[1][6:42] for f in spark.read.parquet(f"{root}/_manifest").inputFiles()}
+    assert len(jobs) == 1
+    for kind, n in (("raw_stream", 60), ("forecasts", 60)):
+        assert AR.load_kind(spark, root, kind).count() == n
+
+
+def test_a_live_run_writes_the_entries_of_an_epoch_together(spark):
+    from trajmill import TrajectorySpec
+    from trajmill.streaming import inputs as IN, live as LIVE
+
+    path, root, check = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(3))
+    rows = spark.range(40).select((F.col("id") % 2).alias("c"), (F.col("id") * 1.0).alias("t"), F.rand(1).alias("x"))
+    IN.write_replay(rows, f"{path}/in", chunk_size=20, time="t")
+    spec = TrajectorySpec(case="c", time="t", states=("x",))
+    LIVE.ingest(IN.replay_stream(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema), spec, root, "r", check)
+    files = spark.read.parquet(f"{root}/_manifest").inputFiles()
+    jobs = {}
+    for f in files:
+        jobs.setdefault(f.split("write_id=")[1].split("/")[0], set()).add(f.rsplit("/part-", 1)[1][6:42])
+    assert len(jobs) == 2 and all(len(j) == 1 for j in jobs.values())
+    assert AR.load_kind(spark, root, "cleaned_stream").count() == 40

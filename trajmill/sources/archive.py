@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
 # Data kinds and the columns that may hold their time, best first.
@@ -85,6 +88,40 @@ def _found(read, otherwise):
         return otherwise
 
 
+def write_together(tables: list[tuple[DataFrame, str, str | None]], root: str, run_id: str, write_id: str) -> None:
+    """Append several tables (rows, kind, time column) under one id: files are written side by side, all manifest entries by one job at the end.
+
+    The same as ``write_records`` of each; small writes cost jobs, not rows.
+    """
+    spark, root = tables[0][0].sparkSession, root.rstrip("/")
+    with ThreadPoolExecutor(len(tables)) as pool:
+        begun = [pool.submit(inheritable_thread_target(spark)(partial(_write_rows, df, f"{root}/{_place(kind, run_id, write_id)}", time)))
+                 for df, kind, time in tables]
+    for write in begun:
+        write.result()
+    entries, groups = [], {}
+    for df, kind, time in tables:
+        groups.setdefault((time, dict(df.dtypes).get(time)), {})[kind] = df.columns
+    for (time, type_), kinds in groups.items():  # each reads one time column
+        schema = f"{f'`{time}` {type_}, ' if time else ''}data_kind string, date string, hour string"
+        written = spark.read.option("basePath", root).schema(schema).parquet(*[f"{root}/{_place(k, run_id, write_id)}" for k in kinds])
+        entries.append(manifest_rows(written, kinds, None, run_id, time, ""))
+    marks = spark.createDataFrame([(kind,) for _, kind, _ in tables], "data_kind string")  # an empty table replaces its entry too
+    rows = reduce(DataFrame.unionByName, entries).unionByName(marks, allowMissingColumns=True).withColumns(
+        {"run_id": F.lit(run_id), "write_id": F.lit(write_id), "replaces": F.array().cast("array<string>")})
+    (rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("data_kind", "run_id", "write_id")
+     .parquet(f"{root}/_manifest"))
+
+
+def _write_rows(df: DataFrame, path: str, time: str | None) -> T.StructType:
+    """Write rows below ``path`` by (date, hour); returns the schema of the files."""
+    date, hour = partition_columns(df, time)
+    placed = df.withColumns({"date": date, "hour": hour})
+    (placed.hint("rebalance", "date", "hour").write.mode("overwrite").option("compression", "zstd")
+     .partitionBy("date", "hour").parquet(path))
+    return placed.schema
+
+
 def write_records(df: DataFrame, root: str, kind: str, run_id: str, *, source: str = "", time: str | None = None,
                   write_id: str | None = None, replaces: list[str] = ()) -> str:
     """Append one table to a run of the archive and list its files in the manifest; returns the id of the write.
@@ -96,12 +133,8 @@ def write_records(df: DataFrame, root: str, kind: str, run_id: str, *, source: s
     """
     spark, root, write_id = df.sparkSession, root.rstrip("/"), write_id or uuid.uuid4().hex
     time = time or infer_time_column(df.columns, kind)
-    date, hour = partition_columns(df, time)
-    placed = df.withColumns({"date": date, "hour": hour})
     place = _place(kind, run_id, write_id)
-    (placed.hint("rebalance", "date", "hour").write.mode("overwrite").option("compression", "zstd")
-     .partitionBy("date", "hour").parquet(f"{root}/{place}"))
-    written = spark.read.schema(placed.schema).parquet(f"{root}/{place}")
+    written = spark.read.schema(_write_rows(df, f"{root}/{place}", time)).parquet(f"{root}/{place}")
     rows = manifest_rows(written, df.columns, kind, run_id, time, source).withColumn("replaces", F.lit(list(replaces)).cast("array<string>"))
     rows.drop("data_kind", "run_id").coalesce(1).write.mode("overwrite").parquet(f"{root}/_manifest/{place}")
     return write_id
@@ -121,18 +154,21 @@ def compact(spark: SparkSession, root: str, kind: str, run_id: str) -> str | Non
     return write_records(rows, root, kind, run_id, source=first["source_file"], time=first["time_col"] or None, replaces=writes)
 
 
-def manifest_rows(written: DataFrame, columns: list[str], kind: str, run_id: str, time: str | None, source: str) -> DataFrame:
-    """One row per file; reads only the time column of what was just written."""
+def manifest_rows(written: DataFrame, columns: list[str] | dict[str, list[str]], kind: str | None, run_id: str, time: str | None, source: str) -> DataFrame:
+    """One row per file; reads only the time column of what was just written. Without ``kind`` the rows carry theirs, and ``columns`` are given by kind."""
     moment = F.col(time) if time else F.lit(None)
+    kinds = {kind: columns} if kind is not None else columns
+    named = F.lit(kind) if kind is not None else F.col("data_kind")
+    of_kind = lambda value: F.create_map(*[F.lit(x) for k, c in kinds.items() for x in (k, value(c))])[F.col("data_kind")]
     per_file = written.groupBy(
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("file_size_bytes"), "date", "hour").agg(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("file_size_bytes"), named.alias("data_kind"), "date", "hour").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(moment).cast("string").alias("min_time"), F.max(moment).cast("string").alias("max_time"))
-    names = F.to_json(F.array(*[F.lit(c) for c in columns]))
     return per_file.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(datetime.now(timezone.utc).isoformat()).alias("written_at_utc"),
-        F.lit(kind).alias("data_kind"), F.lit(source).alias("source_file"),
+        "data_kind", F.lit(source).alias("source_file"),
         F.regexp_extract("_file", r"(data_kind=.*)$", 1).alias("path"), F.lit("parquet").alias("format"), "n_rows",
-        F.lit(len(columns)).cast("bigint").alias("n_columns"), names.alias("columns"), F.lit(time or "").alias("time_col"),
+        of_kind(len).cast("bigint").alias("n_columns"), of_kind(lambda c: json.dumps(list(c), separators=(",", ":"), ensure_ascii=False)).alias("columns"),
+        F.lit(time or "").alias("time_col"),
         "min_time", "max_time", "file_size_bytes", F.col("date").cast("string").alias("date_partition"),
         F.col("hour").cast("string").alias("hour_partition"), F.lit(run_id).alias("run_id"))
 
@@ -154,6 +190,7 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     if log is None:
         return empty
     gone = log.select("data_kind", "run_id", F.explode("replaces").alias("write_id")).distinct()
+    log = log.where(F.col("path").isNotNull())
     return log.join(gone, ["data_kind", "run_id", "write_id"], "left_anti").select(*empty.columns)
 
 

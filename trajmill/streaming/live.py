@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -10,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from trajmill.functions import linalg as L
 from trajmill.operators.fitting import LinearModel, measurement_matrix
 from trajmill.operators.prediction import DEFAULT_HORIZONS, forecast, innovations_long
-from trajmill.sources.archive import write_records
+from trajmill.session import shared_folder
+from trajmill.sources.archive import write_together
 from trajmill.spec import TrajectorySpec
 from trajmill.streaming.buffer import (
     BACKWARDS, BUCKET, CASE, REPEATED, SEQ, bucketed, buffer_warnings, case_runs, check_stream, clean_rows, dealt, gather, in_order, latest_rows, packed,
@@ -28,24 +31,35 @@ def ingest(stream: DataFrame, spec: TrajectorySpec, root: str, run_id: str, chec
     """
     checked = check_stream(stream, spec, remember_seconds)
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
-        try:
-            part = f"epoch-{epoch:08d}"
-            clean = clean_rows(batch)
-            write_records(batch.drop("_code"), root, "raw_stream", run_id, time=spec.time, write_id=part)
-            write_records(clean, root, "cleaned_stream", run_id, time=spec.time, write_id=part)
-            write_records(buffer_warnings(batch, spec.keys), root, "warnings", run_id, write_id=part)
-            if model is not None:
-                rows = latest_rows(clean, spec) if newest_only else clean
-                write_records(forecast(rows, model, spec.time, horizons, dt=dt, keys=spec.keys, row_index=SEQ,
-                                       received="_received_utc"), root, "forecasts", run_id, write_id=part)
-        finally:
-            batch.unpersist()
+    def tables(batch: DataFrame):
+        clean = clean_rows(batch)
+        yield batch.drop("_code"), "raw_stream", spec.time
+        yield clean, "cleaned_stream", spec.time
+        yield buffer_warnings(batch, spec.keys), "warnings", None
+        if model is not None:
+            rows = latest_rows(clean, spec) if newest_only else clean
+            yield forecast(rows, model, spec.time, horizons, dt=dt, keys=spec.keys, row_index=SEQ, received="_received_utc"), "forecasts", "origin_time"
 
+    sink = _archiving(stream, tables, root, run_id)
     return run_until_done(checked, sink, checkpoint, timeout=timeout)
 
 
+def _archiving(stream: DataFrame, tables, root: str, run_id: str):
+    """What a run does with an epoch: its rows are written once, and its tables made from there in the caller's session.
+
+    So the state moves on once per epoch. A stream's own session has no adaptive plans; there each task would write a file for each of its hours, as
+    the rebalancing of ``write_records`` is left out. Each epoch takes the place of the one before.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/epoch-{uuid.uuid4().hex}"
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+        rows = spark.read.schema(batch.schema).parquet(path)
+        write_together(list(tables(rows)), root, run_id, f"epoch-{epoch:08d}")
+    return sink
+
+
 class _PODKalman(StatefulProcessor):
     """Modal states of the cases of a bucket and how many rows each has filtered; a case's first row starts from the pseudo-inverse.
 
@@ -166,27 +180,20 @@ def run_estimation(stream: DataFrame, spec: TrajectorySpec, root: str, run_id: s
     modal = [f"a{i + 1}" for i in range(pod.rank)]
     about = [*spec.keys, spec.time, SEQ, "_received_utc"]
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
-        try:
-            def write(df, kind, time=spec.time):
-                write_records(df, root, kind, run_id, time=time, write_id=f"epoch-{epoch:08d}")
-
-            clean = clean_rows(batch)
-            write(batch.select(*[c for c in given if c != "_code"]), "raw_stream")
-            write(clean.select(*[c for c in given if c != "_code"]), "cleaned_stream")
-            write(buffer_warnings(batch, spec.keys), "warnings", None)
-            write(clean.select(*about, *[F.col(f"est_{c}").alias(c) for c in pod.states], "initialized_from_measurement"), "state_estimates")
-            write(clean.select(*about, *modal), "modal_estimates")
-            write(clean.select(*about, "covariance_trace", *[f"var_{c}" for c in modal]), "estimate_covariance")
-            rows = clean.withColumn("origin_row_index", F.col(SEQ))
-            write(innovations_long(rows, spec.keys, spec.time, list(measurements)), "kalman_innovations", "origin_time")
-            if horizons is not None:
-                write(forecast_estimates(clean, model, spec, horizons, dt), "forecasts", None)
-        finally:
-            batch.unpersist()
-
-    return run_until_done(estimated, sink, checkpoint, **limits)
+    def tables(batch: DataFrame):
+        clean = clean_rows(batch)
+        yield batch.select(*[c for c in given if c != "_code"]), "raw_stream", spec.time
+        yield clean.select(*[c for c in given if c != "_code"]), "cleaned_stream", spec.time
+        yield buffer_warnings(batch, spec.keys), "warnings", None
+        yield clean.select(*about, *[F.col(f"est_{c}").alias(c) for c in pod.states], "initialized_from_measurement"), "state_estimates", spec.time
+        yield clean.select(*about, *modal), "modal_estimates", spec.time
+        yield clean.select(*about, "covariance_trace", *[f"var_{c}" for c in modal]), "estimate_covariance", spec.time
+        rows = clean.withColumn("origin_row_index", F.col(SEQ))
+        yield innovations_long(rows, spec.keys, spec.time, list(measurements)), "kalman_innovations", "origin_time"
+        if horizons is not None:
+            yield forecast_estimates(clean, model, spec, horizons, dt), "forecasts", "origin_time"
+
+    return run_until_done(estimated, _archiving(stream, tables, root, run_id), checkpoint, **limits)
 
 
 def forecast_estimates(estimates: DataFrame, model: LinearModel, spec: TrajectorySpec, horizons=DEFAULT_HORIZONS,
